@@ -144,26 +144,29 @@ def har_fits(folded: DataFrame) -> DataFrame:
     values = {**ols_moments(HAR_LAGS, "rv"), **ols_moments(HAR_LAGS, "log_rv")}
     values["sd_step"] = F.stddev_pop("log_step").over(_running())
     logged = logged.withColumn("log_step", F.ln("rv") - F.ln("rv_d"))
-    frozen = at_train_end(values, logged)
-    out = frozen
-    for y, tag in (("rv", "lev"), ("log_rv", "log")):
-        slopes = solve3(HAR_LAGS, y)
-        for name in HAR_LAGS:
-            out = out.withColumn(f"{tag}_{name}", slopes[name])
-        explained = sum(F.col(f"{tag}_{n}") * F.col(f"c_{n}_{y}") for n in HAR_LAGS)
-        out = (
-            out.withColumn(f"{tag}_const", F.col(f"m_{y}") - sum(F.col(f"{tag}_{n}") * F.col(f"m_{n}") for n in HAR_LAGS))
-            .withColumn(f"{tag}_r2", F.try_divide(explained, F.col(f"v_{y}")))
-            .withColumn(f"{tag}_s2", F.col("n") * (F.col(f"v_{y}") - explained) / (F.col("n") - 4))
-            .withColumn(f"{tag}_lin", F.col(f"{tag}_const") + sum(F.col(f"{tag}_{n}") * F.col(n) for n in HAR_LAGS))
-        )
-    floor = F.lit(FORECAST_FLOOR)
-    return (
-        out.withColumn("f_rw", F.greatest(F.col("rv_d"), floor))
-        .withColumn("f_har", F.greatest(F.col("lev_lin"), floor))
-        .withColumn("f_loghar", F.greatest(F.exp(F.col("log_lin") + F.col("log_s2") / 2), floor))
-        .withColumn("floored", F.col("lev_lin") < floor)
+    targets = (("rv", "lev"), ("log_rv", "log"))
+    out = at_train_end(values, logged)
+    out = out.withColumns({f"{tag}_{k}": v for y, tag in targets for k, v in solve3(HAR_LAGS, y).items()})
+
+    def dot(tag: str, suffix: str) -> Column:
+        return sum(F.col(f"{tag}_{n}") * F.col(suffix.format(n)) for n in HAR_LAGS)
+
+    out = out.withColumns(
+        {f"{tag}_ex": dot(tag, "c_{}_" + y) for y, tag in targets}
+        | {f"{tag}_const": F.col(f"m_{y}") - dot(tag, "m_{}") for y, tag in targets}
+    )
+    out = out.withColumns(
+        {f"{tag}_r2": F.try_divide(F.col(f"{tag}_ex"), F.col(f"v_{y}")) for y, tag in targets}
+        | {f"{tag}_s2": F.col("n") * (F.col(f"v_{y}") - F.col(f"{tag}_ex")) / (F.col("n") - 4) for y, tag in targets}
+        | {f"{tag}_lin": F.col(f"{tag}_const") + dot(tag, "{}") for y, tag in targets}
     )
+    floor = F.lit(FORECAST_FLOOR)
+    return out.withColumns({
+        "f_rw": F.greatest(F.col("rv_d"), floor),
+        "f_har": F.greatest(F.col("lev_lin"), floor),
+        "f_loghar": F.greatest(F.exp(F.col("log_lin") + F.col("log_s2") / 2), floor),
+        "floored": F.col("lev_lin") < floor,
+    })
 
 
 BASELINES = {"RW-RV": "f_rw", "HAR-RV": "f_har", "HAR-RV-log": "f_loghar"}
