@@ -1,10 +1,19 @@
-"""Regime models (filled in below)."""
+"""Volatility regimes: state moments, transition tables, jump-penalised and hidden Markov fits, causal labels."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from varloom.operators import recursion as rc
+from varloom.operators.features import rank_bins, short_mean
+from varloom.operators.realized import calendar_window
+from varloom.operators.timing import run_table
+from varloom.session import cut_lineage
+
+VARIANCE_FLOOR = 1e-6
+UNIFORM = 2.0**63
+
 
 def standardize(panel: DataFrame, col: str, train_end: str | None, name: str = "x") -> DataFrame:
     """Centres and scales by training rows only (all rows when no training end is given)."""
@@ -12,3 +21,352 @@ def standardize(panel: DataFrame, col: str, train_end: str | None, name: str = "
     whole = Window.partitionBy("asset")
     scale = F.stddev_pop(seen).over(whole)
     return panel.withColumn(name, (F.col(col) - F.avg(seen).over(whole)) / F.when(scale < 1e-12, F.lit(1.0)).otherwise(scale))
+
+
+# ------------------------------------------------------------------------------- tables from a path
+
+
+def state_moments(panel: DataFrame, states: int, x: str = "x", by=("asset",), sample: bool = False) -> DataFrame:
+    """Mean and variance per state; a state with too few days falls back to the pooled moments."""
+    variance = F.var_samp if sample else F.var_pop
+    need = 2 if sample else 1
+    per = panel.groupBy(*by, "state").agg(F.count(x).alias("n"), F.avg(x).alias("m"), variance(x).alias("v"))
+    pooled = panel.groupBy(*by).agg(F.avg(x).alias("_pm"), variance(x).alias("_pv"))
+    grid = pooled.withColumn("state", F.explode(F.sequence(F.lit(0), F.lit(states - 1))))
+    own = F.coalesce(F.col("n"), F.lit(0)) >= need
+    return grid.join(per, [*by, "state"], "left").select(
+        *by, "state", F.coalesce("n", F.lit(0)).alias("n"),
+        F.when(own, F.col("m")).otherwise(F.col("_pm")).alias("mean"),
+        F.greatest(F.when(own, F.col("v")).otherwise(F.col("_pv")), F.lit(VARIANCE_FLOOR)).alias("variance"),
+    )
+
+
+def transition_table(panel: DataFrame, states: int, prior: float = 0.0, by=("asset",)) -> DataFrame:
+    """Counts and row-normalised probabilities for every pair of states, with an optional pseudo-count."""
+    w = Window.partitionBy(*by).orderBy("date")
+    moves = panel.withColumn("prev", F.lag("state").over(w)).where(F.col("prev").isNotNull()).groupBy(*by, "prev", "state").agg(F.count("*").alias("moves"))
+    k = F.sequence(F.lit(0), F.lit(states - 1))
+    grid = panel.select(*by).distinct().withColumn("prev", F.explode(k)).withColumn("state", F.explode(k))
+    full = grid.join(moves, [*by, "prev", "state"], "left").withColumn("moves", F.coalesce("moves", F.lit(0)))
+    weight = F.col("moves") + F.lit(prior)
+    row = F.sum(weight).over(Window.partitionBy(*by, "prev"))
+    return full.withColumn("p", F.try_divide(weight, row))
+
+
+def start_distribution(panel: DataFrame, states: int, prior: float = 1.0, by=("asset",)) -> DataFrame:
+    counts = panel.groupBy(*by, "state").agg(F.count("*").alias("n"))
+    grid = panel.select(*by).distinct().withColumn("state", F.explode(F.sequence(F.lit(0), F.lit(states - 1))))
+    full = grid.join(counts, [*by, "state"], "left")
+    weight = F.coalesce("n", F.lit(0)) + F.lit(prior)
+    return full.select(*by, "state", (weight / F.sum(weight).over(Window.partitionBy(*by))).alias("p0"))
+
+
+def volatility_order(moments: DataFrame, by=("asset",)) -> DataFrame:
+    """New label of every state: position by ascending variance, ties by the old label."""
+    w = Window.partitionBy(*by).orderBy("variance", "state")
+    return moments.withColumn("label", (F.row_number().over(w) - 1).cast("int"))
+
+
+def relabel(panel: DataFrame, moments: DataFrame, by=("asset",)) -> DataFrame:
+    labels = volatility_order(moments, by).select(*by, "state", "label")
+    return panel.join(labels, [*by, "state"]).drop("state").withColumnRenamed("label", "state")
+
+
+def chain_parameters(panel: DataFrame, states: int, x: str = "x", prior: float = 1.0) -> DataFrame:
+    """Everything a filter needs, one row per asset: means, variances, start and transition arrays."""
+    ordered = lambda c: F.array_sort(F.collect_list(F.struct("state", c)))[c]
+    m = state_moments(panel, states, x, sample=True).groupBy("asset").agg(ordered("mean").alias("means"), ordered("variance").alias("variances"))
+    s = start_distribution(panel, states, prior).groupBy("asset").agg(ordered("p0").alias("start"))
+    rows = transition_table(panel, states, prior).groupBy("asset", "prev").agg(ordered("p").alias("row"))
+    t = rows.groupBy("asset").agg(F.array_sort(F.collect_list(F.struct("prev", "row")))["row"].alias("matrix"))
+    return m.join(s, "asset").join(t, "asset").withColumn("k", F.lit(states))
+
+
+def filter_states(series: DataFrame, parameters: DataFrame) -> DataFrame:
+    """Causal and smoothed probabilities per date, the causal state and the decoded path."""
+    j = series.join(parameters, "asset").withColumn("losses", rc.gaussian_losses(F.col("x"), F.col("means"), F.col("variances")))
+    j = j.withColumn("columns", rc.transpose(F.col("matrix"), F.col("k"))).withColumn(
+        "f", rc.forward_filter(F.col("losses"), F.col("start"), F.col("columns")))
+    j = j.withColumn("smooth", rc.smoothed(F.col("f.p"), rc.backward_weights(F.col("losses"), F.col("matrix")))).withColumn(
+        "path", rc.viterbi(F.col("losses"), F.col("start"), F.col("columns"))).withColumn("filt", F.col("f.p"))
+    out = rc.explode_series(j, ["asset"], p="filt", p_smooth="smooth", path="path")
+    return out.withColumn("state", (F.array_position("p", F.array_max("p")) - 1).cast("int"))
+
+
+def persistence(panel: DataFrame, states: int, prior: float = 1.0, steps: int = 200) -> DataFrame:
+    """Stay probability, expected and observed durations, stationary and observed shares per state."""
+    table = transition_table(panel, states, prior)
+    stay = table.where(F.col("prev") == F.col("state")).select("asset", "state", F.col("p").alias("stay"))
+    rows = table.groupBy("asset", "prev").agg(F.array_sort(F.collect_list(F.struct("state", "p")))["p"].alias("row"))
+    matrix = rows.groupBy("asset").agg(F.array_sort(F.collect_list(F.struct("prev", "row")))["row"].alias("matrix"))
+    columns = rc.transpose(F.col("matrix"), F.lit(states))
+    uniform = F.array(*[F.lit(1.0 / states)] * states)
+    power = rc.let(columns, lambda c: F.aggregate(
+        F.sequence(F.lit(1), F.lit(steps)), uniform, lambda v, _: F.transform(c, lambda col: rc._dot(v, col))))
+    stationary = matrix.select("asset", F.posexplode(power).alias("state", "stationary"))
+    total = F.count("*").over(Window.partitionBy("asset"))
+    observed = panel.withColumn("_n", total).groupBy("asset", "state").agg((F.count("*") / F.max("_n")).alias("share"))
+    runs = run_table(panel).groupBy("asset", "state").agg(F.avg("length").alias("mean_run"))
+    return (
+        stay.join(stationary, ["asset", "state"]).join(observed, ["asset", "state"], "left").join(runs, ["asset", "state"], "left")
+        .select("asset", "state", "stay", F.when(F.col("stay") < 1, 1 / F.greatest(1 - F.col("stay"), F.lit(1e-12))).alias("expected_duration"),
+                "stationary", F.coalesce("share", F.lit(0.0)).alias("share"), F.coalesce("mean_run", F.lit(0.0)).alias("mean_run"))
+    )
+
+
+def concordance(panel: DataFrame, validator: str, states: int) -> DataFrame:
+    """State by validator-quantile counts with row shares, in long form."""
+    binned = panel.withColumn("bin", rank_bins(validator, states))
+    counts = binned.groupBy("asset", "state", "bin").agg(F.count("*").alias("n"))
+    return counts.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy("asset", "state")))
+
+
+def concordance_summary(panel: DataFrame, validator: str, states: int) -> DataFrame:
+    from varloom.operators.splicing import average_rank
+
+    w = ("asset",)
+    ranked = panel.withColumns({"bin": rank_bins(validator, states), "_rs": average_rank("state", w), "_rv": average_rank(validator, w)})
+    return ranked.groupBy("asset").agg(
+        F.corr("_rs", "_rv").alias("spearman"), F.avg((F.col("bin") == F.col("state")).cast("double")).alias("diag_share"),
+        *[F.avg(F.when(F.col("state") == k, F.col(validator))).alias(f"mean_state{k}") for k in range(states)],
+    )
+
+
+def agreement(labels: DataFrame, a: str, b: str) -> DataFrame:
+    """Share of equal labels and the adjusted Rand index, from the contingency counts."""
+    cells = labels.groupBy("asset", a, b).agg(F.count("*").alias("n"))
+    pairs = lambda c: c * (c - 1) / 2
+    margin_a = F.sum("n").over(Window.partitionBy("asset", a))
+    margin_b = F.sum("n").over(Window.partitionBy("asset", b))
+    marked = cells.withColumns({"_a": margin_a, "_b": margin_b,
+                                "_fa": F.row_number().over(Window.partitionBy("asset", a).orderBy(b)) == 1,
+                                "_fb": F.row_number().over(Window.partitionBy("asset", b).orderBy(a)) == 1})
+    s = marked.groupBy("asset").agg(
+        F.sum("n").alias("n"), F.sum(F.when(F.col(a) == F.col(b), F.col("n")).otherwise(0)).alias("_same"), F.sum(pairs(F.col("n"))).alias("_ij"),
+        F.sum(F.when(F.col("_fa"), pairs(F.col("_a")))).alias("_ai"), F.sum(F.when(F.col("_fb"), pairs(F.col("_b")))).alias("_bj"))
+    expected = F.col("_ai") * F.col("_bj") / pairs(F.col("n"))
+    ceiling = (F.col("_ai") + F.col("_bj")) / 2
+    ari = F.coalesce(F.try_divide(F.col("_ij") - expected, ceiling - expected), F.lit(1.0))
+    return s.select("asset", "n", (F.col("_same") / F.col("n")).alias("raw_agreement"), ari.alias("adjusted_rand"))
+
+
+def signal_summary(board: DataFrame, start: str, states: int = 3) -> DataFrame:
+    """Switches, durations, certainty, smoothed-against-filtered gap and days per state on evaluated rows.
+
+    ``board`` holds asset, estimator, date, state, p and p_smooth.
+    """
+    test = board.where(F.col("date") >= F.lit(start).cast("date"))
+    w = Window.partitionBy("asset", "estimator").orderBy("date")
+    rows = test.withColumn("_sw", (F.col("state") != F.lag("state").over(w)).cast("int"))
+    gap = F.abs(F.element_at("p_smooth", states) - F.element_at("p", states))
+    out = rows.groupBy("asset", "estimator").agg(
+        F.count("*").alias("n_test"), F.coalesce(F.sum("_sw"), F.lit(0)).alias("switches"), F.avg(F.array_max("p")).alias("mean_max_posterior"),
+        F.avg(gap).alias("mean_abs_gap"), *[F.count_if(F.col("state") == k).alias(f"days_state{k}") for k in range(states)])
+    return out.withColumn("mean_duration", F.col("n_test") / (F.col("switches") + 1))
+
+
+def soft_membership(losses: Column) -> Column:
+    """Softmax of negated losses."""
+    return rc.let(F.array_min(losses), lambda m: rc.let(
+        F.transform(losses, lambda v: F.exp(m - v)), lambda e: rc.let(rc._total(e), lambda s: F.transform(e, lambda v: v / s))))
+
+
+def gate(p: Column, states: int) -> Column:
+    """Yesterday's posterior as mixing weights: non-finite entries are dropped, then renormalised."""
+    uniform = F.array(*[F.lit(1.0 / states)] * states)
+    clean = F.transform(p, lambda v: F.when(v.isNull() | F.isnan(v), F.lit(0.0)).otherwise(v))
+    scaled = rc.let(clean, lambda c: rc.let(rc._total(c), lambda s: F.when(s > 0, F.transform(c, lambda v: v / s)).otherwise(uniform)))
+    return F.coalesce(scaled, uniform)
+
+
+def lagged_gate(board: DataFrame, states: int = 3) -> DataFrame:
+    return board.withColumn("gate", gate(F.lag("p").over(calendar_window()), states))
+
+
+# ------------------------------------------------------------------------------------------- fits
+
+
+def _uniform(*parts) -> Column:
+    """Hash-based draw in (0, 1): the same on every partitioning of the data."""
+    return (F.xxhash64(*parts).cast("double") / UNIFORM + 1) / 2 * (1 - 2e-16) + 1e-16
+
+
+def _seeded_centres(x: Column, k: Column, init: Column, seed: int) -> Column:
+    """K starting centres; later ones are drawn with probability proportional to squared distance."""
+    def draw(centres, m):
+        def key(v, i):
+            gaps = F.transform(centres, lambda c: (v - c) * (v - c))
+            weight = F.coalesce(F.array_min(gaps), F.lit(1.0))
+            return F.struct((-F.ln(_uniform(F.lit(seed), init, m, i)) / F.greatest(weight, F.lit(1e-300))).alias("e"), v.alias("v"))
+
+        return F.array_append(centres, F.array_min(F.transform(x, key))["v"])
+
+    return F.aggregate(rc.indices(k), F.array().cast("array<double>"), draw)
+
+
+def starting_paths(panel: DataFrame, k_grid, n_init: int, seed: int = 17, x: str = "x") -> DataFrame:
+    """(asset, k, init, dates, x, path): a volatility-quantile start and seeded nearest-centre restarts."""
+    whole = Window.partitionBy("asset")
+    n = F.count("*").over(whole)
+    dev = panel.select("asset", "date", F.col(x).alias("x")).withColumn("_d", (F.col("x") - F.avg("x").over(whole)) ** 2)
+    dev = dev.withColumn("_n", n)
+    run = Window.partitionBy("asset").orderBy("date")
+    width = F.least(F.lit(10), F.greatest(F.lit(1), F.floor(F.col("_n") / 20)))
+    # The smoothing width depends only on series length, so it is a constant per asset: difference of running sums.
+    cum = F.sum("_d").over(run.rowsBetween(Window.unboundedPreceding, 0))
+    dev = dev.withColumns({"_c": cum, "_i": F.row_number().over(run), "_w": width.cast("int")})
+    long_mean = short_mean("_d", 10)
+    proxy = F.when(F.col("_w") == 10, long_mean)
+    for size in range(1, 10):
+        proxy = F.when(F.col("_w") == size, short_mean("_d", size)).otherwise(proxy)
+    ranked = dev.withColumn("_proxy", proxy).withColumn("_r", F.row_number().over(Window.partitionBy("asset").orderBy("_proxy", "date")) - 1)
+    packed = ranked.groupBy("asset").agg(F.array_sort(F.collect_list(F.struct("date", "x", "_r"))).alias("_s")).select(
+        "asset", F.col("_s.date").alias("dates"), F.col("_s.x").alias("x"), F.col("_s._r").alias("_r"))
+    grid = packed.withColumn("k", F.explode(F.array(*[F.lit(k) for k in k_grid]))).withColumn("init", F.explode(F.sequence(F.lit(0), F.lit(n_init - 1))))
+    by_rank = F.transform("_r", lambda r: F.least(F.floor(r * F.col("k") / F.size("x")), F.col("k") - 1).cast("int"))
+    nearest = rc.let(_seeded_centres(F.col("x"), F.col("k"), F.col("init"), seed), lambda c: F.transform("x", lambda v: rc.let(
+        F.transform(c, lambda m: (v - m) * (v - m)), lambda d: F.array_position(d, F.array_min(d)).cast("int") - 1)))
+    return grid.withColumn("path", F.when(F.col("init") == 0, by_rank).otherwise(nearest)).drop("_r")
+
+
+def path_moments(x: Column, path: Column, k: Column) -> Column:
+    """struct(means, variances) of the observations on each state of a path; empty states take the pooled ones."""
+    zero = F.struct(F.lit(0.0).alias("n"), F.lit(0.0).alias("s"), F.lit(0.0).alias("q"))
+    grow = lambda a, v: F.struct((a["n"] + 1).alias("n"), (a["s"] + v).alias("s"), (a["q"] + v * v).alias("q"))
+    mean = lambda a: a["s"] / a["n"]
+    var = lambda a: F.greatest(a["q"] / a["n"] - mean(a) * mean(a), F.lit(VARIANCE_FLOOR))
+    pooled = F.aggregate(x, zero, grow)
+    zipped = F.zip_with(x, path, lambda v, s: F.struct(v.alias("v"), s.alias("s")))
+    own = rc.let(zipped, lambda z: F.transform(rc.indices(k), lambda j: F.aggregate(
+        z, zero, lambda a, e: F.when(e["s"] == j, grow(a, e["v"])).otherwise(a))))
+    filled = rc.let(pooled, lambda p: F.transform(own, lambda a: F.when(a["n"] > 0, a).otherwise(p)))
+    return rc.let(filled, lambda f: F.struct(F.transform(f, mean).alias("means"), F.transform(f, var).alias("variances")))
+
+
+def fit_jump(starts: DataFrame, penalties, max_iter: int = 12) -> DataFrame:
+    """Coordinate descent between state moments and the penalised path for every asset, K, penalty and restart.
+
+    A round touches each series once and needs no shuffle. Lineage is cut every round, so a lost executor
+    repeats one round; rounds stop when no objective moves. Returns the best restart per (asset, k, penalty).
+    """
+    grid = starts.withColumn("penalty", F.explode(F.array(*[F.lit(float(p)) for p in penalties]))).withColumn("objective", F.lit(float("inf")))
+    grid = grid.withColumn("moved", F.lit(True))
+    keys = ["asset", "k", "init", "penalty", "dates", "x"]
+    for _ in range(max_iter):
+        fitted = grid.withColumn("m", path_moments(F.col("x"), F.col("path"), F.col("k")))
+        fitted = fitted.withColumn("dp", rc.jump_path(rc.gaussian_losses(F.col("x"), F.col("m.means"), F.col("m.variances")), F.col("penalty")))
+        close = F.abs(F.col("dp.objective") - F.col("objective")) <= 1e-12 + 1e-9 * F.abs("objective")
+        grid = cut_lineage(fitted.select(
+            *keys, F.col("dp.path").alias("path"), F.col("dp.objective").alias("objective"), F.col("dp.online").alias("online"),
+            F.col("m.means").alias("means"), F.col("m.variances").alias("variances"), (~close).alias("moved")))
+        if grid.where("moved").isEmpty():
+            break
+    rest = ["init", "dates", "x", "path", "online", "means", "variances"]
+    best = grid.groupBy("asset", "k", "penalty").agg(F.min_by(F.struct("objective", *rest), F.struct("objective", "init")).alias("b")).select("asset", "k", "penalty", "b.*")
+    return _order_by_variance(best)
+
+
+def _order_by_variance(fit: DataFrame) -> DataFrame:
+    order = F.array_sort(F.transform(F.zip_with("variances", "means", lambda v, m: F.struct(v.alias("v"), m.alias("m"))), lambda s, i: F.struct(s["v"].alias("v"), i.alias("i"), s["m"].alias("m"))))
+    fit = fit.withColumn("_o", order)
+    place = lambda s: F.array_position(F.col("_o.i"), s).cast("int") - 1
+    return fit.withColumns({
+        "path": rc.let(F.col("_o.i"), lambda o: F.transform("path", lambda s: F.array_position(o, s).cast("int") - 1)),
+        "online": rc.let(F.col("_o.i"), lambda o: F.transform("online", lambda s: F.array_position(o, s).cast("int") - 1)),
+        "means": F.col("_o.m"), "variances": F.col("_o.v"),
+    }).drop("_o")
+
+
+def jump_count(path: Column) -> Column:
+    return F.aggregate(
+        path, F.struct(F.lit(None).cast("int").alias("p"), F.lit(0).alias("c")),
+        lambda a, s: F.struct(s.alias("p"), (a["c"] + F.when(a["p"].isNotNull() & (a["p"] != s), 1).otherwise(0)).alias("c")), lambda a: a["c"])
+
+
+def jump_summary(fit: DataFrame, features: int = 1) -> DataFrame:
+    """Jumps, mean duration and information criteria of each fitted path."""
+    n = F.size("x").cast("double")
+    own = F.aggregate(
+        F.zip_with(rc.gaussian_losses(F.col("x"), F.col("means"), F.col("variances")), "path", lambda losses, s: F.element_at(losses, s + 1)),
+        F.lit(0.0), lambda a, v: a + v)
+    out = fit.withColumns({"n_jumps": jump_count(F.col("path")), "loglik": -own, "n_params": (2 * F.col("k") * features).cast("int"), "n": F.size("x")})
+    return out.select(
+        "asset", "k", "penalty", "n", "n_jumps", (n / (F.col("n_jumps") + 1)).alias("mean_duration"), "objective", "loglik", "n_params",
+        information_criterion(F.col("loglik"), F.col("n_params"), F.ln(n)).alias("bic"), information_criterion(F.col("loglik"), F.col("n_params"), F.lit(2.0)).alias("aic"))
+
+
+def information_criterion(loglik: Column, parameters: Column, weight: Column) -> Column:
+    return -2.0 * loglik + parameters * weight
+
+
+def chain_parameter_count(k: Column, features: int = 1) -> Column:
+    """Start, transitions, means and full covariances."""
+    return (k - 1) + k * (k - 1) + k * features + k * features * (features + 1) / 2
+
+
+def choose_penalty(summary: DataFrame, floor_days: float = 15.0) -> DataFrame:
+    """Smallest penalty whose mean duration reaches the floor, else the largest one."""
+    ok = F.when(F.col("mean_duration") >= floor_days, F.col("penalty"))
+    return summary.groupBy("asset", "k").agg(F.coalesce(F.min(ok), F.max("penalty")).alias("penalty"), F.max("mean_duration").alias("longest_duration"))
+
+
+def fit_chain(starts: DataFrame, max_iter: int = 10, tol: float = 1e-4) -> DataFrame:
+    """Expectation-maximisation for Gaussian hidden Markov chains, every asset, K and restart side by side.
+
+    Returns the likeliest restart per (asset, k) with states ordered by variance.
+    """
+    k = F.col("k")
+    first = starts.withColumn("m", path_moments(F.col("x"), F.col("path"), k))
+    sticky = F.transform(rc.indices(k), lambda i: F.transform(rc.indices(k), lambda j: F.when(i == j, F.lit(0.9)).otherwise(F.lit(0.1) / F.greatest(k - 1, F.lit(1)))))
+    state = first.select(
+        "asset", "k", "init", "dates", "x", F.col("m.means").alias("means"), F.col("m.variances").alias("variances"),
+        F.transform(rc.indices(k), lambda _: F.lit(1.0) / k).alias("start"), sticky.alias("matrix"), F.lit(float("-inf")).alias("loglik"), F.lit(True).alias("moved"))
+    keys = ["asset", "k", "init", "dates", "x"]
+    for _ in range(max_iter):
+        e = state.withColumn("losses", rc.gaussian_losses(F.col("x"), F.col("means"), F.col("variances")))
+        e = e.withColumn("f", rc.forward_filter(F.col("losses"), F.col("start"), rc.transpose(F.col("matrix"), k)))
+        e = e.withColumn("b", rc.backward_weights(F.col("losses"), F.col("matrix")))
+        e = e.withColumn("g", rc.smoothed(F.col("f.p"), F.col("b")))
+        size = F.size("x")
+        steps = F.arrays_zip(F.slice(F.col("f.p"), 1, size - 1).alias("a"), F.slice("losses", 2, size - 1).alias("l"), F.slice("b", 2, size - 1).alias("b"))
+
+        def pair_weights(s):
+            right = rc.let(F.array_min(s["1"]), lambda m: F.zip_with(s["1"], s["2"], lambda q, b: F.exp(m - q) * b))
+            joint = rc.let(right, lambda r: F.zip_with(s["0"], F.col("matrix"), lambda a, row: F.zip_with(row, r, lambda p, w: a * p * w)))
+            return rc.let(joint, lambda j: rc.let(rc._total(F.flatten(j)), lambda t: F.transform(j, lambda row: F.transform(row, lambda v: v / t))))
+
+        names = e.select(steps.alias("z")).schema["z"].dataType.elementType.names
+        named = F.transform(steps, lambda s: F.struct(*[s.getField(n).alias(str(i)) for i, n in enumerate(names)]))
+        zero = F.transform("matrix", lambda row: F.transform(row, lambda _: F.lit(0.0)))
+        xi = F.aggregate(named, zero, lambda acc, s: F.zip_with(acc, pair_weights(s), lambda p, q: F.zip_with(p, q, lambda u, v: u + v)))
+        matrix = rc.let(xi, lambda m: F.transform(m, lambda row: rc.let(rc._total(row), lambda t: F.transform(row, lambda v: v / t))))
+        weight_of = F.zip_with("g", "x", lambda g, v: F.struct(g.alias("g"), v.alias("v")))
+        zero_w = F.struct(F.lit(0.0).alias("n"), F.lit(0.0).alias("s"), F.lit(0.0).alias("q"))
+        sums = rc.let(weight_of, lambda z: F.transform(rc.indices(k), lambda j: F.aggregate(z, zero_w, lambda a, r: rc.let(F.element_at(r["g"], j + 1), lambda w: F.struct(
+            (a["n"] + w).alias("n"), (a["s"] + w * r["v"]).alias("s"), (a["q"] + w * r["v"] * r["v"]).alias("q"))))))
+        e = e.withColumn("sums", sums).withColumn("next", matrix)
+        ll = F.col("f.loglik")
+        state = cut_lineage(e.select(
+            *keys, F.transform("sums", lambda a: a["s"] / a["n"]).alias("means"),
+            F.transform("sums", lambda a: F.greatest(a["q"] / a["n"] - (a["s"] / a["n"]) * (a["s"] / a["n"]), F.lit(VARIANCE_FLOOR))).alias("variances"),
+            F.element_at("g", 1).alias("start"), F.col("next").alias("matrix"), ll.alias("loglik"), (ll - F.col("loglik") > tol).alias("moved")))
+        if state.where("moved").isEmpty():
+            break
+    rest = ["init", "dates", "x", "means", "variances", "start", "matrix"]
+    best = state.groupBy("asset", "k").agg(F.max_by(F.struct("loglik", *rest), F.struct("loglik", "init")).alias("b")).select("asset", "k", "b.*")
+    order = F.array_sort(F.transform("variances", lambda v, i: F.struct(v.alias("v"), i.alias("i"))))["i"]
+    pick = lambda a: rc.let(order, lambda o: F.transform(o, lambda i: F.element_at(a, i + 1)))
+    best = best.withColumn("_m", rc.let(order, lambda o: F.transform(o, lambda i: F.transform(o, lambda j: F.element_at(F.element_at("matrix", i + 1), j + 1)))))
+    best = best.withColumns({"means": pick(F.col("means")), "start": pick(F.col("start")), "_v": pick(F.col("variances"))})
+    return best.withColumn("matrix", F.col("_m")).withColumn("variances", F.col("_v")).drop("_m", "_v")
+
+
+def chain_summary(fit: DataFrame, features: int = 1) -> DataFrame:
+    n = F.size("x").cast("double")
+    p = chain_parameter_count(F.col("k"), features)
+    return fit.select("asset", "k", F.size("x").alias("n"), "loglik", p.cast("int").alias("n_params"),
+                      information_criterion(F.col("loglik"), p, F.ln(n)).alias("bic"), information_criterion(F.col("loglik"), p, F.lit(2.0)).alias("aic"))
+
+
+def path_rows(fit: DataFrame, keep, path: str = "path") -> DataFrame:
+    return rc.explode_series(fit, keep, x="x", state=path)
