@@ -9,6 +9,7 @@ from varloom.functions.math import all_finite, chi2_sf, chi2_sf_for, normal_two_
 from varloom.operators.linear import explained_form, gram
 from varloom.operators.significance import autocovariances, bartlett, cube_root_lag
 from varloom.operators.timing import one_hot
+from varloom.session import cut_lineage
 
 KEY = ("asset", "method", "level_pct", "side")
 DQ_LAGS = 4
@@ -182,6 +183,7 @@ def with_conditioners(hits: DataFrame, lagged: DataFrame, states: int = 3) -> Da
 
 def conditional_table(conditioned: DataFrame, states: int = 3, by=KEY) -> DataFrame:
     """Incremental regressions and coverage differences for every conditioner, Holm-adjusted per family."""
+    conditioned = cut_lineage(conditioned)  # read by four branches below
     families = {"regime": [f"state{k}" for k in range(1, states)], "transition": ["transition"], "width": ["log_width"]}
     out = None
     for name, cols in families.items():
