@@ -117,22 +117,27 @@ def crps_estimators(spark, sf_dir):
     return tidy(closed.unionByName(grid), ["asset", "method", "estimator"], crps=9)
 
 
+SCALES = [round(0.5 + 0.01 * i, 2) for i in range(251)]
+define("t_lawscope", """
+  SELECT asset, method, y_true, mu, sigma AS s0, 'all' AS scope FROM t_law
+  UNION ALL SELECT asset, method, y_true, mu, sigma, 'state' || s1 FROM t_law JOIN t_lagged USING (asset, date) WHERE s1 IS NOT NULL""")
 define("t_scales", f"""
-  SELECT asset, method, scale, count(*) AS n, avg(CASE WHEN abs(ln(y_true)-mu) <= {z(0.95)}*s0*scale THEN 1.0 ELSE 0.0 END) AS picp,
-    avg({CRPS}) AS crps FROM (
-    SELECT asset, method, y_true, mu, sigma AS s0, scale, sigma*scale AS sigma FROM t_law, (SELECT unnest([{', '.join(str(x / 20) for x in range(10, 41))}])::DOUBLE AS scale))
-  GROUP BY 1, 2, 3""")
-
-
-@query("A29_sigma_scale_search", f"""
-  SELECT asset, method, n, scale_crps, scale_coverage, plateau_lo, plateau_hi, {rs(crps_best=9)} FROM (
-    SELECT asset, method, max(n) AS n, arg_min(scale, crps) AS scale_crps, min(crps) AS crps_best, first(scale ORDER BY abs(picp - 0.9), scale) AS scale_coverage
-    FROM t_scales GROUP BY 1, 2) JOIN (
-    SELECT asset, method, min(scale) AS plateau_lo, max(scale) AS plateau_hi FROM (
-      SELECT *, min(abs(picp-0.9)) OVER (PARTITION BY asset, method) AS g FROM t_scales) WHERE abs(picp - 0.9) <= g + 1e-12 GROUP BY 1, 2) USING (asset, method)""")
+  SELECT asset, method, scope, scale, count(*) AS n, avg(CASE WHEN abs(ln(y_true)-mu) <= {z(0.95)}*sigma THEN 1.0 ELSE 0.0 END) AS picp, avg({CRPS}) AS crps FROM (
+    SELECT *, s0*scale AS sigma FROM t_lawscope, (SELECT unnest([{', '.join(map(str, SCALES))}])::DOUBLE AS scale))
+  GROUP BY 1, 2, 3, 4 HAVING count(*) >= 20""")
+define("t_scalebest", """
+  SELECT asset, method, scope, max(n) AS n, first(scale ORDER BY crps, scale) AS scale_crps, min(crps) AS crps_best, first(scale ORDER BY abs(picp - 0.9), scale) AS scale_coverage,
+    min(scale) FILTER (crps <= low*1.001) AS plateau_lo, max(scale) FILTER (crps <= low*1.001) AS plateau_hi
+  FROM (SELECT *, min(crps) OVER (PARTITION BY asset, method, scope) AS low FROM t_scales) GROUP BY 1, 2, 3""")
+
+
+def scale_table(spark, sf_dir):
+    return cal.sigma_scale_search(cal.with_scopes(study.law(spark, sf_dir), lagged_states(spark, sf_dir)), SCALES)
+
+
+@query("A29_sigma_scale_search", f"SELECT asset, method, scope, n, scale_crps, scale_coverage, plateau_lo, plateau_hi, {rs(crps_best=8)} FROM t_scalebest")
 def sigma_scale_search(spark, sf_dir):
-    out = cal.sigma_scale_search(study.law(spark, sf_dir), [x / 20 for x in range(10, 41)])
-    return tidy(out, ["asset", "method", "n", "scale_crps", "scale_coverage", "plateau_lo", "plateau_hi"], crps_best=9)
+    return tidy(scale_table(spark, sf_dir), ["asset", "method", "scope", "n", "scale_crps", "scale_coverage", "plateau_lo", "plateau_hi"], crps_best=8)
 
 
 # ------------------------------------------------------------------------------------ laws and boards

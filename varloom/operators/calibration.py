@@ -75,11 +75,19 @@ def transition_coverage(intervals: DataFrame, marked: DataFrame) -> DataFrame:
     return rows.groupBy("asset", "method", "level_pct", "is_transition").agg(*interval_aggregates())
 
 
-def sigma_scale_search(laws: DataFrame, scales, level_pct: int = 90, by=("asset", "method"), tolerance: float = 0.0) -> DataFrame:
-    """Spread multiplier that minimises CRPS and the one that calibrates coverage, with the plateau bounds.
+def with_scopes(laws: DataFrame, lagged: DataFrame) -> DataFrame:
+    """Every row once under scope 'all' and once under its lagged state."""
+    joined = laws.join(lagged, ["asset", "date"], "left")
+    named = F.when(F.col("state").isNotNull(), F.concat(F.lit("state"), F.col("state").cast("string")))
+    scopes = F.array_compact(F.array(F.lit("all"), named))
+    return joined.withColumn("scope", F.explode(scopes)).drop("state")
+
+
+def sigma_scale_search(laws: DataFrame, scales, level_pct: int = 90, by=("asset", "method", "scope"), min_n: int = 20, plateau: float = 1.001) -> DataFrame:
+    """Spread multiplier that minimises CRPS, with its plateau, and the one that calibrates coverage.
 
     The literal grid multiplies rows before a map-side combined average; the search then runs over
-    one row per key and scale.
+    one row per key and scale. Scopes with too few days are left out.
     """
     z = normal_quantile(1 - (100 - level_pct) / 200)
     ok = laws.where(all_finite("y_true", "mu", "sigma") & (F.col("y_true") > 0) & (F.col("sigma") > 0))
@@ -88,17 +96,16 @@ def sigma_scale_search(laws: DataFrame, scales, level_pct: int = 90, by=("asset"
     inside = (F.abs(F.ln("y_true") - F.col("mu")) <= F.lit(z) * s).cast("double")
     table = grid.groupBy(*by, "scale").agg(
         F.count("*").alias("n"), F.avg(lognormal_crps(F.col("y_true"), F.col("mu"), s)).alias("crps"), F.avg(inside).alias("picp")
-    )
+    ).where(F.col("n") >= min_n)
+    lowest = F.min("crps").over(Window.partitionBy(*by))
+    near = F.col("crps") <= F.col("_low") * F.lit(plateau)
     gap = F.abs(F.col("picp") - F.lit(level_pct / 100))
-    best = table.groupBy(*by).agg(
+    return table.withColumn("_low", lowest).groupBy(*by).agg(
         F.max("n").alias("n"),
         F.min_by("scale", F.struct("crps", "scale")).alias("scale_crps"), F.min("crps").alias("crps_best"),
-        F.min_by("scale", F.struct(gap, F.col("scale"))).alias("scale_coverage"), F.min(gap).alias("_gap"),
-    )
-    bounds = table.join(best.select(*by, "_gap"), list(by)).where(gap <= F.col("_gap") + F.lit(tolerance + 1e-12)).groupBy(*by).agg(
-        F.min("scale").alias("plateau_lo"), F.max("scale").alias("plateau_hi")
+        F.min_by("scale", F.struct(gap, F.col("scale"))).alias("scale_coverage"),
+        F.min(F.when(near, F.col("scale"))).alias("plateau_lo"), F.max(F.when(near, F.col("scale"))).alias("plateau_hi"),
     )
-    return best.drop("_gap").join(bounds, list(by))
 
 
 def width_by_regime(intervals: DataFrame, lagged: DataFrame) -> DataFrame:
