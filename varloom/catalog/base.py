@@ -7,8 +7,6 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from varloom.catalog.sql import compose
-
 QUERIES: dict[str, Callable] = {}
 ORACLES: dict[str, str] = {}
 
@@ -21,7 +19,7 @@ def query(name: str, sql: str | None = None):
             raise KeyError(f"query {name!r} registered twice")
         QUERIES[name] = fn
         if sql is not None:
-            ORACLES[name] = compose(sql)
+            ORACLES[name] = sql
         return fn
 
     return register

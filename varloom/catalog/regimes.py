@@ -35,10 +35,10 @@ define("t_em", f"""
 _LIK = [f"exp(least(e.l0,e.l1,e.l2)-e.l{k})" for k in range(3)]
 _PRED = [f"(f.p0*e.a0{k}+f.p1*e.a1{k}+f.p2*e.a2{k})" for k in range(3)]
 define("t_filt", f"""
-  SELECT asset, i, {', '.join(f'w{k}/(w0+w1+w2) AS p{k}' for k in range(3))} FROM (
-    SELECT e.asset, e.i, {', '.join(f'e.s{k}*{_LIK[k]} AS w{k}' for k in range(3))} FROM t_em e WHERE e.i = 1)
-  UNION ALL SELECT asset, i, {', '.join(f'w{k}/(w0+w1+w2)' for k in range(3))} FROM (
-    SELECT e.asset, e.i, {', '.join(f'{_PRED[k]}*{_LIK[k]} AS w{k}' for k in range(3))} FROM t_filt f JOIN t_em e ON e.asset = f.asset AND e.i = f.i + 1)""")
+  SELECT asset, i, {', '.join(f'w{k}/(w0+w1+w2) AS p{k}' for k in range(3))}, ln(w0+w1+w2) - lo AS ll FROM (
+    SELECT e.asset, e.i, least(e.l0,e.l1,e.l2) AS lo, {', '.join(f'e.s{k}*{_LIK[k]} AS w{k}' for k in range(3))} FROM t_em e WHERE e.i = 1)
+  UNION ALL SELECT asset, i, {', '.join(f'w{k}/(w0+w1+w2)' for k in range(3))}, ln(w0+w1+w2) - lo FROM (
+    SELECT e.asset, e.i, least(e.l0,e.l1,e.l2) AS lo, {', '.join(f'{_PRED[k]}*{_LIK[k]} AS w{k}' for k in range(3))} FROM t_filt f JOIN t_em e ON e.asset = f.asset AND e.i = f.i + 1)""")
 _BACK = [f"(e.a{i}0*exp(least(e.l0,e.l1,e.l2)-e.l0)*b.b0+e.a{i}1*exp(least(e.l0,e.l1,e.l2)-e.l1)*b.b1+e.a{i}2*exp(least(e.l0,e.l1,e.l2)-e.l2)*b.b2)" for i in range(3)]
 define("t_back", f"""
   SELECT asset, max(i) AS i, 1.0::DOUBLE AS b0, 1.0::DOUBLE AS b1, 1.0::DOUBLE AS b2 FROM t_em GROUP BY asset
@@ -302,3 +302,46 @@ def jump_penalised_chain(spark, sf_dir):
     path = rg.path_rows(fit, ["asset"])
     out = rg.filter_states(rc.as_series(labelled(spark, sf_dir), "x"), rg.chain_parameters(path, K))
     return out.select("asset", "date", "state", *[F.round(F.col("p")[k], 7).alias(f"p{k}") for k in range(K)])
+
+
+@query("X18_chain_criteria", f"""
+  SELECT asset, 3 AS k, count(*) AS n, 14 AS n_params, {r('sum(ll)', 5, 'loglik')}, {r('-2*sum(ll) + 14*ln(count(*))', 5, 'bic')}, {r('-2*sum(ll) + 28', 5, 'aic')} FROM t_filt GROUP BY 1""")
+def chain_criteria(spark, sf_dir):
+    out = rg.chain_likelihood(rc.as_series(labelled(spark, sf_dir), "x"), rg.chain_parameters(trained(spark, sf_dir), K))
+    return tidy(out, ["asset", "k", "n", "n_params"], loglik=5, bic=5, aic=5)
+
+
+@query("G11_state_count_criteria")
+def state_count_criteria(spark, sf_dir):
+    from varloom.session import cut_lineage
+
+    grid = cut_lineage(starts(spark, sf_dir, (2, 3, 4), 2))
+    jump = rg.jump_summary(rg.fit_jump(grid, [10.0], 8)).select("asset", "k", F.lit("jump").alias("model"), "loglik", "n_params", "bic", "aic")
+    chain = rg.chain_summary(rg.fit_chain(grid.where("init = 0"), 5)).select("asset", "k", F.lit("chain").alias("model"), "loglik", "n_params", "bic", "aic")
+    return tidy(jump.unionByName(chain), ["asset", "k", "model", "n_params"], loglik=4, bic=4, aic=4)
+
+
+@query("K3_best_state_count")
+def best_state_count(spark, sf_dir):
+    table = rg.jump_summary(rg.fit_jump(starts(spark, sf_dir, (2, 3, 4), 2), [10.0], 8))
+    return table.groupBy("asset").agg(F.min_by("k", F.struct("bic", "k")).alias("best_k"), F.round(F.min("bic"), 4).alias("bic"))
+
+
+@query("G12_penalty_sensitivity")
+def penalty_sensitivity(spark, sf_dir):
+    fits = rg.fit_jump(starts(spark, sf_dir, n_init=2), [1.0, 3.0, 10.0])
+    out = rg.penalty_sensitivity(labelled(spark, sf_dir), fits, 3.0, TRAIN_END, TEST_START)
+    return tidy(out, ["asset", "penalty", "n_jumps", "clears_floor", "test_switches", "is_headline"], mean_duration=6, agreement_test=6, agreement_train=6)
+
+
+@query("G14_regime_board", f"""
+  SELECT e.asset, e.date, 'rule' AS estimator, e.state FROM t_em e
+  UNION ALL SELECT e.asset, e.date, 'jump', {_DMIN} FROM t_jump d JOIN t_em e USING (asset, i)
+  UNION ALL SELECT e.asset, e.date, 'chain_filtered', CASE WHEN f.p0 >= f.p1 AND f.p0 >= f.p2 THEN 0 WHEN f.p1 >= f.p2 THEN 1 ELSE 2 END FROM t_filt f JOIN t_em e USING (asset, i)
+  UNION ALL SELECT e.asset, e.date, 'chain_decoded', p.state FROM t_vpath p JOIN t_em e USING (asset, i)""")
+def regime_board(spark, sf_dir):
+    rule = study.states(spark, sf_dir).select("asset", "date", F.lit("rule").alias("estimator"), "state")
+    jump = jump_rows(spark, sf_dir).select("asset", "date", F.lit("jump").alias("estimator"), F.col("online").alias("state"))
+    chain = filtered(spark, sf_dir).select("asset", "date", F.explode(F.array(
+        F.struct(F.lit("chain_filtered").alias("estimator"), F.col("state").alias("state")), F.struct(F.lit("chain_decoded").alias("estimator"), F.col("path").alias("state")))).alias("e"))
+    return rule.unionByName(jump).unionByName(chain.select("asset", "date", "e.*"))

@@ -72,27 +72,55 @@ def relabel(panel: DataFrame, moments: DataFrame, by=("asset",)) -> DataFrame:
     return panel.join(labels, [*by, "state"]).drop("state").withColumnRenamed("label", "state")
 
 
-def chain_parameters(panel: DataFrame, states: int, x: str = "x", prior: float = 1.0) -> DataFrame:
-    """Everything a filter needs, one row per asset: means, variances, start and transition arrays."""
+def chain_parameters(panel: DataFrame, states: int, x: str = "x", prior: float = 1.0, by=("asset",)) -> DataFrame:
+    """Everything a filter needs, one row per key: means, variances, start and transition arrays."""
     ordered = lambda c: F.array_sort(F.collect_list(F.struct("state", c)))[c]
-    m = state_moments(panel, states, x, sample=True).groupBy("asset").agg(ordered("mean").alias("means"), ordered("variance").alias("variances"))
-    s = start_distribution(panel, states, prior).groupBy("asset").agg(ordered("p0").alias("start"))
-    rows = transition_table(panel, states, prior).groupBy("asset", "prev").agg(ordered("p").alias("row"))
-    t = rows.groupBy("asset").agg(F.array_sort(F.collect_list(F.struct("prev", "row")))["row"].alias("matrix"))
-    return m.join(s, "asset").join(t, "asset").withColumn("k", F.lit(states))
+    m = state_moments(panel, states, x, by, sample=True).groupBy(*by).agg(ordered("mean").alias("means"), ordered("variance").alias("variances"))
+    s = start_distribution(panel, states, prior, by).groupBy(*by).agg(ordered("p0").alias("start"))
+    rows = transition_table(panel, states, prior, by).groupBy(*by, "prev").agg(ordered("p").alias("row"))
+    t = rows.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("prev", "row")))["row"].alias("matrix"))
+    return m.join(s, list(by)).join(t, list(by)).withColumn("k", F.lit(states))
 
 
-def filter_states(series: DataFrame, parameters: DataFrame) -> DataFrame:
-    """Causal and smoothed probabilities per date, the causal state and the decoded path."""
+def filter_states(series: DataFrame, parameters: DataFrame, by=("asset",)) -> DataFrame:
+    """Causal and smoothed probabilities per date, the causal state and the decoded path.
+
+    Parameters may come in several versions per asset (one per penalty, say); ``by`` names their key.
+    """
     j = series.join(parameters, "asset").withColumn("losses", rc.gaussian_losses(F.col("x"), F.col("means"), F.col("variances")))
     j = j.withColumn("columns", rc.transpose(F.col("matrix"), F.col("k"))).withColumn(
         "f", rc.forward_filter(F.col("losses"), F.col("start"), F.col("columns")))
     j = j.withColumn("smooth", rc.smoothed(F.col("f.p"), rc.backward_weights(F.col("losses"), F.col("matrix")))).withColumn(
         "path", rc.viterbi(F.col("losses"), F.col("start"), F.col("columns"))).withColumn("filt", F.col("f.p"))
-    out = rc.explode_series(j, ["asset"], p="filt", p_smooth="smooth", path="path")
+    out = rc.explode_series(j, list(by), p="filt", p_smooth="smooth", path="path")
     return out.withColumn("state", (F.array_position("p", F.array_max("p")) - 1).cast("int"))
 
 
+def chain_likelihood(series: DataFrame, parameters: DataFrame) -> DataFrame:
+    """Log likelihood and information criteria of given chain parameters, one row per asset."""
+    j = series.join(parameters, "asset").withColumn("losses", rc.gaussian_losses(F.col("x"), F.col("means"), F.col("variances")))
+    f = rc.forward_filter(F.col("losses"), F.col("start"), rc.transpose(F.col("matrix"), F.col("k")))
+    return chain_summary(j.withColumn("loglik", f["loglik"]))
+
+
+def penalty_sensitivity(panel: DataFrame, fits: DataFrame, headline: float, train_end: str, test_start: str, states: int = 3, x: str = "x", floor_days: float = 15.0) -> DataFrame:
+    """Causal labels under every fitted penalty against those under the headline one."""
+    by = ["asset", "penalty"]
+    paths = path_rows(fits, by)
+    labels = filter_states(rc.as_series(panel, x), chain_parameters(paths, states, by=by), by).select(*by, "date", "state")
+    labels = cut_lineage(labels)
+    head = labels.where(F.col("penalty") == headline).select("asset", "date", F.col("state").alias("_h"))
+    w = Window.partitionBy(*by).orderBy("date")
+    test = F.col("date") >= F.lit(test_start).cast("date")
+    train = F.col("date") <= F.lit(train_end).cast("date")
+    rows = labels.join(head, ["asset", "date"]).withColumn("_sw", test & F.lag(test).over(w) & (F.col("state") != F.lag("state").over(w)))
+    same = (F.col("state") == F.col("_h")).cast("double")
+    agreed = rows.groupBy(*by).agg(
+        F.count_if("_sw").alias("test_switches"), F.avg(F.when(test, same)).alias("agreement_test"), F.avg(F.when(train, same)).alias("agreement_train"))
+    summary = jump_summary(fits).select(*by, "n_jumps", "mean_duration", (F.col("mean_duration") >= floor_days).alias("clears_floor"))
+    return summary.join(agreed, by).withColumn("is_headline", F.col("penalty") == headline)
+
+
 def persistence(panel: DataFrame, states: int, prior: float = 1.0, steps: int = 200) -> DataFrame:
     """Stay probability, expected and observed durations, stationary and observed shares per state."""
     table = transition_table(panel, states, prior)
