@@ -136,10 +136,8 @@ define("t_rv", f"""
 define("t_bars", "SELECT event_type AS asset, ts, value AS price, event_id AS seq FROM events WHERE value > 0")
 define("t_second", "SELECT CAST(o_orderdate AS DATE) AS date, avg(o_totalprice) AS vix_close FROM orders GROUP BY 1")
 define("t_registry", """
-  SELECT asset, '^' || asset AS symbol, '.' || lower(asset) AS measure_symbol,
-         (SELECT r_name FROM nation JOIN region ON n_regionkey = r_regionkey ORDER BY n_nationkey LIMIT 1) AS session,
-         asset <> 'N' AS vix_feature
-  FROM (SELECT DISTINCT l_returnflag AS asset FROM lineitem)""")
+  SELECT asset, '^' || asset AS symbol, '.' || lower(asset) AS measure_symbol, r_name AS session, asset <> 'N' AS vix_feature
+  FROM (SELECT DISTINCT l_returnflag AS asset FROM lineitem) LEFT JOIN nation ON n_nationkey = ascii(asset) % 25 LEFT JOIN region ON n_regionkey = r_regionkey""")
 
 # ------------------------------------------------------------------------------------------- features
 W = "PARTITION BY asset ORDER BY date"

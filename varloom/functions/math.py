@@ -57,7 +57,9 @@ def normal_cdf(x: Column) -> Column:
         fraction = a + F.lit(float(k)) / fraction
     far = e / fraction / F.lit(sqrt(2 * pi))
     lower = F.when(a > HART_LIMIT, F.lit(0.0)).when(a < HART_SPLIT, near).otherwise(far)
-    return F.when(x > 0, F.lit(1.0) - lower).otherwise(lower)
+    # Upper half by symmetry; arithmetic on the sign keeps the approximation in the plan once.
+    upper = (x > 0).cast("double")
+    return upper + (F.lit(1.0) - F.lit(2.0) * upper) * lower
 
 
 def normal_pdf(x: Column) -> Column:

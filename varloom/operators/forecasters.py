@@ -179,7 +179,7 @@ def garch_forecast(folded: DataFrame, alphas=GARCH_ALPHAS, betas=GARCH_BETAS) ->
     frozen = at_train_end({"mu": F.avg("r").over(run), "s2": F.var_pop("r").over(run)}, scaled.select("asset", "date", "pos", "fold_idx", "train_end_pos", "r", "rv"))
     folds = frozen.groupBy("asset", "fold_idx").agg(F.min("train_end_pos").alias("te"), F.first("mu").alias("mu"), F.first("s2").alias("s2"))
     series = scaled.groupBy("asset").agg(F.array_sort(F.collect_list(F.struct("pos", "r"))).alias("_s")).select("asset", F.col("_s.r").alias("r"))
-    sums = series.withColumn("beta", F.explode(F.array(*[F.lit(b) for b in betas])))
+    sums = rc.spread(series.withColumn("beta", F.explode(F.array(*[F.lit(b) for b in betas]))), "asset", "beta")
     sums = sums.withColumns({"b1": rc.exponential_sums(F.col("r"), F.col("beta")), "b2": rc.exponential_sums(F.transform("r", lambda v: v * v), F.col("beta"))})
     rows = sums.select("asset", "beta", F.posexplode(F.arrays_zip("r", "b1", "b2")).alias("pos", "z")).select("asset", "beta", F.col("pos").cast("long").alias("pos"), "z.*")
     alpha_grid = F.array(*[F.lit(a) for a in alphas])
@@ -216,6 +216,7 @@ def egarch_forecast(folded: DataFrame, alphas=EGARCH_ALPHAS, gammas=EGARCH_GAMMA
     ).select("asset", "s2", "te", F.col("_s.e").alias("e"))
     grid = series.withColumn("g", F.explode(F.array(*[
         F.struct(F.lit(a).alias("alpha"), F.lit(g).alias("gamma"), F.lit(b).alias("beta")) for a in alphas for g in gammas for b in betas])))
+    grid = rc.spread(grid, "asset", "g")
     base = F.ln("s2")
     centre = F.lit(sqrt(2 / pi))
 

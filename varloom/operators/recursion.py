@@ -19,6 +19,15 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Gives long folds their own tasks.
+
+    A series is small in bytes but long in work, so size-based coalescing would put many into one task; an
+    explicit partition count keeps them apart.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def indices(k: Column) -> Column:
     return F.sequence(F.lit(0), k - 1)
 

@@ -73,13 +73,23 @@ def relabel(panel: DataFrame, moments: DataFrame, by=("asset",)) -> DataFrame:
 
 
 def chain_parameters(panel: DataFrame, states: int, x: str = "x", prior: float = 1.0, by=("asset",)) -> DataFrame:
-    """Everything a filter needs, one row per key: means, variances, start and transition arrays."""
-    ordered = lambda c: F.array_sort(F.collect_list(F.struct("state", c)))[c]
-    m = state_moments(panel, states, x, by, sample=True).groupBy(*by).agg(ordered("mean").alias("means"), ordered("variance").alias("variances"))
-    s = start_distribution(panel, states, prior, by).groupBy(*by).agg(ordered("p0").alias("start"))
-    rows = transition_table(panel, states, prior, by).groupBy(*by, "prev").agg(ordered("p").alias("row"))
-    t = rows.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("prev", "row")))["row"].alias("matrix"))
-    return m.join(s, list(by)).join(t, list(by)).withColumn("k", F.lit(states))
+    """Everything a filter needs, one row per key: means, variances, start and transition arrays.
+
+    The labelled path is packed once per key, so moments, start and transitions cost one shuffle and no join;
+    ``state_moments`` and ``transition_table`` are the same numbers as tables.
+    """
+    packed = panel.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("date", F.col(x).alias("x"), "state"))).alias("_s"))
+    k = F.lit(states)
+    packed = packed.withColumn("m", path_moments(F.col("_s.x"), F.col("_s.state"), k, sample=True))
+    length = F.size("_s")
+    counts = F.transform(rc.indices(k), lambda i: F.size(F.filter("_s.state", lambda s: s == i)))
+    moves = F.zip_with(F.slice("_s.state", 1, F.greatest(length - 1, F.lit(0))), F.slice("_s.state", 2, F.greatest(length - 1, F.lit(0))), lambda a, b: a * states + b)
+    matrix = rc.let(moves, lambda mv: F.transform(rc.indices(k), lambda i: rc.let(
+        F.transform(rc.indices(k), lambda j: F.size(F.filter(mv, lambda v: v == i * states + j)) + F.lit(prior)),
+        lambda row: rc.let(rc._total(row), lambda t: F.transform(row, lambda v: v / t)))))
+    return packed.select(
+        *by, F.col("m.means").alias("means"), F.col("m.variances").alias("variances"),
+        F.transform(counts, lambda c: (c + F.lit(prior)) / (length + F.lit(states * prior))).alias("start"), matrix.alias("matrix"), k.alias("k"))
 
 
 def filter_states(series: DataFrame, parameters: DataFrame, by=("asset",)) -> DataFrame:
@@ -87,7 +97,7 @@ def filter_states(series: DataFrame, parameters: DataFrame, by=("asset",)) -> Da
 
     Parameters may come in several versions per asset (one per penalty, say); ``by`` names their key.
     """
-    j = series.join(parameters, "asset").withColumn("losses", rc.gaussian_losses(F.col("x"), F.col("means"), F.col("variances")))
+    j = rc.spread(series.join(parameters, "asset"), *by).withColumn("losses", rc.gaussian_losses(F.col("x"), F.col("means"), F.col("variances")))
     j = j.withColumn("columns", rc.transpose(F.col("matrix"), F.col("k"))).withColumn(
         "f", rc.forward_filter(F.col("losses"), F.col("start"), F.col("columns")))
     j = j.withColumn("smooth", rc.smoothed(F.col("f.p"), rc.backward_weights(F.col("losses"), F.col("matrix")))).withColumn(
@@ -257,17 +267,19 @@ def starting_paths(panel: DataFrame, k_grid, n_init: int, seed: int = 17, x: str
     return grid.withColumn("path", F.when(F.col("init") == 0, by_rank).otherwise(nearest)).drop("_r")
 
 
-def path_moments(x: Column, path: Column, k: Column) -> Column:
-    """struct(means, variances) of the observations on each state of a path; empty states take the pooled ones."""
+def path_moments(x: Column, path: Column, k: Column, sample: bool = False) -> Column:
+    """struct(means, variances) of the observations on each state of a path; thin states take the pooled ones."""
     zero = F.struct(F.lit(0.0).alias("n"), F.lit(0.0).alias("s"), F.lit(0.0).alias("q"))
     grow = lambda a, v: F.struct((a["n"] + 1).alias("n"), (a["s"] + v).alias("s"), (a["q"] + v * v).alias("q"))
     mean = lambda a: a["s"] / a["n"]
-    var = lambda a: F.greatest(a["q"] / a["n"] - mean(a) * mean(a), F.lit(VARIANCE_FLOOR))
+    scale = (lambda a: F.greatest(a["n"] - 1, F.lit(1.0))) if sample else (lambda a: a["n"])
+    var = lambda a: F.greatest((a["q"] - a["s"] * a["s"] / a["n"]) / scale(a), F.lit(VARIANCE_FLOOR))
     pooled = F.aggregate(x, zero, grow)
     zipped = F.zip_with(x, path, lambda v, s: F.struct(v.alias("v"), s.alias("s")))
     own = rc.let(zipped, lambda z: F.transform(rc.indices(k), lambda j: F.aggregate(
         z, zero, lambda a, e: F.when(e["s"] == j, grow(a, e["v"])).otherwise(a))))
-    filled = rc.let(pooled, lambda p: F.transform(own, lambda a: F.when(a["n"] > 0, a).otherwise(p)))
+    enough = 1 if sample else 0
+    filled = rc.let(pooled, lambda p: F.transform(own, lambda a: F.when(a["n"] > enough, a).otherwise(p)))
     return rc.let(filled, lambda f: F.struct(F.transform(f, mean).alias("means"), F.transform(f, var).alias("variances")))
 
 
@@ -278,7 +290,7 @@ def fit_jump(starts: DataFrame, penalties, max_iter: int = 12) -> DataFrame:
     repeats one round; rounds stop when no objective moves. Returns the best restart per (asset, k, penalty).
     """
     grid = starts.withColumn("penalty", F.explode(F.array(*[F.lit(float(p)) for p in penalties]))).withColumn("objective", F.lit(float("inf")))
-    grid = grid.withColumn("moved", F.lit(True))
+    grid = rc.spread(grid.withColumn("moved", F.lit(True)), "asset", "k", "penalty", "init")
     keys = ["asset", "k", "init", "penalty", "dates", "x"]
     for _ in range(max_iter):
         fitted = grid.withColumn("m", path_moments(F.col("x"), F.col("path"), F.col("k")))
@@ -344,7 +356,7 @@ def fit_chain(starts: DataFrame, max_iter: int = 10, tol: float = 1e-4) -> DataF
     Returns the likeliest restart per (asset, k) with states ordered by variance.
     """
     k = F.col("k")
-    first = starts.withColumn("m", path_moments(F.col("x"), F.col("path"), k))
+    first = rc.spread(starts, "asset", "k", "init").withColumn("m", path_moments(F.col("x"), F.col("path"), k))
     sticky = F.transform(rc.indices(k), lambda i: F.transform(rc.indices(k), lambda j: F.when(i == j, F.lit(0.9)).otherwise(F.lit(0.1) / F.greatest(k - 1, F.lit(1)))))
     state = first.select(
         "asset", "k", "init", "dates", "x", F.col("m.means").alias("means"), F.col("m.variances").alias("variances"),

@@ -55,17 +55,17 @@ def pooled_view(conditional: DataFrame, level: float = LEVEL, by=("asset", "meth
 def transfer(facts: DataFrame, reference: str, level: float = LEVEL) -> DataFrame:
     """Does the reference asset's finding hold elsewhere: direction, pooled test, conditional test?
 
-    ``facts`` is one row per asset with qlike_model, qlike_benchmark, dm_p, gw_p. One reference row is broadcast.
+    ``facts`` is one row per asset with qlike_model, qlike_benchmark, dm_p, gw_p. The reference is one row, reached by its key.
     """
     names = ("qlike_model", "qlike_benchmark", "dm_p", "gw_p")
     ok = F.lit(True)
     for n in names:
         ok = ok & F.col(n).isNotNull() & ~F.isnan(n)
     flags = facts.select("asset", ok.alias("ok"), (F.col("qlike_model") < F.col("qlike_benchmark")).alias("ahead"), (F.col("dm_p") < level).alias("dm"), (F.col("gw_p") < level).alias("gw"))
-    ref = flags.where(F.col("asset") == reference).select(F.col("ok").alias("r_ok"), F.col("ahead").alias("r_ahead"), F.col("dm").alias("r_dm"), F.col("gw").alias("r_gw"))
-    j = flags.where(F.col("asset") != reference).join(F.broadcast(ref), how="left")
+    ref = flags.where(F.col("asset") == reference).select(F.col("asset").alias("reference_asset"), F.col("ok").alias("r_ok"), F.col("ahead").alias("r_ahead"), F.col("dm").alias("r_dm"), F.col("gw").alias("r_gw"))
+    j = flags.where(F.col("asset") != reference).withColumn("reference_asset", F.lit(reference)).join(ref, "reference_asset", "left")
     known = F.coalesce(F.col("ok") & F.col("r_ok"), F.lit(False))
     sign, dm, gw = (F.col(c) == F.col(f"r_{c}") for c in ("ahead", "dm", "gw"))
     verdict = F.when(~known, "indeterminate").when(sign & dm & gw, "replicates").when(sign & gw, "replicates conditionally").when(sign, "direction only").otherwise("does not replicate")
     shown = lambda c: F.when(known, c)
-    return j.select("asset", F.lit(reference).alias("reference_asset"), verdict.alias("verdict"), shown(sign).alias("sign_agrees"), shown(dm).alias("pooled_agrees"), shown(gw).alias("conditional_agrees"))
+    return j.select("asset", "reference_asset", verdict.alias("verdict"), shown(sign).alias("sign_agrees"), shown(dm).alias("pooled_agrees"), shown(gw).alias("conditional_agrees"))

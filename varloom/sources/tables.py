@@ -65,13 +65,13 @@ def second_calendar(spark: SparkSession, sf_dir: str) -> DataFrame:
 def asset_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Asset dimension: one row per asset seen in the trades, with session and eligibility flags."""
     region = read_table(spark, sf_dir, "region")
-    keyed = read_table(spark, sf_dir, "nation").join(region, F.col("n_regionkey") == F.col("r_regionkey"))
-    first = keyed.groupBy().agg(F.min_by("r_name", "n_nationkey").alias("home"))
+    homes = read_table(spark, sf_dir, "nation").join(region, F.col("n_regionkey") == F.col("r_regionkey"))
+    homes = homes.select(F.col("n_nationkey").cast("int").alias("_home"), F.col("r_name").alias("session"))
     assets = read_table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("asset")).distinct()
-    return assets.crossJoin(F.broadcast(first)).select(
+    return assets.withColumn("_home", F.ascii("asset") % 25).join(homes, "_home", "left").select(
         "asset",
         F.concat(F.lit("^"), F.col("asset")).alias("symbol"),
         F.concat(F.lit("."), F.lower("asset")).alias("measure_symbol"),
-        F.col("home").alias("session"),
+        "session",
         (F.col("asset") != "N").alias("vix_feature"),
     )
