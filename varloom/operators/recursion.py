@@ -93,7 +93,7 @@ def jump_path(losses: Column, penalty: Column) -> Column:
             lambda j1: let(
                 F.coalesce(F.array_min(F.filter(v, lambda _, i: i != j1)), m1),
                 lambda m2: F.struct(m1.alias("m1"), j1.alias("j1"), m2.alias("m2"), F.coalesce(
-                    F.element_at(F.filter(F.transform(v, lambda x, i: F.when((i != j1) & (x == m2), i)), lambda i: i.isNotNull()), 1), j1
+                    F.get(F.filter(F.transform(v, lambda x, i: F.when((i != j1) & (x == m2), i)), lambda i: i.isNotNull()), 0), j1
                 ).alias("j2")),
             ),
         ))
