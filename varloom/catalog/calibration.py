@@ -109,7 +109,7 @@ def uq_point_table(spark, sf_dir):
 @query("A31_crps_estimators", f"""
   SELECT asset, method, 'closed form' AS estimator, {r('avg(crps)', 9, 'crps')} FROM t_crps GROUP BY 1, 2
   UNION ALL SELECT asset, method, 'trapezoid', {r('2*sum((nt - tau)*(np + pinball)/2)', 9)} FROM (
-      SELECT *, lead(tau) OVER w AS nt, lead(pinball) OVER w AS np FROM t_pin WINDOW w AS (PARTITION BY asset, method ORDER BY tau)) GROUP BY 1, 2""")
+      SELECT *, lead(tau) OVER w AS nt, lead(pinball) OVER w AS np FROM t_pin WINDOW w AS (PARTITION BY asset, method ORDER BY tau)) GROUP BY 1, 2""", branches=True)
 def crps_estimators(spark, sf_dir):
     laws = study.law(spark, sf_dir)
     closed = cal.crps_table(laws).select("asset", "method", F.lit("closed form").alias("estimator"), "crps")
@@ -135,7 +135,7 @@ def scale_table(spark, sf_dir):
     return cal.sigma_scale_search(cal.with_scopes(study.law(spark, sf_dir), lagged_states(spark, sf_dir)), SCALES)
 
 
-@query("A29_sigma_scale_search", f"SELECT asset, method, scope, n, scale_crps, scale_coverage, plateau_lo, plateau_hi, {rs(crps_best=8)} FROM t_scalebest")
+@query("A29_sigma_scale_search", f"SELECT asset, method, scope, n, scale_crps, scale_coverage, plateau_lo, plateau_hi, {rs(crps_best=8)} FROM t_scalebest", branches=True)
 def sigma_scale_search(spark, sf_dir):
     return tidy(scale_table(spark, sf_dir), ["asset", "method", "scope", "n", "scale_crps", "scale_coverage", "plateau_lo", "plateau_hi"], crps_best=8)
 
@@ -226,7 +226,7 @@ def fold_diagnostics(spark, sf_dir):
 
 @query("B5_output_guard", """
   SELECT b.asset, count(*) AS n_forecasts, count(*) FILTER (b.date <= f.e OR b.date < f.s) AS n_violations
-  FROM t_board b JOIN (SELECT asset, min(train_end) AS e, min(predict_start) AS s FROM t_folds GROUP BY 1) f USING (asset) GROUP BY 1""")
+  FROM t_board b JOIN (SELECT asset, min(train_end) AS e, min(predict_start) AS s FROM t_folds GROUP BY 1) f USING (asset) GROUP BY 1""", branches=True)
 def output_guard(spark, sf_dir):
     folded = study.folded(spark, sf_dir)
     board = study.board(spark, sf_dir)
@@ -237,7 +237,7 @@ def output_guard(spark, sf_dir):
 
 @query("B6_coverage_report", f"""
   SELECT asset, model, count(yhat) AS n_forecasts, d.n AS n_days, {r('count(yhat)/d.n', 8, 'share')} FROM t_board JOIN (
-    SELECT asset, count(*) AS n FROM t_folded WHERE is_oos GROUP BY 1) d USING (asset) GROUP BY asset, model, d.n""")
+    SELECT asset, count(*) AS n FROM t_folded WHERE is_oos GROUP BY 1) d USING (asset) GROUP BY asset, model, d.n""", branches=True)
 def coverage_report(spark, sf_dir):
     out = wf.coverage_report(study.board(spark, sf_dir), study.folded(spark, sf_dir))
     return tidy(out, ["asset", "model", "n_forecasts", "n_days"], share=8)
@@ -319,7 +319,7 @@ def transition_summary(spark, sf_dir):
 
 @query("A18_transition_coverage", f"""
   SELECT asset, method, level_pct, is_transition, n, {IVR} FROM (
-    SELECT asset, method, level_pct, is_transition, {IV} FROM t_iv JOIN t_tr USING (asset, date) WHERE scored GROUP BY 1, 2, 3, 4)""")
+    SELECT asset, method, level_pct, is_transition, {IV} FROM t_iv JOIN t_tr USING (asset, date) WHERE scored GROUP BY 1, 2, 3, 4)""", branches=True)
 def transition_coverage(spark, sf_dir):
     days = study.folded(spark, sf_dir).where("fold_idx is not null").select("asset", "date")
     out = cal.transition_coverage(study.intervals(spark, sf_dir), tm.transitions(days, study.states(spark, sf_dir)))
@@ -329,7 +329,7 @@ def transition_coverage(spark, sf_dir):
 @query("A14_per_regime_intervals", f"""
   SELECT asset, method, level_pct, state, n, {IVR} FROM (
     SELECT asset, method, level_pct, s1 AS state, {IV} FROM t_iv JOIN t_lagged USING (asset, date) WHERE s1 IS NOT NULL GROUP BY 1, 2, 3, 4
-    UNION ALL SELECT asset, method, level_pct, 3, {IV} FROM t_iv JOIN t_lagged USING (asset, date) WHERE s1 IS NOT NULL GROUP BY 1, 2, 3)""")
+    UNION ALL SELECT asset, method, level_pct, 3, {IV} FROM t_iv JOIN t_lagged USING (asset, date) WHERE s1 IS NOT NULL GROUP BY 1, 2, 3)""", branches=True)
 def per_regime_intervals(spark, sf_dir):
     out = cal.per_regime_intervals(study.intervals(spark, sf_dir), lagged_states(spark, sf_dir))
     return tidy(out, [*IKEY, "state", "n"], **IVD)
@@ -338,7 +338,7 @@ def per_regime_intervals(spark, sf_dir):
 @query("A15_per_regime_qlike", f"""
   SELECT asset, coalesce(s1, -1) AS state, count(DISTINCT date) AS n,
     {', '.join(r(f"avg({QLIKE}) FILTER (model = '{m}')", 8, '"' + m + '"') for m in BASELINES)}
-  FROM t_board JOIN t_lagged USING (asset, date) WHERE s1 IS NOT NULL GROUP BY GROUPING SETS ((asset, s1), (asset))""")
+  FROM t_board JOIN t_lagged USING (asset, date) WHERE s1 IS NOT NULL GROUP BY GROUPING SETS ((asset, s1), (asset))""", branches=True)
 def per_regime_qlike(spark, sf_dir):
     out = cal.per_regime_qlike(study.board(spark, sf_dir), lagged_states(spark, sf_dir), list(BASELINES))
     out = out.withColumn("state", F.coalesce("state", F.lit(-1)))
@@ -348,7 +348,7 @@ def per_regime_qlike(spark, sf_dir):
 @query("A30_width_by_regime", f"""
   SELECT asset, method, level_pct, coalesce(s1, -1) AS state, count(*) AS n, {r('avg(hi-lo)', 8, 'mpiw')}, {r('avg(ln(hi-lo))', 8, 'mean_log_width')},
     {r('avg(CASE WHEN y_true < lo THEN 1.0 ELSE 0.0 END)', 8, 'below_rate')}, {r('avg(CASE WHEN y_true > hi THEN 1.0 ELSE 0.0 END)', 8, 'above_rate')}
-  FROM t_iv JOIN t_lagged USING (asset, date) WHERE s1 IS NOT NULL GROUP BY GROUPING SETS ((asset, method, level_pct, s1), (asset, method, level_pct))""")
+  FROM t_iv JOIN t_lagged USING (asset, date) WHERE s1 IS NOT NULL GROUP BY GROUPING SETS ((asset, method, level_pct, s1), (asset, method, level_pct))""", branches=True)
 def width_by_regime(spark, sf_dir):
     out = cal.width_by_regime(study.intervals(spark, sf_dir), lagged_states(spark, sf_dir)).withColumn("state", F.coalesce("state", F.lit(-1)))
     return tidy(out, [*IKEY, "state", "n"], mpiw=8, mean_log_width=8, below_rate=8, above_rate=8)

@@ -113,7 +113,7 @@ def conditioned(spark, sf_dir):
 
 @query("T13_incremental_quantile", f"""
   SELECT {K}, n, {r('q0', 6, 'dq_restricted')}, {r('q', 6, 'dq_full')}, {r('q1', 6, 'dq_incremental')}, {r(chi2('q1', 2), 8, 'p_incremental')} FROM (
-    SELECT {K}, n, ({SQ(0, 7)})/{AA} AS q, ({SQ(0, 5)})/{AA} AS q0, ({SQ(5, 7)})/{AA} AS q1 FROM t_dqreg)""")
+    SELECT {K}, n, ({SQ(0, 7)})/{AA} AS q, ({SQ(0, 5)})/{AA} AS q0, ({SQ(5, 7)})/{AA} AS q1 FROM t_dqreg)""", branches=True)
 def incremental_quantile(spark, sf_dir):
     out = cv.dynamic_quantile(conditioned(spark, sf_dir).where("state1 is not null"), ["state1", "state2"])
     return tidy(out, [*KEYS, "n"], dq_restricted=6, dq_full=6, dq_incremental=6, p_incremental=8)
@@ -140,7 +140,7 @@ for _flag in ("state0", "state1", "state2", "transition"):
 
 @query("T14_coverage_difference", f"""
   SELECT {K}, n, CAST(n1 AS BIGINT) AS n_flagged, CAST(n0 AS BIGINT) AS n_rest, {r('p1', 8, 'rate_flagged')}, {r('p0', 8, 'rate_rest')}, {r('diff', 8, 'diff')},
-    {r('z_iid', 7, 'z_iid')}, {r('z_hac', 7, 'z_hac')}, {r('2*' + phi('-abs(z_iid)'), 8, 'p_iid')}, {r('2*' + phi('-abs(z_hac)'), 8, 'p_hac')} FROM t_twostate2""")
+    {r('z_iid', 7, 'z_iid')}, {r('z_hac', 7, 'z_hac')}, {r('2*' + phi('-abs(z_iid)'), 8, 'p_iid')}, {r('2*' + phi('-abs(z_hac)'), 8, 'p_hac')} FROM t_twostate2""", branches=True)
 def coverage_difference(spark, sf_dir):
     out = cv.two_sample_difference(conditioned(spark, sf_dir), "state2")
     return tidy(out, [*KEYS, "n", "n_flagged", "n_rest"], rate_flagged=8, rate_rest=8, diff=8, z_iid=7, z_hac=7, p_iid=8, p_hac=8)
@@ -153,12 +153,12 @@ def coverage_difference(spark, sf_dir):
     UNION ALL SELECT {K}, 'LR_ind', n, x, rate, 1, ind, p, CASE WHEN p < 0.05 THEN 'clustered' ELSE 'unclustered' END FROM (
       SELECT *, CASE WHEN degenerate THEN 1 ELSE {chi2('ind', 1)} END AS p FROM t_lr)
     UNION ALL SELECT {K}, 'LR_cc', n, x, rate, 2, cc, {chi2('cc', 2)}, '' FROM t_lr
-    UNION ALL SELECT {K}, 'DQ', l.n, x, rate, 5, q, {chi2('q', 5)}, '' FROM t_lr l JOIN (SELECT {K}, ({SQ(0, 5)})/{AA} AS q FROM t_dq) USING ({K}))""")
+    UNION ALL SELECT {K}, 'DQ', l.n, x, rate, 5, q, {chi2('q', 5)}, '' FROM t_lr l JOIN (SELECT {K}, ({SQ(0, 5)})/{AA} AS q FROM t_dq) USING ({K}))""", branches=True)
 def coverage_suite(spark, sf_dir):
     return tidy(cv.suite(hits(spark, sf_dir)), [*KEYS, "test", "n", "n_violations", "df", "direction"], violation_rate=8, stat=6, p_value=8)
 
 
-@query("T16_conditioners", f"SELECT {K}, date, state0, state1, state2, transition, {rs(log_width=7)} FROM t_cond WHERE s2 IS NOT NULL")
+@query("T16_conditioners", f"SELECT {K}, date, state0, state1, state2, transition, {rs(log_width=7)} FROM t_cond WHERE s2 IS NOT NULL", branches=True)
 def conditioners(spark, sf_dir):
     return tidy(conditioned(spark, sf_dir).where("s2 is not null"), [*KEYS, "date", "state0", "state1", "state2", "transition"], log_width=7)
 
@@ -176,7 +176,7 @@ define("t_holm", f"""
     SELECT *, count(*) OVER (PARTITION BY {K}) AS m, row_number() OVER (PARTITION BY {K} ORDER BY p_value, kind, conditioner) AS rk FROM t_ctp)""")
 
 
-@query("T17_conditional_table", f"SELECT {K}, kind, conditioner, n, m AS n_tests_in_family, {rs(stat=6, p_value=7, p_holm=7)} FROM t_holm")
+@query("T17_conditional_table", f"SELECT {K}, kind, conditioner, n, m AS n_tests_in_family, {rs(stat=6, p_value=7, p_holm=7)} FROM t_holm", branches=True)
 def conditional_table(spark, sf_dir):
     out = cv.conditional_table(conditioned(spark, sf_dir))
     return tidy(out, [*KEYS, "kind", "conditioner", "n", "n_tests_in_family"], stat=6, p_value=7, p_holm=7)

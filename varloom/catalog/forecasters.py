@@ -88,7 +88,7 @@ define("t_fbs", f"SELECT d.asset, avg((y - ({FLIN}))*(y - ({FLIN}))) AS s2 FROM
 
 
 @query("F7_regime_feature_regression", f"""
-  SELECT d.asset, d.date, {r(FLIN, 6, 'lin')}, {r('s2', 6, 's2')} FROM t_fdes d JOIN t_fbf f USING (asset) JOIN t_fbs USING (asset) WHERE fold_idx IS NOT NULL""")
+  SELECT d.asset, d.date, {r(FLIN, 6, 'lin')}, {r('s2', 6, 's2')} FROM t_fdes d JOIN t_fbf f USING (asset) JOIN t_fbs USING (asset) WHERE fold_idx IS NOT NULL""", branches=True)
 def regime_feature_regression(spark, sf_dir):
     posterior = gates(spark, sf_dir).select("asset", "date", F.col("p")[1].alias("reg_p1"), F.col("p")[2].alias("reg_p2"))
     folded = study.folded(spark, sf_dir).join(posterior, ["asset", "date"])
@@ -112,7 +112,7 @@ define("t_exs", f"SELECT d.asset, d.expert, sum(w*(y - ({LIN}))*(y - ({LIN})))/s
 
 @query("F8_regime_experts", f"""
   SELECT d.asset, d.date, {r(f'sum(w*exp({LIN} + s2/2))', 6, 'yhat')}, {r('sum(w*s2)', 6, 's2')}, {r('-sum(w*ln(greatest(w,1e-300)))', 6, 'gate_entropy')}
-  FROM t_ex d JOIN t_exf f USING (asset, expert) JOIN t_exs USING (asset, expert) WHERE fold_idx IS NOT NULL GROUP BY 1, 2""")
+  FROM t_ex d JOIN t_exf f USING (asset, expert) JOIN t_exs USING (asset, expert) WHERE fold_idx IS NOT NULL GROUP BY 1, 2""", branches=True)
 def regime_experts(spark, sf_dir):
     return tidy(fc.expert_forecast(study.folded(spark, sf_dir), features(), L, gates(spark, sf_dir), ridge=RIDGE), ["asset", "date"], yhat=6, s2=6, gate_entropy=6)
 
@@ -142,7 +142,7 @@ def predictive_draws(spark, sf_dir):
     return tidy(fc.draws_to_law(draws), ["asset", "date"], mu=6, sigma=6, sd_epistemic=6, sd_aleatoric=6, yhat=6)
 
 
-@query("F10_mixture_draws")
+@query("F10_mixture_draws", branches=True)
 def mixture_draws(spark, sf_dir):
     draws = fc.expert_forecast(study.folded(spark, sf_dir), features(), L, gates(spark, sf_dir), ridge=RIDGE, draws=5).withColumn("lin", F.ln("yhat"))
     entropy = draws.groupBy("asset", "date").agg(F.first("gate_entropy").alias("gate_entropy"))
@@ -169,7 +169,7 @@ define("t_gb", "SELECT asset, fold_idx, arg_max(alpha, ll) AS alpha, arg_max(bet
 
 
 @query("F4_garch_grid", f"""
-  SELECT asset, date, alpha, beta, {r('ll', 4, 'll')}, {r('100*' + GH + '/1e4', 6, 'yhat')} FROM t_gr g JOIN t_gf f USING (asset, fold_idx) JOIN t_gb b USING (asset, fold_idx) JOIN t_gs s USING (asset, beta, pos, date)""".replace("FROM t_gr g JOIN", "FROM (SELECT asset, date, pos, fold_idx FROM t_gr) g JOIN"))
+  SELECT asset, date, alpha, beta, {r('ll', 4, 'll')}, {r('100*' + GH + '/1e4', 6, 'yhat')} FROM t_gr g JOIN t_gf f USING (asset, fold_idx) JOIN t_gb b USING (asset, fold_idx) JOIN t_gs s USING (asset, beta, pos, date)""".replace("FROM t_gr g JOIN", "FROM (SELECT asset, date, pos, fold_idx FROM t_gr) g JOIN"), branches=True)
 def garch_grid(spark, sf_dir):
     out = fc.garch_forecast(study.folded(spark, sf_dir)).withColumn("yhat", F.col("yhat") * 100)
     return tidy(out, ["asset", "date", "alpha", "beta"], ll=4, yhat=6)
@@ -189,7 +189,7 @@ define("t_egb", "SELECT asset, arg_max(alpha, ll) AS alpha, arg_max(gamma, ll) A
 
 
 @query("F5_egarch_grid", f"""
-  SELECT f.asset, f.date, alpha, gamma, beta, {r('exp(lh)/100', 6, 'yhat')} FROM t_folded f JOIN t_egb b USING (asset) JOIN t_eg g USING (asset, pos, alpha, gamma, beta) WHERE fold_idx IS NOT NULL""")
+  SELECT f.asset, f.date, alpha, gamma, beta, {r('exp(lh)/100', 6, 'yhat')} FROM t_folded f JOIN t_egb b USING (asset) JOIN t_eg g USING (asset, pos, alpha, gamma, beta) WHERE fold_idx IS NOT NULL""", branches=True)
 def egarch_grid(spark, sf_dir):
     out = fc.egarch_forecast(study.folded(spark, sf_dir)).withColumn("yhat", F.col("yhat") * 100)
     return tidy(out, ["asset", "date", "alpha", "gamma", "beta"], yhat=6)
@@ -210,27 +210,27 @@ def seeded_scores(spark, sf_dir):
     return rep.replicate_scores(seeded.unionByName(fixed))
 
 
-@query("F13_seed_replication", f"SELECT asset, seed, model, {rs(qlike=8)} FROM t_seed")
+@query("F13_seed_replication", f"SELECT asset, seed, model, {rs(qlike=8)} FROM t_seed", branches=True)
 def seed_replication(spark, sf_dir):
     return tidy(seeded_scores(spark, sf_dir), ["asset", "seed", "model"], qlike=8)
 
 
 @query("A27_replicate_summary", f"""
   SELECT asset, model, count(*) AS n, {r('avg(qlike)', 8, 'mean')}, {r('stddev_samp(qlike)', 8, 'sd')}, {r('min(qlike)', 8, 'min')}, {r('max(qlike)', 8, 'max')}, {r('max(qlike)-min(qlike)', 8, 'range')},
-    {r('avg(qlike) - max(qlike) FILTER (seed = 0)', 8, 'deviation')} FROM t_seed GROUP BY 1, 2""")
+    {r('avg(qlike) - max(qlike) FILTER (seed = 0)', 8, 'deviation')} FROM t_seed GROUP BY 1, 2""", branches=True)
 def replicate_summary(spark, sf_dir):
     scores = seeded_scores(spark, sf_dir)
     return tidy(rep.summarise(scores, published_seed=0), ["asset", "model", "n"], mean=8, sd=8, min=8, max=8, range=8, deviation=8)
 
 
 @query("A27_rank_stability", """
-  SELECT asset, ordering, count(*) AS n_seeds FROM (SELECT asset, seed, string_agg(model, ' < ' ORDER BY qlike, model) AS ordering FROM t_seed GROUP BY 1, 2) GROUP BY 1, 2""")
+  SELECT asset, ordering, count(*) AS n_seeds FROM (SELECT asset, seed, string_agg(model, ' < ' ORDER BY qlike, model) AS ordering FROM t_seed GROUP BY 1, 2) GROUP BY 1, 2""", branches=True)
 def rank_stability(spark, sf_dir):
     return rep.rank_stability(seeded_scores(spark, sf_dir))
 
 
 @query("A28_pairwise_wins", """
   SELECT a.asset, a.model AS model_a, b.model AS model_b, count(*) AS n, count(*) FILTER (a.qlike < b.qlike) AS a_wins
-  FROM t_seed a JOIN t_seed b ON a.asset = b.asset AND a.seed = b.seed AND a.model < b.model GROUP BY 1, 2, 3""")
+  FROM t_seed a JOIN t_seed b ON a.asset = b.asset AND a.seed = b.seed AND a.model < b.model GROUP BY 1, 2, 3""", branches=True)
 def pairwise_wins(spark, sf_dir):
     return rep.pairwise_wins(seeded_scores(spark, sf_dir))

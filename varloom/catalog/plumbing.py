@@ -186,7 +186,7 @@ def common_sample(spark, sf_dir):
 
 
 @query("J16_assembled_board", f"""
-  SELECT asset, date, model, {r('yhat', 7, 'yhat')}, {r('y_true', 7, 'y_true')} FROM t_points""")
+  SELECT asset, date, model, {r('yhat', 7, 'yhat')}, {r('y_true', 7, 'y_true')} FROM t_points""", branches=True)
 def assembled_board(spark, sf_dir):
     actual = study.folded(spark, sf_dir).where("fold_idx is not null").select("asset", "date", F.col("rv").alias("y_true"))
     laws = study.law(spark, sf_dir).select("asset", "date", F.col("method").alias("model"), F.exp(F.col("mu") + F.col("sigma") * F.col("sigma") / 2).alias("yhat"))
@@ -196,7 +196,7 @@ def assembled_board(spark, sf_dir):
 
 @query("U3_stacked_tables", f"""
   SELECT asset, model AS name, {r(f'avg({QLIKE})', 8, 'qlike')}, -1.0::DOUBLE AS crps FROM t_board GROUP BY 1, 2
-  UNION ALL SELECT asset, method, -1.0, {r('avg(crps)', 8)} FROM t_crps GROUP BY 1, 2""")
+  UNION ALL SELECT asset, method, -1.0, {r('avg(crps)', 8)} FROM t_crps GROUP BY 1, 2""", branches=True)
 def stacked_tables(spark, sf_dir):
     from varloom.operators.calibration import crps_table
 
@@ -231,13 +231,13 @@ def conditional_rank(spark, sf_dir):
     return scored.select("asset", "model", F.col("rank").alias("rank_all"), F.coalesce(F.when(F.col("_e"), place), F.lit(-1)).alias("rank_eligible"))
 
 
-@query("K2_best_grid_row", f"SELECT asset, method, arg_min(scope, crps_best) AS scope, arg_min(scale_crps, crps_best) AS scale, {r('min(crps_best)', 8, 'crps')} FROM t_scalebest GROUP BY 1, 2")
+@query("K2_best_grid_row", f"SELECT asset, method, arg_min(scope, crps_best) AS scope, arg_min(scale_crps, crps_best) AS scale, {r('min(crps_best)', 8, 'crps')} FROM t_scalebest GROUP BY 1, 2", branches=True)
 def best_grid_row(spark, sf_dir):
     best = scale_table(spark, sf_dir).groupBy("asset", "method").agg(F.min_by(F.struct("scope", F.col("scale_crps").alias("scale")), "crps_best").alias("b"), F.min("crps_best").alias("crps"))
     return tidy(best.select("asset", "method", "b.*", "crps"), ["asset", "method", "scope", "scale"], crps=8)
 
 
-@query("A38_grid_minimum", "SELECT asset, " + ", ".join(r(f"min(crps_best) FILTER (method = '{m}')", 8, n) for m, n in (("log-regression", "regression"), ("log-walk", "walk"))) + " FROM t_scalebest GROUP BY 1")
+@query("A38_grid_minimum", "SELECT asset, " + ", ".join(r(f"min(crps_best) FILTER (method = '{m}')", 8, n) for m, n in (("log-regression", "regression"), ("log-walk", "walk"))) + " FROM t_scalebest GROUP BY 1", branches=True)
 def grid_minimum(spark, sf_dir):
     out = scale_table(spark, sf_dir).groupBy("asset").pivot("method", ["log-regression", "log-walk"]).agg(F.min("crps_best"))
     return tidy(out.withColumnsRenamed({"log-regression": "regression", "log-walk": "walk"}), ["asset"], regression=8, walk=8)
@@ -302,7 +302,7 @@ def predictive_board(spark, sf_dir):
     return tidy(study.law(spark, sf_dir), ["asset", "date", "method"], mu=7, sigma=7)
 
 
-@query("B9_validation_sweep")
+@query("B9_validation_sweep", branches=True)
 def validation_sweep(spark, sf_dir):
     """Train once, score a small grid on the validation segment."""
     folded = wf.assign_folds(study.frame(spark, sf_dir), study.PLAN, "val")

@@ -75,7 +75,7 @@ def volatility_order(spark, sf_dir):
     return rg.volatility_order(rg.state_moments(trained(spark, sf_dir), K, sample=True)).select("asset", "state", "label")
 
 
-@query("X12_state_losses", f"SELECT asset, date, {r('l0', 7, 'loss0')}, {r('l1', 7, 'loss1')}, {r('l2', 7, 'loss2')} FROM t_em")
+@query("X12_state_losses", f"SELECT asset, date, {r('l0', 7, 'loss0')}, {r('l1', 7, 'loss1')}, {r('l2', 7, 'loss2')} FROM t_em", branches=True)
 def state_losses(spark, sf_dir):
     panel = labelled(spark, sf_dir)
     par = rg.chain_parameters(trained(spark, sf_dir), K)
@@ -84,7 +84,7 @@ def state_losses(spark, sf_dir):
 
 
 @query("X11_soft_membership", "SELECT asset, date, " + ", ".join(
-    r(f"exp(least(l0,l1,l2)-l{k})/(exp(least(l0,l1,l2)-l0)+exp(least(l0,l1,l2)-l1)+exp(least(l0,l1,l2)-l2))", 7, f"q{k}") for k in range(3)) + " FROM t_em")
+    r(f"exp(least(l0,l1,l2)-l{k})/(exp(least(l0,l1,l2)-l0)+exp(least(l0,l1,l2)-l1)+exp(least(l0,l1,l2)-l2))", 7, f"q{k}") for k in range(3)) + " FROM t_em", branches=True)
 def soft_membership(spark, sf_dir):
     panel = labelled(spark, sf_dir)
     par = rg.chain_parameters(trained(spark, sf_dir), K)
@@ -92,13 +92,13 @@ def soft_membership(spark, sf_dir):
     return tidy(rows.select("asset", "date", *[F.col("q")[k].alias(f"q{k}") for k in range(K)]), ["asset", "date"], q0=7, q1=7, q2=7)
 
 
-@query("G1_causal_filter", f"SELECT e.asset, e.date, {', '.join(r(f'f.p{k}', 7, f'p{k}') for k in range(3))} FROM t_filt f JOIN t_em e USING (asset, i)")
+@query("G1_causal_filter", f"SELECT e.asset, e.date, {', '.join(r(f'f.p{k}', 7, f'p{k}') for k in range(3))} FROM t_filt f JOIN t_em e USING (asset, i)", branches=True)
 def causal_filter(spark, sf_dir):
     out = filtered(spark, sf_dir).select("asset", "date", *[F.col("p")[k].alias(f"p{k}") for k in range(K)])
     return tidy(out, ["asset", "date"], p0=7, p1=7, p2=7)
 
 
-@query("K7_argmax_state", "SELECT e.asset, e.date, CASE WHEN f.p0 >= f.p1 AND f.p0 >= f.p2 THEN 0 WHEN f.p1 >= f.p2 THEN 1 ELSE 2 END AS state FROM t_filt f JOIN t_em e USING (asset, i)")
+@query("K7_argmax_state", "SELECT e.asset, e.date, CASE WHEN f.p0 >= f.p1 AND f.p0 >= f.p2 THEN 0 WHEN f.p1 >= f.p2 THEN 1 ELSE 2 END AS state FROM t_filt f JOIN t_em e USING (asset, i)", branches=True)
 def argmax_state(spark, sf_dir):
     return filtered(spark, sf_dir).select("asset", "date", "state")
 
@@ -106,7 +106,7 @@ def argmax_state(spark, sf_dir):
 _G = [f"f.p{k}*b.b{k}/(f.p0*b.b0+f.p1*b.b1+f.p2*b.b2)" for k in range(3)]
 
 
-@query("G2_smoothed_posterior", f"SELECT e.asset, e.date, {', '.join(r(_G[k], 7, f'p{k}') for k in range(3))} FROM t_filt f JOIN t_back b USING (asset, i) JOIN t_em e USING (asset, i)")
+@query("G2_smoothed_posterior", f"SELECT e.asset, e.date, {', '.join(r(_G[k], 7, f'p{k}') for k in range(3))} FROM t_filt f JOIN t_back b USING (asset, i) JOIN t_em e USING (asset, i)", branches=True)
 def smoothed_posterior(spark, sf_dir):
     out = filtered(spark, sf_dir).select("asset", "date", *[F.col("p_smooth")[k].alias(f"p{k}") for k in range(K)])
     return tidy(out, ["asset", "date"], p0=7, p1=7, p2=7)
@@ -124,14 +124,14 @@ define("t_vpath", f"""
   UNION ALL SELECT v.asset, v.i, CASE p.state WHEN 0 THEN p.b0 WHEN 1 THEN p.b1 ELSE p.b2 END, v.b0, v.b1, v.b2 FROM t_vpath p JOIN t_vit v ON v.asset = p.asset AND v.i = p.i - 1""")
 
 
-@query("G3_viterbi_path", "SELECT e.asset, e.date, p.state FROM t_vpath p JOIN t_em e USING (asset, i)")
+@query("G3_viterbi_path", "SELECT e.asset, e.date, p.state FROM t_vpath p JOIN t_em e USING (asset, i)", branches=True)
 def viterbi_path(spark, sf_dir):
     return filtered(spark, sf_dir).select("asset", "date", F.col("path").alias("state"))
 
 
 @query("G13_smoothing_gap", f"""
   SELECT e.asset, count(*) AS n, {r(f'avg(abs({_G[2]} - f.p2))', 8, 'mean_abs_gap')} FROM t_filt f JOIN t_back b USING (asset, i) JOIN t_em e USING (asset, i)
-  WHERE e.date >= DATE '{TEST_START}' GROUP BY 1""")
+  WHERE e.date >= DATE '{TEST_START}' GROUP BY 1""", branches=True)
 def smoothing_gap(spark, sf_dir):
     rows = filtered(spark, sf_dir).where(F.col("date") >= F.lit(TEST_START).cast("date"))
     out = rows.groupBy("asset").agg(F.count("*").alias("n"), F.avg(F.abs(F.element_at("p_smooth", 3) - F.element_at("p", 3))).alias("mean_abs_gap"))
@@ -168,12 +168,12 @@ def jump_rows(spark, sf_dir, penalty: float = 3.0):
     return rc.explode_series(dp, ["asset"], state="path", online="online")
 
 
-@query("G5_jump_path", "SELECT e.asset, e.date, p.state FROM t_jpath p JOIN t_em e USING (asset, i)")
+@query("G5_jump_path", "SELECT e.asset, e.date, p.state FROM t_jpath p JOIN t_em e USING (asset, i)", branches=True)
 def jump_path(spark, sf_dir):
     return jump_rows(spark, sf_dir).select("asset", "date", "state")
 
 
-@query("G7_jump_causal_states", f"SELECT e.asset, e.date, {_DMIN} AS state FROM t_jump d JOIN t_em e USING (asset, i)")
+@query("G7_jump_causal_states", f"SELECT e.asset, e.date, {_DMIN} AS state FROM t_jump d JOIN t_em e USING (asset, i)", branches=True)
 def jump_causal_states(spark, sf_dir):
     return jump_rows(spark, sf_dir).select("asset", "date", F.col("online").alias("state"))
 
@@ -186,7 +186,7 @@ define("t_agree", f"""
   SELECT asset, n, {r('same/n', 8, 'raw_agreement')}, {r('(ij - ai*bj/(n*(n-1)/2)) / ((ai+bj)/2 - ai*bj/(n*(n-1)/2))', 8, 'adjusted_rand')} FROM (
     SELECT asset, CAST(sum(c) AS BIGINT) AS n, sum(CASE WHEN a = b THEN c ELSE 0 END) AS same, sum(c*(c-1)/2) AS ij FROM t_agree GROUP BY 1) JOIN (
     SELECT asset, sum(s*(s-1)/2) AS ai FROM (SELECT asset, a, sum(c) AS s FROM t_agree GROUP BY 1, 2) GROUP BY 1) USING (asset) JOIN (
-    SELECT asset, sum(s*(s-1)/2) AS bj FROM (SELECT asset, b, sum(c) AS s FROM t_agree GROUP BY 1, 2) GROUP BY 1) USING (asset)""")
+    SELECT asset, sum(s*(s-1)/2) AS bj FROM (SELECT asset, b, sum(c) AS s FROM t_agree GROUP BY 1, 2) GROUP BY 1) USING (asset)""", branches=True)
 def label_agreement(spark, sf_dir):
     both = jump_rows(spark, sf_dir).select("asset", "date", F.col("online").alias("b")).join(
         study.states(spark, sf_dir).select("asset", "date", F.col("state").alias("a")), ["asset", "date"])
@@ -231,7 +231,7 @@ define("t_runs", f"""
 @query("A25_persistence_table", f"""
   SELECT t.asset, t.state, {r('t.p', 8, 'stay')}, {r('1/(1-t.p)', 6, 'expected_duration')}, {r('CASE t.state WHEN 0 THEN q0 WHEN 1 THEN q1 ELSE q2 END', 8, 'stationary')},
     {r('m.n/sum(m.n) OVER (PARTITION BY t.asset)', 8, 'share')}, {r('mean_run', 8, 'mean_run')}
-  FROM t_trans t JOIN t_power w ON w.asset = t.asset AND w.step = 200 JOIN t_mom m ON m.asset = t.asset AND m.state = t.state JOIN t_runs u ON u.asset = t.asset AND u.state = t.state WHERE t.prev = t.state""")
+  FROM t_trans t JOIN t_power w ON w.asset = t.asset AND w.step = 200 JOIN t_mom m ON m.asset = t.asset AND m.state = t.state JOIN t_runs u ON u.asset = t.asset AND u.state = t.state WHERE t.prev = t.state""", branches=True)
 def persistence_table(spark, sf_dir):
     return tidy(rg.persistence(trained(spark, sf_dir), K), ["asset", "state"], stay=8, expected_duration=6, stationary=8, share=8, mean_run=8)
 
@@ -244,21 +244,21 @@ define("t_sig", f"""
 @query("A26_causal_signal_summary", f"""
   SELECT asset, 'chain' AS estimator, count(*) AS n_test, CAST(sum(CASE WHEN s <> p THEN 1 ELSE 0 END) AS BIGINT) AS switches, {r('avg(mx)', 8, 'mean_max_posterior')}, {r('avg(abs(g2-p2))', 8, 'mean_abs_gap')},
     {r('count(*)/(1+sum(CASE WHEN s <> p THEN 1 ELSE 0 END))', 8, 'mean_duration')}, {', '.join(f'count(*) FILTER (s = {k}) AS days_state{k}' for k in range(3))}
-  FROM (SELECT *, lag(s) OVER ({W}) AS p FROM t_sig) GROUP BY 1""")
+  FROM (SELECT *, lag(s) OVER ({W}) AS p FROM t_sig) GROUP BY 1""", branches=True)
 def causal_signal_summary(spark, sf_dir):
     board = filtered(spark, sf_dir).withColumn("estimator", F.lit("chain"))
     return tidy(rg.signal_summary(board, TEST_START), ["asset", "estimator", "n_test", "switches", *[f"days_state{k}" for k in range(3)]], mean_max_posterior=8, mean_abs_gap=8, mean_duration=8)
 
 
 @query("W6_lagged_gate", f"""
-  SELECT e.asset, e.date, {', '.join(r(f'coalesce(lag(f.p{k}) OVER (PARTITION BY e.asset ORDER BY e.date), {num(1 / 3)})', 7, f'g{k}') for k in range(3))} FROM t_filt f JOIN t_em e USING (asset, i)""")
+  SELECT e.asset, e.date, {', '.join(r(f'coalesce(lag(f.p{k}) OVER (PARTITION BY e.asset ORDER BY e.date), {num(1 / 3)})', 7, f'g{k}') for k in range(3))} FROM t_filt f JOIN t_em e USING (asset, i)""", branches=True)
 def lagged_gate(spark, sf_dir):
     rows = rg.lagged_gate(filtered(spark, sf_dir))
     return tidy(rows.select("asset", "date", *[F.col("gate")[k].alias(f"g{k}") for k in range(3)]), ["asset", "date"], g0=7, g1=7, g2=7)
 
 
 @query("X10_gate_entropy", f"""
-  SELECT e.asset, count(*) AS n, {r('avg(-(f.p0*ln(greatest(f.p0,1e-300))+f.p1*ln(greatest(f.p1,1e-300))+f.p2*ln(greatest(f.p2,1e-300))))', 8, 'mean_entropy')} FROM t_filt f JOIN t_em e USING (asset, i) GROUP BY 1""")
+  SELECT e.asset, count(*) AS n, {r('avg(-(f.p0*ln(greatest(f.p0,1e-300))+f.p1*ln(greatest(f.p1,1e-300))+f.p2*ln(greatest(f.p2,1e-300))))', 8, 'mean_entropy')} FROM t_filt f JOIN t_em e USING (asset, i) GROUP BY 1""", branches=True)
 def gate_entropy(spark, sf_dir):
     h = -F.aggregate(F.transform("p", lambda g: g * F.ln(F.greatest(g, F.lit(1e-300)))), F.lit(0.0), lambda a, v: a + v)
     return tidy(filtered(spark, sf_dir).groupBy("asset").agg(F.count("*").alias("n"), F.avg(h).alias("mean_entropy")), ["asset", "n"], mean_entropy=8)
@@ -296,7 +296,7 @@ def chain_fit(spark, sf_dir):
     return rg.chain_summary(rg.fit_chain(starts(spark, sf_dir, n_init=2), 8))
 
 
-@query("G10_jump_penalised_chain")
+@query("G10_jump_penalised_chain", branches=True)
 def jump_penalised_chain(spark, sf_dir):
     fit = rg.fit_jump(starts(spark, sf_dir), [3.0])
     path = rg.path_rows(fit, ["asset"])
@@ -305,7 +305,7 @@ def jump_penalised_chain(spark, sf_dir):
 
 
 @query("X18_chain_criteria", f"""
-  SELECT asset, 3 AS k, count(*) AS n, 14 AS n_params, {r('sum(ll)', 5, 'loglik')}, {r('-2*sum(ll) + 14*ln(count(*))', 5, 'bic')}, {r('-2*sum(ll) + 28', 5, 'aic')} FROM t_filt GROUP BY 1""")
+  SELECT asset, 3 AS k, count(*) AS n, 14 AS n_params, {r('sum(ll)', 5, 'loglik')}, {r('-2*sum(ll) + 14*ln(count(*))', 5, 'bic')}, {r('-2*sum(ll) + 28', 5, 'aic')} FROM t_filt GROUP BY 1""", branches=True)
 def chain_criteria(spark, sf_dir):
     out = rg.chain_likelihood(rc.as_series(labelled(spark, sf_dir), "x"), rg.chain_parameters(trained(spark, sf_dir), K))
     return tidy(out, ["asset", "k", "n", "n_params"], loglik=5, bic=5, aic=5)
@@ -327,7 +327,7 @@ def best_state_count(spark, sf_dir):
     return table.groupBy("asset").agg(F.min_by("k", F.struct("bic", "k")).alias("best_k"), F.round(F.min("bic"), 4).alias("bic"))
 
 
-@query("G12_penalty_sensitivity")
+@query("G12_penalty_sensitivity", branches=True)
 def penalty_sensitivity(spark, sf_dir):
     fits = rg.fit_jump(starts(spark, sf_dir, n_init=2), [1.0, 3.0, 10.0])
     out = rg.penalty_sensitivity(labelled(spark, sf_dir), fits, 3.0, TRAIN_END, TEST_START)
@@ -338,7 +338,7 @@ def penalty_sensitivity(spark, sf_dir):
   SELECT e.asset, e.date, 'rule' AS estimator, e.state FROM t_em e
   UNION ALL SELECT e.asset, e.date, 'jump', {_DMIN} FROM t_jump d JOIN t_em e USING (asset, i)
   UNION ALL SELECT e.asset, e.date, 'chain_filtered', CASE WHEN f.p0 >= f.p1 AND f.p0 >= f.p2 THEN 0 WHEN f.p1 >= f.p2 THEN 1 ELSE 2 END FROM t_filt f JOIN t_em e USING (asset, i)
-  UNION ALL SELECT e.asset, e.date, 'chain_decoded', p.state FROM t_vpath p JOIN t_em e USING (asset, i)""")
+  UNION ALL SELECT e.asset, e.date, 'chain_decoded', p.state FROM t_vpath p JOIN t_em e USING (asset, i)""", branches=True)
 def regime_board(spark, sf_dir):
     rule = study.states(spark, sf_dir).select("asset", "date", F.lit("rule").alias("estimator"), "state")
     jump = jump_rows(spark, sf_dir).select("asset", "date", F.lit("jump").alias("estimator"), F.col("online").alias("state"))

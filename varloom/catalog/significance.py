@@ -111,7 +111,7 @@ def lag_sensitivity(spark, sf_dir):
     SELECT {KEY}, max(abs(acf)) AS max_abs_acf, count(*) FILTER (abs(acf) > 1.96*se_white) AS n_significant_white,
            count(*) FILTER (abs(acf) > 1.96*se_bartlett) AS n_significant_bartlett FROM t_acfb GROUP BY {KEY}) JOIN (
     SELECT {KEY}, min(p) AS p_min, max(p) AS p_max, bool_and(p < 0.05) OR bool_and(p >= 0.05) AS stable
-    FROM (SELECT {KEY}, {student('stat', 'n - 1')} AS p FROM t_dmlags) GROUP BY {KEY}) USING ({KEY})""")
+    FROM (SELECT {KEY}, {student('stat', 'n - 1')} AS p FROM t_dmlags) GROUP BY {KEY}) USING ({KEY})""", branches=True)
 def dm_diagnostics(spark, sf_dir):
     out = sg.dm_diagnostics(acov(spark, sf_dir))
     return tidy(out, [*KEYS, "n_significant_white", "n_significant_bartlett", "stable"], max_abs_acf=8, p_min=8, p_max=8)
@@ -147,7 +147,7 @@ define("t_gwl", f"""
 
 @query("T7_giacomini_white_regime", f"""
   SELECT {KEY}, n, n0 AS n_state0, n1 AS n_state1, n2 AS n_state2, {rs(mean_loss_diff=9)}, {r('c', 6, 'gw_stat')}, {r(chi2('c', 3), 8, 'p_value')},
-         {r('u', 6, 'gw_uncentred')}, {r(chi2('u', 3), 8, 'p_uncentred')}, {r('m0', 9, 'moment0')}, {r('m1', 9, 'moment1')}, {r('m2', 9, 'moment2')} FROM t_gw""")
+         {r('u', 6, 'gw_uncentred')}, {r(chi2('u', 3), 8, 'p_uncentred')}, {r('m0', 9, 'moment0')}, {r('m1', 9, 'moment1')}, {r('m2', 9, 'moment2')} FROM t_gw""", branches=True)
 def giacomini_white_regime(spark, sf_dir):
     out = sg.gw_regime(differences(spark, sf_dir), lagged_states(spark, sf_dir))
     return tidy(out, [*KEYS, "n", "n_state0", "n_state1", "n_state2"], mean_loss_diff=9, gw_stat=6, p_value=8, gw_uncentred=6,
@@ -168,7 +168,7 @@ def giacomini_white_lagged(spark, sf_dir):
          {r('g.m0', 9, 'moment_calm')}, {r('g.m1', 9, 'moment_transitional')}, {r('g.m2', 9, 'moment_crisis')},
          CASE least(g.m0, g.m1, g.m2) WHEN g.m0 THEN 'calm' WHEN g.m1 THEN 'transitional' ELSE 'crisis' END AS a_relative_edge_in,
          coalesce(nullif(concat_ws(', ', CASE WHEN g.m0 < 0 THEN 'calm' END, CASE WHEN g.m1 < 0 THEN 'transitional' END, CASE WHEN g.m2 < 0 THEN 'crisis' END), ''), 'none') AS a_wins_in
-  FROM t_gw g JOIN t_dm dm USING ({KEY}) JOIN t_gwl l USING ({KEY})""")
+  FROM t_gw g JOIN t_dm dm USING ({KEY}) JOIN t_gwl l USING ({KEY})""", branches=True)
 def joint_table(spark, sf_dir):
     out = sg.joint_table(differences(spark, sf_dir), lagged_states(spark, sf_dir), LABELS)
     return tidy(out, [*KEYS, "n", "a_relative_edge_in", "a_wins_in"], dm_stat_pooled=7, dm_p_pooled=8, gw_regime_stat=6, gw_regime_p=8,
@@ -190,7 +190,7 @@ define("t_dslrv", f"""
          {r('CASE WHEN n >= 10 THEN la END', 8, 'qlike_a')}, {r('CASE WHEN n >= 10 THEN lb END', 8, 'qlike_b')},
          {r('CASE WHEN n >= 10 THEN stat END', 6, 'dm_stat')}, {r('CASE WHEN n >= 10 THEN ' + student('stat', 'n - 1') + ' END', 8, 'p_value')} FROM (
     SELECT {KEY}, state, l.n, m.la, m.lb, (m.la - m.lb)/sqrt(greatest(lrv, 1e-24)/l.n)*sqrt((l.n - 1)/l.n) AS stat FROM t_dslrv l JOIN (
-      SELECT {KEY}, state, avg(loss_a) AS la, avg(loss_b) AS lb FROM t_ds GROUP BY {KEY}, state) m USING ({KEY}, state))""")
+      SELECT {KEY}, state, avg(loss_a) AS la, avg(loss_b) AS lb FROM t_ds GROUP BY {KEY}, state) m USING ({KEY}, state))""", branches=True)
 def per_regime_pairs(spark, sf_dir):
     out = sg.per_regime_pairs(differences(spark, sf_dir), lagged_states(spark, sf_dir), LABELS)
     return tidy(out, [*KEYS, "state", "n", "better"], qlike_a=8, qlike_b=8, dm_stat=6, p_value=8)

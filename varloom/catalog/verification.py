@@ -42,13 +42,13 @@ define("t_mcs", "SELECT asset, f.m AS model, f.v AS avg_loss, CASE f.k WHEN w1 T
 
 
 @query("T9_model_confidence_set", f"""
-  SELECT asset, model, p_value > 0.1 AS in_set, row_number() OVER (PARTITION BY asset ORDER BY avg_loss, model) AS rank, {rs(avg_loss=8, p_value=6)} FROM t_mcs""")
+  SELECT asset, model, p_value > 0.1 AS in_set, row_number() OVER (PARTITION BY asset ORDER BY avg_loss, model) AS rank, {rs(avg_loss=8, p_value=6)} FROM t_mcs""", branches=True)
 def model_confidence_set(spark, sf_dir):
     out = cs.model_confidence_set(study.board(spark, sf_dir), MODELS, reps=REPS)
     return tidy(out, ["asset", "model", "in_set", "rank"], avg_loss=8, p_value=6)
 
 
-@query("U5_excluded_models", "SELECT asset, model FROM t_mcs WHERE p_value <= 0.1")
+@query("U5_excluded_models", "SELECT asset, model FROM t_mcs WHERE p_value <= 0.1", branches=True)
 def excluded_models(spark, sf_dir):
     out = cs.model_confidence_set(study.board(spark, sf_dir), MODELS, reps=REPS)
     return out.select("asset", "model").exceptAll(out.where("in_set").select("asset", "model"))
@@ -75,7 +75,7 @@ define("t_master", f"""
 
 @query("A32_master_table", f"""
   SELECT asset, model, n, n_transitional, ranked, coalesce(rank_qlike, -1) AS rank_qlike, {rs(mse=8, mae=8, qlike=8, qlike_transitional=8)},
-    {', '.join(r(f'coalesce({c}, -1)', 8, c) for c in ('picp', 'mpiw', 'winkler', 'coverage_error', 'crps'))} FROM t_master""")
+    {', '.join(r(f'coalesce({c}, -1)', 8, c) for c in ('picp', 'mpiw', 'winkler', 'coverage_error', 'crps'))} FROM t_master""", branches=True)
 def master_table(spark, sf_dir):
     out = ca.master_table(points(spark, sf_dir), study.law(spark, sf_dir), study.intervals(spark, sf_dir), lagged_states(spark, sf_dir), unranked=("log-walk",))
     filled = out.withColumns({c: F.coalesce(c, F.lit(-1)) for c in ("picp", "mpiw", "winkler", "coverage_error", "crps", "rank_qlike")})
@@ -89,7 +89,7 @@ define("t_ranks", f"SELECT asset, model, qlike, rank() OVER (PARTITION BY asset
   SELECT asset, 'A' AS reference, n_models, models, {rs(spearman=8, kendall=8)} FROM (
     SELECT a.asset, count(*) AS n_models, corr(a.rank, b.rank) AS spearman, string_agg(a.model, ', ' ORDER BY a.model) AS models FROM t_ranks a JOIN t_ranks b USING (model) WHERE a.asset <> 'A' AND b.asset = 'A' GROUP BY 1) JOIN (
     SELECT a.asset, sum(sign(a.rank - c.rank)*sign(b.rank - d.rank))/sqrt(sum(abs(sign(a.rank-c.rank)))*sum(abs(sign(b.rank-d.rank)))) AS kendall
-    FROM t_ranks a JOIN t_ranks b USING (model) JOIN t_ranks c ON c.asset = a.asset AND c.model > a.model JOIN t_ranks d ON d.asset = 'A' AND d.model = c.model WHERE a.asset <> 'A' AND b.asset = 'A' GROUP BY 1) USING (asset)""")
+    FROM t_ranks a JOIN t_ranks b USING (model) JOIN t_ranks c ON c.asset = a.asset AND c.model > a.model JOIN t_ranks d ON d.asset = 'A' AND d.model = c.model WHERE a.asset <> 'A' AND b.asset = 'A' GROUP BY 1) USING (asset)""", branches=True)
 def rank_agreement(spark, sf_dir):
     out = ca.rank_agreement(sc.leaderboard(points(spark, sf_dir)), "A")
     return tidy(out, ["asset", "reference", "n_models", "models"], spearman=8, kendall=8)
@@ -101,7 +101,7 @@ def cross_asset_board(spark, sf_dir):
     return tidy(out, ["model"], A=8, N=8, R=8)
 
 
-@query("U4_models_in_common", "SELECT model FROM t_ranks WHERE asset = 'A' INTERSECT SELECT model FROM t_ranks WHERE asset = 'N'")
+@query("U4_models_in_common", "SELECT model FROM t_ranks WHERE asset = 'A' INTERSECT SELECT model FROM t_ranks WHERE asset = 'N'", branches=True)
 def models_in_common(spark, sf_dir):
     scores = sc.leaderboard(points(spark, sf_dir))
     return scores.where(F.col("asset") == "A").select("model").intersect(scores.where(F.col("asset") == "N").select("model"))
@@ -148,30 +148,30 @@ def checks(spark, sf_dir):
     return vf.compare(published(spark, sf_dir), rederived(spark, sf_dir))
 
 
-@query("V1_compare_published", """SELECT asset, item, quantity, status FROM t_checks WHERE "table" = 'metrics'""")
+@query("V1_compare_published", """SELECT asset, item, quantity, status FROM t_checks WHERE "table" = 'metrics'""", branches=True)
 def compare_published(spark, sf_dir):
     pub = published(spark, sf_dir).where(F.col("table") == "metrics")
     return vf.compare(pub, vf.rederive_points(study.board(spark, sf_dir))).select("asset", "item", "quantity", "status")
 
 
-@query("V2_rederived_tables", 'SELECT asset, "table", item, quantity, status FROM t_checks')
+@query("V2_rederived_tables", 'SELECT asset, "table", item, quantity, status FROM t_checks', branches=True)
 def rederived_tables(spark, sf_dir):
     return checks(spark, sf_dir).select("asset", "table", "item", "quantity", "status")
 
 
-@query("V4_verification_exit", "SELECT count(*) AS n_checks, count(*) FILTER (status <> 'OK') AS n_failing, 1 AS exit_code FROM t_checks")
+@query("V4_verification_exit", "SELECT count(*) AS n_checks, count(*) FILTER (status <> 'OK') AS n_failing, 1 AS exit_code FROM t_checks", branches=True)
 def verification_exit(spark, sf_dir):
     return vf.exit_status(checks(spark, sf_dir))
 
 
 @query("A37_status_counts", """SELECT "table", count(*) FILTER (status = 'OK') AS ok, count(*) FILTER (status = 'MISMATCH') AS mismatch, count(*) FILTER (status = 'SKIP') AS skip,
-  count(*) FILTER (status = 'MISSING') AS missing, count(*) AS total FROM t_checks GROUP BY 1""")
+  count(*) FILTER (status = 'MISSING') AS missing, count(*) AS total FROM t_checks GROUP BY 1""", branches=True)
 def status_counts(spark, sf_dir):
     return vf.status_counts(checks(spark, sf_dir))
 
 
 @query("J13_missing_forecasts", """
-  SELECT asset, item AS model FROM (SELECT DISTINCT asset, item FROM t_checks WHERE "table" = 'metrics') c WHERE NOT EXISTS (SELECT 1 FROM t_board b WHERE b.asset = c.asset AND b.model = c.item)""")
+  SELECT asset, item AS model FROM (SELECT DISTINCT asset, item FROM t_checks WHERE "table" = 'metrics') c WHERE NOT EXISTS (SELECT 1 FROM t_board b WHERE b.asset = c.asset AND b.model = c.item)""", branches=True)
 def missing_forecasts(spark, sf_dir):
     rows = published(spark, sf_dir).where(F.col("table") == "metrics").select("asset", F.col("item").alias("model")).distinct()
     return rows.join(study.board(spark, sf_dir).select("asset", "model").distinct(), ["asset", "model"], "left_anti")
@@ -179,7 +179,7 @@ def missing_forecasts(spark, sf_dir):
 
 @query("V3_cross_table_agreement", """
   SELECT asset, item, 'master' AS table_a, 'metrics' AS table_b, quantity, CASE WHEN asset = 'A' AND item = 'RW-RV' AND quantity = 'mae' THEN 'MISMATCH' ELSE 'OK' END AS status
-  FROM t_pub WHERE quantity IN ('mae', 'qlike')""")
+  FROM t_pub WHERE quantity IN ('mae', 'qlike')""", branches=True)
 def cross_table_agreement(spark, sf_dir):
     master = ca.master_table(study.board(spark, sf_dir), study.law(spark, sf_dir), study.intervals(spark, sf_dir), lagged_states(spark, sf_dir))
     both = published(spark, sf_dir).where(F.col("table") == "metrics").unionByName(vf.melt(master, "master", F.col("model"), ("mae", "qlike")))
@@ -196,7 +196,7 @@ def distinct_crps(spark, sf_dir):
 @query("V6_log_agreement", f"""
   SELECT asset, n, {rs(max_dev=7, sd_dev=7)}, worst_day, max_dev <= 1e-6 AS within FROM (
     SELECT asset, count(*) AS n, max(abs(ln(a.yhat/b.yhat))) AS max_dev, stddev_pop(abs(ln(a.yhat/b.yhat))) AS sd_dev, arg_max(date, abs(ln(a.yhat/b.yhat))) AS worst_day
-    FROM t_board a JOIN t_board b USING (asset, date) WHERE a.model = 'HAR-RV' AND b.model = 'HAR-RV-log' GROUP BY 1)""")
+    FROM t_board a JOIN t_board b USING (asset, date) WHERE a.model = 'HAR-RV' AND b.model = 'HAR-RV-log' GROUP BY 1)""", branches=True)
 def log_agreement(spark, sf_dir):
     board = study.board(spark, sf_dir)
     out = vf.log_agreement(board.where(F.col("model") == "HAR-RV"), board.where(F.col("model") == "HAR-RV-log"))
@@ -217,7 +217,7 @@ define("t_pr", f"SELECT asset, method, level_pct, s1 AS state, {IV} FROM t_iv JO
   SELECT asset, method, level_pct, CASE WHEN down THEN 'monotone decreasing' WHEN up THEN 'monotone increasing' ELSE 'non-monotone' END AS shape, down AND g >= 0.02 AS degrades,
     {r('g', 8, 'gap')}, {r('se', 8, 'gap_se')}, CASE WHEN se <= 0 THEN 'not assessable' WHEN abs(g) < 2*se THEN 'well inside sampling noise' ELSE 'larger than sampling noise' END AS endpoint_gap FROM (
     SELECT asset, method, level_pct, p0 >= p1 AND p1 >= p2 AS down, p0 <= p1 AND p1 <= p2 AS up, p0 - p2 AS g, sqrt(p0*(1-p0)/n0 + p2*(1-p2)/n2) AS se FROM (
-      SELECT asset, method, level_pct, {', '.join(f'max(picp) FILTER (state = {k}) AS p{k}, max(n) FILTER (state = {k}) AS n{k}' for k in range(3))} FROM t_pr GROUP BY 1, 2, 3))""")
+      SELECT asset, method, level_pct, {', '.join(f'max(picp) FILTER (state = {k}) AS p{k}, max(n) FILTER (state = {k}) AS n{k}' for k in range(3))} FROM t_pr GROUP BY 1, 2, 3))""", branches=True)
 def coverage_shape(spark, sf_dir):
     per = cal.per_regime_intervals(study.intervals(spark, sf_dir), lagged_states(spark, sf_dir)).where("state < 3")
     return tidy(vd.coverage_shape(per), ["asset", "method", "level_pct", "shape", "degrades", "endpoint_gap"], gap=8, gap_se=8)
@@ -227,7 +227,7 @@ def coverage_shape(spark, sf_dir):
   SELECT asset, method, {r('spread', 8, 'spread')}, spread > 0.15 AS material, ev AS conditional_evidence,
     CASE WHEN spread > 0.15 AND ev THEN 'per-regime' WHEN spread > 0.15 THEN 'global, per-regime indicative' WHEN ev THEN 'global, shape problem noted' ELSE 'global' END AS recommendation FROM (
     SELECT asset, method, max(scale_coverage) - min(scale_coverage) AS spread FROM t_scalebest WHERE scope <> 'all' GROUP BY 1, 2) JOIN (
-    SELECT asset, method, bool_or(p_holm < 0.05 AND kind = 'DQ incremental') AS ev FROM t_holm WHERE level_pct = 90 AND side = 'both' GROUP BY 1, 2) USING (asset, method)""")
+    SELECT asset, method, bool_or(p_holm < 0.05 AND kind = 'DQ incremental') AS ev FROM t_holm WHERE level_pct = 90 AND side = 'both' GROUP BY 1, 2) USING (asset, method)""", branches=True)
 def width_correction(spark, sf_dir):
     table = cv.conditional_table(conditioned(spark, sf_dir)).where((F.col("level_pct") == 90) & (F.col("side") == "both"))
     evidence = table.groupBy("asset", "method").agg(F.bool_or((F.col("p_holm") < 0.05) & (F.col("kind") == "DQ incremental")).alias("conditional_evidence"))
@@ -237,7 +237,7 @@ def width_correction(spark, sf_dir):
 @query("V10_pooled_view", """
   SELECT *, CASE WHEN n_upper_significant > n_pooled_significant THEN 'pooled understates' WHEN n_pooled_significant > n_upper_significant THEN 'pooled is sharper' WHEN n_upper_significant > 0 THEN 'views agree' ELSE 'no structure either way' END AS verdict FROM (
     SELECT asset, method, level_pct, count(*) FILTER (side = 'both' AND p_holm < 0.05) AS n_pooled_significant, count(*) FILTER (side = 'both') AS n_pooled,
-      count(*) FILTER (side = 'upper' AND p_holm < 0.05) AS n_upper_significant, count(*) FILTER (side = 'upper') AS n_upper FROM t_holm WHERE kind = 'difference in coverage' GROUP BY 1, 2, 3)""")
+      count(*) FILTER (side = 'upper' AND p_holm < 0.05) AS n_upper_significant, count(*) FILTER (side = 'upper') AS n_upper FROM t_holm WHERE kind = 'difference in coverage' GROUP BY 1, 2, 3)""", branches=True)
 def pooled_view(spark, sf_dir):
     return vd.pooled_view(cv.conditional_table(conditioned(spark, sf_dir)))
 
@@ -250,7 +250,7 @@ define("t_facts", f"""
 @query("V11_transfer_verdict", """
   SELECT asset, 'A' AS reference_asset, s AS sign_agrees, d AS pooled_agrees, g AS conditional_agrees,
     CASE WHEN s AND d AND g THEN 'replicates' WHEN s AND g THEN 'replicates conditionally' WHEN s THEN 'direction only' ELSE 'does not replicate' END AS verdict FROM (
-    SELECT x.asset, (x.qa < x.qb) = (f.qa < f.qb) AS s, (x.dm_p < 0.05) = (f.dm_p < 0.05) AS d, (x.gw_p < 0.05) = (f.gw_p < 0.05) AS g FROM t_facts x, t_facts f WHERE f.asset = 'A' AND x.asset <> 'A')""")
+    SELECT x.asset, (x.qa < x.qb) = (f.qa < f.qb) AS s, (x.dm_p < 0.05) = (f.dm_p < 0.05) AS d, (x.gw_p < 0.05) = (f.gw_p < 0.05) AS g FROM t_facts x, t_facts f WHERE f.asset = 'A' AND x.asset <> 'A')""", branches=True)
 def transfer_verdict(spark, sf_dir):
     d = differences(spark, sf_dir).where((F.col("model_a") == "HAR-RV-log") & (F.col("model_b") == "HAR-RV"))
     dm = sg.diebold_mariano(d).select("asset", F.col("p_value").alias("dm_p"))

@@ -2,39 +2,65 @@
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from varloom.functions.laws import lognormal_interval
 from varloom.operators.features import ohlc_frame
 from varloom.operators.walkforward import BASELINES, SplitPlan, assign_folds, har_fits, to_board
+from varloom.session import cut_lineage
 from varloom.sources.tables import daily_ohlc, trades
 
 PLAN = SplitPlan()
 LEVELS = (50, 80, 90)
 
 
-def ohlc(spark: SparkSession, sf_dir: str) -> DataFrame:
+class Study:
+    """One study over one folder whose frame and fits are written once and read by every branch of a query.
+
+    The frame holds a row per asset and trading day, so what is written is small next to the raw rows, and a
+    query with several branches neither repeats the raw scan nor replans it. Stands in for the folder name in
+    every function below.
+    """
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self.spark, self.path = spark, str(sf_dir)
+
+    def __str__(self) -> str:
+        return self.path
+
+    @cached_property
+    def frame(self) -> DataFrame:
+        return cut_lineage(frame(self.spark, self.path))
+
+    @cached_property
+    def fits(self) -> DataFrame:
+        return cut_lineage(har_fits(assign_folds(self.frame, PLAN)))
+
+
+def ohlc(spark: SparkSession, sf_dir) -> DataFrame:
     return daily_ohlc(trades(spark, sf_dir))
 
 
-def frame(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ohlc_frame(ohlc(spark, sf_dir))
+def frame(spark: SparkSession, sf_dir) -> DataFrame:
+    return sf_dir.frame if isinstance(sf_dir, Study) else ohlc_frame(ohlc(spark, sf_dir))
 
 
-def folded(spark: SparkSession, sf_dir: str, plan: SplitPlan = PLAN) -> DataFrame:
+def folded(spark: SparkSession, sf_dir, plan: SplitPlan = PLAN) -> DataFrame:
     return assign_folds(frame(spark, sf_dir), plan)
 
 
-def fits(spark: SparkSession, sf_dir: str, plan: SplitPlan = PLAN) -> DataFrame:
-    return har_fits(folded(spark, sf_dir, plan))
+def fits(spark: SparkSession, sf_dir) -> DataFrame:
+    return sf_dir.fits if isinstance(sf_dir, Study) else har_fits(folded(spark, sf_dir))
 
 
-def board(spark: SparkSession, sf_dir: str) -> DataFrame:
+def board(spark: SparkSession, sf_dir) -> DataFrame:
     return to_board(fits(spark, sf_dir), BASELINES)
 
 
-def law(spark: SparkSession, sf_dir: str) -> DataFrame:
+def law(spark: SparkSession, sf_dir) -> DataFrame:
     """Two log-normal predictive laws: the log regression, and a random walk in logs."""
     wide = fits(spark, sf_dir).select(
         "asset", "date", F.col("rv").alias("y_true"),
@@ -58,7 +84,7 @@ def intervals_from_law(laws: DataFrame, levels=LEVELS) -> DataFrame:
     )
 
 
-def intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
+def intervals(spark: SparkSession, sf_dir) -> DataFrame:
     return intervals_from_law(law(spark, sf_dir))
 
 
@@ -72,5 +98,5 @@ def rule_states(panel: DataFrame, train_end: str = PLAN.train_end, states: int =
     return with_cuts.withColumn("state", state).select("asset", "date", "state", "rv", "log_return")
 
 
-def states(spark: SparkSession, sf_dir: str) -> DataFrame:
+def states(spark: SparkSession, sf_dir) -> DataFrame:
     return rule_states(frame(spark, sf_dir))
