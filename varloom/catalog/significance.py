@@ -87,13 +87,13 @@ def sample_acf(spark, sf_dir):
     return tidy(out, [*KEYS, "lag", "n", "significant_white", "significant_bartlett"], acf=8, se_white=8, se_bartlett=8)
 
 
-define("t_lb", f"""
+define("t_ljung", f"""
   SELECT {KEY}, lag, n, n*(n+2.0)*sum(acf*acf/(n-lag)) OVER (PARTITION BY {KEY} ORDER BY lag) AS q FROM t_acf""")
 
 
 @query("T4_ljung_box", f"""
   SELECT {KEY}, lag, n, {r('q', 6, 'lb_stat')}, {r(f"CASE lag WHEN 5 THEN {chi2('q', 5)} WHEN 10 THEN {chi2('q', 10)} ELSE {chi2('q', 20)} END", 8, 'p_value')}
-  FROM t_lb WHERE lag IN (5, 10, 20)""")
+  FROM t_ljung WHERE lag IN (5, 10, 20)""")
 def ljung_box(spark, sf_dir):
     return tidy(sg.ljung_box(acov(spark, sf_dir)), [*KEYS, "lag", "n"], lb_stat=6, p_value=8)
 

@@ -14,6 +14,8 @@ CTES: dict[str, str] = {}
 
 
 def define(name: str, body: str) -> None:
+    if name in CTES:
+        raise KeyError(f"common table expression {name!r} defined twice")
     CTES[name] = body.strip()
 
 
@@ -57,13 +59,6 @@ def finite(*names: str) -> str:
     return " AND ".join(f"({n} IS NOT NULL AND isfinite({n}))" for n in names)
 
 
-def _horner(x: str, coefficients) -> str:
-    out = repr(coefficients[0])
-    for c in coefficients[1:]:
-        out = f"({out}*{x}+{c!r})"
-    return f"{out}"
-
-
 def num(x: float) -> str:
     return f"CAST('{x!r}' AS DOUBLE)"
 
