@@ -142,7 +142,19 @@ def predictive_draws(spark, sf_dir):
     return tidy(fc.draws_to_law(draws), ["asset", "date"], mu=6, sigma=6, sd_epistemic=6, sd_aleatoric=6, yhat=6)
 
 
-@query("F10_mixture_draws", branches=True)
+define("t_mx", f"""
+  SELECT * EXCLUDE (w, u), w AS gate, w*{poisson_sql('u')} AS w FROM (
+    SELECT e.*, k AS draw, (('0x' || substr(md5(concat_ws('|', 17, e.asset, e.date, k)), 1, 8))::BIGINT)/4294967296 AS u FROM t_ex e, (SELECT unnest(range(5)) AS k))""")
+define("t_mxf", weighted(solution("(SELECT * FROM t_mx WHERE pos <= head_end)", NAMES, "y", "asset, expert, draw", RIDGE)))
+define("t_mxs", f"SELECT d.asset, d.expert, d.draw, sum(w*(y - ({LIN}))*(y - ({LIN})))/sum(w) AS s2 FROM t_mx d JOIN t_mxf f USING (asset, expert, draw) WHERE pos > head_end AND pos <= fit_end GROUP BY 1, 2, 3")
+define("t_mxd", f"""
+  SELECT d.asset, d.date, d.draw, sum(gate*exp({LIN} + s2/2)) AS yhat, sum(gate*s2) AS s2, -sum(gate*ln(greatest(gate,1e-300))) AS h
+  FROM t_mx d JOIN t_mxf f USING (asset, expert, draw) JOIN t_mxs USING (asset, expert, draw) WHERE fold_idx IS NOT NULL GROUP BY 1, 2, 3""")
+
+
+@query("F10_mixture_draws", f"""
+  SELECT asset, date, {rs(mu=6)}, {r('sqrt(ve+va)', 6, 'sigma')}, {r('sqrt(ve)', 6, 'sd_epistemic')}, {r('sqrt(va)', 6, 'sd_aleatoric')}, {r('exp(mu+(ve+va)/2)', 6, 'yhat')}, {r('h', 6, 'gate_entropy')} FROM (
+    SELECT asset, date, avg(ln(yhat)) AS mu, var_pop(ln(yhat)) AS ve, avg(s2) AS va, any_value(h) AS h FROM t_mxd GROUP BY 1, 2)""", branches=True)
 def mixture_draws(spark, sf_dir):
     draws = fc.expert_forecast(study.folded(spark, sf_dir), features(), L, gates(spark, sf_dir), ridge=RIDGE, draws=5).withColumn("lin", F.ln("yhat"))
     entropy = draws.groupBy("asset", "date").agg(F.first("gate_entropy").alias("gate_entropy"))

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from varloom.catalog.base import query, tidy
 from varloom.catalog.calibration import scale_table
 from varloom.catalog.significance import KEY, KEYS, PAIRS, acov, differences
-from varloom.catalog.sql import QLIKE, TEST_START, TRAIN_END, W, chi2, define, num, phi, r, rs, student
+from varloom.catalog.forecasters import solution
+from varloom.catalog.sql import QLIKE, TEST_START, TRAIN_END, VAL_END, VAL_START, W, chi2, define, folds_of, num, phi, r, rs, student
 from varloom.functions import math as fm
 from varloom.operators import features as ft, forecasters as fc, realized as rz, scoring as sc, timing as tm, walkforward as wf
 from varloom.operators.walkforward import BASELINES
@@ -302,16 +303,34 @@ def predictive_board(spark, sf_dir):
     return tidy(study.law(spark, sf_dir), ["asset", "date", "method"], mu=7, sigma=7)
 
 
-@query("B9_validation_sweep", branches=True)
+define("t_vfolded", folds_of("t_frame", VAL_START, VAL_END))
+define("t_vfe", "SELECT asset, min(train_end_pos) AS fit_end, CAST(floor(min(train_end_pos)*0.85) AS BIGINT) AS head_end FROM t_vfolded GROUP BY asset")
+define("t_vsc", "SELECT asset, avg(ln(rv)) AS m, stddev_pop(ln(rv)) AS s FROM t_vfolded JOIN t_vfe USING (asset) WHERE pos <= fit_end GROUP BY asset")
+SWEEP = [(lookback, ridge) for lookback in (1, 5) for ridge in (0.1, 10.0)]
+for _i, (_n, _ridge) in enumerate(SWEEP):
+    _names = [*[f"x{k}" for k in range(1, _n + 1)], "one"]
+    _lin = "+".join(f"c{i}*d.{n}" for i, n in enumerate(_names))
+    define(f"t_vdes{_i}", f"""
+  SELECT * FROM (SELECT f.asset, f.date, f.pos, f.fold_idx, f.rv, ln(f.rv) AS y, 1.0 AS one, fit_end, head_end,
+    {', '.join(f'(lag(ln(f.rv), {k}) OVER (PARTITION BY f.asset ORDER BY f.date) - m)/s AS x{k}' for k in range(1, _n + 1))}
+  FROM t_vfolded f JOIN t_vfe USING (asset) JOIN t_vsc USING (asset)) WHERE x{_n} IS NOT NULL""")
+    define(f"t_vf{_i}", solution(f"(SELECT * FROM t_vdes{_i} WHERE pos <= head_end)", _names, "y", "asset", _ridge))
+    define(f"t_vs{_i}", f"SELECT d.asset, avg((y - ({_lin}))*(y - ({_lin}))) AS s2 FROM t_vdes{_i} d JOIN t_vf{_i} f USING (asset) WHERE pos > head_end AND pos <= fit_end GROUP BY d.asset")
+    define(f"t_vb{_i}", f"SELECT d.asset, {_n} AS lookback, {num(_ridge)} AS ridge, d.rv AS y_true, exp({_lin} + s2/2) AS yhat FROM t_vdes{_i} d JOIN t_vf{_i} f USING (asset) JOIN t_vs{_i} USING (asset) WHERE fold_idx IS NOT NULL")
+define("t_sweep", " UNION ALL ".join(f"SELECT * FROM t_vb{i}" for i in range(len(SWEEP))))
+
+
+@query("B9_validation_sweep", f"""
+  SELECT asset, lookback, ridge, count(*) AS n, {r('avg((y_true-yhat)*(y_true-yhat))', 7, 'mse')}, {r('avg(abs(y_true-yhat))', 7, 'mae')}, {r(f'avg({QLIKE})', 7, 'qlike')} FROM t_sweep GROUP BY 1, 2, 3""", branches=True)
 def validation_sweep(spark, sf_dir):
     """Train once, score a small grid on the validation segment."""
     folded = wf.assign_folds(study.frame(spark, sf_dir), study.PLAN, "val")
     out = None
-    for lookback in (1, 5):
-        for ridge in (0.1, 10.0):
-            part = fc.lookback_forecast(folded, {"log_rv": F.ln("rv")}, lookback, 0, ridge).withColumns({"lookback": F.lit(lookback), "ridge": F.lit(ridge)})
-            out = part if out is None else out.unionByName(part)
-    return sc.aligned(out).groupBy("asset", "lookback", "ridge").agg(*sc.point_aggregates())
+    for lookback, ridge in SWEEP:
+        part = fc.lookback_forecast(folded, {"log_rv": F.ln("rv")}, lookback, 0, ridge).withColumns({"lookback": F.lit(lookback), "ridge": F.lit(ridge)})
+        out = part if out is None else out.unionByName(part)
+    scored = sc.aligned(out).groupBy("asset", "lookback", "ridge").agg(*sc.point_aggregates())
+    return tidy(scored, ["asset", "lookback", "ridge", "n"], mse=7, mae=7, qlike=7)
 
 
 # -------------------------------------------------------------------------------- scalar functions

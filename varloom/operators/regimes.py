@@ -245,18 +245,13 @@ def _seeded_centres(x: Column, k: Column, init: Column, seed: int) -> Column:
 def starting_paths(panel: DataFrame, k_grid, n_init: int, seed: int = 17, x: str = "x") -> DataFrame:
     """(asset, k, init, dates, x, path): a volatility-quantile start and seeded nearest-centre restarts."""
     whole = Window.partitionBy("asset")
-    n = F.count("*").over(whole)
-    dev = panel.select("asset", "date", F.col(x).alias("x")).withColumn("_d", (F.col("x") - F.avg("x").over(whole)) ** 2)
-    dev = dev.withColumn("_n", n)
-    run = Window.partitionBy("asset").orderBy("date")
+    dev = panel.select("asset", "date", F.col(x).alias("x")).withColumns({
+        "_d": (F.col("x") - F.avg("x").over(whole)) ** 2, "_n": F.count("*").over(whole)})
+    # The smoothing width is a twentieth of the series, at most ten days.
     width = F.least(F.lit(10), F.greatest(F.lit(1), F.floor(F.col("_n") / 20)))
-    # The smoothing width depends only on series length, so it is a constant per asset: difference of running sums.
-    cum = F.sum("_d").over(run.rowsBetween(Window.unboundedPreceding, 0))
-    dev = dev.withColumns({"_c": cum, "_i": F.row_number().over(run), "_w": width.cast("int")})
-    long_mean = short_mean("_d", 10)
-    proxy = F.when(F.col("_w") == 10, long_mean)
+    proxy = short_mean("_d", 10)
     for size in range(1, 10):
-        proxy = F.when(F.col("_w") == size, short_mean("_d", size)).otherwise(proxy)
+        proxy = F.when(width == size, short_mean("_d", size)).otherwise(proxy)
     ranked = dev.withColumn("_proxy", proxy).withColumn("_r", F.row_number().over(Window.partitionBy("asset").orderBy("_proxy", "date")) - 1)
     packed = ranked.groupBy("asset").agg(F.array_sort(F.collect_list(F.struct("date", "x", "_r"))).alias("_s")).select(
         "asset", F.col("_s.date").alias("dates"), F.col("_s.x").alias("x"), F.col("_s._r").alias("_r"))
