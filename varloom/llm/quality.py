@@ -19,6 +19,8 @@ SYMBOLS = "#*$%&|<>"
 MEASURES = (("word_len_pct", 60), ("symbol_pmil", 15), ("dup_line_pmil", 120), ("repeat_pmil", 60))
 #: A value fails beyond the quartiles by more than so many spreads.
 FENCE = 4
+#: The mean word length of a short text is uncertain: its fences widen by this over the root of the number of words.
+WORD_LEN_NOISE = 1500
 #: Documents a group needs for thresholds of its own.
 LEAST_DOCS = 100
 #: Values below this have a bucket each; above, each power of two has 16 buckets.
@@ -147,7 +149,8 @@ def judge(docs: DataFrame) -> DataFrame:
     same = measured["lang"].eqNullSafe(limits["_lang"]) & measured["source"].eqNullSafe(limits["_source"])
     inside = F.lit(True)
     for m, _ in MEASURES:
-        inside = inside & F.col(m).between(F.col(f"low_{m}"), F.col(f"high_{m}"))
+        noise = F.floor(WORD_LEN_NOISE / F.sqrt(F.greatest(F.col("n_words"), F.lit(1)))) if m == "word_len_pct" else F.lit(0)
+        inside = inside & F.col(m).between(F.col(f"low_{m}") - noise, F.col(f"high_{m}") + noise)
     rows = measured.join(limits, same).withColumn("kept", ~F.col("base_failed") & inside)
     return rows.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", *(m for m, _ in MEASURES)
