@@ -51,10 +51,13 @@ def materialise(df: DataFrame, *partition_by: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def keep_ids(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
-    """Rows whose key is among distinct ids: by broadcast where counting shows that they fit, else by shuffle."""
+def keep_ids(df: DataFrame, ids: DataFrame, *keys: str, how: str = "left_semi") -> DataFrame:
+    """Rows whose key is (with how="left_anti": is not) among distinct ids.
+
+    By broadcast where counting the ids shows that they fit, else by a shuffled join.
+    """
     small = ids.count() <= BROADCAST_IDS
-    return df.join(F.broadcast(ids) if small else ids.hint("merge"), key, "left_semi")
+    return df.join(F.broadcast(ids) if small else ids.hint("merge"), list(keys), how)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from varloom.llm import common, decontam, jaccard, langid, mixing, quality, tokens, warc
+from varloom.llm import common, decontam, jaccard, langid, mixing, quality, suffix, tokens, warc
 
 END_ID = 2
 
@@ -44,6 +44,11 @@ def op9_token_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_files(common.documents(spark, sf_dir), tokenizer_path(), END_ID)
 
 
+def op10_interval_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix.remove_repeats(common.documents(spark, sf_dir))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -54,6 +59,7 @@ QUERIES = {
         op7_multi_order_jaccard,
         op8_warc_segments,
         op9_token_columns,
+        op10_interval_expansion,
     )
 }
 ORACLES: dict[str, str] = {}
