@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from varloom.llm import common, decontam, jaccard, langid, mixing, quality, suffix, tokens, warc
+from varloom.llm import common, decontam, jaccard, katz, langid, mixing, quality, suffix, tokens, warc
 
 END_ID = 2
 
@@ -32,6 +32,10 @@ def op5_capped_water_filling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "source", "reps")
 
 
+def op6_katz_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz.score(common.documents(spark, sf_dir))
+
+
 def op7_multi_order_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.classes(common.documents(spark, sf_dir))
 
@@ -56,6 +60,7 @@ QUERIES = {
         op3_pigeonhole_decontamination,
         op4_adaptive_quality,
         op5_capped_water_filling,
+        op6_katz_backoff,
         op7_multi_order_jaccard,
         op8_warc_segments,
         op9_token_columns,
