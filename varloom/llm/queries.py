@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from varloom.llm import common, decontam, jaccard, katz, langid, mixing, quality, suffix, tokens, warc
+from varloom.llm import common, decontam, jaccard, katz, langid, mixing, quality, suffix, surrogates, tokens, warc
 
 END_ID = 2
+#: Key of the registered query; whoever runs the operator passes a secret of their own.
+SURROGATE_KEY = b"varloom registered query"
 
 
 def tokenizer_path() -> str:
@@ -19,6 +21,11 @@ def op1_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict_split(common.documents(spark, sf_dir))
 
 
+def op2_keyed_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.documents(spark, sf_dir).select("doc_id", "text")
+    return surrogates.replace(docs, SURROGATE_KEY)
+
+
 def op3_pigeonhole_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.matches(common.documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
@@ -57,6 +64,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_language_mixture,
+        op2_keyed_surrogates,
         op3_pigeonhole_decontamination,
         op4_adaptive_quality,
         op5_capped_water_filling,
