@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from varloom.llm import common, decontam, jaccard, katz, langid, mixing, quality, suffix, surrogates, tokens, warc
+from varloom.llm.oracles import ORACLES
 
+__all__ = ["ORACLES", "QUERIES"]
 END_ID = 2
 #: Key of the registered query; whoever runs the operator passes a secret of their own.
 SURROGATE_KEY = b"varloom registered query"
@@ -75,4 +77,3 @@ QUERIES = {
         op10_interval_expansion,
     )
 }
-ORACLES: dict[str, str] = {}
