@@ -42,7 +42,7 @@ TITLES = {"Mr": "m", "Herr": "m", "Señor": "m", "Sr": "m", "Monsieur": "m", "Mr
 GENDER = {name.casefold(): gender for (_, gender), names in GIVEN.items() for name in names}
 
 _WORD = r"[^\W\d_]+"
-_GIVEN_ANY = "|".join(sorted((n for names in GIVEN.values() for n in names), key=lambda n: (-len(n), n)))
+_GIVEN_ANY = "|".join(sorted((x for names in GIVEN.values() for n in names for x in (n, n.upper())), key=lambda n: (-len(n), n)))
 _TITLE_ANY = "|".join(sorted(map(re.escape, TITLES), key=lambda n: (-len(n), n)))
 PATTERN = re.compile(
     r"(?P<email>[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,})"
