@@ -52,7 +52,7 @@ def test_dead_state_leaves_statistic_undefined(spark, board):
 
 
 def test_autocorrelation_and_portmanteau(board):
-    acov = sg.autocovariances(diffs(board, [("good", "bad")]), "d", sg.PAIR)
+    acov = sg.autocovariances(diffs(board, [("good", "bad")]), "d", sg.PAIR, lags=30)
     d = diffs(board, [("good", "bad")]).orderBy("date").toPandas().d.to_numpy()
     e = d - d.mean()
     r = np.array([(e[k:] * e[:-k]).sum() / (e @ e) for k in range(1, 21)])
@@ -179,3 +179,25 @@ def test_width_verdicts(spark, scales, evidence, want):
     s = spark.createDataFrame([("X", "m", "all", 1.1), *[("X", "m", f"state{i}", v) for i, v in enumerate(scales)]], "asset string, method string, scope string, scale_coverage double")
     e = spark.createDataFrame([("X", "m", evidence)], "asset string, method string, conditional_evidence boolean")
     assert vd.width_correction(s, e).first()["recommendation"] == want
+
+
+def test_long_series_have_all_their_lags(spark):
+    n = 45_000
+    r = np.random.default_rng(3)
+    d = r.normal(0.1, 1, n)
+    rows = pd.DataFrame({"asset": "A", "model_a": "x", "model_b": "y", "date": pd.date_range("1900-01-01", periods=n).date, "d": d})
+    got = sg.diebold_mariano(spark.createDataFrame(rows)).collect()[0]
+    assert got.hac_lag == 35
+    c = d - d.mean()
+    lrv = (c @ c) / n + sum(2 * (1 - k / 36) * (c[k:] @ c[:-k]) / (n - k) for k in range(1, 36))
+    assert np.isclose(got.dm_raw, d.mean() / np.sqrt(lrv / n), rtol=1e-9)
+
+
+def test_poisson_counts_are_not_cut_off(spark):
+    from varloom.operators.forecasters import poisson_steps, poisson_weight
+
+    steps = poisson_steps()
+    assert len(steps) > 12 and steps[-1] >= 1 - 2**-52
+    u = spark.createDataFrame([(0.0,), (0.5,), (1 - 2.0**-32,)], "u double")
+    assert [x.w for x in u.select(poisson_weight(u.u).alias("w")).collect()][:2] == [0.0, 1.0]
+    assert u.select(poisson_weight(u.u).alias("w")).collect()[2].w > 11

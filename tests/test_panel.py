@@ -123,8 +123,40 @@ def test_lenient_forecaster_keeps_rows(ohlc):
 
 def test_guard_reports_leaks(ohlc):
     folded = wf.assign_folds(ft.ohlc_frame(ohlc), PLAN)
-    leak = folded.limit(1).select("asset", "date", F.lit("leak").alias("model"), F.lit(1.0).alias("yhat"))
-    assert wf.guard_violations(leak, wf.fold_table(folded)).count() == 1
+    leak = folded.limit(1).select("asset", "date", F.lit("leak").alias("model"), F.lit(1.0).alias("yhat"), F.lit(0).cast("long").alias("fold_idx"))
+    assert wf.guard_violations(leak, wf.fold_table(folded)).collect()[0]["reason"] == "inside training"
+    good = folded.where("fold_idx is not null").select("asset", "date", F.lit("m").alias("model"), F.lit(1.0).alias("yhat"), "fold_idx")
+    folds = wf.fold_table(folded)
+    assert wf.guard_violations(good, folds).isEmpty()
+    assert {r["reason"] for r in wf.guard_violations(good.withColumn("fold_idx", F.col("fold_idx") - 1), folds).collect()} == {"no such fold", "outside window"}
+    assert {r["reason"] for r in wf.guard_violations(good.union(good.limit(1)), folds).collect()} == {"not the only one"}
+
+
+def test_silent_models_are_reported(ohlc):
+    folded = wf.assign_folds(ft.ohlc_frame(ohlc), PLAN)
+    board = wf.to_board(wf.har_fits(folded), wf.BASELINES)
+    share = {(r.asset, r.model): r.share for r in wf.coverage_report(board, folded, [*wf.BASELINES, "silent"]).collect()}
+    assert {v for (_, m), v in share.items() if m == "silent"} == {0.0}
+    assert {v for (_, m), v in share.items() if m != "silent"} == {1.0}
+
+
+def test_rolling_windows_reach_the_fits(ohlc):
+    frame = ft.ohlc_frame(ohlc)
+    plan = wf.SplitPlan(PLAN.train_end, PLAN.val_start, PLAN.val_end, PLAN.test_start, PLAN.test_end, 21, "rolling")
+    folded = wf.assign_folds(frame, plan)
+    rows = folded.toPandas().sort_values(["asset", "pos"])
+    got = wf.har_fits(folded, "rolling").toPandas()
+    anchored = wf.har_fits(wf.assign_folds(frame, PLAN)).toPandas().set_index(["asset", "date"])
+    last = got.sort_values("pos").groupby("asset").tail(3)
+    for r in last.itertuples():
+        mine = rows[rows.asset == r.asset]
+        train = mine[(mine.pos >= r.train_start_pos) & (mine.pos <= r.train_end_pos)]
+        assert len(train) == r.train_len
+        x = np.column_stack([np.ones(len(train)), train[["rv_d", "rv_w", "rv_m"]]])
+        for y, lin in ((train.rv, r.lev_lin), (np.log(train.rv), r.log_lin)):
+            beta = np.linalg.lstsq(x, y, rcond=None)[0]
+            assert np.isclose(beta @ [1, r.rv_d, r.rv_w, r.rv_m], lin, rtol=1e-6)
+        assert not np.isclose(anchored.loc[(r.asset, r.date)].log_lin, r.log_lin, rtol=1e-6)
 
 
 def test_splice_needs_the_gate(spark):

@@ -225,21 +225,35 @@ def fold_diagnostics(spark, sf_dir):
 
 
 @query("B5_output_guard", """
-  SELECT b.asset, count(*) AS n_forecasts, count(*) FILTER (b.date <= f.e OR b.date < f.s) AS n_violations
-  FROM t_board b JOIN (SELECT asset, min(train_end) AS e, min(predict_start) AS s FROM t_folds GROUP BY 1) f USING (asset) GROUP BY 1""", branches=True)
+  SELECT b.asset, count(*) AS n_forecasts, count(*) FILTER (NOT coalesce(b.date BETWEEN f.predict_start AND f.predict_end AND b.date > f.train_end, false)) AS n_violations
+  FROM t_board b JOIN t_folded d USING (asset, date) LEFT JOIN t_folds f ON f.asset = b.asset AND f.fold_idx = d.fold_idx GROUP BY 1""", branches=True)
 def output_guard(spark, sf_dir):
     folded = study.folded(spark, sf_dir)
-    board = study.board(spark, sf_dir)
+    board = wf.to_board(study.fits(spark, sf_dir), wf.BASELINES, keep=["fold_idx"])
     bad = wf.guard_violations(board, wf.fold_table(folded)).groupBy("asset").agg(F.count("*").alias("v"))
     return board.groupBy("asset").agg(F.count("*").alias("n_forecasts")).join(bad, "asset", "left").select(
         "asset", "n_forecasts", F.coalesce("v", F.lit(0)).alias("n_violations"))
 
 
+@query("B5_caught_leaks", """
+  SELECT asset, reason, count(*) AS n FROM (
+    SELECT b.asset, CASE WHEN d.fold_idx = 0 THEN 'no such fold' ELSE 'outside window' END AS reason
+    FROM t_board b JOIN t_folded d USING (asset, date)) GROUP BY 1, 2""", branches=True)
+def caught_leaks(spark, sf_dir):
+    """Forecasts filed under the fold before their own: each is caught."""
+    board = wf.to_board(study.fits(spark, sf_dir), wf.BASELINES, keep=["fold_idx"]).withColumn("fold_idx", F.col("fold_idx") - 1)
+    bad = wf.guard_violations(board, wf.fold_table(study.folded(spark, sf_dir)))
+    return bad.groupBy("asset", "reason").agg(F.count("*").alias("n"))
+
+
 @query("B6_coverage_report", f"""
-  SELECT asset, model, count(yhat) AS n_forecasts, d.n AS n_days, {r('count(yhat)/d.n', 8, 'share')} FROM t_board JOIN (
-    SELECT asset, count(*) AS n FROM t_folded WHERE is_oos GROUP BY 1) d USING (asset) GROUP BY asset, model, d.n""", branches=True)
+  SELECT d.asset, m.model, coalesce(k, 0) AS n_forecasts, d.n AS n_days, {r('coalesce(k, 0)/d.n', 8, 'share')}
+  FROM (SELECT asset, count(*) AS n FROM t_folded WHERE is_oos GROUP BY 1) d CROSS JOIN (SELECT unnest(['RW-RV', 'HAR-RV', 'HAR-RV-log', 'silent']) AS model) m
+  LEFT JOIN (SELECT asset, model, count(DISTINCT date) AS k FROM t_board b JOIN t_folded f USING (asset, date) WHERE f.is_oos AND yhat IS NOT NULL GROUP BY 1, 2) h
+    ON h.asset = d.asset AND h.model = m.model""", branches=True)
 def coverage_report(spark, sf_dir):
-    out = wf.coverage_report(study.board(spark, sf_dir), study.folded(spark, sf_dir))
+    """The baselines and one registered model that never forecasts."""
+    out = wf.coverage_report(study.board(spark, sf_dir), study.folded(spark, sf_dir), [*wf.BASELINES, "silent"])
     return tidy(out, ["asset", "model", "n_forecasts", "n_days"], share=8)
 
 

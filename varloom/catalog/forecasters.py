@@ -118,15 +118,18 @@ def regime_experts(spark, sf_dir):
 
 
 def poisson_sql(u: str) -> str:
-    parts, cumulative, term = [], 0.0, exp(-1.0)
-    for k in range(8):
-        cumulative += term
-        parts.append(f"CASE WHEN {u} >= {num(cumulative)} THEN 1.0 ELSE 0.0 END")
-        term /= k + 1
+    """Count of cumulative Poisson(1) probabilities at or below u, until they are 1 in double precision."""
+    from math import factorial
+
+    total, parts, k = 0.0, [], 0
+    while total < 1.0 and (not k or total + exp(-1.0) / factorial(k) != total):
+        total += exp(-1.0) / factorial(k)
+        parts.append(f"CASE WHEN {u} >= {num(total)} THEN 1.0 ELSE 0.0 END")
+        k += 1
     return "(" + "+".join(parts) + ")"
 
 
-DRAWS = 10
+DRAWS = 100
 define("t_dr", f"""
   SELECT *, {poisson_sql('u')} AS w FROM (SELECT d.*, k AS draw, (('0x' || substr(md5(concat_ws('|', 17, d.asset, d.date, k)), 1, 8))::BIGINT)/4294967296 AS u FROM t_des d, (SELECT unnest(range({DRAWS})) AS k))""")
 define("t_drf", weighted(solution("(SELECT * FROM t_dr WHERE pos <= head_end)", NAMES, "y", "asset, draw", RIDGE)))
@@ -144,7 +147,7 @@ def predictive_draws(spark, sf_dir):
 
 define("t_mx", f"""
   SELECT * EXCLUDE (w, u), w AS gate, w*{poisson_sql('u')} AS w FROM (
-    SELECT e.*, k AS draw, (('0x' || substr(md5(concat_ws('|', 17, e.asset, e.date, k)), 1, 8))::BIGINT)/4294967296 AS u FROM t_ex e, (SELECT unnest(range(5)) AS k))""")
+    SELECT e.*, k AS draw, (('0x' || substr(md5(concat_ws('|', 17, e.asset, e.date, k)), 1, 8))::BIGINT)/4294967296 AS u FROM t_ex e, (SELECT unnest(range({DRAWS})) AS k))""")
 define("t_mxf", weighted(solution("(SELECT * FROM t_mx WHERE pos <= head_end)", NAMES, "y", "asset, expert, draw", RIDGE)))
 define("t_mxs", f"SELECT d.asset, d.expert, d.draw, sum(w*(y - ({LIN}))*(y - ({LIN})))/sum(w) AS s2 FROM t_mx d JOIN t_mxf f USING (asset, expert, draw) WHERE pos > head_end AND pos <= fit_end GROUP BY 1, 2, 3")
 define("t_mxd", f"""
@@ -156,7 +159,7 @@ define("t_mxd", f"""
   SELECT asset, date, {rs(mu=6)}, {r('sqrt(ve+va)', 6, 'sigma')}, {r('sqrt(ve)', 6, 'sd_epistemic')}, {r('sqrt(va)', 6, 'sd_aleatoric')}, {r('exp(mu+(ve+va)/2)', 6, 'yhat')}, {r('h', 6, 'gate_entropy')} FROM (
     SELECT asset, date, avg(ln(yhat)) AS mu, var_pop(ln(yhat)) AS ve, avg(s2) AS va, any_value(h) AS h FROM t_mxd GROUP BY 1, 2)""", branches=True)
 def mixture_draws(spark, sf_dir):
-    draws = fc.expert_forecast(study.folded(spark, sf_dir), features(), L, gates(spark, sf_dir), ridge=RIDGE, draws=5).withColumn("lin", F.ln("yhat"))
+    draws = fc.expert_forecast(study.folded(spark, sf_dir), features(), L, gates(spark, sf_dir), ridge=RIDGE, draws=DRAWS).withColumn("lin", F.ln("yhat"))
     entropy = draws.groupBy("asset", "date").agg(F.first("gate_entropy").alias("gate_entropy"))
     law = fc.draws_to_law(draws).join(entropy, ["asset", "date"])
     return tidy(law, ["asset", "date"], mu=6, sigma=6, sd_epistemic=6, sd_aleatoric=6, yhat=6, gate_entropy=6)

@@ -25,7 +25,7 @@ def library_file(spark, sf_dir) -> str:
     base = rv.select(F.date_format("date", "yyyy-MM-dd").alias("d"), F.concat(F.lit("."), F.lower("asset")).alias("Symbol"), F.col("rv").alias("rv5"))
     rows = base.select(F.explode(F.array(F.concat("d", F.lit(" 00:00:00+00:00")), F.concat("d", F.lit(" 00:00:00+01:00")))).alias("obs_date"), "Symbol", "rv5")
     rows = rows.withColumn("rv5", F.when(F.col("obs_date").endswith("+01:00"), F.col("rv5") * 2).otherwise(F.col("rv5")))
-    broken = base.limit(1).select(F.lit("not a date").alias("obs_date"), "Symbol", "rv5")
+    broken = spark.range(1).select(F.lit("not a date").alias("obs_date"), F.lit(".a").alias("Symbol"), F.lit(1.0).alias("rv5"))
     path = lb.scratch_folder(spark, "library")
     lb.write_table(rows.unionByName(broken), path)
     return path

@@ -51,7 +51,7 @@ def differences(spark, sf_dir):
 
 
 def acov(spark, sf_dir):
-    return sg.autocovariances(differences(spark, sf_dir), "d", sg.PAIR)
+    return sg.autocovariances(differences(spark, sf_dir), "d", sg.PAIR, lags=30)
 
 
 def lagged_states(spark, sf_dir):

@@ -15,7 +15,7 @@ from varloom.operators import significance as sg, timing as tm, verdicts as vd,
 from varloom.operators.walkforward import BASELINES
 from varloom.plans import study
 
-REPS = 300
+REPS = 2000
 MODELS = sorted(BASELINES)
 define("t_lm", "SELECT asset, date, " + ", ".join(f"max(loss) FILTER (model = '{m}') AS l{k}" for k, m in enumerate(MODELS)) + """,
   row_number() OVER (PARTITION BY asset ORDER BY date) - 1 AS i, count(*) OVER (PARTITION BY asset) AS n FROM t_loss GROUP BY asset, date""")
@@ -95,10 +95,12 @@ def rank_agreement(spark, sf_dir):
     return tidy(out, ["asset", "reference", "n_models", "models"], spearman=8, kendall=8)
 
 
-@query("A35_cross_asset_board", f"SELECT model, {', '.join(r(f'max(qlike) FILTER (asset = $${a}$$)', 8, a) for a in 'ANR')} FROM t_ranks GROUP BY 1")
+@query("A35_cross_asset_board", f"""
+  SELECT asset, model, rank() OVER (PARTITION BY asset ORDER BY q) AS rank, n, {r('q', 8, 'qlike')}, {r('e2', 8, 'mse')}, {r('e1', 8, 'mae')} FROM (
+    SELECT asset, model, count(*) AS n, avg({QLIKE}) AS q, avg((y_true-yhat)*(y_true-yhat)) AS e2, avg(abs(y_true-yhat)) AS e1 FROM t_points GROUP BY 1, 2)""")
 def cross_asset_board(spark, sf_dir):
-    out = ca.by_asset(sc.leaderboard(points(spark, sf_dir)), "qlike", ["A", "N", "R"])
-    return tidy(out, ["model"], A=8, N=8, R=8)
+    """Point scores and ranks of every asset in one long table; assets come from the data."""
+    return tidy(sc.leaderboard(points(spark, sf_dir)), ["asset", "model", "rank", "n"], qlike=8, mse=8, mae=8)
 
 
 @query("U4_models_in_common", "SELECT model FROM t_ranks WHERE asset = 'A' INTERSECT SELECT model FROM t_ranks WHERE asset = 'N'", branches=True)

@@ -22,20 +22,24 @@ def loss_matrix(board: DataFrame, models, loss: str = "qlike") -> DataFrame:
 def bootstrap_means(matrix: DataFrame, models, reps: int, block: int, seed: int) -> DataFrame:
     """(asset, rep, means): block restarts come from hashes, so every replicate is the same on any cluster.
 
-    The loss table is only ever joined on its key; the replicate table is generated where it is used and
-    reduced to one row per asset and replicate by map-side combined averages.
+    Only restarts leave the map side, a row per block instead of one per day and replicate. A block is a
+    circular stretch of days, so its losses are differences of running sums at its bounds.
     """
     w = Window.partitionBy("asset").orderBy("date")
-    indexed = matrix.withColumns({"i": (F.row_number().over(w) - 1).cast("long"), "n": F.count("*").over(Window.partitionBy("asset"))})
+    sums = F.array(*[F.sum(F.col("losses")[k]).over(w.rowsBetween(Window.unboundedPreceding, 0)) for k in range(len(models))])
+    indexed = matrix.withColumns({"i": (F.row_number().over(w) - 1).cast("long"), "n": F.count("*").over(Window.partitionBy("asset")), "upto": sums})
     key = [F.lit(seed), F.col("asset"), F.col("rep"), F.col("i")]
-    draws = indexed.select("asset", "i", "n").withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))))
-    restart = (F.col("i") == 0) | (hash_uniform(*key, F.lit("r")) < 1.0 / block)
-    begin = F.when(restart, F.struct(F.floor(hash_uniform(*key, F.lit("s")) * F.col("n")).alias("s"), F.col("i").alias("at")))
-    inside = Window.partitionBy("asset", "rep").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
-    walked = draws.withColumn("_b", begin).withColumn("_b", F.last("_b", ignorenulls=True).over(inside))
-    picks = walked.select("asset", "rep", ((F.col("_b.s") + F.col("i") - F.col("_b.at")) % F.col("n")).cast("long").alias("i"))
-    joined = picks.join(indexed.select("asset", "i", "losses"), ["asset", "i"])
-    return joined.groupBy("asset", "rep").agg(F.array(*[F.avg(F.col("losses")[k]) for k in range(len(models))]).alias("means"))
+    days = indexed.select("asset", "i", "n").withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))))
+    restarts = days.where((F.col("i") == 0) | (hash_uniform(*key, F.lit("r")) < 1.0 / block))
+    restarts = restarts.withColumn("s", F.floor(hash_uniform(*key, F.lit("s")) * F.col("n")))
+    length = F.lead("i").over(Window.partitionBy("asset", "rep").orderBy("i"))
+    blocks = restarts.withColumn("e", F.col("s") + F.coalesce(length, F.col("n")) - F.col("i"))
+    bounds = F.array(
+        F.struct(F.least("e", "n").alias("to"), F.lit(1.0).alias("sign")), F.struct(F.col("s").alias("to"), F.lit(-1.0).alias("sign")),
+        F.struct((F.col("e") - F.col("n")).alias("to"), F.lit(1.0).alias("sign")))
+    ends = blocks.select("asset", "rep", F.explode(bounds).alias("x")).select("asset", "rep", "x.*").where(F.col("to") > 0)
+    joined = ends.join(indexed.select("asset", "n", (F.col("i") + 1).alias("to"), "upto"), ["asset", "to"])
+    return joined.groupBy("asset", "rep").agg(F.array(*[F.sum(F.col("sign") * F.col("upto")[k]) / F.first("n") for k in range(len(models))]).alias("means"))
 
 
 def model_confidence_set(board: DataFrame, models, loss: str = "qlike", alpha: float = 0.1, reps: int = 2000, block: int = 10, seed: int = 17) -> DataFrame:

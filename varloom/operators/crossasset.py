@@ -30,11 +30,6 @@ def rank_agreement(board_scores: DataFrame, reference: str, min_models: int = 3)
     return out.select("asset", F.lit(reference).alias("reference"), "n_models", F.when(enough, F.col("spearman")).alias("spearman"), F.when(enough, F.col("kendall")).alias("kendall"), "models")
 
 
-def by_asset(scores: DataFrame, value: str, assets) -> DataFrame:
-    """Models down, assets across."""
-    return scores.groupBy("model").pivot("asset", list(assets)).agg(F.max(value))
-
-
 def master_table(board: DataFrame, laws: DataFrame, intervals: DataFrame, lagged: DataFrame, level_pct: int = 90, unranked=()) -> DataFrame:
     """Point, transitional-state, interval and distribution scores per model, ranked by QLIKE where eligible.
 

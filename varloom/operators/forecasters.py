@@ -26,16 +26,20 @@ def hash_uniform(*parts: Column) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws("|", *parts)), 1, 8), 16, 10).cast("double") / F.lit(WORD)
 
 
-def poisson_weight(u: Column, most: int = 8) -> Column:
-    """Poisson(1) count by inversion."""
-    out, cumulative, term = F.lit(0.0), 0.0, exp(-1.0)
-    for k in range(most):
-        cumulative += term
-        out = out + (u >= F.lit(cumulative)).cast("double")
-        term /= k + 1
+def poisson_steps() -> list[float]:
+    """Cumulative Poisson(1) probabilities up to the first that is 1 in double precision."""
+    out, term = [exp(-1.0)], exp(-1.0)
+    while out[-1] < 1.0 and out[-1] + term / len(out) != out[-1]:
+        term /= len(out)
+        out.append(out[-1] + term)
     return out
 
 
+def poisson_weight(u: Column) -> Column:
+    """Poisson(1) count by inversion; no count is cut off."""
+    return sum(((u >= F.lit(c)).cast("double") for c in poisson_steps()), F.lit(0.0))
+
+
 def lookback_design(folded: DataFrame, features: dict[str, Column], lookback: int, last_only: dict[str, Column] | None = None) -> tuple[DataFrame, list[str]]:
     """Standardised values of rows t-lookback .. t-1 next to the log target; the constant comes last.
 
@@ -56,7 +60,7 @@ def lookback_design(folded: DataFrame, features: dict[str, Column], lookback: in
     extra = {f"e{i}": F.lag(c, 1).over(w) for i, c in enumerate((last_only or {}).values())}
     rows = rows.withColumns({**lags, **extra, "one": F.lit(1.0), "y": F.ln("rv")})
     names = [*lags, *extra, "one"]
-    kept = [c for c in ("asset", "date", "pos", "fold_idx", "train_end_pos", "rv", "y", *names)]
+    kept = [c for c in ("asset", "date", "pos", "fold_idx", "train_start_pos", "train_end_pos", "rv", "y", *names)]
     return cut_lineage(rows.where(all_finite(*names, "y")).select(*kept)), names
 
 
@@ -67,8 +71,9 @@ def fit_groups(folded: DataFrame, refit_folds: int = 0) -> Column:
 
 def fit_table(design: DataFrame, refit_folds: int = 0) -> DataFrame:
     used = design.where(F.col("fold_idx").isNotNull()).withColumn("fit", fit_groups(design, refit_folds))
-    ends = used.groupBy("asset", "fit").agg(F.min("train_end_pos").alias("fit_end"))
-    return ends.withColumn("head_end", F.floor(F.col("fit_end") * F.lit(HEAD_SHARE)).cast("long"))
+    ends = used.groupBy("asset", "fit").agg(F.min("train_end_pos").alias("fit_end"), F.min("train_start_pos").alias("fit_start"))
+    head = F.col("fit_start") + F.floor((F.col("fit_end") - F.col("fit_start")) * F.lit(HEAD_SHARE)).cast("long")
+    return ends.withColumn("head_end", head)
 
 
 def linear(beta: Column, names) -> Column:
@@ -82,7 +87,7 @@ def lookback_fits(design: DataFrame, names, refit_folds: int = 0, ridge: float =
     aggregation into weighted fits, many per asset, in one shuffle of pre-aggregated sums.
     """
     key = ["asset", "fit", *extra_keys]
-    rows = design.join(fit_table(design, refit_folds), "asset").where(F.col("pos") <= F.col("fit_end"))
+    rows = design.join(fit_table(design, refit_folds), "asset").where(F.col("pos").between(F.col("fit_start"), F.col("fit_end")))
     head = rows.where(F.col("pos") <= F.col("head_end"))
     solved = gram(head, names, "y", key, weights).withColumn("beta", ridge_solution("xx", "xy", F.lit(ridge))).select(*key, "beta")
     tail = rows.where(F.col("pos") > F.col("head_end")).select("asset", "fit", *[k for k in extra_keys], *names, "y", *(["_w"] if weights is not None else []))
@@ -151,7 +156,7 @@ def quantile_forecast(folded: DataFrame, features, lookback: int, taus=(0.05, 0.
     design, names = lookback_design(folded, features, lookback)
     fits = lookback_fits(design, names, 0, ridge)
     scored = design.join(fits.join(fit_table(design), ["asset", "fit"]), "asset").withColumn("lin", linear(F.col("beta"), names))
-    train = scored.where(F.col("pos") <= F.col("fit_end"))
+    train = scored.where(F.col("pos").between(F.col("fit_start"), F.col("fit_end")))
     offsets = train.groupBy("asset").agg(F.percentile(F.col("y") - F.col("lin"), F.array(*[F.lit(t) for t in taus])).alias("_o"))
     oos = scored.where(F.col("fold_idx").isNotNull()).join(offsets, "asset")
     rows = F.arrays_zip(F.array(*[F.lit(t) for t in taus]).alias("tau"), F.col("_o").alias("o"))
@@ -167,36 +172,44 @@ GARCH_BETAS = (0.7, 0.8, 0.85, 0.9, 0.95)
 
 
 def garch_forecast(folded: DataFrame, alphas=GARCH_ALPHAS, betas=GARCH_BETAS) -> DataFrame:
-    """Variance-targeted GARCH(1,1) by quasi-likelihood over a grid, refit at every fold.
+    """Variance-targeted GARCH(1,1) by quasi-likelihood over a grid, refit at every fold on the fold's own window.
 
-    The conditional variance is linear in the decayed sums of returns and squared returns, so one ordered
-    fold per (asset, beta) serves every alpha and every refit; likelihoods are plain grouped sums.
+    The conditional variance is linear in the decayed sums of returns and squared returns, so one ordered fold
+    per (asset, beta) serves every alpha and every refit: a window that begins later takes the decayed sums at
+    its first row off. Each row meets the folds that train on it by position, so the likelihoods are plain
+    sums keyed by (asset, fold, beta), one aggregate per alpha.
     """
-    from varloom.operators.walkforward import at_train_end
+    from varloom.operators.walkforward import bounded_moments
 
-    run = calendar_window().rowsBetween(Window.unboundedPreceding, 0)
-    scaled = folded.withColumn("r", F.col("log_return") * SCALE)
-    frozen = at_train_end({"mu": F.avg("r").over(run), "s2": F.var_pop("r").over(run)}, scaled.select("asset", "date", "pos", "fold_idx", "train_end_pos", "r", "rv"))
-    folds = frozen.groupBy("asset", "fold_idx").agg(F.min("train_end_pos").alias("te"), F.first("mu").alias("mu"), F.first("s2").alias("s2"))
+    scaled = folded.withColumn("r", F.col("log_return") * SCALE).select("asset", "date", "pos", "fold_idx", "train_start_pos", "train_end_pos", "r", "rv")
+    frozen = bounded_moments(scaled, (), ("r",)).withColumnsRenamed({"m_r": "mu", "v_r": "s2"})
+    folds = frozen.groupBy("asset", "fold_idx").agg(
+        F.min("train_start_pos").alias("ts"), F.min("train_end_pos").alias("te"), F.first("mu").alias("mu"), F.first("s2").alias("s2"))
     series = scaled.groupBy("asset").agg(F.array_sort(F.collect_list(F.struct("pos", "r"))).alias("_s")).select("asset", F.col("_s.r").alias("r"))
     sums = rc.spread(series.withColumn("beta", F.explode(F.array(*[F.lit(b) for b in betas]))), "asset", "beta")
     sums = sums.withColumns({"b1": rc.exponential_sums(F.col("r"), F.col("beta")), "b2": rc.exponential_sums(F.transform("r", lambda v: v * v), F.col("beta"))})
     rows = sums.select("asset", "beta", F.posexplode(F.arrays_zip("r", "b1", "b2")).alias("pos", "z")).select("asset", "beta", F.col("pos").cast("long").alias("pos"), "z.*")
-    alpha_grid = F.array(*[F.lit(a) for a in alphas])
+    starts = folds.join(rows.select("asset", "beta", F.col("pos").alias("ts"), F.col("b1").alias("b1_ts"), F.col("b2").alias("b2_ts")), ["asset", "ts"])
 
     def variance(alpha, beta):
-        decay = F.pow(beta, F.col("pos").cast("double"))
+        decay = F.pow(beta, (F.col("pos") - F.col("ts")).cast("double"))
         s = (1 - decay) / (1 - beta)
-        return F.col("s2") * (1 - alpha - beta) * s + alpha * (F.col("b2") - 2 * F.col("mu") * F.col("b1") + F.col("mu") * F.col("mu") * s) + decay * F.col("s2")
+        b1, b2 = F.col("b1") - decay * F.col("b1_ts"), F.col("b2") - decay * F.col("b2_ts")
+        return F.col("s2") * (1 - alpha - beta) * s + alpha * (b2 - 2 * F.col("mu") * b1 + F.col("mu") * F.col("mu") * s) + decay * F.col("s2")
 
-    trial = rows.join(folds, "asset").where(F.col("pos") <= F.col("te")).withColumn("alpha", F.explode(alpha_grid)).where(F.col("alpha") + F.col("beta") < 1)
-    h = variance(F.col("alpha"), F.col("beta"))
+    trial = rows.join(starts, ["asset", "beta"]).where(F.col("pos").between(F.col("ts"), F.col("te")))
     e = F.col("r") - F.col("mu")
-    ll = trial.withColumn("_h", F.greatest(h, F.lit(1e-12))).groupBy("asset", "fold_idx", "alpha", "beta").agg(
-        F.sum(F.lit(-0.5) * (F.ln("_h") + e * e / F.col("_h"))).alias("ll"))
+
+    def likelihood(alpha: float) -> Column:
+        h = F.greatest(variance(F.lit(alpha), F.col("beta")), F.lit(1e-12))
+        return F.sum(F.when(F.lit(alpha) + F.col("beta") < 1, F.lit(-0.5) * (F.ln(h) + e * e / h)))
+
+    per_beta = trial.groupBy("asset", "fold_idx", "beta").agg(*[likelihood(a).alias(f"_l{i}") for i, a in enumerate(alphas)])
+    ll = per_beta.select("asset", "fold_idx", "beta", F.explode(F.array(*[F.struct(F.lit(a).alias("alpha"), F.col(f"_l{i}").alias("ll")) for i, a in enumerate(alphas)])).alias("x"))
+    ll = ll.select("asset", "fold_idx", "beta", "x.*").where(F.col("ll").isNotNull())
     best = ll.groupBy("asset", "fold_idx").agg(F.max_by(F.struct("alpha", "beta"), F.struct("ll", "alpha", "beta")).alias("b"), F.max("ll").alias("ll")).select(
         "asset", "fold_idx", "b.*", "ll")
-    target = frozen.select("asset", "date", "pos", "fold_idx", "rv", "mu", "s2").join(best, ["asset", "fold_idx"]).join(
+    target = frozen.select("asset", "date", "pos", "fold_idx", "rv").join(best, ["asset", "fold_idx"]).join(starts, ["asset", "fold_idx", "beta"]).join(
         rows.select("asset", "beta", "pos", "b1", "b2"), ["asset", "beta", "pos"])
     return target.select("asset", "date", "fold_idx", F.col("rv").alias("y_true"), "alpha", "beta", "ll", (F.col("alpha") + F.col("beta")).alias("persistence"),
                          (F.greatest(variance(F.col("alpha"), F.col("beta")), F.lit(1e-12)) / (SCALE * SCALE)).alias("yhat"))

@@ -10,7 +10,6 @@ from varloom.functions.math import all_finite, chi2_sf, chi2_sf_for, is_finite,
 
 PAIR = ("asset", "model_a", "model_b")
 VARIANCE_FLOOR = 1e-24
-MAX_LAG = 34  # cube root of 40 000, more trading days than any daily calendar has
 
 
 def pair_losses(board: DataFrame, pairs, loss: str = "qlike") -> DataFrame:
@@ -37,20 +36,29 @@ def all_pairs(models) -> list[tuple[str, str]]:
     return [(a, b) for i, a in enumerate(models) for b in models[i + 1:]]
 
 
-def autocovariances(series: DataFrame, col: str, by, max_lag: int = MAX_LAG, centred: bool = True) -> DataFrame:
-    """Per key: n, mean, sum of squares, and the array of lag-k product sums, k = 1..max_lag.
+def autocovariances(series: DataFrame, col: str, by, lags: int = 0, centred: bool = True) -> DataFrame:
+    """Per key: n, mean, sum of squares, and the array of lag-k product sums.
 
-    All lags come from one Window node; the products are then partially aggregated.
+    Each key has the lags up to the whole cube root of its own n, or up to ``lags`` where that is more, and never
+    more than n - 1. One aggregate gathers a key's values (a row per trading day) in date order; the products
+    are array folds, so nothing bounds the length of a series and short series pay for their own lags only.
     """
-    whole = Window.partitionBy(*by)
-    w = whole.orderBy("date")
-    dev = series.withColumn("_dev", F.col(col) - F.avg(col).over(whole) if centred else F.col(col))
-    lags = dev.withColumns({f"_k{k}": F.lag("_dev", k).over(w) for k in range(1, max_lag + 1)})
-    return lags.groupBy(*by).agg(
-        F.count(col).alias("n"),
-        F.avg(col).alias("mean"),
-        F.sum(F.col("_dev") * F.col("_dev")).alias("ss"),
-        F.array(*[F.coalesce(F.sum(F.col("_dev") * F.col(f"_k{k}")), F.lit(0.0)) for k in range(1, max_lag + 1)]).alias("products"),
+    rows = series.groupBy(*by).agg(
+        F.count(col).alias("n"), F.avg(col).alias("mean"), F.array_sort(F.collect_list(F.struct("date", F.col(col).alias("v")))).alias("_v"))
+    dev = F.transform("_v", lambda x: x["v"] - F.col("mean") if centred else x["v"])
+    rows = rows.withColumn("_dev", dev)
+    last = F.least(F.greatest(cube_root_lag(F.col("n")), F.lit(lags)), F.size("_dev") - 1)
+
+    def product(k: Column) -> Column:
+        """Sum over t of dev(t) dev(t - k); pairs with a missing value count as zero."""
+        early, late = F.slice("_dev", 1, F.size("_dev") - k), F.slice("_dev", k + 1, F.size("_dev") - k)
+        return F.aggregate(F.zip_with(late, early, lambda a, b: F.coalesce(a * b, F.lit(0.0))), F.lit(0.0), lambda acc, v: acc + v)
+
+    steps = F.when(last >= 1, F.sequence(F.lit(1), last)).otherwise(F.array().cast("array<int>"))
+    return rows.select(
+        *by, "n", "mean",
+        F.aggregate("_dev", F.lit(0.0), lambda acc, v: acc + F.coalesce(v * v, F.lit(0.0))).alias("ss"),
+        F.transform(steps, product).alias("products"),
     )
 
 
@@ -65,7 +73,7 @@ def bartlett(products: Column, lag: Column, divisor) -> Column:
     steps = F.when(lag >= 1, F.sequence(F.lit(1), lag)).otherwise(F.array().cast("array<int>"))
     return F.aggregate(
         steps, F.lit(0.0),
-        lambda acc, k: acc + 2.0 * (1.0 - k / (lag + 1)) * F.element_at(products, k) / divisor(k),
+        lambda acc, k: acc + 2.0 * (1.0 - k / (lag + 1)) * F.coalesce(F.get(products, k - 1), F.lit(0.0)) / divisor(k),
     )
 
 
@@ -89,7 +97,7 @@ def dm_from_autocovariances(acov: DataFrame, lag: Column | None = None, horizon:
 
 
 def diebold_mariano(differences: DataFrame, by=PAIR, horizon: int = 1) -> DataFrame:
-    out = dm_from_autocovariances(autocovariances(differences, "d", by), horizon=horizon)
+    out = dm_from_autocovariances(autocovariances(differences, "d", by, horizon - 1), horizon=horizon)
     better = F.when(F.col("dm_stat") < 0, F.col("model_a")).otherwise(F.col("model_b"))
     return out.select(*by, "dm_stat", "dm_raw", "p_value", F.col("mean").alias("mean_loss_diff"), "n", "hac_lag", "lrv_over_gamma0", better.alias("better"))
 

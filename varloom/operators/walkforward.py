@@ -68,6 +68,7 @@ def assign_folds(frame: DataFrame, plan: SplitPlan, part: str = "test") -> DataF
     return (
         out.withColumn("train_end_pos", F.when(usable, end_pos))
         .withColumn("train_len", F.when(usable, length))
+        .withColumn("train_start_pos", F.when(usable, end_pos - length + 1))
         .withColumn("fold_idx", F.when(usable, F.floor(F.col("oos_pos") / plan.refit_every)))
     )
 
@@ -119,6 +120,28 @@ def ols_moments(x, y: str, frame_window=None) -> dict[str, Column]:
     return out
 
 
+def bounded_moments(folded: DataFrame, x, ys, steps=()) -> DataFrame:
+    """Moments over each fold's own window, on the fold's rows: differences of running sums at its two bounds.
+
+    Two lookups by position serve every fold, so a rolling window costs what an anchored one does. ``steps``
+    are columns whose standard deviation is wanted.
+    """
+    run = _running()
+    names = [*x, *ys, *steps]
+    products = [(a, b) for i, a in enumerate(x) for b in (*x[i:], *ys)] + [(v, v) for v in (*ys, *steps)]
+    sums = {"n": F.count(ys[0]).over(run)}
+    sums |= {f"s_{a}": F.sum(a).over(run) for a in names}
+    sums |= {f"p_{a}_{b}": F.sum(F.col(a) * F.col(b)).over(run) for a, b in products}
+    ends = at_train_end(sums, folded)
+    starts = folded.select("asset", (F.col("pos") + 1).alias("train_start_pos"), F.struct(*[v.alias(k) for k, v in sums.items()]).alias("_s"))
+    both = ends.join(starts, ["asset", "train_start_pos"], "left")
+    both = both.withColumns({k: F.col(k) - F.coalesce(F.col(f"_s.{k}"), F.lit(0)) for k in sums}).drop("_s")
+    both = both.withColumns({f"m_{a}": F.col(f"s_{a}") / F.col("n") for a in names})
+    centred = {(a, b): F.col(f"p_{a}_{b}") / F.col("n") - F.col(f"m_{a}") * F.col(f"m_{b}") for a, b in products}
+    named = {(f"v_{a}" if a in ys else f"sd_{a}" if a in steps else f"c_{a}_{b}"): (F.sqrt(F.greatest(v, F.lit(0.0))) if a in steps else v) for (a, b), v in centred.items()}
+    return both.withColumns(named).drop(*[c for c in sums if c != "n"])
+
+
 def solve3(x, y: str) -> dict[str, Column]:
     """Slopes of a three-regressor least squares from its centred moments, in closed form."""
     a, b, c = x
@@ -135,17 +158,21 @@ def solve3(x, y: str) -> dict[str, Column]:
 HAR_LAGS = ("rv_d", "rv_w", "rv_m")
 
 
-def har_fits(folded: DataFrame) -> DataFrame:
+def har_fits(folded: DataFrame, scheme: str = "anchored") -> DataFrame:
     """Random-walk, level and log lag-regression forecasts on every out-of-sample row, in one pass.
 
-    Level and log targets share the regressor moments, so both fits cost one Window over the panel.
+    Level and log targets share the regressor moments, so both fits cost one Window over the panel. With a
+    rolling scheme each fold's moments begin at its own first training row.
     """
     logged = folded.withColumn("log_rv", F.ln(F.greatest("rv", F.lit(FORECAST_FLOOR))))
-    values = {**ols_moments(HAR_LAGS, "rv"), **ols_moments(HAR_LAGS, "log_rv")}
-    values["sd_step"] = F.stddev_pop("log_step").over(_running())
-    logged = logged.withColumn("log_step", F.ln("rv") - F.ln("rv_d"))
+    logged = logged.withColumn("step", F.ln("rv") - F.ln("rv_d"))
     targets = (("rv", "lev"), ("log_rv", "log"))
-    out = at_train_end(values, logged)
+    if scheme == "rolling":
+        out = bounded_moments(logged, HAR_LAGS, ("rv", "log_rv"), ("step",))
+    else:
+        values = {**ols_moments(HAR_LAGS, "rv"), **ols_moments(HAR_LAGS, "log_rv")}
+        values["sd_step"] = F.stddev_pop("step").over(_running())
+        out = at_train_end(values, logged)
     out = out.withColumns({f"{tag}_{k}": v for y, tag in targets for k, v in solve3(HAR_LAGS, y).items()})
 
     def dot(tag: str, suffix: str) -> Column:
@@ -172,11 +199,11 @@ def har_fits(folded: DataFrame) -> DataFrame:
 BASELINES = {"RW-RV": "f_rw", "HAR-RV": "f_har", "HAR-RV-log": "f_loghar"}
 
 
-def to_board(wide: DataFrame, models: dict[str, str], y: str = "rv") -> DataFrame:
-    """Wide forecasts to the long board (asset, date, model, yhat, y_true)."""
-    named = wide.select("asset", "date", F.col(y).alias("y_true"), *[F.col(c).alias(m) for m, c in models.items()])
-    return named.unpivot(["asset", "date", "y_true"], list(models), "model", "yhat").select(
-        "asset", "date", "model", "yhat", "y_true"
+def to_board(wide: DataFrame, models: dict[str, str], y: str = "rv", keep=()) -> DataFrame:
+    """Wide forecasts to the long board (asset, date, model, yhat, y_true) with the columns named in ``keep``."""
+    named = wide.select("asset", "date", *keep, F.col(y).alias("y_true"), *[F.col(c).alias(m) for m, c in models.items()])
+    return named.unpivot(["asset", "date", *keep, "y_true"], list(models), "model", "yhat").select(
+        "asset", "date", *keep, "model", "yhat", "y_true"
     )
 
 
@@ -195,17 +222,29 @@ def walk_forward(forecasters: dict, frame: DataFrame, plan: SplitPlan, part: str
 
 
 def guard_violations(board: DataFrame, folds: DataFrame) -> DataFrame:
-    """Forecasts that fall outside every prediction window of their asset; must come back empty."""
-    windows = folds.groupBy("asset").agg(
-        F.min("predict_start").alias("_lo"), F.max("predict_end").alias("_hi"), F.min("train_end").alias("_first_end")
-    )
-    return board.join(windows, "asset", "left").where(
-        F.col("_lo").isNull() | (F.col("date") < F.col("_lo")) | (F.col("date") > F.col("_hi")) | (F.col("date") <= F.col("_first_end"))
+    """Forecasts that their own fold must not have made, with the reason; must come back empty.
+
+    ``board`` says in ``fold_idx`` whose training window each forecast came from. A forecast is at fault if
+    that fold doesn't exist, if its date lies outside the fold's prediction window or not after its training
+    window, or if it is not the only one of its asset, date and model.
+    """
+    windows = folds.select("asset", "fold_idx", "train_end", "predict_start", "predict_end")
+    twins = Window.partitionBy("asset", "date", "model")
+    rows = board.withColumn("_n", F.count("*").over(twins)).join(windows, ["asset", "fold_idx"], "left")
+    reason = (
+        F.when(F.col("predict_start").isNull(), "no such fold")
+        .when(F.col("date") <= F.col("train_end"), "inside training")
+        .when(~F.col("date").between(F.col("predict_start"), F.col("predict_end")), "outside window")
+        .when(F.col("_n") > 1, "not the only one")
     )
+    return rows.withColumn("reason", reason).where(F.col("reason").isNotNull()).drop("_n", "train_end", "predict_start", "predict_end")
 
 
-def coverage_report(board: DataFrame, folded: DataFrame) -> DataFrame:
-    """Share of out-of-sample dates each model has a forecast for."""
-    days = folded.where("is_oos").groupBy("asset").agg(F.count("*").alias("n_days"))
-    have = board.where(F.col("yhat").isNotNull() & ~F.isnan("yhat")).groupBy("asset", "model").agg(F.count("*").alias("n_forecasts"))
-    return have.join(days, "asset").withColumn("share", F.col("n_forecasts") / F.col("n_days"))
+def coverage_report(board: DataFrame, folded: DataFrame, models) -> DataFrame:
+    """Share of out-of-sample dates each of ``models`` has a finite forecast for; a silent model has share 0."""
+    days = folded.where("is_oos").select("asset", "date")
+    n_days = days.groupBy("asset").agg(F.count("*").alias("n_days")).withColumn("model", F.explode(F.array(*[F.lit(m) for m in models])))
+    have = board.where(F.col("yhat").isNotNull() & ~F.isnan("yhat")).join(days, ["asset", "date"])
+    have = have.groupBy("asset", "model").agg(F.countDistinct("date").alias("n_forecasts"))
+    out = n_days.join(have, ["asset", "model"], "left").withColumn("n_forecasts", F.coalesce("n_forecasts", F.lit(0)))
+    return out.withColumn("share", F.col("n_forecasts") / F.col("n_days"))

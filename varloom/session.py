@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+from tempfile import gettempdir
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,15 +24,23 @@ def build_session(master: str = "local[8]", app: str = "varloom", partitions: in
     return spark
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint into the folder the cluster names in ``spark.checkpoint.dir``.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share, as the session names it in ``spark.checkpoint.dir``.
 
-    Iterative fits call this so that a lost executor replays one iteration and not the whole fit. A
-    folder of our own is set only where the session names none, which is the case in tests.
+    Only a session that runs in one process may go without; it gets a folder of its own. Anywhere else a
+    machine-local folder would lose what other machines wrote, so a missing setting is an error.
     """
-    spark = df.sparkSession
-    context = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return f"{gettempdir()}/varloom-{spark.sparkContext.applicationId}"
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint into the shared folder: a lost executor replays one step and not the whole fit."""
+    context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="varloom-checkpoint-"))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)

@@ -66,7 +66,7 @@ def profile_of(stem, prefixes):
     """Profile part of a file stem: the first matching phase prefix is dropped."""
     out = stem
     for p in reversed(list(prefixes)):
-        out = F.when(stem.startswith(p), F.substring(stem, len(p) + 1, 10_000)).otherwise(out)
+        out = F.when(stem.startswith(p), F.substr(stem, F.lit(len(p) + 1))).otherwise(out)
     return out
 
 

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from varloom.operators.features import keep_first
+from varloom.session import shared_folder
 
 # Column names seen across vintages of the files.
 SYMBOL_NAMES = ("symbol", "ticker", "asset")
@@ -19,9 +19,8 @@ PROBE_ROWS, PROBE_SHARE = 50, 0.8
 
 
 def scratch_folder(spark: SparkSession, name: str) -> str:
-    """A fresh folder next to the cluster's shared checkpoint folder, or a local one where none is set."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="varloom-scratch-")
-    return f"{base.rstrip('/')}/varloom-{name}-{uuid.uuid4().hex}"
+    """A fresh folder below the one that driver and executors share."""
+    return f"{shared_folder(spark)}/varloom-{name}-{uuid.uuid4().hex}"
 
 
 def match_column(columns, names, prefix: str | None = None) -> str | None:
@@ -68,12 +67,12 @@ def load_library(spark: SparkSession, path: str, symbols=None) -> DataFrame:
     return keep_first(panel.where(F.col("date").isNotNull()), ["asset", "date"], ["_raw", *measures]).drop("_raw")
 
 
-def require_symbol(panel: DataFrame, symbol: str) -> DataFrame:
-    """The rows of a symbol; an unknown one is an error that lists some that exist."""
+def require_symbol(panel: DataFrame, symbol: str, named: int = 25) -> DataFrame:
+    """The rows of a symbol; an unknown one is an error that lists the first ``named`` that exist."""
     rows = panel.where(F.upper("asset") == symbol.upper())
     if rows.isEmpty():
-        known = [r["asset"] for r in panel.select("asset").distinct().limit(25).collect()]
-        raise ValueError(f"symbol {symbol!r} not found; some that exist: {sorted(known)}")
+        known = [r["asset"] for r in panel.select("asset").distinct().orderBy("asset").limit(named).collect()]
+        raise ValueError(f"symbol {symbol!r} not found; some that exist: {known}")
     return rows
 
 
