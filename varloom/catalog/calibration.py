@@ -12,7 +12,7 @@ from varloom.operators import calibration as cal, scoring as sc, timing as tm, w
 from varloom.operators.walkforward import BASELINES
 from varloom.plans import study
 
-TAUS = (0.05, 0.1, 0.25, 0.5, 0.75, 0.9, 0.95)
+TAUS = (0.05, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 0.95)
 IKEY = ["asset", "method", "level_pct"]
 IV = """count(*) AS n, avg(CASE WHEN y_true BETWEEN lo AND hi THEN 1.0 ELSE 0.0 END) AS picp, avg(hi - lo) AS mpiw,
   avg(hi - lo + CASE WHEN y_true < lo THEN 200.0/(100-level_pct)*(lo-y_true) WHEN y_true > hi THEN 200.0/(100-level_pct)*(y_true-hi) ELSE 0 END) AS winkler,

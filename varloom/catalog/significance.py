@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from varloom.catalog.base import query, tidy
-from varloom.catalog.sql import QLIKE, chi2, define, num, r, rs, student
+from varloom.catalog.sql import CTES, QLIKE, chi2, define, num, r, rs, student
 from varloom.operators import significance as sg, timing as tm
 from varloom.operators.walkforward import BASELINES
 from varloom.plans import study
@@ -46,8 +48,17 @@ define("t_dmlags", dm_sql(
     ", LATERAL (SELECT unnest(list_distinct([0, 1, 2, 5, 10, 15, 20, 30, CAST(floor(power(m.n, 1/3) + 1e-9) AS INT)])) AS hl) g", "g.hl"))
 
 
-def differences(spark, sf_dir):
-    return sg.pair_losses(study.board(spark, sf_dir), PAIRS)
+# The same chain for squared-error losses.
+define("t_lossse", "SELECT asset, date, model, (y_true - yhat)*(y_true - yhat) AS loss FROM t_board")
+for _name in ("t_d", "t_dev", "t_acov", "t_dmean", "t_dm"):
+    _text = CTES[_name].replace("t_loss ", "t_lossse ")
+    for _other in ("t_acov", "t_dmean", "t_dev", "t_d"):
+        _text = re.sub(rf"\b{_other}\b", f"{_other}se", _text)
+    define(f"{_name}se", _text)
+
+
+def differences(spark, sf_dir, loss: str = "qlike"):
+    return sg.pair_losses(study.board(spark, sf_dir), PAIRS, loss)
 
 
 def acov(spark, sf_dir):
@@ -66,6 +77,21 @@ def diebold_mariano(spark, sf_dir):
     return tidy(out, [*KEYS, "n", "hac_lag", "better"], dm_stat=7, dm_raw=7, p_value=8, mean_loss_diff=9, lrv_over_gamma0=7)
 
 
+@query("E5_squared_error_test", f"""
+  SELECT {KEY}, n, hac_lag, CASE WHEN stat < 0 THEN model_a ELSE model_b END AS better, {r('stat', 6, 'dm_stat')},
+         {r(student('stat', 'n - 1'), 7, 'p_value')}, {r('mean', 8, 'mean_loss_diff')} FROM t_dmse""")
+def squared_error_test(spark, sf_dir):
+    out = sg.diebold_mariano(differences(spark, sf_dir, "mse"))
+    return tidy(out, [*KEYS, "n", "hac_lag", "better"], dm_stat=6, p_value=7, mean_loss_diff=8)
+
+
+@query("J10_paired_differences", f"SELECT {KEY}, count(*) AS n, min(date) AS first_date, max(date) AS last_date, {r('avg(d)', 8, 'mean_loss_diff')} FROM t_d GROUP BY {KEY}")
+def paired_differences(spark, sf_dir):
+    out = differences(spark, sf_dir).groupBy(*KEYS).agg(
+        F.count("*").alias("n"), F.min("date").alias("first_date"), F.max("date").alias("last_date"), F.avg("d").alias("mean_loss_diff"))
+    return tidy(out, [*KEYS, "n", "first_date", "last_date"], mean_loss_diff=8)
+
+
 @query("T2_loss_differential", f"SELECT {KEY}, date, {rs(loss_a=9, loss_b=9, d=9)} FROM t_d")
 def loss_differential(spark, sf_dir):
     return tidy(differences(spark, sf_dir), [*KEYS, "date"], loss_a=9, loss_b=9, d=9)

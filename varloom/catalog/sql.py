@@ -248,7 +248,7 @@ define("t_law", """
   UNION ALL SELECT asset, date, rv, 'log-walk', ln(rv_d), sd_step FROM t_fits""")
 define("t_iv", "\n UNION ALL ".join(
     f"SELECT asset, date, method, y_true, {L} AS level_pct, greatest(exp(mu + {z((100 - L) / 200)}*sigma),1e-14) AS lo, "
-    f"greatest(exp(mu + {z(1 - (100 - L) / 200)}*sigma),1e-14) AS hi FROM t_law" for L in (50, 80, 90)))
+    f"greatest(exp(mu + {z(1 - (100 - L) / 200)}*sigma),1e-14) AS hi FROM t_law" for L in (50, 80, 90, 95)))
 
 # ---------------------------------------------------------------------------------------------- states
 define("t_cuts", f"""

@@ -387,6 +387,9 @@ def fit_chain(starts: DataFrame, max_iter: int = 10, tol: float = 1e-4) -> DataF
             F.element_at("g", 1).alias("start"), F.col("next").alias("matrix"), ll.alias("loglik"), (ll - F.col("loglik") > tol).alias("moved")))
         if state.where("moved").isEmpty():
             break
+    # The rounds carry the likelihood of the parameters before them; what is returned is scored as it is.
+    scored = state.withColumn("losses", rc.gaussian_losses(F.col("x"), F.col("means"), F.col("variances")))
+    state = scored.withColumn("loglik", rc.forward_filter(F.col("losses"), F.col("start"), rc.transpose(F.col("matrix"), k))["loglik"]).drop("losses")
     rest = ["init", "dates", "x", "means", "variances", "start", "matrix"]
     best = state.groupBy("asset", "k").agg(F.max_by(F.struct("loglik", *rest), F.struct("loglik", "init")).alias("b")).select("asset", "k", "b.*")
     order = F.array_sort(F.transform("variances", lambda v, i: F.struct(v.alias("v"), i.alias("i"))))["i"]

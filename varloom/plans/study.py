@@ -14,7 +14,7 @@ from varloom.session import cut_lineage
 from varloom.sources.tables import daily_ohlc, trades
 
 PLAN = SplitPlan()
-LEVELS = (50, 80, 90)
+LEVELS = (50, 80, 90, 95)
 
 
 class Study:
