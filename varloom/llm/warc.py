@@ -10,6 +10,7 @@ per file are bounded, so a file fits in a task's memory whatever the size of a p
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 from collections.abc import Iterator
 
@@ -120,14 +121,14 @@ def write(pages: DataFrame, path: str, min_bytes: int = 0, segment_bytes: int =
                 out += page_records(key, row["url"], payload, None if first == key else first, segment_bytes)
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["record"])
 
-    records = rows.mapInArrow(run, "record binary")
-    # Continuations go to any file: readers may not rely on neighbours.
-    dealt = records.repartition(common.shuffle_partitions(pages.sparkSession), F.xxhash64("record"))
-    dealt.select(F.col("record").cast("string").alias("value")).write.option("lineSep", RECORD_END).option("maxRecordsPerFile", records_per_file).text(path)
+    lines = rows.mapInArrow(run, "record binary").select(F.col("record").cast("string").alias("value"))
+    lines.write.option("lineSep", RECORD_END).option("maxRecordsPerFile", records_per_file).option("compression", "gzip").text(path)
 
 
 def parse(archive: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Header fields (lower-case names) and block of each record of an uncompressed archive."""
+    """Header fields (lower-case names) and block of each record of an archive; gzip (one member or many) is undone."""
+    if archive[:2] == b"\x1f\x8b":
+        archive = gzip.decompress(archive)
     at = 0
     while (at := archive.find(b"WARC/", at)) >= 0:
         end = archive.find(b"\r\n\r\n", at)
@@ -175,37 +176,37 @@ def reassemble(parts: DataFrame) -> DataFrame:
 
     whole is false where a segment is missing or twice with other bytes, the total length differs, the chunked
     framing is broken or a response's payload has another digest than the record says. Equal copies of a
-    segment count once. A continuation without its origin gives a row with null kind.
+    segment count once. A continuation without its origin gives a row with null kind. The group is one record.
     """
-    pieces = parts.groupBy("origin", "segment").agg(
-        F.max(F.when(F.col("kind") != "continuation", F.struct("kind", "digest", "refers_to"))).alias("head"),
-        F.max("total").alias("total"),
-        F.min("block").alias("block"),
-        F.max("block").alias("other"),
-    )
-    rows = pieces.groupBy("origin").agg(
-        F.max("head").alias("head"), F.max("total").alias("total"), F.sort_array(F.collect_list(F.struct("segment", "block", "other"))).alias("pieces")
-    )
-    flat = rows.select("origin", "head.kind", "head.digest", "head.refers_to", "total", "pieces")
+    piece = F.struct("segment", "block", "total", "kind", "digest", "refers_to")
+    rows = parts.groupBy("origin").agg(F.collect_list(piece).alias("pieces"))
     kinds = [("origin", pa.string()), ("kind", pa.string()), ("digest", pa.string()), ("refers_to", pa.string())]
     kinds += [("payload", pa.binary()), ("whole", pa.bool_())]
 
+    def one(origin: str | None, pieces: list[dict]) -> dict:
+        first = next((p for p in pieces if p["kind"] != "continuation"), {"kind": None, "digest": None, "refers_to": None})
+        by_number: dict[int, set[bytes]] = {}
+        for p in pieces:
+            by_number.setdefault(p["segment"], set()).add(p["block"])
+        numbers = sorted(by_number)
+        total = max((p["total"] for p in pieces if p["total"] is not None), default=None)
+        block = b"".join(min(by_number[n]) for n in numbers)
+        good = first["kind"] is not None and numbers == list(range(1, len(numbers) + 1)) and all(len(x) == 1 for x in by_number.values())
+        good &= total == len(block) if len(numbers) > 1 else total in (None, len(block))
+        head, _, body = block.partition(b"\r\n\r\n")
+        payload = unchunked(body) if b"transfer-encoding: chunked" in head.lower() else body
+        if first["kind"] == "response":
+            good &= payload is not None and first["digest"] in (None, digest32(payload))
+        told = {c: first[c] for c in ("kind", "digest", "refers_to")}
+        return {"origin": origin, **told, "payload": payload if good else None, "whole": good}
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(batch.num_rows):
-                row = batch.slice(i, 1).to_pylist()[0]
-                pieces = row.pop("pieces")
-                total = row.pop("total")
-                block = b"".join(p["block"] for p in pieces)
-                good = row["kind"] is not None and [p["segment"] for p in pieces] == list(range(1, len(pieces) + 1))
-                good &= all(p["block"] == p["other"] for p in pieces) and (total == len(block) if len(pieces) > 1 else total in (None, len(block)))
-                head, _, body = block.partition(b"\r\n\r\n")
-                payload = unchunked(body) if b"transfer-encoding: chunked" in head.lower() else body
-                if row["kind"] == "response":
-                    good &= payload is not None and row["digest"] in (None, digest32(payload))
-                yield pa.RecordBatch.from_pylist([row | {"payload": payload if good else None, "whole": good}], pa.schema(kinds))
-
-    return flat.mapInArrow(run, "origin string, kind string, digest string, refers_to string, payload binary, whole boolean")
+            for i in range(0, batch.num_rows, 64):
+                part = batch.slice(i, 64).to_pylist()
+                yield pa.RecordBatch.from_pylist([one(r["origin"], r["pieces"]) for r in part], pa.schema(kinds))
+
+    return rows.mapInArrow(run, "origin string, kind string, digest string, refers_to string, payload binary, whole boolean")
 
 
 def page_summary(reassembled: DataFrame) -> DataFrame:
