@@ -23,8 +23,10 @@ SPACES = " \t\n\x0b\x0c\r"
 CHUNK_BYTES = 4 << 20
 #: Ids that may be broadcast (8 bytes each) after they have been counted; beyond it the join shuffles.
 BROADCAST_IDS = 1_000_000
-#: Buckets per shuffle partition, so that hashing buckets to partitions stays even.
+#: Buckets per shuffle partition: a reducer works through its partition in so many steps.
 BUCKETS_PER_PARTITION = 4
+#: Bytes of arrays that a reducer holds before it sends them on.
+HELD_BYTES = 48 << 20
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,8 +66,8 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def text_chunks(batches: Iterable[pa.RecordBatch], column: str = "text") -> Iterator[pa.RecordBatch]:
-    """Slices of at most CHUNK_BYTES of text (one row at least)."""
+def text_chunks(batches: Iterable[pa.RecordBatch], column: str = "text", limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
+    """Slices of at most `limit` bytes of text (one row at least)."""
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -74,7 +76,7 @@ def text_chunks(batches: Iterable[pa.RecordBatch], column: str = "text") -> Iter
         start = 0
         while start < batch.num_rows:
             base = ends[start - 1] if start else 0
-            stop = max(start + 1, int(np.searchsorted(ends, base + CHUNK_BYTES, side="right")))
+            stop = max(start + 1, int(np.searchsorted(ends, base + limit, side="right")))
             yield batch.slice(start, stop - start)
             start = stop
 
@@ -165,13 +167,35 @@ def deal(bucket: np.ndarray, columns: dict[str, np.ndarray]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(arrays, names=["bucket", *columns])
 
 
+class Dealer:
+    """Gathers what a reducer makes of its buckets, so that a task sends about one row per bucket and not one per pair of buckets."""
+
+    def __init__(self):
+        self.held: list[tuple[np.ndarray, dict[str, np.ndarray]]] = []
+        self.size = 0
+
+    def add(self, bucket: np.ndarray, columns: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
+        if len(bucket):
+            self.held.append((bucket, columns))
+            self.size += bucket.nbytes + sum(c.nbytes for c in columns.values())
+        if self.size >= HELD_BYTES:
+            yield from self.rest()
+
+    def rest(self) -> Iterator[pa.RecordBatch]:
+        if self.held:
+            names = list(self.held[0][1])
+            yield deal(np.concatenate([b for b, _ in self.held]), {c: np.concatenate([x[c] for _, x in self.held]) for c in names})
+        self.held, self.size = [], 0
+
+
 def blob_schema(*columns: str) -> str:
     return ", ".join(["bucket int", *(f"{c} binary" for c in columns)])
 
 
-def by_bucket(df: DataFrame) -> DataFrame:
-    """Bring the blobs of a bucket together; a partition then holds its buckets one after the other."""
-    return df.repartition(shuffle_partitions(df.sparkSession), "bucket").sortWithinPartitions("bucket")
+def by_bucket(df: DataFrame, *then: str) -> DataFrame:
+    """Bring the blobs of a bucket together; each partition holds as many buckets, one after the other (rows of one by ``then``)."""
+    n = shuffle_partitions(df.sparkSession)
+    return df.repartitionById(n, F.pmod(F.col("bucket"), F.lit(n))).sortWithinPartitions("bucket", *then)
 
 
 def buckets(batches: Iterable[pa.RecordBatch], dtypes: dict[str, type]) -> Iterator[tuple[int, dict[str, np.ndarray]]]:

@@ -220,6 +220,7 @@ def _shared(keys: DataFrame, n_buckets: int, hot_docs: int) -> DataFrame:
     """Blobs (doc, key, hot) by document, of keys that two documents or more have."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        dealer = common.Dealer()
         for _, got in common.buckets(batches, {"key": np.uint64, "gap": np.int64, "head": bool}):
             key, gap = got["key"], got["gap"]
             head = np.flatnonzero(got["head"])
@@ -240,7 +241,8 @@ def _shared(keys: DataFrame, n_buckets: int, hot_docs: int) -> DataFrame:
             key, doc, hot = key[taken], doc[taken], many[taken] >= hot_docs
             if len(key):
                 bucket = (common.mix(doc.view(np.uint64)) % np.uint64(n_buckets)).astype(np.int32)
-                yield common.deal(bucket, {"doc": doc, "key": key, "hot": hot})
+                yield from dealer.add(bucket, {"doc": doc, "key": key, "hot": hot})
+        yield from dealer.rest()
 
     return common.by_bucket(keys).mapInArrow(run, common.blob_schema("doc", "key", "hot"))
 
@@ -312,6 +314,7 @@ def _removed_runs(segments: DataFrame, n_buckets: int, length: int) -> DataFrame
     dtypes = {"key": np.uint64, "doc": np.int64, "tie": np.int64, "start": np.int64, "size": np.int32, "bytes": np.uint8}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        dealer = common.Dealer()
         for _, got in common.buckets(batches, dtypes):
             size, raw = got["size"].astype(np.int64), got["bytes"]
             begin = np.cumsum(size) - size
@@ -348,7 +351,8 @@ def _removed_runs(segments: DataFrame, n_buckets: int, length: int) -> DataFrame
             doc, tie = got["doc"][at], got["tie"][at]
             low, high = got["start"][at] + low - first[at], got["start"][at] + high - first[at] + length
             bucket = (common.mix(doc.view(np.uint64)) % np.uint64(n_buckets)).astype(np.int32)
-            yield common.deal(bucket, {"doc": doc, "tie": tie, "low": low, "high": high})
+            yield from dealer.add(bucket, {"doc": doc, "tie": tie, "low": low, "high": high})
+        yield from dealer.rest()
 
     return common.by_bucket(segments).mapInArrow(run, common.blob_schema("doc", "tie", "low", "high"))
 
@@ -373,10 +377,11 @@ def _hot_runs(texts: DataFrame, n_buckets: int, length: int, gram: int) -> DataF
     found = rows.join(least, "window").where("least < doc").select("doc", "tie", "low", (F.col("low") + length).alias("high"))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        dealer = common.Dealer()
         for batch in batches:
-            if batch.num_rows:
-                arrays = {c: batch.column(c).to_numpy() for c in ("doc", "tie", "low", "high")}
-                yield common.deal((common.mix(arrays["doc"].view(np.uint64)) % np.uint64(n_buckets)).astype(np.int32), arrays)
+            arrays = {c: batch.column(c).to_numpy() for c in ("doc", "tie", "low", "high")}
+            yield from dealer.add((common.mix(arrays["doc"].view(np.uint64)) % np.uint64(n_buckets)).astype(np.int32), arrays)
+        yield from dealer.rest()
 
     return found.mapInArrow(pack, common.blob_schema("doc", "tie", "low", "high"))
 
