@@ -203,8 +203,8 @@ def _by_word(events: DataFrame, uni: Unigrams, n_buckets: int) -> DataFrame:
     """What word buckets know, by kind:
 
     doc: by flush, for each row number (a) the sums base (b), score (c), and counts: known words and seen bigrams by count (d).
-    hist: by history (a), the bigrams by count 1 to CUTOFF and the higher ones (b), and the sum of P(w) (c).
-    unseen: by history (a), flush (b) and row number (c) of bigrams that weren't seen.
+    hist: by history (a), the bigrams by count 1 to CUTOFF and the higher ones (b), and the sum of P(w) (c); where
+        c is not a number, b holds flush and row number of a bigram that wasn't seen.
     stat: bigram types by count (a). rows: by flush, keys (a) and lengths (b) of the rows.
     """
     def send(bucket: np.ndarray, kind: str, **columns: np.ndarray) -> pa.RecordBatch:
@@ -219,6 +219,7 @@ def _by_word(events: DataFrame, uni: Unigrams, n_buckets: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held_docs: list[tuple] = []
         held_hist: list[tuple] = []
+        held_lost: list[tuple] = []
         stat = np.zeros(CUTOFF + 2, np.int64)
 
         def send_docs() -> Iterator[pa.RecordBatch]:
@@ -238,18 +239,23 @@ def _by_word(events: DataFrame, uni: Unigrams, n_buckets: int) -> DataFrame:
 
         def send_hist() -> pa.RecordBatch:
             history, count, share = (np.concatenate([x[i] for x in held_hist]) for i in range(3))
+            lost, flush, number = (np.concatenate([x[i] for x in held_lost]) if held_lost else np.zeros(0, t) for i, t in enumerate((np.uint64, np.int64, np.uint16)))
             order = np.argsort(history, kind="stable")
             history, count, share = history[order], count[order], share[order]
-            at = np.flatnonzero(np.concatenate([[True], history[1:] != history[:-1]]))
-            group = np.cumsum(np.concatenate([[True], history[1:] != history[:-1]])) - 1
-            level = np.minimum(count, CUTOFF + 1)
-            table = np.bincount(group * (CUTOFF + 1) + level - 1, minlength=len(at) * (CUTOFF + 1)).astype(np.uint32)
-            table = table.reshape(-1, CUTOFF + 1).view(f"V{4 * (CUTOFF + 1)}").ravel()
-            history = history[at]
+            new = np.ones(len(history), bool)
+            new[1:] = history[1:] != history[:-1]
+            at = np.flatnonzero(new)
+            group = np.cumsum(new) - 1
+            table = np.bincount(group * (CUTOFF + 1) + np.minimum(count, CUTOFF + 1) - 1, minlength=len(at) * (CUTOFF + 1)).astype(np.uint32).reshape(-1, CUTOFF + 1)
+            told = np.zeros((len(lost), CUTOFF + 1), np.uint32)
+            told[:, :2] = flush.view(np.uint32).reshape(-1, 2)
+            told[:, 2] = number
+            history = np.concatenate([history[at], lost])
+            share = np.concatenate([np.add.reduceat(share, at) if len(at) else share, np.full(len(lost), np.nan)])
             bucket = (common.mix(history) % np.uint64(n_buckets)).astype(np.int32)
-            return send(bucket, "hist", a=history, b=table, c=np.add.reduceat(share, at))
+            return send(bucket, "hist", a=history, b=np.concatenate([table, told]).view(f"V{4 * (CUTOFF + 1)}").ravel(), c=share)
 
-        def of_bucket(blobs: list[dict]) -> Iterator[pa.RecordBatch]:
+        def of_bucket(blobs: list[dict]) -> None:
             got = {c: np.concatenate([np.frombuffer(x[c], t) for x in blobs]) for c, t in DTYPES.items()}
             flush = np.array([x["flush"] for x in blobs], np.int64)
             blob = np.repeat(np.arange(len(blobs)), [len(x["rows"]) // 2 for x in blobs])
@@ -289,16 +295,16 @@ def _by_word(events: DataFrame, uni: Unigrams, n_buckets: int) -> DataFrame:
             lost = np.flatnonzero(count[occurrence] == 0)
             if len(lost):
                 lost_h = h[occurrence[lost]]
-                bucket = (common.mix(lost_h) % np.uint64(n_buckets)).astype(np.int32)
-                yield send(bucket, "unseen", a=lost_h, b=flush[blob[lost]], c=number[lost])
+                held_lost.append((lost_h, flush[blob[lost]], number[lost]))
 
         def flush_held(limit: int) -> Iterator[pa.RecordBatch]:
             if sum(len(x[0]) for x in held_docs) > limit:
                 yield from send_docs()
                 held_docs.clear()
-            if sum(len(x[0]) for x in held_hist) > limit:
+            if sum(len(x[0]) for x in (*held_hist, *held_lost)) > limit:
                 yield send_hist()
                 held_hist.clear()
+                held_lost.clear()
 
         now, blobs = None, []
         for batch in batches:
@@ -309,13 +315,13 @@ def _by_word(events: DataFrame, uni: Unigrams, n_buckets: int) -> DataFrame:
                     yield send(np.full(n_rows, -1 - row["bucket"], np.int32), "rows", flush=row["flush"], **told)
                     continue
                 if row["bucket"] != now and blobs:
-                    yield from of_bucket(blobs)
+                    of_bucket(blobs)
                     yield from flush_held(HELD_ENTRIES)
                     blobs = []
                 now = row["bucket"]
                 blobs.append(row)
         if blobs:
-            yield from of_bucket(blobs)
+            of_bucket(blobs)
         yield from flush_held(0)
         yield send(np.zeros(CUTOFF + 2, np.int32), "stat", a=stat)
 
@@ -340,26 +346,29 @@ def _bigram_factors(table: DataFrame) -> np.ndarray:
 
 def _by_history(table: DataFrame, factor: np.ndarray, n_buckets: int) -> DataFrame:
     """Blobs by flush: row number (a) and what unseen bigrams add to its score (b), log10 of alpha(h) c(h)."""
-    rows = table.where("kind in ('hist', 'unseen')").select("bucket", "a", "b", "c", "kind")
-    dealt = rows.repartition(common.shuffle_partitions(table.sparkSession), "bucket").sortWithinPartitions("bucket", "kind")
+    rows = table.where("kind = 'hist'").select("bucket", "a", "b", "c")
     counts = np.arange(1, CUTOFF + 1)
     left_of = np.concatenate([(1 - factor[1:]) * counts, [LESS]])
 
-    def of_bucket(hist: list[dict], unseen: list[dict]) -> Iterator[pa.RecordBatch]:
-        lost = np.concatenate([np.frombuffer(x["a"], np.uint64) for x in unseen])
-        flush = np.concatenate([np.frombuffer(x["b"], np.int64) for x in unseen])
-        number = np.concatenate([np.frombuffer(x["c"], np.uint16) for x in unseen])
-        value = np.zeros(len(lost))
-        if hist:
-            history = np.concatenate([np.frombuffer(x["a"], np.uint64) for x in hist])
-            types = np.concatenate([np.frombuffer(x["b"], np.uint32).reshape(-1, CUTOFF + 1) for x in hist])
-            share = np.concatenate([np.frombuffer(x["c"], np.float64) for x in hist])
+    def of_bucket(got: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        told = np.isnan(got["c"])
+        types = got["b"].reshape(-1, CUTOFF + 1)
+        lost, flush = got["a"][told], np.ascontiguousarray(types[told, :2]).view(np.int64).ravel()
+        number, value = types[told, 2].astype(np.uint16), np.zeros(len(lost))
+        history, types, share = got["a"][~told], types[~told], got["c"][~told]
+        if len(history):
             name, at = np.unique(history, return_inverse=True)
             left = np.bincount(at, types @ left_of)
             share = np.bincount(at, share)
             log = np.log10(left) - np.log10(np.maximum(1 - share, 1e-300))
             place = np.minimum(np.searchsorted(name, lost), len(name) - 1)
             value = np.where(name[place] == lost, log[place], 0.0)
+        return flush, number, value
+
+    def send(found: list[tuple]) -> Iterator[pa.RecordBatch]:
+        if not sum(len(x[0]) for x in found):
+            return
+        flush, number, value = (np.concatenate([x[i] for x in found]) for i in range(3))
         order = np.lexsort((number, flush))
         flush, number, value = flush[order], number[order], value[order]
         new = np.concatenate([[True], (flush[1:] != flush[:-1]) | (number[1:] != number[:-1])])
@@ -374,25 +383,22 @@ def _by_history(table: DataFrame, factor: np.ndarray, n_buckets: int) -> DataFra
         yield pa.RecordBatch.from_arrays([*arrays, pa.array(names)], names=["bucket", "a", "b", "flush"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, hist, unseen = None, [], []
-        for batch in batches:
-            for row in batch.to_pylist():
-                if row["bucket"] != now:
-                    if unseen:
-                        yield from of_bucket(hist, unseen)
-                    now, hist, unseen = row["bucket"], [], []
-                (hist if row["kind"] == "hist" else unseen).append(row)
-        if unseen:
-            yield from of_bucket(hist, unseen)
+        found: list[tuple] = []
+        for _, got in common.buckets(batches, {"a": np.uint64, "b": np.uint32, "c": np.float64}):
+            found.append(of_bucket(got))
+            if sum(len(x[0]) for x in found) > HELD_ENTRIES:
+                yield from send(found)
+                found = []
+        yield from send(found)
 
-    return dealt.mapInArrow(run, "bucket int, a binary, b binary, flush bigint")
+    return common.by_bucket(rows).mapInArrow(run, "bucket int, a binary, b binary, flush bigint")
 
 
 def _per_row(table: DataFrame, backed_off: DataFrame, factor: np.ndarray) -> DataFrame:
     """row_key, n_tokens, n_known, base (without its constant), score of each row sent."""
     own = table.where("kind in ('doc', 'rows')").select("bucket", "flush", "kind", "a", "b", "c", "d")
     more = backed_off.select("bucket", "flush", F.lit("late").alias("kind"), "a", "b", F.lit(b"").alias("c"), F.lit(b"").alias("d"))
-    dealt = own.unionByName(more).repartition(common.shuffle_partitions(table.sparkSession), "bucket").sortWithinPartitions("bucket", "flush")
+    dealt = common.by_bucket(own.unionByName(more), "flush")
     log_factor = np.log10(factor[1:])
 
     def of_flush(rows: list[dict]) -> Iterator[pa.RecordBatch]:
