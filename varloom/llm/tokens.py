@@ -23,18 +23,35 @@ from pyspark.sql import functions as F
 
 from varloom.llm import common
 
-#: A blank next to white space, or at an end: there a text can't be cut into independent pieces.
-UNSAFE = r"[\s\p{Z}\x0b\x1c-\x1f\x{85}] | [\s\p{Z}\x0b\x1c-\x1f\x{85}]|^ | $"
-#: Pieces whose ids a worker remembers (about 80 MB); beyond it the memory starts anew.
-REMEMBERED = 300_000
+#: White space next to other white space, or at an end: there a text can't be cut into independent pieces.
+UNSAFE = r"[\s\p{Z}\x0b\x1c-\x1f\x{85}]{2}|^[\s\p{Z}\x0b\x1c-\x1f\x{85}]|[\s\p{Z}\x0b\x1c-\x1f\x{85}]$"
+#: Text bytes whose distinct pieces are encoded once.
+CHUNK_BYTES = 12 << 20
+#: Texts that the tokenizer gets at once; its results are objects, so they are turned into arrays in between.
+SLICE = 8192
+_ALNUM = np.zeros(256, bool)
+_ALNUM[[*range(48, 58), *range(65, 91), *range(97, 123)]] = True
+#: Printable ASCII that is neither a letter, a digit, a blank nor the apostrophe, which may begin a contraction.
+_MARK = np.zeros(256, bool)
+_MARK[33:127] = True
+_MARK[39] = False
+_MARK &= ~_ALNUM
+_ENCODERS: dict[str, PieceEncoder] = {}
+
+
+def encoder(path: str) -> PieceEncoder:
+    """The worker's encoder of a tokenizer file, kept from task to task."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = PieceEncoder(path)
+    return _ENCODERS[path]
 
 
 class PieceEncoder:
-    """Encodes each distinct piece once.
+    """Encodes each distinct piece of a chunk once.
 
-    A byte-level tokenizer without normaliser never lets a token reach over a single blank between two
-    non-blank characters, so such texts are cut there; every other text, tokenizer or added token goes
-    through the tokenizer whole.
+    A byte-level tokenizer without normaliser never lets a token reach over a single blank or line feed between
+    two other characters, nor from an ASCII letter or digit to a mark, so texts are cut there. Every other
+    text, tokenizer or added token goes through the tokenizer whole.
     """
 
     def __init__(self, path: str):
@@ -42,7 +59,6 @@ class PieceEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, list[int]] = {}
         made = json.loads(self.tokenizer.to_str())
         before = made.get("pre_tokenizer") or {}
         self.cuts = (
@@ -54,16 +70,14 @@ class PieceEncoder:
         )
         self.added = [t["content"] for t in made.get("added_tokens", [])]
 
-    def _ids(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all pieces end to end, and how many each has."""
-        new = [p for p in pieces if p not in self.known]
-        if len(self.known) + len(new) > REMEMBERED:
-            self.known, new = {}, pieces
-        for piece, got in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self.known[piece] = got.ids
-        lists = [self.known[p] for p in pieces]
-        sizes = np.fromiter(map(len, lists), np.int64, len(lists))
-        return np.fromiter(chain.from_iterable(lists), np.int32, int(sizes.sum())), sizes
+    def _ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts end to end, and how many each has."""
+        ids, sizes = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
+        for i in range(0, len(texts), SLICE):
+            lists = [e.ids for e in self.tokenizer.encode_batch_fast(texts[i : i + SLICE], add_special_tokens=False)]
+            sizes.append(np.fromiter(map(len, lists), np.int64, len(lists)))
+            ids.append(np.fromiter(chain.from_iterable(lists), np.int32, int(sizes[-1].sum())))
+        return np.concatenate(ids), np.concatenate(sizes)
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts end to end, and how many each has; null counts as empty."""
@@ -72,31 +86,33 @@ class PieceEncoder:
         for token in self.added:
             whole = pc.or_(whole, pc.match_substring(texts, token))
         whole = whole.to_numpy(zero_copy_only=False)
+        if not whole.any():
+            return self._pieces(texts)
         cut_rows, whole_rows = np.flatnonzero(~whole), np.flatnonzero(whole)
-        ids, sizes = self._pieces(texts.take(pa.array(cut_rows))) if len(cut_rows) else (np.zeros(0, np.int32), np.zeros(0, np.int64))
-        if not len(whole_rows):
-            return ids, sizes
-        got = [e.ids for e in self.tokenizer.encode_batch_fast(texts.take(pa.array(whole_rows)).to_pylist(), add_special_tokens=False)]
-        more = np.fromiter(map(len, got), np.int64, len(got))
-        ids = np.concatenate([ids, np.fromiter(chain.from_iterable(got), np.int32, int(more.sum()))])
-        sizes = np.concatenate([sizes, more])
+        ids, sizes = self._pieces(texts.take(pa.array(cut_rows)))
+        more_ids, more = self._ids(texts.take(pa.array(whole_rows)).to_pylist())
+        ids, sizes = np.concatenate([ids, more_ids]), np.concatenate([sizes, more])
         order = np.argsort(np.concatenate([cut_rows, whole_rows]), kind="stable")
         starts = np.cumsum(sizes) - sizes
         return ids[common.ragged(starts[order], sizes[order])], sizes[order]
 
     def _pieces(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        split = pc.split_pattern(texts, " ")
-        edges = split.offsets.to_numpy()
-        flat = split.flatten()
-        edges = edges - edges[0]
-        inner = flat.dictionary_encode()
-        heads = flat.take(pa.array(edges[:-1])).dictionary_encode()
-        code = inner.indices.to_numpy().astype(np.int64)
-        code[edges[:-1]] = len(inner.dictionary) + heads.indices.to_numpy()
-        ids, sizes = self._ids([f" {p}" for p in inner.dictionary.to_pylist()] + heads.dictionary.to_pylist())
-        starts = np.cumsum(sizes) - sizes
+        data, starts = common.text_bytes(texts)
+        if not len(data):
+            return np.zeros(0, np.int32), np.zeros(len(texts), np.int64)
+        cut = data == 32
+        feed = data == 10
+        cut |= feed
+        cut[1:] |= feed[:-1] | (_MARK[data[1:]] & _ALNUM[data[:-1]])
+        cut[starts[:-1][starts[:-1] < len(data)]] = True
+        edges = np.flatnonzero(cut)
+        offsets = pa.py_buffer(np.concatenate([edges, [len(data)]]).astype(np.int32))
+        pieces = pa.Array.from_buffers(pa.string(), len(edges), [None, offsets, pa.py_buffer(data)]).dictionary_encode()
+        ids, sizes = self._ids(pieces.dictionary.to_pylist())
+        code = pieces.indices.to_numpy()
         each = sizes[code]
-        return ids[common.ragged(starts[code], each)], np.add.reduceat(each, edges[:-1])
+        total = np.concatenate([[0], np.cumsum(each)])[np.searchsorted(edges, starts)]
+        return ids[common.ragged((np.cumsum(sizes) - sizes)[code], each)], np.diff(total)
 
 
 def encode(docs: DataFrame, tokenizer: str, end_id: int | None = None, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -110,8 +126,8 @@ def encode(docs: DataFrame, tokenizer: str, end_id: int | None = None, id_column
     dealt = rows.repartitionByRange(common.shuffle_partitions(docs.sparkSession), *order).sortWithinPartitions(*order)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, part, before = PieceEncoder(tokenizer), TaskContext.get().partitionId(), 0
-        for chunk in common.text_chunks(batches):
+        coder, part, before = encoder(tokenizer), TaskContext.get().partitionId(), 0
+        for chunk in common.text_chunks(batches, limit=CHUNK_BYTES):
             ids, sizes = coder.encode(chunk.column("text"))
             if end_id is not None:
                 ends = np.cumsum(sizes + 1) - 1
@@ -149,13 +165,11 @@ def write(
     )
 
 
-def read(spark: SparkSession, path: str) -> DataFrame:
-    """Rows with their global ``start``: ids of all rows before them. One sum per part is all that crosses parts."""
-    rows = spark.read.parquet(path)
-    parts = rows.groupBy("part").agg(F.sum(F.size("ids")).alias("in_part"))
-    ahead = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    parts = parts.select("part", F.coalesce(F.sum("in_part").over(ahead), F.lit(0)).alias("ahead"))
-    return rows.join(parts, "part").withColumn("start", F.col("ahead") + F.col("before")).drop("ahead", "before")
+def parts_ahead(spark: SparkSession, path: str) -> DataFrame:
+    """(part, ahead): ids in all earlier parts. One sum per part is all that crosses parts."""
+    parts = spark.read.parquet(path).groupBy("part").agg(F.sum(F.size("ids")).alias("in_part"))
+    earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    return parts.select("part", F.coalesce(F.sum("in_part").over(earlier), F.lit(0)).alias("ahead"))
 
 
 def lookup(spark: SparkSession, path: str, low: int, high: int, columns: list[str]) -> DataFrame:
@@ -163,27 +177,28 @@ def lookup(spark: SparkSession, path: str, low: int, high: int, columns: list[st
     return spark.read.parquet(path).where(F.col("doc_id").between(low, high)).select(*columns)
 
 
-def with_crc32(rows: DataFrame) -> DataFrame:
-    """Adds n_tokens and the unsigned crc32 of the ids as little-endian 32-bit integers."""
+def read_digests(spark: SparkSession, path: str) -> DataFrame:
+    """doc_id, start (ids of all earlier rows), n_tokens, ids_crc32 (unsigned, of the ids as little-endian 32-bit integers)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column("ids")
             edges = ids.offsets.to_numpy()
-            raw = ids.flatten().to_numpy(zero_copy_only=False).astype("<u4").tobytes()
-            edges = (edges - edges[0]).astype(np.int64) if len(edges) else edges
+            raw = memoryview(ids.values.to_numpy(zero_copy_only=False)[edges[0] : edges[-1]].astype("<u4")).cast("B") if len(ids) else b""
+            edges = edges.astype(np.int64) - edges[0]
             crc = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(edges[:-1], edges[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("start"), pa.array(np.diff(edges)), pa.array(crc, pa.int64())],
-                names=["doc_id", "start", "n_tokens", "ids_crc32"],
-            )
+            arrays = [batch.column("doc_id"), batch.column("part"), batch.column("before"), pa.array(np.diff(edges)), pa.array(crc, pa.int64())]
+            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "part", "before", "n_tokens", "ids_crc32"])
 
+    rows = spark.read.parquet(path)
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.select("doc_id", "start", "ids").mapInArrow(run, f"doc_id {kind}, start bigint, n_tokens bigint, ids_crc32 bigint")
+    digests = rows.mapInArrow(run, f"doc_id {kind}, part int, before bigint, n_tokens bigint, ids_crc32 bigint")
+    placed = digests.join(parts_ahead(spark, path), "part")
+    return placed.select("doc_id", (F.col("ahead") + F.col("before")).alias("start"), "n_tokens", "ids_crc32")
 
 
 def token_files(docs: DataFrame, tokenizer: str, end_id: int, path: str | None = None) -> DataFrame:
     """Encode, write and read back: doc_id, start, n_tokens, ids_crc32."""
     path = path or common.scratch_folder(docs.sparkSession)
     write(encode(docs, tokenizer, end_id), path)
-    return with_crc32(read(docs.sparkSession, path))
+    return read_digests(docs.sparkSession, path)
