@@ -141,6 +141,25 @@ def test_the_hint_passes_every_name():
     assert all(surrogates._hinted(pa.array(texts)))
 
 
+def test_masked_and_foreign_secrets_end_with_a_free_draw(docs_of):
+    secrets = ["********", "секрет", "******", "пароль-1", *(f"*****{i}" for i in range(10))]
+    mails = [f"{local}@{domain}.com" for domain in ("-", "x", "y") for local in ("_", "+%")]
+    letters = [f"{chr(97 + i)}@z.com" for i in range(26)]
+    texts = [f"password={x}" for x in secrets] + [f"to {x}" for x in mails + letters]
+    got = {r.doc_id: r.text for r in surrogates.replace(docs_of(list(enumerate(texts))), KEY).collect()}
+    assert len(set(got.values())) == len(texts) and not set(got.values()) & set(texts)
+    assert not re.search("[а-я]", got[1] + got[3])
+
+
+def test_late_draws_keep_format_and_get_longer():
+    mention = {"email": "Al.B@x.com", "card": "4539 1488 0343 6467", "phone": "(415) 555-2671", "iban": "DE89 3704 0044 0532 0130 00", "ssn": "123-45-6789", "secret": "******"}
+    for kind, text in mention.items():
+        drawn = [surrogates.surrogate(KEY, kind, surrogates.canonical(kind, text), a) for a in range(40)]
+        assert len(set(drawn)) == 40
+        out = surrogates.render(kind, text, drawn[33])
+        assert surrogates.canonical(kind, out) == drawn[33] and len(out) == len(text) + 2
+
+
 # --- decontamination ---------------------------------------------------------------------------------------
 
 

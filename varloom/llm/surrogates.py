@@ -14,6 +14,7 @@ import hashlib
 import hmac
 import re
 from collections.abc import Iterator
+from itertools import zip_longest
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -41,6 +42,11 @@ FAMILY = {
 TITLES = {"Mr": "m", "Herr": "m", "Señor": "m", "Sr": "m", "Monsieur": "m", "Mrs": "f", "Ms": "f", "Miss": "f", "Frau": "f", "Señora": "f", "Sra": "f", "Madame": "f", "Mme": "f", "Г-н": "m", "Г-жа": "f"}
 GENDER = {name.casefold(): gender for (_, gender), names in GIVEN.items() for name in names}
 
+#: From this attempt on an e-mail address leaves its domain's surrogate, and signs of a secret are drawn too.
+MOVE = 2
+#: After each so many attempts a draw gets longer: by a family name, a digit or a letter.
+WIDEN = 16
+
 _WORD = r"[^\W\d_]+"
 _GIVEN_ANY = "|".join(sorted((x for names in GIVEN.values() for n in names for x in (n, n.upper())), key=lambda n: (-len(n), n)))
 _TITLE_ANY = "|".join(sorted(map(re.escape, TITLES), key=lambda n: (-len(n), n)))
@@ -102,9 +108,13 @@ class Draw:
         x, self.left = int.from_bytes(self.left[:4], "big"), self.left[4:]
         return x * n >> 32
 
-    def like(self, text: str) -> str:
-        """Digits for digits, letters for letters of the same case, hexadecimal where all of it is; the rest stays."""
+    def like(self, text: str, signs: bool = False) -> str:
+        """Digits for digits, letters for letters of the same case, hexadecimal where all of it is.
+
+        Other scripts become ASCII letters. Signs stay, unless `signs` says otherwise or there is nothing else.
+        """
         hexa = re.fullmatch("[0-9a-f]{32,}", text)
+        signs = signs or not re.search("[0-9A-Za-z\x80-\U0010ffff]", text)
         out = []
         for ch in text:
             if hexa:
@@ -115,6 +125,8 @@ class Draw:
                 out.append(chr(97 + self.below(26)))
             elif "A" <= ch <= "Z":
                 out.append(chr(65 + self.below(26)))
+            elif signs or not ch.isascii():
+                out.append(chr((65 if ch.isupper() else 97) + self.below(26)))
             else:
                 out.append(ch)
         return "".join(out)
@@ -129,29 +141,37 @@ def _luhn(digits: str) -> int:
 
 
 def surrogate(key: bytes, kind: str, entity: str, attempt: int = 0) -> str:
-    """Canonical form of the replacement."""
+    """Canonical form of the replacement.
+
+    What can be drawn grows with the attempt, so that some attempt is free however many entities look alike.
+    """
     draw = Draw(key, kind, entity, attempt)
+    longer = "0" * (attempt // WIDEN)
     if kind == "email":
         local, _, domain = entity.partition("@")
         labels = domain.split(".")
         # One domain keeps one surrogate, so addresses at one place stay at one place; the top label stays.
-        other = ".".join([*(Draw(key, "domain", domain, i).like(x) for i, x in enumerate(labels[:-1])), labels[-1]])
-        return f"{draw.like(local)}@{other}"
+        # Only addresses that found no free local part there move on to another.
+        late = [attempt] if attempt >= MOVE else []
+        other = ".".join([*(Draw(key, "domain", domain, i, *late).like(x) for i, x in enumerate(labels[:-1])), labels[-1]])
+        return f"{draw.like(local + longer)}@{other}"
     if kind == "card":
-        body = entity[0] + draw.like(entity[1:-1])  # the first digit tells the network
+        body = entity[0] + draw.like(entity[1:-1] + longer)  # the first digit tells the network
         check = (10 - _luhn(body + "0")) % 10
         return f"{body}{check}" if _luhn(entity) == 0 else f"{body}{(check + 1 + draw.below(9)) % 10}"
     if kind == "ip":
         return ".".join(str(1 + draw.below(254)) for _ in range(4))
     if kind == "phone":
         # What a plus sign announces (the country) can't be told from digits alone; the first digit stays.
-        return entity[0] + draw.like(entity[1:])
+        return entity[0] + draw.like(entity[1:] + longer)
     if kind == "iban":
-        body = draw.like(entity[4:])
+        body = draw.like(entity[4:] + longer)
         value = int("".join(str(int(c, 36)) for c in body + entity[:2] + "00"))
         return f"{entity[:2]}{98 - value % 97:02d}{body}"
     if kind == "secret" and re.fullmatch("AKIA[0-9A-Z]{16}", entity):
         return "AKIA" + draw.like(entity[4:])
+    if kind == "secret":
+        return draw.like(entity, attempt >= MOVE) + draw.like(longer)
     if kind == "person":
         script, gender, given, family = entity.split("|")
         of = gender if gender != "u" else "fm"[draw.below(2)]
@@ -159,10 +179,10 @@ def surrogate(key: bytes, kind: str, entity: str, attempt: int = 0) -> str:
         first = names[draw.below(len(names))].casefold() if given else ""
         last = families[draw.below(len(families))].casefold()
         # Where the lists are exhausted, a second family name keeps entities distinct.
-        for _ in range(attempt // 16):
+        for _ in longer:
             last += "-" + families[draw.below(len(families))].casefold()
         return f"{script}|{gender}|{first}|{last}"
-    return draw.like(entity)
+    return draw.like(entity + longer)
 
 
 def render(kind: str, mention: str, replacement: str) -> str:
@@ -170,11 +190,11 @@ def render(kind: str, mention: str, replacement: str) -> str:
     if kind == "email":
         local, _, domain = mention.partition("@")
         new_local, _, new_domain = replacement.partition("@")
-        cased = [n.upper() if o.isupper() else n for o, n in zip(f"{local}@{domain}", f"{new_local}@{new_domain}", strict=True)]
-        return "".join(cased)
+        parts = ((local, new_local), (domain, new_domain))
+        return "@".join("".join(n.upper() if o.isupper() else n for o, n in zip_longest(old, new, fillvalue="")) for old, new in parts)
     if kind in ("card", "phone", "ssn", "iban"):
         source = iter(replacement)
-        return "".join(next(source) if ch.isalnum() else ch for ch in mention)
+        return "".join([*(next(source) if ch.isalnum() else ch for ch in mention), *source])
     if kind == "person":
         title, given, family, _ = _name_parts(mention)
         _, _, new_given, new_family = replacement.split("|")
