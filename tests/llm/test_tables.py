@@ -391,6 +391,17 @@ def test_katz_without_training(docs_of):
     assert katz.score(docs_of([])).count() == 0
 
 
+def test_katz_of_a_table_twice(docs_of):
+    rows = [(i, f"alpha beta {prose(9, i)}") for i in range(60)]
+    docs = docs_of(rows)
+    got = katz.score(docs.union(docs)).collect()
+    expected = {x[0]: x for x in katz_scores(rows * 2)}
+    assert len(got) == 120
+    for g in got:
+        assert tuple(g)[:5] == expected[g.doc_id][:5]
+        assert math.isclose(g.base_score, expected[g.doc_id][5], abs_tol=1e-6) and math.isclose(g.score, expected[g.doc_id][6], abs_tol=1e-6)
+
+
 # --- pipeline ----------------------------------------------------------------------------------------------
 
 

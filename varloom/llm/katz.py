@@ -21,9 +21,11 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -145,10 +147,12 @@ def _events(rows: DataFrame, n_buckets: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         size = docs = 0
+        # No two flushes have one name, whatever rows are in them; a task that is run again gives the same names.
+        names_left = (int(common.mix(np.array([TaskContext.get().partitionId() << 32 | i], np.uint64))[0].view(np.int64)) for i in count())
 
         def flush() -> Iterator[pa.RecordBatch]:
             keys = np.concatenate([x[3] for x in held])
-            name = int(common.mix(keys[:1].view(np.uint64) + np.uint64(len(keys)))[0].view(np.int64))
+            name = next(names_left)
             token, history, row = (np.concatenate([x[i] for x in held]) for i in range(3))
             bucket = common.mix(token) % np.uint64(n_buckets)
             order = np.lexsort((history, token, bucket))
