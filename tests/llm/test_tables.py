@@ -402,6 +402,28 @@ def test_katz_of_a_table_twice(docs_of):
         assert math.isclose(g.base_score, expected[g.doc_id][5], abs_tol=1e-6) and math.isclose(g.score, expected[g.doc_id][6], abs_tol=1e-6)
 
 
+@pytest.mark.parametrize("hot_times", [1, 6, 40, 400])
+def test_katz_with_hot_words_and_bigrams(docs_of, hot_times):
+    rows = [(i, prose(i % 30, i, WORDS[: 4 + i % 16]) + (" of the" * (i % 9)) + (f" rare{i}" if i % 3 else "")) for i in range(150)]
+    got = {r.doc_id: r for r in katz.score(docs_of(rows), hot_times=hot_times).collect()}
+    for e in katz_scores(rows):
+        assert tuple(got[e[0]])[:5] == e[:5]
+        assert math.isclose(got[e[0]].base_score, e[5], abs_tol=1e-6) and math.isclose(got[e[0]].score, e[6], abs_tol=1e-6)
+
+
+def test_katz_spreads_a_hot_word(spark, docs_of):
+    docs = docs_of([(i, " ".join(f"w{i}x{j} the of the" for j in range(40))) for i in range(100)])
+    rows = docs.select("doc_id", "text", F.lit(False).alias("held_out"), F.col("doc_id").alias("row_key"))
+    counts = katz._unigram_counts(rows, 16, 500)
+    uni, hot = katz._unigrams(counts), katz._hot(rows, counts, 16, 500)
+    assert len(hot.word) == 2 and sorted(hot.pair_n.tolist()) == [4000, 4000], "the and of; the of, of the"
+    blobs = katz._events(rows, uni, hot, 16).where("bucket >= 0").select("bucket", "rows").collect()
+    size = Counter()
+    for b in blobs:
+        size[b.bucket] += len(b.rows) // 2
+    assert sum(size.values()) == 8100 and max(size.values()) < 2 * 8100 / 16
+
+
 # --- pipeline ----------------------------------------------------------------------------------------------
 
 
