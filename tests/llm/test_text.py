@@ -60,6 +60,12 @@ def test_rejection_keeps_rows_and_columns(docs_of):
     assert sorted(r.doc_id for r in kept.collect()) == sorted([*range(60), 200])
 
 
+def test_rejection_follows_the_inference(docs_of):
+    rows = labelled() + [(300, "Пожалуйста приходите завтра вечером"), (301, "qzxjv wqxzk jjqqx vvzzq xkqjz")]
+    assert sorted(r.doc_id for r in langid.accepted(docs_of(rows)).collect()) == [*range(60)]
+    assert [r.doc_id for r in langid.accepted(docs_of([(1, "some words"), (2, None), (3, "12 - 3")])).collect()] == [1]
+
+
 def test_no_label_at_all_gives_und(docs_of):
     got = langid.predict_split(docs_of([(1, "some words"), (2, None)])).collect()
     assert {r.lang_pred for r in got} == {"und"}

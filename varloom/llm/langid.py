@@ -115,10 +115,15 @@ def _segment_sum(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 def infer(model: Model, data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Proportions (rows x languages; zeros where no word has a letter) and the size of the chosen set."""
+    return _inferred(model, data, starts)[:2]
+
+
+def _inferred(model: Model, data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """What infer() gives, and whether the set's likelihood exceeds that of equally frequent trigrams by the penalty."""
     cells, word_starts, per_row = _trigram_cells(data, starts)
     docs, langs = len(per_row), len(model.languages)
     if not len(cells) or not langs:
-        return np.zeros((docs, langs)), np.zeros(docs, np.int64)
+        return np.zeros((docs, langs)), np.zeros(docs, np.int64), np.zeros(docs, bool)
     word_log = np.empty((len(word_starts), langs), np.float32)
     for j in range(langs):
         word_log[:, j] = np.add.reduceat(model.log_law[:, j][cells], word_starts)
@@ -154,7 +159,9 @@ def infer(model: Model, data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarra
         chosen[better], gained[better], size[better] = share[better], total[better], m
     empty = per_row == 0
     chosen[empty], size[empty] = 0.0, 0
-    return chosen, size
+    sizes = np.diff(np.concatenate([word_starts, [len(cells)]]))
+    background = -np.log(CELLS) * np.bincount(row, sizes, minlength=docs)
+    return chosen, size, ~empty & (gained - penalty > background)
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
@@ -208,8 +215,10 @@ def predict_split(docs: DataFrame) -> DataFrame:
 
 
 def accepted(docs: DataFrame) -> DataFrame:
-    """Documents in whose text a language is found, all columns kept; the others (null, no letter) are rejected.
+    """Documents in whose text a language is found, all columns kept; the others are rejected.
 
+    Rejected are texts that are null or without a letter, and those that the chosen languages explain no better
+    than a law of equally frequent trigrams, by the penalty. If nothing was learned, every text with a letter stays.
     The decision is made row by row beside the text, so no row is shuffled and repeated ids are no matter.
     """
     model = learn(docs.where(~held_out(4, 2)))
@@ -219,8 +228,8 @@ def accepted(docs: DataFrame) -> DataFrame:
         known = Model(*shipped.value)
         for chunk in common.text_chunks(batches):
             texts = chunk.column("text")
-            _, size = infer(known, *common.text_bytes(texts))
+            found = _inferred(known, *common.text_bytes(texts))[2] if known.languages else True
             letters = pc.fill_null(pc.match_substring_regex(texts, r"\p{L}"), False).to_numpy(zero_copy_only=False)
-            yield chunk.filter(pa.array(letters & (size > 0)))
+            yield chunk.filter(pa.array(letters & found))
 
     return docs.mapInArrow(run, docs.schema)
