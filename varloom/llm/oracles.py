@@ -134,10 +134,46 @@ select d.doc_id, (length(x) // 2)::bigint as n_bytes, coalesce(n_removed, 0) as
 from d left join k on d.doc_id = k.doc_id
 """
 
+def resampling(seed: str = "7", buckets: int = 10_000, least_words: int = 20, share: int = 25) -> str:
+    """Checksums bit by bit from the polynomial, gains per bucket, scores and ranks."""
+    words = f"regexp_extract_all({_LOWER}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+    runs = "list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))"
+    return f"""
+with recursive one as (select b, b::bigint as v, 0 as k from (select unnest(range(256)) as b) union all
+  select b, case when v & 1 = 1 then xor(v >> 1, 3988292384) else v >> 1 end, k + 1 from one where k < 8),
+byte as materialized (select b, v from one where k = 8),
+dw as materialized (select doc_id, {words} as w from documents),
+bw as materialized (select {words} as w from benchmark),
+df as materialized (select doc_id, f, count(*) as n from (select doc_id, unnest({runs}) as f from dw) group by all),
+bf as materialized (select f, count(*) as n from (select unnest({runs}) as f from bw) group by all),
+fs as materialized (select f, hex(encode(f)) as x, octet_length(encode(f)) as len from (select f from df union select f from bf)),
+pos as (select 0 as d, b, v from byte union all
+  select d + 1, p.b, xor(p.v >> 8, t.v) from pos p join byte t on t.b = p.v & 255 where d + 1 < (select max(len) from fs)),
+con as (select 0 as n, 4294967295 as s union all
+  select n + 1, xor(s >> 8, t.v) from con c join byte t on t.b = c.s & 255 where n < (select max(len) from fs)),
+fb as (select f, len, len - i as d, ('0x' || substr(x, (2 * i - 1)::int, 2))::bigint as b from (select *, unnest(range(1, len + 1)) as i from fs)),
+crc as materialized (select f, xor(bit_xor(p.v), any_value(xor(c.s, 4294967295))) % {buckets} as bucket
+  from fb join pos p on p.d = fb.d and p.b = fb.b join con c on c.n = fb.len group by f),
+s as (select bucket, sum(n)::bigint as s from df join crc using (f) group by 1),
+t as (select bucket, sum(n)::bigint as t from bf join crc using (f) group by 1),
+g as (select bucket, floor(1000 * ln((coalesce(t, 0) + 1)::double * (coalesce((select sum(s) from s), 0) + {buckets})::double
+    / ((coalesce(s, 0) + 1)::double * (coalesce((select sum(t) from t), 0) + {buckets})::double)))::bigint as gain
+  from (select distinct bucket from crc) left join s using (bucket) left join t using (bucket)),
+m as (select doc_id, sum(n)::bigint as n_features, floor(sum(n * gain) / sum(n))::bigint as weight from df join crc using (f) join g using (bucket) group by 1),
+c as (select doc_id, len(w) as n_words, coalesce(n_features, 0) as n_features, coalesce(weight, 0) as weight,
+    ('0x' || substr(sha256('{seed}:' || doc_id), 1, 8))::bigint as h from dw left join m using (doc_id)),
+e as (select doc_id, n_words, n_features, weight, weight + floor(-1000 * ln(-ln((h + 0.5::double) / 4294967296::double)))::bigint as score from c),
+k as (select doc_id, row_number() over (order by score desc, doc_id) as place, count(*) over () as total from e where n_words >= {least_words})
+select e.doc_id, n_words::bigint as n_words, n_features, weight, score, case when place <= {share} * total // 100 then place end as rank
+from e left join k using (doc_id)
+"""
+
+
 ORACLES = {
     "op4_adaptive_quality": adaptive_quality(),
     "op5_capped_water_filling": water_filling(),
     "op7_multi_order_jaccard": JACCARD,
     "op8_warc_segments": WARC,
     "op10_interval_expansion": REPEATS,
+    "op11_position_table_resampling": resampling(),
 }

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from varloom.llm import common, decontam, jaccard, katz, langid, mixing, quality, suffix, surrogates, tokens, warc
+from varloom.llm import common, decontam, jaccard, katz, langid, mixing, quality, resample, suffix, surrogates, tokens, warc
 from varloom.llm.oracles import ORACLES
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -62,6 +62,10 @@ def op10_interval_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
+def op11_position_table_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.draw(common.documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -75,5 +79,6 @@ QUERIES = {
         op8_warc_segments,
         op9_token_columns,
         op10_interval_expansion,
+        op11_position_table_resampling,
     )
 }
