@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from varloom.llm import common, decontam, jaccard, katz, langid, mixing, quality, resample, suffix, surrogates, tokens, warc
+from varloom.llm import common, decontam, jaccard, katz, langid, mixing, quality, resample, suffix, surrogates, tokens, warc, whiten
 from varloom.llm.oracles import ORACLES
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -66,6 +66,10 @@ def op11_position_table_resampling(spark: SparkSession, sf_dir: str) -> DataFram
     return resample.draw(common.documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def op12_refined_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten.whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -80,5 +84,6 @@ QUERIES = {
         op9_token_columns,
         op10_interval_expansion,
         op11_position_table_resampling,
+        op12_refined_whitening,
     )
 }
