@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from varloom.llm import common, decontam, jaccard, katz, langid, mixing, quality, resample, suffix, surrogates, tokens, warc, whiten
+from varloom.llm import common, decontam, jaccard, katz, langid, mixing, quality, resample, secrets, suffix, surrogates, tokens, warc, whiten
 from varloom.llm.oracles import ORACLES
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -70,6 +70,10 @@ def op12_refined_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whiten.whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
+def op13_randomness_battery(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(common.documents(spark, sf_dir))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -85,5 +89,6 @@ QUERIES = {
         op10_interval_expansion,
         op11_position_table_resampling,
         op12_refined_whitening,
+        op13_randomness_battery,
     )
 }
