@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from math import erfc, sqrt
+from statistics import NormalDist
+
 from varloom.llm import mixing, quality
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -169,6 +172,60 @@ from e left join k using (doc_id)
 """
 
 
+def randomness(level: float = 0.001, false_share: float = 0.01) -> str:
+    """Base spans, the test battery on candidates, the step-up rule per class of lengths and the span lists."""
+    digits, lower, upper = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    encodings = [digits + "abcdef", digits + "ABCDEF", lower, upper, "234567" + upper, digits + lower, digits + lower + upper]
+    encodings += [x + digits + lower + upper for x in ("+/", "-_", "+/-_")]
+    values = ", ".join(f"({i}, '{''.join(sorted(a))}')" for i, a in enumerate(encodings))
+    assign = "((?:{}))[\"'']?\\x20*[:=]\\x20*[\"'']?([A-Za-z0-9+/_.=-]+)".format(
+        "|".join("".join("_?" if c == "_" else f"[{c.upper()}{c}]" for c in w) for w in ("password", "passwd", "secret", "token", "api_key"))
+    )
+    kinds = [("assign", 1, assign, 2, 6), ("access", 2, "AKIA[A-Z0-9]+", 0, 20), ("hex", 3, "[0-9a-f]+", 0, 24), ("random", 4, "[A-Za-z0-9+/_-]{20,}={0,2}", 0, 20)]
+    found = " union all ".join(
+        f"select r, '{k}' as kind, {o} as ord, unnest(range(1, len(hits) + 1)) as i, unnest(list_transform(hits, lambda x: length(x))) as size, "
+        f"unnest(list_transform(gaps[:len(hits)], lambda x: length(x))) as gap, unnest(list_transform(cores, lambda x: length(x) >= {least})) as counts, unnest(hits) as token "
+        f"from (select r, regexp_extract_all(text, '{p}') as hits, string_split_regex(text, '{p}') as gaps, regexp_extract_all(text, '{p}', {g}) as cores "
+        f"from d where regexp_matches(text, '{p}'))"
+        for k, o, p, g, least in kinds
+    )
+    one, two = NormalDist().inv_cdf(1 - level / 3), NormalDist().inv_cdf(1 - level / 6)
+    tails = ", ".join(repr(erfc(b / 16 / sqrt(2)) / 2) for b in range(161))
+    return f"""
+with d as materialized (select row_number() over () as r, doc_id, coalesce(text, '') as text from documents),
+enc(e, alphabet) as (values {values}),
+ch as materialized (select c, count(*)::double as n from (select unnest(string_split(text, '')) as c from d) where length(c) = 1 group by c),
+law as (select e, sum(n * n) / (sum(n) * sum(n)) as s2, sum(n * n * n) / (sum(n) * sum(n) * sum(n)) as s3,
+    sum(case when 2 * instr(alphabet, c) <= length(alphabet) then n else 0 end) / sum(n) as low from ch join enc on instr(alphabet, c) > 0 group by e),
+f as materialized ({found}),
+p as (select *, sum(gap + size) over (partition by r, kind order by i) as stop from f),
+q as materialized (select r, kind, ord, (stop - size)::bigint as start, stop::bigint as stop, token from p where counts),
+cand as (select * from q where kind = 'random' and not exists (select 1 from q b where b.r = q.r and b.ord < 4 and b.start < q.stop and q.start < b.stop)),
+tok as (select c.*, rtrim(token, '=') as core, (select min(e) from enc where translate(rtrim(token, '='), alphabet, '') = '') as e from cand c),
+chars as (select t.*, alphabet, length(alphabet)::double as k, length(core)::double as n,
+    list_transform(string_split(core, ''), lambda x: 2 * instr(alphabet, x) - 1 - length(alphabet)) as u from tok t join enc using (e)),
+stats as (select r, ord, kind, start, stop, e, k, n, list_sum(list_transform(list_distinct(u), lambda a: len(list_filter(u, lambda x: x = a)) * (len(list_filter(u, lambda x: x = a)) - 1) / 2)) as pairs,
+    list_sum(list_transform(range(1, len(u)), lambda i: ((u[i] > 0) <> (u[i + 1] > 0))::bigint))::double as turned,
+    list_sum(list_transform(range(1, len(u)), lambda i: (u[i] * u[i + 1])::bigint))::double as product from chars),
+t as (select s.*, floor(log2(n)) as cls,
+    (cbrt((k / n * (2 * pairs + n) - n) / (k - 1)) - (1 - 2 / (9 * (k - 1)))) / sqrt(2 / (9 * (k - 1))) <= {one!r}
+      and abs((2 * turned - (n - 1)) / sqrt(n - 1)) <= {two!r} and abs(3 * product / ((k * k - 1) * sqrt(n - 1))) <= {two!r} as even,
+    ((n * (n - 1) / 2 * s2 - pairs) / sqrt(greatest(n * (n - 1) / 2 * (s2 - s2 * s2) + n * (n - 1) * (n - 2) * (s3 - s2 * s2), 1))
+      + (turned - (n - 1) * (2 * low * (1 - low))) / sqrt(greatest((n - 1) * (2 * low * (1 - low)) * (1 - 2 * low * (1 - low))
+          + 2 * (n - 2) * (low * (1 - low) - (2 * low * (1 - low)) ** 2), 1))) / {sqrt(2)!r} as unlike from stats s left join law using (e)),
+z as (select *, least(greatest(floor(16 * unlike), 0), 160)::bigint as score from t),
+cut as (select cls, min(score) as cutoff from (select cls, score, count(*) over (partition by cls order by score desc) as above, count(*) over (partition by cls) as tests from z)
+  where tests * ([{tails}])[score + 1] <= {false_share!r} * above group by cls),
+spans as (select r, ord, kind, start, stop from q where ord < 4 union all select r, ord, kind, start, stop from z join cut using (cls) where even and score >= cutoff),
+o as (select r, count(*) filter (ord = 1) as n_assign, count(*) filter (ord = 2) as n_access, count(*) filter (ord = 3) as n_hex, count(*) filter (ord = 4) as n_random,
+    string_agg(kind || ':' || start || ':' || stop, ',' order by start, ord) filter (ord < 4) as base,
+    string_agg(kind || ':' || start || ':' || stop, ',' order by start, ord) as spans from spans group by r)
+select doc_id, coalesce(n_assign, 0) as n_assign, coalesce(n_access, 0) as n_access, coalesce(n_hex, 0) as n_hex, sha256(coalesce(base, '')) as base_sha256,
+  coalesce(spans, '') as spans, coalesce(n_random, 0) as n_random
+from d left join o using (r)
+"""
+
+
 ORACLES = {
     "op4_adaptive_quality": adaptive_quality(),
     "op5_capped_water_filling": water_filling(),
@@ -176,4 +233,5 @@ ORACLES = {
     "op8_warc_segments": WARC,
     "op10_interval_expansion": REPEATS,
     "op11_position_table_resampling": resampling(),
+    "op13_randomness_battery": randomness(),
 }
