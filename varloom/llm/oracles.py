@@ -194,9 +194,12 @@ def randomness(level: float = 0.001, false_share: float = 0.01) -> str:
     return f"""
 with d as materialized (select row_number() over () as r, doc_id, coalesce(text, '') as text from documents),
 enc(e, alphabet) as (values {values}),
-ch as materialized (select c, count(*)::double as n from (select unnest(string_split(text, '')) as c from d) where length(c) = 1 group by c),
+ch as materialized (select c, count(*)::double as n from (select unnest(string_split(regexp_replace(text, '[A-Za-z0-9+/_-]{{20,}}={{0,2}}', '', 'g'), '')) as c from d)
+  where length(c) = 1 group by c),
+folded as (select e, alphabet, case when instr(alphabet, c) > 0 then instr(alphabet, c) else instr(alphabet, translate(c, '{lower}{upper}', '{upper}{lower}')) end as i, sum(n) as n
+  from ch, enc group by all),
 law as (select e, sum(n * n) / (sum(n) * sum(n)) as s2, sum(n * n * n) / (sum(n) * sum(n) * sum(n)) as s3,
-    sum(case when 2 * instr(alphabet, c) <= length(alphabet) then n else 0 end) / sum(n) as low from ch join enc on instr(alphabet, c) > 0 group by e),
+    sum(case when 2 * i <= length(alphabet) then n else 0 end) / sum(n) as low from folded where i > 0 group by e),
 f as materialized ({found}),
 p as (select *, sum(gap + size) over (partition by r, kind order by i) as stop from f),
 q as materialized (select r, kind, ord, (stop - size)::bigint as start, stop::bigint as stop, token from p where counts),

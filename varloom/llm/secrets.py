@@ -86,12 +86,19 @@ def matches(docs: DataFrame) -> DataFrame:
 
 
 def text_law(docs: DataFrame) -> DataFrame:
-    """One row per encoding: chance that two, and three, characters of all texts within its alphabet are equal, and that one lies in its lower half."""
-    letters = docs.select(F.explode(F.split(F.coalesce(F.col("text"), F.lit("")), "")).alias("letter")).groupBy("letter").agg(F.count("*").alias("n"))
+    """One row per encoding: chance that two, and three, characters of ordinary text within its alphabet are equal, and that one lies in its lower half.
+
+    Ordinary is all text outside candidates. Alphabets of one case take letters of either case as their own.
+    """
+    ordinary = F.regexp_replace(F.coalesce(F.col("text"), F.lit("")), CANDIDATE, "")
+    letters = docs.select(F.explode(F.split(ordinary, "")).alias("letter")).groupBy("letter").agg(F.count("*").cast("double").alias("n"))
     letters = letters.where(F.length("letter") == 1)
     of = F.array(*(F.struct(F.lit(name).alias("encoding"), F.lit(a).alias("alphabet")) for name, a in ENCODINGS))
-    rows = letters.select("letter", F.col("n").cast("double").alias("n"), F.explode(of).alias("e")).select("letter", "n", "e.*")
-    rows = rows.withColumn("at", F.call_function("instr", "alphabet", "letter")).where("at > 0")
+    rows = letters.select("letter", "n", F.explode(of).alias("e")).select("letter", "n", "e.*")
+    other = F.translate("letter", LOWER + UPPER, UPPER + LOWER)
+    own, swapped = F.call_function("instr", "alphabet", "letter"), F.call_function("instr", F.col("alphabet"), other)
+    rows = rows.withColumn("at", F.when(own > 0, own).otherwise(swapped)).where("at > 0")
+    rows = rows.groupBy("encoding", "alphabet", "at").agg(F.sum("n").alias("n"))
     total = F.sum("n")
     return rows.groupBy("encoding").agg(
         (F.sum(F.col("n") * F.col("n")) / (total * total)).alias("two"),
