@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.conftest import days
-from varloom.operators import recursion as rc, regimes as rg
+from varloom.operators import recursion as rc, regime_fits as rf, regimes as rg
 
 
 @pytest.fixture(scope="module")
@@ -84,9 +84,9 @@ def test_empty_state_takes_pooled_moments(panel):
 
 
 def test_larger_penalty_means_fewer_jumps_and_states_are_recovered(panel):
-    fit = rg.fit_jump(rg.starting_paths(panel, [2], 3), [0.5, 5.0, 50.0])
+    fit = rf.fit_jump(rf.vector_series(panel, ["x"]), [2], [0.5, 5.0, 50.0], restarts=3)
     summary = rg.jump_summary(fit).orderBy("penalty").toPandas()
-    assert summary.n_jumps.is_monotonic_decreasing
+    assert summary.n_jumps.is_monotonic_decreasing and summary.converged.all() and (summary.restarts_converged == 3).all()
     path = fit.where("penalty = 5.0").first()
     truth = panel.orderBy("date").toPandas().state.to_numpy()
     assert (np.array(path["path"]) == truth).mean() > 0.9 and path["variances"][0] < path["variances"][1]
@@ -95,13 +95,77 @@ def test_larger_penalty_means_fewer_jumps_and_states_are_recovered(panel):
     assert chosen["penalty"] == (ok.penalty.min() if len(ok) else 50.0)
 
 
-def test_chain_fit_raises_likelihood_and_orders_states(panel):
-    starts = rg.starting_paths(panel, [2], 1)
-    one, many = rg.fit_chain(starts, 1).first(), rg.fit_chain(starts, 6).first()
-    assert many["loglik"] > one["loglik"] and many["variances"][0] < many["variances"][1]
+def test_chain_fit_raises_likelihood_converges_and_orders_states(panel):
+    series = rf.vector_series(panel, ["x"])
+    one, many = rf.fit_chain(series, [2], 1, rounds=1).first(), rf.fit_chain(series, [2], 4).first()
+    assert many["loglik"] > one["loglik"] and many["covariances"][0] < many["covariances"][1]
+    assert not one["converged"] and many["converged"] and 1 < many["n_iter"] < rf.CHAIN_ROUNDS
     assert np.allclose(np.sum(many["matrix"], axis=1), 1)
 
 
+def test_likelihood_never_falls_and_more_rounds_change_nothing():
+    rng = np.random.default_rng(4)
+    truth = np.repeat([0, 1, 2, 0, 2, 1], 40)
+    x = rng.normal(np.array([0, 1, -1])[truth][:, None], np.array([0.3, 1.0, 2.0])[truth][:, None], (240, 2))
+    likelihoods = [rf.chain_fixed_point(x, 3, 1, r, 0.0, 17)["loglik"] for r in range(1, 12)]
+    assert np.all(np.diff(likelihoods) > -1e-8)
+    jump = rf.jump_fixed_point(x, 3, 2.0, 6, 40, 17)
+    assert jump["converged"]
+    mean, spread = rf.weighted_moments(x, (jump["path"][None, :, None] == np.arange(3)).astype(float))
+    path, objective, _ = rf.penalised_paths(rf.emission_losses(x, mean, spread * np.eye(2)), 2.0)
+    assert objective[0] == pytest.approx(jump["objective"], rel=1e-9) and (path[0] == jump["path"]).all()
+
+
+def sequential_filter(loss, start, matrix):
+    p, out, total = start, [], 0.0
+    for t, l in enumerate(loss):
+        w = (p if t == 0 else p @ matrix) * np.exp(-l)
+        total += np.log(w.sum())
+        p = w / w.sum()
+        out.append(p)
+    return np.array(out), total
+
+
+@pytest.mark.parametrize("length", [1, 2, 3, 50, 1237])
+def test_block_scans_equal_day_by_day_recursions(length):
+    rng = np.random.default_rng(length)
+    loss, start, matrix = rng.random((length, 3)) * 8, np.array([0.5, 0.3, 0.2]), np.array([[0.9, 0.05, 0.05], [0.2, 0.7, 0.1], [0.0, 0.3, 0.7]])
+    likelihood, smooth, ahead, moves = rf.expectation(loss[None], start[None], matrix[None])
+    want, total = sequential_filter(loss, start, matrix)
+    assert np.allclose(ahead[0], want, atol=1e-12) and likelihood[0] == pytest.approx(total, rel=1e-12)
+    assert np.allclose(smooth[0].sum(1), 1) and moves[0].sum() == pytest.approx(length - 1)
+    v = loss[0]
+    online = [v.argmin()]
+    for l in loss[1:]:
+        v = np.minimum(v, v.min() + 1.5) + l
+        online.append(v.argmin())
+    path, objective, causal = rf.penalised_paths(loss[None], 1.5)
+    assert objective[0] == pytest.approx(v.min()) and list(causal[0]) == online
+    assert loss[np.arange(length), path[0]].sum() + 1.5 * (np.diff(path[0]) != 0).sum() == pytest.approx(objective[0])
+
+
+def test_short_series_have_no_fit(spark):
+    tiny = spark.createDataFrame([("X", days(2)[i], float(i)) for i in range(2)], "asset string, date date, x double")
+    assert rf.fit_jump(rf.vector_series(tiny, ["x"]), [3], [1.0]).count() == 0
+
+
+def test_vector_losses_equal_the_multivariate_density(spark):
+    rng = np.random.default_rng(8)
+    x, means = rng.normal(size=(5, 3)), rng.normal(size=(2, 3))
+    roots = rng.normal(size=(2, 3, 3))
+    covs = roots @ roots.transpose(0, 2, 1) + 0.1 * np.eye(3)
+    df = spark.createDataFrame([(x.tolist(), means.tolist(), covs.tolist())], "x array<array<double>>, m array<array<double>>, c array<array<array<double>>>")
+    got = df.select(rc.vector_losses(F.col("x"), F.col("m"), F.col("c")).alias("l")).first()["l"]
+    want = [[0.5 * ((v - m) @ np.linalg.inv(c) @ (v - m) + np.log(np.linalg.det(2 * np.pi * c))) for m, c in zip(means, covs)] for v in x]
+    assert np.allclose(got, want) and np.allclose(rf.emission_losses(x, means[None], covs[None])[0], want)
+
+
+def test_vector_parameters_of_one_column_equal_the_packed_ones(panel):
+    one, packed = rg.vector_parameters(panel, ["x"], 2).first(), rg.chain_parameters(panel, 2).first()
+    assert np.allclose(np.ravel(one["means"]), packed["means"]) and np.allclose(np.ravel(one["covariances"]), packed["variances"])
+    assert np.allclose(one["matrix"], packed["matrix"]) and np.allclose(one["start"], packed["start"])
+
+
 def test_adjusted_rand(spark):
     rows = [("X", a, b) for a, b in zip([0, 0, 1, 1, 2, 2], [1, 1, 0, 0, 2, 2])]
     df = spark.createDataFrame(rows, "asset string, a int, b int")

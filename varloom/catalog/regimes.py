@@ -6,12 +6,16 @@ from pyspark.sql import functions as F
 
 from varloom.catalog.base import query, tidy
 from varloom.catalog.sql import TEST_START, TRAIN_END, W, define, num, r, rs
-from varloom.operators import recursion as rc, regimes as rg, timing as tm
+from varloom.operators import recursion as rc, regime_fits as rf, regimes as rg, timing as tm
 from varloom.plans import study
 from math import pi
 
 K = 3
-PENALTIES = (1.0, 3.0, 10.0, 30.0)
+K_GRID = (2, 3, 4)
+#: Penalties to choose from, those whose sensitivity is told, the one chosen, and the one at which state counts are compared.
+PENALTIES = (1.0, 3.0, 10.0, 30.0, 100.0, 300.0)
+SENSITIVITY = (0.5, 1.0, 1.5, 2.0, 2.5, 3.0, 5.0, 10.0, 30.0, 100.0, 300.0)
+HEADLINE, COUNTING = 3.0, 30.0
 
 define("t_z", f"""
   SELECT s.asset, s.date, s.state, s.rv, (s.log_return - m)/CASE WHEN d < 1e-12 THEN 1 ELSE d END AS x FROM t_states s JOIN (
@@ -163,9 +167,8 @@ define("t_jpath", f"""
 
 def jump_rows(spark, sf_dir, penalty: float = 3.0):
     series = rc.as_series(labelled(spark, sf_dir), "x").join(rg.chain_parameters(trained(spark, sf_dir), K), "asset")
-    dp = series.withColumn("dp", rc.jump_path(rc.gaussian_losses(F.col("x"), F.col("means"), F.col("variances")), F.lit(penalty)))
-    dp = dp.select("asset", "dates", F.col("dp.path").alias("path"), F.col("dp.online").alias("online"))
-    return rc.explode_series(dp, ["asset"], state="path", online="online")
+    losses = series.withColumn("losses", rc.gaussian_losses(F.col("x"), F.col("means"), F.col("variances")))
+    return rf.penalised_rows(losses, ["asset"], penalty)
 
 
 @query("G5_jump_path", "SELECT e.asset, e.date, p.state FROM t_jpath p JOIN t_em e USING (asset, i)", branches=True)
@@ -264,46 +267,147 @@ def gate_entropy(spark, sf_dir):
     return tidy(filtered(spark, sf_dir).groupBy("asset").agg(F.count("*").alias("n"), F.avg(h).alias("mean_entropy")), ["asset", "n"], mean_entropy=8)
 
 
-def starts(spark, sf_dir, k_grid=(3,), n_init: int = 3):
-    return rg.starting_paths(trained(spark, sf_dir), k_grid, n_init)
+def training(spark, sf_dir, columns=("x",)):
+    panel = trained(spark, sf_dir) if columns == ("x",) else two_columns(spark, sf_dir).where(F.col("date") <= F.lit(TRAIN_END).cast("date"))
+    return rf.vector_series(panel, columns)
 
 
 @query("G6_jump_fit")
 def jump_fit(spark, sf_dir):
-    fit = rg.fit_jump(starts(spark, sf_dir), [3.0])
-    return fit.select("asset", "k", "penalty", F.round("objective", 6).alias("objective"), F.posexplode(F.arrays_zip("means", "variances")).alias("state", "m")).select(
-        "asset", "k", "penalty", "objective", "state", F.round("m.means", 6).alias("mean"), F.round("m.variances", 6).alias("variance"))
+    fit = rf.fit_jump(training(spark, sf_dir), [K], [HEADLINE])
+    return fit.select("asset", "k", "penalty", F.round("objective", 6).alias("objective"), "converged", "n_iter", "restarts_converged", F.posexplode(F.arrays_zip("means", "variances")).alias("state", "m")).select(
+        "asset", "k", "penalty", "objective", "converged", "n_iter", "restarts_converged", "state", F.round(F.col("m.means")[0], 6).alias("mean"), F.round(F.col("m.variances")[0], 6).alias("variance"))
+
+
+@query("G6_fixed_point", f"SELECT DISTINCT asset, k, penalty, true AS converged, true AS same_objective, true AS attained, true AS ordered FROM t_ztrain, (SELECT unnest([2, 3, 4]) AS k), (SELECT unnest({list(PENALTIES)}::DOUBLE[]) AS penalty)", branches=True)
+def jump_fixed_point(spark, sf_dir):
+    """One more round of every fit by the JVM's own moments and path recursion must change nothing."""
+    fit = rf.fit_jump(training(spark, sf_dir), K_GRID, PENALTIES).withColumn("flat", F.transform("x", lambda v: v[0]))
+    fit = fit.withColumn("m", rg.path_moments(F.col("flat"), F.col("path"), F.col("k")))
+    fit = fit.withColumn("dp", rc.jump_path(rc.gaussian_losses(F.col("flat"), F.col("m.means"), F.col("m.variances")), F.col("penalty")))
+    losses = rc.gaussian_losses(F.col("flat"), F.col("m.means"), F.col("m.variances"))
+    cost = F.aggregate(F.zip_with(losses, "path", lambda l, s: F.element_at(l, s + 1)), F.lit(0.0), lambda s, v: s + v) + F.col("penalty") * rg.jump_count(F.col("path"))
+    flat = F.flatten("variances")
+    return fit.select(
+        "asset", "k", "penalty", "converged", (F.abs(F.col("dp.objective") - F.col("objective")) <= 1e-8 * F.abs("objective")).alias("same_objective"),
+        (F.abs(cost - F.col("objective")) <= 1e-8 * F.abs("objective")).alias("attained"), (flat == F.array_sort(flat)).alias("ordered"))
 
 
 @query("G9_penalty_sweep")
 def penalty_sweep(spark, sf_dir):
-    return rg.jump_summary(rg.fit_jump(starts(spark, sf_dir, n_init=2), PENALTIES))
+    return rg.jump_summary(rf.fit_jump(training(spark, sf_dir), [K], PENALTIES))
 
 
 @query("K4_penalty_choice")
 def penalty_choice(spark, sf_dir):
-    return rg.choose_penalty(rg.jump_summary(rg.fit_jump(starts(spark, sf_dir, n_init=2), PENALTIES)))
+    return rg.choose_penalty(rg.jump_summary(rf.fit_jump(training(spark, sf_dir), [K], PENALTIES)))
 
 
 @query("G8_information_criteria")
 def information_criteria(spark, sf_dir):
-    summary = rg.jump_summary(rg.fit_jump(starts(spark, sf_dir, (2, 3, 4), 2), [10.0]))
-    return summary.select("asset", "k", "n", "loglik", "n_params", "bic", "aic")
+    summary = rg.jump_summary(rf.fit_jump(training(spark, sf_dir), K_GRID, [COUNTING]))
+    return summary.select("asset", "k", "n", "loglik", "n_params", "bic", "aic", "converged", "n_iter")
 
 
 @query("G4_chain_fit")
 def chain_fit(spark, sf_dir):
-    return rg.chain_summary(rg.fit_chain(starts(spark, sf_dir, n_init=2), 8))
+    return rg.chain_summary(rf.fit_chain(training(spark, sf_dir), [K]))
+
+
+@query("G4_fixed_point", "SELECT DISTINCT asset, 3 AS k, true AS settled, true AS same_likelihood, true AS no_gain, true AS ordered FROM t_ztrain", branches=True)
+def chain_fixed_point(spark, sf_dir):
+    """The JVM's filter must give the likelihood that a fit reports, and no labelling by the rule states a higher one."""
+    series = training(spark, sf_dir)
+    fit = rf.fit_chain(series, [K])
+    by_rule = rg.vector_parameters(trained(spark, sf_dir), ["x"], K)
+    rule = rg.chain_likelihood(series, by_rule).select("asset", F.col("loglik").alias("by_rule"))
+    own = rg.chain_likelihood(series, fit.select("asset", "k", "means", "covariances", "start", "matrix")).select("asset", F.col("loglik").alias("again"))
+    traces = F.transform("covariances", lambda c: c[0][0])
+    return fit.join(own, "asset").join(rule, "asset").select(
+        "asset", "k", (F.col("converged") | (F.col("n_iter") == rf.CHAIN_ROUNDS)).alias("settled"), (F.abs(F.col("again") - F.col("loglik")) <= 1e-6 * F.abs("loglik")).alias("same_likelihood"),
+        (F.col("by_rule") <= F.col("loglik") + 1e-6).alias("no_gain"), (traces == F.array_sort(traces)).alias("ordered"))
 
 
 @query("G10_jump_penalised_chain", branches=True)
 def jump_penalised_chain(spark, sf_dir):
-    fit = rg.fit_jump(starts(spark, sf_dir), [3.0])
-    path = rg.path_rows(fit, ["asset"])
+    path = rg.path_rows(rf.fit_jump(training(spark, sf_dir), [K], [HEADLINE]), ["asset"])
     out = rg.filter_states(rc.as_series(labelled(spark, sf_dir), "x"), rg.chain_parameters(path, K))
     return out.select("asset", "date", "state", *[F.round(F.col("p")[k], 7).alias(f"p{k}") for k in range(K)])
 
 
+# ------------------------------------------------------------------------- two columns: returns and log variance
+
+VECTOR = ("x", "y")
+
+
+def two_columns(spark, sf_dir):
+    panel = labelled(spark, sf_dir).withColumn("_log_rv", F.ln(F.greatest("rv", F.lit(1e-16))))
+    return rg.standardize(panel, "_log_rv", TRAIN_END, "y")
+
+
+def vector_filtered(spark, sf_dir):
+    panel = two_columns(spark, sf_dir)
+    train = panel.where(F.col("date") <= F.lit(TRAIN_END).cast("date"))
+    return rg.filter_states(rf.vector_series(panel, VECTOR), rg.vector_parameters(train, VECTOR, K))
+
+
+define("t_z2", f"""
+  SELECT z.*, (ln(greatest(z.rv, 1e-16)) - m)/CASE WHEN d < 1e-12 THEN 1 ELSE d END AS y FROM t_z z JOIN (
+    SELECT asset, avg(ln(greatest(rv, 1e-16))) AS m, stddev_pop(ln(greatest(rv, 1e-16))) AS d FROM t_z WHERE date <= DATE '{TRAIN_END}' GROUP BY 1) USING (asset)""")
+define("t_mom2", f"""
+  SELECT asset, state, avg(x) AS mx, avg(y) AS my, greatest(var_samp(x), 1e-6) AS vx, greatest(var_samp(y), 1e-6) AS vy, covar_samp(x, y) AS c
+  FROM t_z2 WHERE date <= DATE '{TRAIN_END}' GROUP BY 1, 2""")
+_Q = "((x-mx)*(x-mx)*vy - 2*(x-mx)*(y-my)*c + (y-my)*(y-my)*vx)/(vx*vy-c*c)"
+define("t_em2", f"""
+  SELECT asset, date, i, {', '.join(f'max(CASE WHEN state = {k} THEN l END) AS l{k}' for k in range(3))}, {', '.join(f'any_value({c}) AS {c}' for c in [f's{k}' for k in range(3)] + [f'a{i}{j}' for i in range(3) for j in range(3)])}
+  FROM (SELECT z.asset, z.date, z.i, m.state, 0.5*({_Q} + ln(vx*vy-c*c) + {num(2.0)}*ln({num(2 * pi)})) AS l, p.* EXCLUDE (asset)
+    FROM (SELECT *, row_number() OVER (PARTITION BY asset ORDER BY date) AS i FROM t_z2) z JOIN t_mom2 m USING (asset) JOIN t_par p USING (asset)) GROUP BY 1, 2, 3""")
+define("t_filt2", f"""
+  SELECT asset, i, {', '.join(f'w{k}/(w0+w1+w2) AS p{k}' for k in range(3))}, ln(w0+w1+w2) - lo AS ll FROM (
+    SELECT e.asset, e.i, least(e.l0,e.l1,e.l2) AS lo, {', '.join(f'e.s{k}*{_LIK[k]} AS w{k}' for k in range(3))} FROM t_em2 e WHERE e.i = 1)
+  UNION ALL SELECT asset, i, {', '.join(f'w{k}/(w0+w1+w2)' for k in range(3))}, ln(w0+w1+w2) - lo FROM (
+    SELECT e.asset, e.i, least(e.l0,e.l1,e.l2) AS lo, {', '.join(f'{_PRED[k]}*{_LIK[k]} AS w{k}' for k in range(3))} FROM t_filt2 f JOIN t_em2 e ON e.asset = f.asset AND e.i = f.i + 1)""")
+
+
+@query("X12_vector_losses", f"SELECT asset, date, {r('l0', 6, 'loss0')}, {r('l1', 6, 'loss1')}, {r('l2', 6, 'loss2')} FROM t_em2", branches=True)
+def vector_state_losses(spark, sf_dir):
+    panel = two_columns(spark, sf_dir)
+    par = rg.vector_parameters(panel.where(F.col("date") <= F.lit(TRAIN_END).cast("date")), VECTOR, K)
+    rows = panel.join(par, "asset").withColumn("l", rc.vector_losses(F.array(F.array(*VECTOR)), F.col("means"), F.col("covariances"))[0])
+    return tidy(rows.select("asset", "date", *[F.col("l")[k].alias(f"loss{k}") for k in range(K)]), ["asset", "date"], loss0=6, loss1=6, loss2=6)
+
+
+@query("G1_vector_filter", f"SELECT e.asset, e.date, {', '.join(r(f'f.p{k}', 7, f'p{k}') for k in range(3))} FROM t_filt2 f JOIN t_em2 e USING (asset, i)", branches=True)
+def vector_filter(spark, sf_dir):
+    out = vector_filtered(spark, sf_dir).select("asset", "date", *[F.col("p")[k].alias(f"p{k}") for k in range(K)])
+    return tidy(out, ["asset", "date"], p0=7, p1=7, p2=7)
+
+
+@query("X18_vector_criteria", f"""
+  SELECT asset, 3 AS k, count(*) AS n, 23 AS n_params, {r('sum(ll)', 5, 'loglik')}, {r('-2*sum(ll) + 23*ln(count(*))', 5, 'bic')}, {r('-2*sum(ll) + 46', 5, 'aic')} FROM t_filt2 GROUP BY 1""", branches=True)
+def vector_criteria(spark, sf_dir):
+    panel = two_columns(spark, sf_dir)
+    par = rg.vector_parameters(panel.where(F.col("date") <= F.lit(TRAIN_END).cast("date")), VECTOR, K)
+    return tidy(rg.chain_likelihood(rf.vector_series(panel, VECTOR), par), ["asset", "k", "n", "n_params"], loglik=5, bic=5, aic=5)
+
+
+@query("G4_vector_fit")
+def vector_chain_fit(spark, sf_dir):
+    return rg.chain_summary(rf.fit_chain(training(spark, sf_dir, VECTOR), [K]))
+
+
+@query("G6_vector_fit")
+def vector_jump_fit(spark, sf_dir):
+    return rg.jump_summary(rf.fit_jump(training(spark, sf_dir, VECTOR), [K], PENALTIES))
+
+
+@query("G10_vector_chain", branches=True)
+def vector_jump_chain(spark, sf_dir):
+    path = rg.path_rows(rf.fit_jump(training(spark, sf_dir, VECTOR), [K], [HEADLINE]), ["asset"], columns=VECTOR)
+    out = rg.filter_states(rf.vector_series(two_columns(spark, sf_dir), VECTOR), rg.vector_parameters(path, VECTOR, K))
+    return out.select("asset", "date", "state", *[F.round(F.col("p")[k], 7).alias(f"p{k}") for k in range(K)])
+
+
 @query("X18_chain_criteria", f"""
   SELECT asset, 3 AS k, count(*) AS n, 14 AS n_params, {r('sum(ll)', 5, 'loglik')}, {r('-2*sum(ll) + 14*ln(count(*))', 5, 'bic')}, {r('-2*sum(ll) + 28', 5, 'aic')} FROM t_filt GROUP BY 1""", branches=True)
 def chain_criteria(spark, sf_dir):
@@ -311,26 +415,29 @@ def chain_criteria(spark, sf_dir):
     return tidy(out, ["asset", "k", "n", "n_params"], loglik=5, bic=5, aic=5)
 
 
-@query("G11_state_count_criteria")
-def state_count_criteria(spark, sf_dir):
-    from varloom.session import cut_lineage
+def state_counts(spark, sf_dir):
+    """Criteria of both models for every number of states."""
+    series = training(spark, sf_dir)
+    names = ["loglik", "n_params", "bic", "aic", "converged", "n_iter"]
+    jump = rg.jump_summary(rf.fit_jump(series, K_GRID, [COUNTING])).select("asset", "k", F.lit("jump").alias("model"), *names)
+    chain = rg.chain_summary(rf.fit_chain(series, K_GRID)).select("asset", "k", F.lit("chain").alias("model"), *names)
+    return jump.unionByName(chain)
+
 
-    grid = cut_lineage(starts(spark, sf_dir, (2, 3, 4), 2))
-    jump = rg.jump_summary(rg.fit_jump(grid, [10.0], 8)).select("asset", "k", F.lit("jump").alias("model"), "loglik", "n_params", "bic", "aic")
-    chain = rg.chain_summary(rg.fit_chain(grid.where("init = 0"), 5)).select("asset", "k", F.lit("chain").alias("model"), "loglik", "n_params", "bic", "aic")
-    return tidy(jump.unionByName(chain), ["asset", "k", "model", "n_params"], loglik=4, bic=4, aic=4)
+@query("G11_state_count_criteria", branches=True)
+def state_count_criteria(spark, sf_dir):
+    return tidy(state_counts(spark, sf_dir), ["asset", "k", "model", "n_params", "converged", "n_iter"], loglik=4, bic=4, aic=4)
 
 
-@query("K3_best_state_count")
+@query("K3_best_state_count", branches=True)
 def best_state_count(spark, sf_dir):
-    table = rg.jump_summary(rg.fit_jump(starts(spark, sf_dir, (2, 3, 4), 2), [10.0], 8))
-    return table.groupBy("asset").agg(F.min_by("k", F.struct("bic", "k")).alias("best_k"), F.round(F.min("bic"), 4).alias("bic"))
+    return state_counts(spark, sf_dir).groupBy("asset", "model").agg(F.min_by("k", F.struct("bic", "k")).alias("best_k"), F.round(F.min("bic"), 4).alias("bic"))
 
 
 @query("G12_penalty_sensitivity", branches=True)
 def penalty_sensitivity(spark, sf_dir):
-    fits = rg.fit_jump(starts(spark, sf_dir, n_init=2), [1.0, 3.0, 10.0])
-    out = rg.penalty_sensitivity(labelled(spark, sf_dir), fits, 3.0, TRAIN_END, TEST_START)
+    fits = rf.fit_jump(training(spark, sf_dir), [K], SENSITIVITY)
+    out = rg.penalty_sensitivity(labelled(spark, sf_dir), fits, HEADLINE, TRAIN_END, TEST_START)
     return tidy(out, ["asset", "penalty", "n_jumps", "clears_floor", "test_switches", "is_headline"], mean_duration=6, agreement_test=6, agreement_train=6)
 
 

@@ -6,7 +6,7 @@ assets, penalties, state counts and restarts. Every recursion is a fold evaluate
 
 from __future__ import annotations
 
-from math import pi
+from math import log, pi
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -55,13 +55,58 @@ def gaussian_losses(x: Column, means: Column, variances: Column) -> Column:
     return let(params, lambda p: F.transform(x, lambda v: F.transform(p, lambda s: (v - s["m"]) * (v - s["m"]) * s["w"] + s["c"])))
 
 
+def cholesky(matrix: Column) -> Column:
+    """Lower factor of a positive definite matrix, as rows that end at the diagonal."""
+
+    def row(done, i):
+        def cell(own, j):
+            other = F.when(j == i, own).otherwise(F.get(done, j))
+            rest = F.element_at(F.element_at(matrix, i + 1), j + 1) - F.aggregate(
+                F.zip_with(own, F.slice(other, 1, F.size(own)), lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
+            diagonal = F.sqrt(F.greatest(rest, F.lit(TINY)))
+            return F.array_append(own, F.when(j == i, diagonal).otherwise(rest / F.element_at(F.get(done, j), -1)))
+
+        return F.array_append(done, F.aggregate(F.sequence(F.lit(0), i), F.array().cast("array<double>"), cell))
+
+    return F.aggregate(indices(F.size(matrix)), F.array().cast("array<array<double>>"), row)
+
+
+def vector_losses(x: Column, means: Column, covariances: Column) -> Column:
+    """Negative log density of every vector under every state with a full covariance.
+
+    Each covariance is factored once; an observation costs one triangular solve per state.
+    """
+    def state(m, c):
+        half_volume = lambda f: F.aggregate(f, F.lit(0.0), lambda s, r: s + F.ln(F.element_at(r, -1))) + F.size(m) * F.lit(0.5 * log(2 * pi))
+        return let(cholesky(c), lambda f: F.struct(m.alias("m"), f.alias("f"), half_volume(f).alias("c")))
+
+    def solve(v, s):
+        def forward(z, r):
+            done = F.aggregate(F.zip_with(z, F.slice(r, 1, F.size(z)), lambda a, b: a * b), F.lit(0.0), lambda t, u: t + u)
+            at = F.size(z) + 1
+            return F.array_append(z, (F.element_at(v, at) - F.element_at(s["m"], at) - done) / F.element_at(r, -1))
+
+        return F.aggregate(s["f"], F.array().cast("array<double>"), forward)
+
+    squares = lambda z: F.aggregate(z, F.lit(0.0), lambda t, u: t + u * u)
+    return let(F.zip_with(means, covariances, state), lambda p: F.transform(x, lambda v: F.transform(p, lambda s: squares(solve(v, s)) / 2 + s["c"])))
+
+
+#: Entries of a history that are appended to one by one; histories are arrays of such pieces until they end.
+PIECE = 64
+
+
 def scan(items: Column, first: Column, step) -> Column:
     """All intermediate states of a fold: ``step(previous state, item)`` for items after the first.
 
-    The history is only ever appended to and never passes through ``let``, which would copy it.
+    An append copies what it appends to, so a history grows in pieces of bounded size, which are joined at the end.
     """
     rest = F.slice(items, 2, F.greatest(F.size(items) - 1, F.lit(1)))
-    return F.aggregate(rest, F.array(first), lambda acc, item: F.array_append(acc, step(F.element_at(acc, -1), item)))
+    pieces = lambda r: F.transform(F.sequence(F.lit(0), F.greatest(F.ceil(F.size(r) / PIECE).cast("int") - 1, F.lit(0))), lambda i: F.slice(r, i * PIECE + 1, F.lit(PIECE)))
+    grow = lambda last, piece: F.slice(F.aggregate(piece, F.array(last), lambda acc, item: F.array_append(acc, step(F.element_at(acc, -1), item))), F.lit(2), F.greatest(F.size(piece), F.lit(1)))
+    history = F.aggregate(
+        F.filter(let(rest, pieces), lambda piece: F.size(piece) > 0), F.array(F.array(first)), lambda acc, piece: F.array_append(acc, grow(F.element_at(F.element_at(acc, -1), -1), piece)))
+    return F.flatten(history)
 
 
 def _first_min(v: Column) -> Column:

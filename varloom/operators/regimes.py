@@ -5,14 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from varloom.operators import recursion as rc
-from varloom.operators.features import rank_bins, short_mean
+from varloom.operators import recursion as rc, regime_fits as rf
+from varloom.operators.features import rank_bins
 from varloom.operators.realized import calendar_window
 from varloom.operators.timing import run_table
 from varloom.session import cut_lineage
 
 VARIANCE_FLOOR = 1e-6
-UNIFORM = 2.0**63
 
 
 def standardize(panel: DataFrame, col: str, train_end: str | None, name: str = "x") -> DataFrame:
@@ -92,23 +91,30 @@ def chain_parameters(panel: DataFrame, states: int, x: str = "x", prior: float =
         F.transform(counts, lambda c: (c + F.lit(prior)) / (length + F.lit(states * prior))).alias("start"), matrix.alias("matrix"), k.alias("k"))
 
 
+def _losses(parameters: DataFrame) -> Column:
+    """Emission losses of the series ``x``: of vectors where the parameters have covariances."""
+    if "covariances" in parameters.columns:
+        return rc.vector_losses(F.col("x"), F.col("means"), F.col("covariances"))
+    return rc.gaussian_losses(F.col("x"), F.col("means"), F.col("variances"))
+
+
 def filter_states(series: DataFrame, parameters: DataFrame, by=("asset",)) -> DataFrame:
     """Causal and smoothed probabilities per date, the causal state and the decoded path.
 
-    Parameters may come in several versions per asset (one per penalty, say); ``by`` names their key.
+    Parameters may come in several versions per asset (one per penalty, say); ``by`` names their key. Series and
+    parameters may be of one column or of several.
     """
-    j = rc.spread(series.join(parameters, "asset"), *by).withColumn("losses", rc.gaussian_losses(F.col("x"), F.col("means"), F.col("variances")))
-    j = j.withColumn("columns", rc.transpose(F.col("matrix"), F.col("k"))).withColumn(
-        "f", rc.forward_filter(F.col("losses"), F.col("start"), F.col("columns")))
-    j = j.withColumn("smooth", rc.smoothed(F.col("f.p"), rc.backward_weights(F.col("losses"), F.col("matrix")))).withColumn(
-        "path", rc.viterbi(F.col("losses"), F.col("start"), F.col("columns"))).withColumn("filt", F.col("f.p"))
-    out = rc.explode_series(j, list(by), p="filt", p_smooth="smooth", path="path")
-    return out.withColumn("state", (F.array_position("p", F.array_max("p")) - 1).cast("int"))
+    j = series.join(parameters, "asset")
+    if "covariances" not in parameters.columns:
+        j = j.withColumns({"means": F.transform("means", lambda m: F.array(m)), "covariances": F.transform("variances", lambda v: F.array(F.array(v)))})
+    if series.schema["x"].dataType.elementType.typeName() != "array":
+        j = j.withColumn("x", F.transform("x", lambda v: F.array(v)))
+    return rf.filter_rows(j, list(by))
 
 
 def chain_likelihood(series: DataFrame, parameters: DataFrame) -> DataFrame:
     """Log likelihood and information criteria of given chain parameters, one row per asset."""
-    j = series.join(parameters, "asset").withColumn("losses", rc.gaussian_losses(F.col("x"), F.col("means"), F.col("variances")))
+    j = series.join(parameters, "asset").withColumn("losses", _losses(parameters))
     f = rc.forward_filter(F.col("losses"), F.col("start"), rc.transpose(F.col("matrix"), F.col("k")))
     return chain_summary(j.withColumn("loglik", f["loglik"]))
 
@@ -221,45 +227,7 @@ def lagged_gate(board: DataFrame, states: int = 3) -> DataFrame:
     return board.withColumn("gate", gate(F.lag("p").over(calendar_window()), states))
 
 
-# ------------------------------------------------------------------------------------------- fits
-
-
-def _uniform(*parts) -> Column:
-    """Hash-based draw in (0, 1): the same on every partitioning of the data."""
-    return (F.xxhash64(*parts).cast("double") / UNIFORM + 1) / 2 * (1 - 2e-16) + 1e-16
-
-
-def _seeded_centres(x: Column, k: Column, init: Column, seed: int) -> Column:
-    """K starting centres; later ones are drawn with probability proportional to squared distance."""
-    def draw(centres, m):
-        def key(v, i):
-            gaps = F.transform(centres, lambda c: (v - c) * (v - c))
-            weight = F.coalesce(F.array_min(gaps), F.lit(1.0))
-            return F.struct((-F.ln(_uniform(F.lit(seed), init, m, i)) / F.greatest(weight, F.lit(1e-300))).alias("e"), v.alias("v"))
-
-        return F.array_append(centres, F.array_min(F.transform(x, key))["v"])
-
-    return F.aggregate(rc.indices(k), F.array().cast("array<double>"), draw)
-
-
-def starting_paths(panel: DataFrame, k_grid, n_init: int, seed: int = 17, x: str = "x") -> DataFrame:
-    """(asset, k, init, dates, x, path): a volatility-quantile start and seeded nearest-centre restarts."""
-    whole = Window.partitionBy("asset")
-    dev = panel.select("asset", "date", F.col(x).alias("x")).withColumns({
-        "_d": (F.col("x") - F.avg("x").over(whole)) ** 2, "_n": F.count("*").over(whole)})
-    # The smoothing width is a twentieth of the series, at most ten days.
-    width = F.least(F.lit(10), F.greatest(F.lit(1), F.floor(F.col("_n") / 20)))
-    proxy = short_mean("_d", 10)
-    for size in range(1, 10):
-        proxy = F.when(width == size, short_mean("_d", size)).otherwise(proxy)
-    ranked = dev.withColumn("_proxy", proxy).withColumn("_r", F.row_number().over(Window.partitionBy("asset").orderBy("_proxy", "date")) - 1)
-    packed = ranked.groupBy("asset").agg(F.array_sort(F.collect_list(F.struct("date", "x", "_r"))).alias("_s")).select(
-        "asset", F.col("_s.date").alias("dates"), F.col("_s.x").alias("x"), F.col("_s._r").alias("_r"))
-    grid = packed.withColumn("k", F.explode(F.array(*[F.lit(k) for k in k_grid]))).withColumn("init", F.explode(F.sequence(F.lit(0), F.lit(n_init - 1))))
-    by_rank = F.transform("_r", lambda r: F.least(F.floor(r * F.col("k") / F.size("x")), F.col("k") - 1).cast("int"))
-    nearest = rc.let(_seeded_centres(F.col("x"), F.col("k"), F.col("init"), seed), lambda c: F.transform("x", lambda v: rc.let(
-        F.transform(c, lambda m: (v - m) * (v - m)), lambda d: F.array_position(d, F.array_min(d)).cast("int") - 1)))
-    return grid.withColumn("path", F.when(F.col("init") == 0, by_rank).otherwise(nearest)).drop("_r")
+# ------------------------------------------------------------------- what is read off a fitted model
 
 
 def path_moments(x: Column, path: Column, k: Column, sample: bool = False) -> Column:
@@ -278,63 +246,31 @@ def path_moments(x: Column, path: Column, k: Column, sample: bool = False) -> Co
     return rc.let(filled, lambda f: F.struct(F.transform(f, mean).alias("means"), F.transform(f, var).alias("variances")))
 
 
-def fit_jump(starts: DataFrame, penalties, max_iter: int = 12) -> DataFrame:
-    """Coordinate descent between state moments and the penalised path for every asset, K, penalty and restart.
-
-    A round touches each series once and needs no shuffle. Lineage is cut every round, so a lost executor
-    repeats one round; rounds stop when no objective moves. Returns the best restart per (asset, k, penalty).
-    """
-    grid = starts.withColumn("penalty", F.explode(F.array(*[F.lit(float(p)) for p in penalties]))).withColumn("objective", F.lit(float("inf")))
-    grid = rc.spread(grid.withColumn("moved", F.lit(True)), "asset", "k", "penalty", "init")
-    keys = ["asset", "k", "init", "penalty", "dates", "x"]
-    for _ in range(max_iter):
-        fitted = grid.withColumn("m", path_moments(F.col("x"), F.col("path"), F.col("k")))
-        fitted = fitted.withColumn("dp", rc.jump_path(rc.gaussian_losses(F.col("x"), F.col("m.means"), F.col("m.variances")), F.col("penalty")))
-        close = F.abs(F.col("dp.objective") - F.col("objective")) <= 1e-12 + 1e-9 * F.abs("objective")
-        grid = cut_lineage(fitted.select(
-            *keys, F.col("dp.path").alias("path"), F.col("dp.objective").alias("objective"), F.col("dp.online").alias("online"),
-            F.col("m.means").alias("means"), F.col("m.variances").alias("variances"), (~close).alias("moved")))
-        if grid.where("moved").isEmpty():
-            break
-    rest = ["init", "dates", "x", "path", "online", "means", "variances"]
-    best = grid.groupBy("asset", "k", "penalty").agg(F.min_by(F.struct("objective", *rest), F.struct("objective", "init")).alias("b")).select("asset", "k", "penalty", "b.*")
-    return _order_by_variance(best)
-
-
-def _order_by_variance(fit: DataFrame) -> DataFrame:
-    order = F.array_sort(F.transform(F.zip_with("variances", "means", lambda v, m: F.struct(v.alias("v"), m.alias("m"))), lambda s, i: F.struct(s["v"].alias("v"), i.alias("i"), s["m"].alias("m"))))
-    fit = fit.withColumn("_o", order)
-    place = lambda s: F.array_position(F.col("_o.i"), s).cast("int") - 1
-    return fit.withColumns({
-        "path": rc.let(F.col("_o.i"), lambda o: F.transform("path", lambda s: F.array_position(o, s).cast("int") - 1)),
-        "online": rc.let(F.col("_o.i"), lambda o: F.transform("online", lambda s: F.array_position(o, s).cast("int") - 1)),
-        "means": F.col("_o.m"), "variances": F.col("_o.v"),
-    }).drop("_o")
-
-
 def jump_count(path: Column) -> Column:
     return F.aggregate(
         path, F.struct(F.lit(None).cast("int").alias("p"), F.lit(0).alias("c")),
         lambda a, s: F.struct(s.alias("p"), (a["c"] + F.when(a["p"].isNotNull() & (a["p"] != s), 1).otherwise(0)).alias("c")), lambda a: a["c"])
 
 
-def jump_summary(fit: DataFrame, features: int = 1) -> DataFrame:
-    """Jumps, mean duration and information criteria of each fitted path."""
+def _columns() -> Column:
+    return F.size(F.element_at("x", 1))
+
+
+def jump_summary(fit: DataFrame) -> DataFrame:
+    """Jumps, mean duration, information criteria and convergence of each fitted path."""
     n = F.size("x").cast("double")
-    own = F.aggregate(
-        F.zip_with(rc.gaussian_losses(F.col("x"), F.col("means"), F.col("variances")), "path", lambda losses, s: F.element_at(losses, s + 1)),
-        F.lit(0.0), lambda a, v: a + v)
-    out = fit.withColumns({"n_jumps": jump_count(F.col("path")), "loglik": -own, "n_params": (2 * F.col("k") * features).cast("int"), "n": F.size("x")})
+    out = fit.withColumns({"n_jumps": jump_count(F.col("path")), "n_params": (2 * F.col("k") * _columns()).cast("int"), "n": F.size("x")})
     return out.select(
         "asset", "k", "penalty", "n", "n_jumps", (n / (F.col("n_jumps") + 1)).alias("mean_duration"), "objective", "loglik", "n_params",
-        information_criterion(F.col("loglik"), F.col("n_params"), F.ln(n)).alias("bic"), information_criterion(F.col("loglik"), F.col("n_params"), F.lit(2.0)).alias("aic"))
+        information_criterion(F.col("loglik"), F.col("n_params"), F.ln(n)).alias("bic"), information_criterion(F.col("loglik"), F.col("n_params"), F.lit(2.0)).alias("aic"),
+        "converged", "n_iter", "restarts_converged")
 
 
 def information_criterion(loglik: Column, parameters: Column, weight: Column) -> Column:
     return -2.0 * loglik + parameters * weight
 
 
-def chain_parameter_count(k: Column, features: int = 1) -> Column:
+def chain_parameter_count(k: Column, features=1) -> Column:
     """Start, transitions, means and full covariances."""
     return (k - 1) + k * (k - 1) + k * features + k * features * (features + 1) / 2
 
@@ -345,66 +281,47 @@ def choose_penalty(summary: DataFrame, floor_days: float = 15.0) -> DataFrame:
     return summary.groupBy("asset", "k").agg(F.coalesce(F.min(ok), F.max("penalty")).alias("penalty"), F.max("mean_duration").alias("longest_duration"))
 
 
-def fit_chain(starts: DataFrame, max_iter: int = 10, tol: float = 1e-4) -> DataFrame:
-    """Expectation-maximisation for Gaussian hidden Markov chains, every asset, K and restart side by side.
-
-    Returns the likeliest restart per (asset, k) with states ordered by variance.
-    """
-    k = F.col("k")
-    first = rc.spread(starts, "asset", "k", "init").withColumn("m", path_moments(F.col("x"), F.col("path"), k))
-    sticky = F.transform(rc.indices(k), lambda i: F.transform(rc.indices(k), lambda j: F.when(i == j, F.lit(0.9)).otherwise(F.lit(0.1) / F.greatest(k - 1, F.lit(1)))))
-    state = first.select(
-        "asset", "k", "init", "dates", "x", F.col("m.means").alias("means"), F.col("m.variances").alias("variances"),
-        F.transform(rc.indices(k), lambda _: F.lit(1.0) / k).alias("start"), sticky.alias("matrix"), F.lit(float("-inf")).alias("loglik"), F.lit(True).alias("moved"))
-    keys = ["asset", "k", "init", "dates", "x"]
-    for _ in range(max_iter):
-        e = state.withColumn("losses", rc.gaussian_losses(F.col("x"), F.col("means"), F.col("variances")))
-        e = e.withColumn("f", rc.forward_filter(F.col("losses"), F.col("start"), rc.transpose(F.col("matrix"), k)))
-        e = e.withColumn("b", rc.backward_weights(F.col("losses"), F.col("matrix")))
-        e = e.withColumn("g", rc.smoothed(F.col("f.p"), F.col("b")))
-        size = F.size("x")
-        steps = F.arrays_zip(F.slice(F.col("f.p"), 1, size - 1).alias("a"), F.slice("losses", 2, size - 1).alias("l"), F.slice("b", 2, size - 1).alias("b"))
-
-        def pair_weights(s):
-            right = rc.let(F.array_min(s["1"]), lambda m: F.zip_with(s["1"], s["2"], lambda q, b: F.exp(m - q) * b))
-            joint = rc.let(right, lambda r: F.zip_with(s["0"], F.col("matrix"), lambda a, row: F.zip_with(row, r, lambda p, w: a * p * w)))
-            return rc.let(joint, lambda j: rc.let(rc._total(F.flatten(j)), lambda t: F.transform(j, lambda row: F.transform(row, lambda v: v / t))))
-
-        names = e.select(steps.alias("z")).schema["z"].dataType.elementType.names
-        named = F.transform(steps, lambda s: F.struct(*[s.getField(n).alias(str(i)) for i, n in enumerate(names)]))
-        zero = F.transform("matrix", lambda row: F.transform(row, lambda _: F.lit(0.0)))
-        xi = F.aggregate(named, zero, lambda acc, s: F.zip_with(acc, pair_weights(s), lambda p, q: F.zip_with(p, q, lambda u, v: u + v)))
-        matrix = rc.let(xi, lambda m: F.transform(m, lambda row: rc.let(rc._total(row), lambda t: F.transform(row, lambda v: v / t))))
-        weight_of = F.zip_with("g", "x", lambda g, v: F.struct(g.alias("g"), v.alias("v")))
-        zero_w = F.struct(F.lit(0.0).alias("n"), F.lit(0.0).alias("s"), F.lit(0.0).alias("q"))
-        sums = rc.let(weight_of, lambda z: F.transform(rc.indices(k), lambda j: F.aggregate(z, zero_w, lambda a, r: rc.let(F.element_at(r["g"], j + 1), lambda w: F.struct(
-            (a["n"] + w).alias("n"), (a["s"] + w * r["v"]).alias("s"), (a["q"] + w * r["v"] * r["v"]).alias("q"))))))
-        e = e.withColumn("sums", sums).withColumn("next", matrix)
-        ll = F.col("f.loglik")
-        state = cut_lineage(e.select(
-            *keys, F.transform("sums", lambda a: a["s"] / a["n"]).alias("means"),
-            F.transform("sums", lambda a: F.greatest(a["q"] / a["n"] - (a["s"] / a["n"]) * (a["s"] / a["n"]), F.lit(VARIANCE_FLOOR))).alias("variances"),
-            F.element_at("g", 1).alias("start"), F.col("next").alias("matrix"), ll.alias("loglik"), (ll - F.col("loglik") > tol).alias("moved")))
-        if state.where("moved").isEmpty():
-            break
-    # The rounds carry the likelihood of the parameters before them; what is returned is scored as it is.
-    scored = state.withColumn("losses", rc.gaussian_losses(F.col("x"), F.col("means"), F.col("variances")))
-    state = scored.withColumn("loglik", rc.forward_filter(F.col("losses"), F.col("start"), rc.transpose(F.col("matrix"), k))["loglik"]).drop("losses")
-    rest = ["init", "dates", "x", "means", "variances", "start", "matrix"]
-    best = state.groupBy("asset", "k").agg(F.max_by(F.struct("loglik", *rest), F.struct("loglik", "init")).alias("b")).select("asset", "k", "b.*")
-    order = F.array_sort(F.transform("variances", lambda v, i: F.struct(v.alias("v"), i.alias("i"))))["i"]
-    pick = lambda a: rc.let(order, lambda o: F.transform(o, lambda i: F.element_at(a, i + 1)))
-    best = best.withColumn("_m", rc.let(order, lambda o: F.transform(o, lambda i: F.transform(o, lambda j: F.element_at(F.element_at("matrix", i + 1), j + 1)))))
-    best = best.withColumns({"means": pick(F.col("means")), "start": pick(F.col("start")), "_v": pick(F.col("variances"))})
-    return best.withColumn("matrix", F.col("_m")).withColumn("variances", F.col("_v")).drop("_m", "_v")
-
-
-def chain_summary(fit: DataFrame, features: int = 1) -> DataFrame:
+def chain_summary(fit: DataFrame) -> DataFrame:
+    """Likelihood, information criteria and, for fitted chains, convergence."""
     n = F.size("x").cast("double")
-    p = chain_parameter_count(F.col("k"), features)
+    columns = _columns() if fit.schema["x"].dataType.elementType.typeName() == "array" else F.lit(1)
+    p = chain_parameter_count(F.col("k"), columns)
     return fit.select("asset", "k", F.size("x").alias("n"), "loglik", p.cast("int").alias("n_params"),
-                      information_criterion(F.col("loglik"), p, F.ln(n)).alias("bic"), information_criterion(F.col("loglik"), p, F.lit(2.0)).alias("aic"))
+                      information_criterion(F.col("loglik"), p, F.ln(n)).alias("bic"), information_criterion(F.col("loglik"), p, F.lit(2.0)).alias("aic"),
+                      *[c for c in ("converged", "n_iter", "restarts_converged") if c in fit.columns])
 
 
-def path_rows(fit: DataFrame, keep, path: str = "path") -> DataFrame:
-    return rc.explode_series(fit, keep, x="x", state=path)
+def path_rows(fit: DataFrame, keep, path: str = "path", columns=("x",)) -> DataFrame:
+    """One row per date with the state and the columns of the series by name."""
+    rows = rc.explode_series(fit, keep, x="_x", state=path) if "_x" in fit.columns else rc.explode_series(fit.withColumnRenamed("x", "_x"), keep, _x="_x", state=path)
+    return rows.select(*keep, "date", "state", *[F.col("_x")[i].alias(c) for i, c in enumerate(columns)])
+
+
+# ------------------------------------------------------------------------------- several columns a day
+
+
+def vector_parameters(panel: DataFrame, columns, states: int, prior: float = 1.0, by=("asset",)) -> DataFrame:
+    """Filter parameters from a labelled path with several columns: means, sample covariances, start and transitions.
+
+    A state of fewer than two days takes the moments of all days.
+    """
+    pairs = [(i, j) for i in range(len(columns)) for j in range(i + 1)]
+    moments = [F.avg(c).alias(f"_m{i}") for i, c in enumerate(columns)] + [F.covar_samp(columns[i], columns[j]).alias(f"_c{i}{j}") for i, j in pairs]
+    names = [f"_m{i}" for i in range(len(columns))] + [f"_c{i}{j}" for i, j in pairs]
+    own = panel.groupBy(*by, "state").agg(F.count("*").alias("_n"), *moments)
+    pooled = panel.groupBy(*by).agg(*moments).select(*by, *[F.col(c).alias(f"_p{c}") for c in names])
+    grid = pooled.withColumn("state", F.explode(F.sequence(F.lit(0), F.lit(states - 1)))).join(own, [*by, "state"], "left")
+    pick = {c: F.when(F.col("_n") >= 2, F.col(c)).otherwise(F.col(f"_p{c}")) for c in names}
+
+    def cell(i: int, j: int) -> Column:
+        value = pick[f"_c{max(i, j)}{min(i, j)}"]
+        return F.greatest(value, F.lit(VARIANCE_FLOOR)) if i == j else value
+
+    size = range(len(columns))
+    state = F.struct("state", F.array(*[pick[f"_m{i}"] for i in size]).alias("m"), F.array(*[F.array(*[cell(i, j) for j in size]) for i in size]).alias("c"))
+    packed = grid.groupBy(*by).agg(F.array_sort(F.collect_list(state)).alias("_s"))
+    start = start_distribution(panel, states, prior, by).groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("state", "p0")))["p0"].alias("start"))
+    rows = transition_table(panel, states, prior, by).groupBy(*by, "prev").agg(F.array_sort(F.collect_list(F.struct("state", "p")))["p"].alias("row"))
+    matrix = rows.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("prev", "row")))["row"].alias("matrix"))
+    return packed.join(start, list(by)).join(matrix, list(by)).select(
+        *by, F.col("_s.m").alias("means"), F.col("_s.c").alias("covariances"), "start", "matrix", F.lit(states).alias("k"))
