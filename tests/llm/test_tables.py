@@ -84,6 +84,17 @@ def test_mixing_keeps_clashing_columns_and_empty_tables(docs_of):
     assert {r.taken for r in mixing.mix(docs_of([(1, None, None, "s"), (2, "", None, None)])).collect()} == {0}
 
 
+def test_mixture_keeps_columns_with_the_names_of_helpers(spark):
+    names = ["rest", "whole", "earlier", "bucket", "_bucket", "_place", "place", "of", "id", "row", "plan_bucket", "in_bucket", "weight", "col"]
+    rows = [(i, "a b c " * (i + 1), "st"[i % 2], *range(7, 7 + len(names))) for i in range(8)]
+    table = spark.createDataFrame(rows, "doc_id bigint, text string, source string, " + ", ".join(f"{n} int" for n in names))
+    got = mixing.mix(table)
+    assert got.count() == 8 and {tuple(r[n] for n in names) for r in got.collect()} == {tuple(range(7, 7 + len(names)))}
+    plain = {r.doc_id: (r.reps, r.taken) for r in mixing.mix(table.select("doc_id", "text", "source")).collect()}
+    assert {r.doc_id: (r.reps, r.taken) for r in got.collect()} == plain
+    assert mixing.repeated(got, table.columns).count() == sum(r for r, _ in plain.values())
+
+
 # --- archives ----------------------------------------------------------------------------------------------
 
 
@@ -120,19 +131,41 @@ def test_broken_records_are_told(spark, tmp_path):
     table = spark.createDataFrame([(1, "u", "y" * 5000), (2, "u", "z" * 5000)], "page_id bigint, url string, html string")
     warc.write(table, str(tmp_path / "w"), segment_bytes=1000)
     records = warc.records(spark, str(tmp_path / "w"))
-    lost = warc.reassemble(records.where("not (origin like '%:1>' and segment = 3)")).collect()
-    assert {r.origin: r.whole for r in lost} == {"<urn:x-page:1>": False, "<urn:x-page:2>": True}
+    lost = warc.reassemble(records.where("not (origin like '<urn:x-page:1:%' and segment = 3)")).collect()
+    assert {r.origin.split(":")[2]: r.whole for r in lost} == {"1": False, "2": True}
     orphan = warc.reassemble(records.where("segment > 1")).collect()
     assert {r.kind for r in orphan} == {None} and not any(r.whole for r in orphan)
 
 
 def test_small_payloads_are_all_responses(spark, tmp_path):
     table = spark.createDataFrame([(1, "u", "same"), (2, "u", "same"), (3, "u", "longer text"), (4, "u", "longer text")], "page_id bigint, url string, html string")
-    first = {r.page_id: r["first"] for r in warc.originals(table, min_bytes=5).collect()}
-    assert first == {1: 1, 2: 2, 3: 3, 4: 3}
+    warc.write(table, str(tmp_path / "w"), min_bytes=5)
+    got = {r.page_id: (r.record_type, r.refers_to, r.whole) for r in warc.page_summary(warc.reassemble(warc.records(spark, str(tmp_path / "w")))).collect()}
+    assert got == {1: ("response", None, True), 2: ("response", None, True), 3: ("response", None, True), 4: ("revisit", 3, True)}
     assert warc.round_trip(table.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("broadcast", [0, 10**6])
+def test_every_row_of_pages_comes_back(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(warc, "BROADCAST_DIGESTS", broadcast)
+    long = "x" * 200_000
+    rows = [(1, "u", "a"), (1, "u", "a"), (None, "u", "b"), (4, "u", "c"), (4, "u", "d"), (5, "u", "a"), (None, "u", "a"), (None, None, "e"), (None, None, "e"), (6, "u", long), (6, "u", long), (7, "u", long), (-8, "u", None)]
+    table = spark.createDataFrame([(*r, "x", 1) for r in rows], "page_id bigint, url string, html string, sha string, segment int").repartition(3)
+    got = sorted(((r.page_id is None, r.page_id or 0, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in warc.round_trip(table).collect()), key=str)
+    assert all(r.whole for r in warc.round_trip(table).collect())
+    least = {}
+    for i, _, h in rows:
+        if i is not None:
+            least[h] = min(least.get(h, i), i)
+
+    def expected(i, h):
+        raw, first = (h or "").encode(), least.get(h)
+        kind = ("response", None) if i == first else ("revisit", first)
+        return (i is None, i or 0, len(raw), warc.digest32(raw), *kind)
+
+    assert got == sorted((expected(i, h) for i, _, h in rows), key=str)
+
+
 def test_chunked_framing():
     for size in (1, 7, 5000):
         for payload in (b"", b"a", b"0\r\n\r\n" * 40):

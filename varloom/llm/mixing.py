@@ -53,28 +53,29 @@ def mix(docs: DataFrame, seed: int = 0, weights: tuple[int, ...] = (5, 2, 1), ma
     Columns of docs with the names added here are replaced. An empty table gives no rows.
     """
     added = ("size", "source_size", "target", "reps", "taken")
+    own = [c for c in docs.columns if c not in added]
     digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("-"))))
     place = F.conv(F.substring(digest, 1, 12), 16, 10).cast("long")
-    rows = docs.drop(*added).withColumn("size", n_words()).withColumn("_place", place)
-    rows = rows.withColumn("_bucket", (F.col("_place") % BUCKETS).cast("int"))
-    sums = rows.groupBy("source", "_bucket").agg(F.sum("size").alias("in_bucket"))
+    # The rows travel as one column, so no column of theirs meets a helper's name.
+    rows = docs.select(F.struct(*own).alias("row"), F.col("doc_id").alias("id"), F.col("source").alias("of"), n_words().alias("size"), place.alias("place"))
+    rows = rows.withColumn("bucket", (F.col("place") % BUCKETS).cast("int"))
+    sums = rows.groupBy(F.col("of").alias("source"), "bucket").agg(F.sum("size").alias("in_bucket"))
     aims = targets(sums.groupBy("source").agg(F.sum("in_bucket").alias("source_size")), weights, max_epochs)
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
     aims = aims.withColumn("whole", whole.cast("int")).withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size"))
-    earlier = Window.partitionBy("source").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.withColumn("earlier", F.coalesce(F.sum("in_bucket").over(earlier), F.lit(0)))
     same = aims["source"].eqNullSafe(sums["source"])
-    plan = sums.join(aims, same).select(
-        sums["source"].alias("_source"), F.col("_bucket").alias("_plan_bucket"), "earlier", "source_size", "target", "whole", "rest"
-    )
-    rows = rows.join(plan, rows["source"].eqNullSafe(plan["_source"]) & (F.col("_bucket") == F.col("_plan_bucket")))
-    inside = Window.partitionBy("_source", "_bucket").orderBy("_place", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    plan = sums.join(aims, same).select(sums["source"], F.col("bucket").alias("plan_bucket"), "earlier", "source_size", "target", "whole", "rest")
+    rows = rows.join(plan, F.col("of").eqNullSafe(F.col("source")) & (F.col("bucket") == F.col("plan_bucket")))
+    inside = Window.partitionBy("of", "bucket").orderBy("place", "id", "size").rowsBetween(Window.unboundedPreceding, -1)
     before = F.col("earlier") + F.coalesce(F.sum("size").over(inside), F.lit(0))
     extra = (F.col("rest") > 0) & (2 * before + F.col("size") <= 2 * F.col("rest"))
     rows = rows.withColumn("reps", F.col("whole") + extra.cast("int")).withColumn("taken", F.col("reps") * F.col("size"))
-    return rows.select(*(c for c in docs.columns if c not in added), *added)
+    return rows.select(*(F.col("row")[c].alias(c) for c in own), *added)
 
 
 def repeated(mixed: DataFrame, columns: list[str]) -> DataFrame:
     """The mix itself: each row as often as reps says."""
-    return mixed.where("reps > 0").select(*columns, F.explode(F.sequence(F.lit(1), F.col("reps"))).alias("_copy")).drop("_copy")
+    rows = mixed.where("reps > 0").select(F.struct(*columns).alias("row"), F.explode(F.sequence(F.lit(1), F.col("reps"))))
+    return rows.select(*(F.col("row")[c].alias(c) for c in columns))

@@ -2,7 +2,8 @@
 
 Reading: every archive file is parsed record by record by Content-Length; continuation records are grouped by
 WARC-Segment-Origin-ID and put in the order of their segment numbers; the total length is verified; the HTTP
-message is split from its head and chunked framing is decoded. Archives are written by Spark's text writer
+message is split from its head and chunked framing is decoded. A record that isn't segmented is whole where it is
+read; only segments are shuffled. Archives are written by Spark's text writer
 with the record end as line separator, so any file system that Spark can write will do. Segments and records
 per file are bounded, so a file fits in a task's memory whatever the size of a payload.
 """
@@ -15,6 +16,7 @@ import hashlib
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -64,8 +66,17 @@ def unchunked(body: bytes) -> bytes | None:
         at += 2
 
 
-def record_id(key: object, segment: int = 1) -> str:
-    return f"<urn:x-page:{key}>" if segment == 1 else f"<urn:x-page:{key}:{segment}>"
+#: Payload digests that may be broadcast after they have been counted; beyond it the join shuffles the pages.
+BROADCAST_DIGESTS = 125_000
+
+
+def record_name(page_id: object, digest: str, occurrence: str = "") -> str:
+    """Name of a page's record by its page_id and payload; rows that may share both have an occurrence besides."""
+    return f"urn:x-page:{'null' if page_id is None else page_id}:{digest}" + (f":{occurrence}" if occurrence else "")
+
+
+def _segment_id(name: str, segment: int = 1) -> str:
+    return f"<{name}>" if segment == 1 else f"<{name}#{segment}>"
 
 
 def _record(fields: list[tuple[str, object]], block: bytes) -> bytes:
@@ -73,13 +84,13 @@ def _record(fields: list[tuple[str, object]], block: bytes) -> bytes:
     return b"%s\r\n%s\r\n%s" % (VERSION, head.encode(), block)
 
 
-def page_records(key: object, url: str | None, payload: bytes, refers_to: object, segment_bytes: int) -> Iterator[bytes]:
+def page_records(name: str, url: str | None, payload: bytes, digest: str, refers_to: str | None, segment_bytes: int) -> Iterator[bytes]:
     """A page's record, followed by its continuations where the block is longer than a segment."""
     target = "".join((url or "urn:x-no-address").split()) or "urn:x-no-address"
-    fields = [("WARC-Record-ID", record_id(key)), ("WARC-Date", DATE), ("WARC-Target-URI", target), ("WARC-Payload-Digest", f"sha1:{digest32(payload)}")]
+    fields = [("WARC-Record-ID", _segment_id(name)), ("WARC-Date", DATE), ("WARC-Target-URI", target), ("WARC-Payload-Digest", f"sha1:{digest}")]
     fields.append(("Content-Type", "application/http; msgtype=response"))
     if refers_to is not None:
-        yield _record([("WARC-Type", "revisit"), *fields, ("WARC-Profile", REVISIT_PROFILE), ("WARC-Refers-To", record_id(refers_to))], REVISIT_HEAD)
+        yield _record([("WARC-Type", "revisit"), *fields, ("WARC-Profile", REVISIT_PROFILE), ("WARC-Refers-To", _segment_id(refers_to))], REVISIT_HEAD)
         return
     block = HTTP_HEAD + chunked(payload)
     if len(block) <= segment_bytes:
@@ -88,37 +99,52 @@ def page_records(key: object, url: str | None, payload: bytes, refers_to: object
     pieces = [block[i : i + segment_bytes] for i in range(0, len(block), segment_bytes)]
     yield _record([("WARC-Type", "response"), *fields, ("WARC-Segment-Number", 1)], pieces[0])
     for n, piece in enumerate(pieces[1:], 2):
-        more = [("WARC-Type", "continuation"), ("WARC-Record-ID", record_id(key, n)), ("WARC-Date", DATE), ("WARC-Target-URI", target)]
-        more += [("WARC-Segment-Origin-ID", record_id(key)), ("WARC-Segment-Number", n)]
+        more = [("WARC-Type", "continuation"), ("WARC-Record-ID", _segment_id(name, n)), ("WARC-Date", DATE), ("WARC-Target-URI", target)]
+        more += [("WARC-Segment-Origin-ID", _segment_id(name)), ("WARC-Segment-Number", n)]
         if n == len(pieces):
             more.append(("WARC-Segment-Total-Length", len(block)))
         yield _record(more, piece)
 
 
-def originals(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
-    """Per page: first, the smallest page_id with an equal payload of at least min_bytes bytes (itself if none)."""
+def shared_payloads(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
+    """(sha, bytes, least, alone) of payloads that several rows have: the smallest page_id, and whether one row only has both.
+
+    Payloads under min_bytes bytes have a null least: each of their rows is a response. A null page_id comes last.
+    """
     payload = F.encode(F.coalesce(F.col("html"), F.lit("")), "UTF-8")
-    rows = pages.select("page_id", F.sha1(payload).alias("sha"), F.length(payload).alias("bytes"))
-    firsts = rows.groupBy("sha", "bytes").agg(F.min("page_id").alias("least"))
-    rows = rows.join(firsts, ["sha", "bytes"])
-    return rows.select("page_id", F.when(F.col("bytes") >= min_bytes, F.col("least")).otherwise(F.col("page_id")).alias("first"))
+    rows = pages.select("page_id", F.unhex(F.sha1(payload)).alias("sha"), F.length(payload).cast("long").alias("bytes"))
+    rows = rows.groupBy("sha", "bytes", "page_id").agg(F.count("*").alias("m"))
+    least = F.min(F.struct(F.col("page_id").isNull().alias("missing"), "page_id", "m"))
+    found = rows.groupBy("sha", "bytes").agg(least.alias("least"), F.sum("m").alias("n")).where("n > 1")
+    known = F.col("bytes") >= min_bytes
+    return found.select("sha", "bytes", F.when(known, F.col("least.page_id")).alias("least"), (known & (F.col("least.m") == 1)).alias("alone"), known.alias("merged"))
 
 
 def write(pages: DataFrame, path: str, min_bytes: int = 0, segment_bytes: int = SEGMENT_BYTES, records_per_file: int = RECORDS_PER_FILE) -> None:
-    """Archive every row of pages (page_id, url, html). page_id must be unique where it isn't null.
+    """Archive every row of pages (page_id, url, html); null html is an empty payload.
 
-    Null html is an empty payload; rows with a null page_id have no name to be found by and are left out.
+    Of rows with equal payloads those with the smallest page_id are responses and the others revisits of it. Rows may
+    repeat, and page_id may be null or stand for several payloads: every row has a record of its own. Rows that have both
+    page_id and payload in common are all responses if that page_id is the smallest; null is greater than any.
+    The pages themselves are not shuffled while payloads that occur twice are few enough to be broadcast.
     """
-    named = pages.select("page_id", "url", "html").where("page_id is not null")
-    rows = named.join(originals(named, min_bytes), "page_id")
+    payload = F.encode(F.coalesce(F.col("html"), F.lit("")), "UTF-8")
+    shared = common.materialise(shared_payloads(pages, min_bytes))
+    rows = pages.select("page_id", "url", "html", F.unhex(F.sha1(payload)).alias("sha"), F.length(payload).cast("long").alias("bytes"))
+    rows = rows.join(F.broadcast(shared) if shared.count() <= BROADCAST_DIGESTS else shared, ["sha", "bytes"], "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, written = TaskContext.get().partitionId(), 0
         for chunk in common.text_chunks(batches, "html"):
             out = []
             for row in chunk.to_pylist():
-                key, first = row["page_id"], row["first"]
-                payload = (row["html"] or "").encode()
-                out += page_records(key, row["url"], payload, None if first == key else first, segment_bytes)
+                key, digest = row["page_id"], base64.b32encode(row["sha"]).decode()
+                revisit = bool(row["merged"]) and key != row["least"]
+                single = row["merged"] is None or (row["alone"] and not revisit)
+                name = record_name(key, digest, "" if single else f"{task}.{written}")
+                body = (row["html"] or "").encode()
+                out += page_records(name, row["url"], body, digest, record_name(row["least"], digest) if revisit else None, segment_bytes)
+                written += 1
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["record"])
 
     lines = rows.mapInArrow(run, "record binary").select(F.col("record").cast("string").alias("value"))
@@ -142,7 +168,9 @@ def parse(archive: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
 
 
 def records(spark: SparkSession, path: str) -> DataFrame:
-    """One row per record of all archives: kind, id, origin (of a continuation, else itself), segment, total, digest, refers_to, block."""
+    """One row per record of all archives: kind, id, origin (of a continuation, else itself), segment (null where the record
+    isn't segmented), total, digest, refers_to, block.
+    """
     files = spark.read.format("binaryFile").load(path).select("content")
     schema = "kind string, id string, origin string, segment int, total bigint, digest string, refers_to string, block binary"
     kinds = [("kind", pa.string()), ("id", pa.string()), ("origin", pa.string()), ("segment", pa.int32()), ("total", pa.int64())]
@@ -153,13 +181,13 @@ def records(spark: SparkSession, path: str) -> DataFrame:
             for content in batch.column("content"):
                 rows = []
                 for head, block in parse(content.as_buffer().to_pybytes()):
-                    name, total = head.get("warc-record-id"), head.get("warc-segment-total-length")
+                    name, number, total = head.get("warc-record-id"), head.get("warc-segment-number"), head.get("warc-segment-total-length")
                     rows.append(
                         {
                             "kind": head.get("warc-type"),
                             "id": name,
                             "origin": head.get("warc-segment-origin-id", name),
-                            "segment": int(head.get("warc-segment-number", 1)),
+                            "segment": int(number) if number else None,
                             "total": int(total) if total else None,
                             "digest": head.get("warc-payload-digest", "").removeprefix("sha1:") or None,
                             "refers_to": head.get("warc-refers-to"),
@@ -172,14 +200,16 @@ def records(spark: SparkSession, path: str) -> DataFrame:
 
 
 def reassemble(parts: DataFrame) -> DataFrame:
-    """One row per origin: kind, refers_to, digest and block as stored, payload (null if broken) and whole.
+    """One row per origin: kind, refers_to, digest as stored, payload (null if broken) and whole.
 
     whole is false where a segment is missing or twice with other bytes, the total length differs, the chunked
     framing is broken or a response's payload has another digest than the record says. Equal copies of a
-    segment count once. A continuation without its origin gives a row with null kind. The group is one record.
+    segment count once. A continuation without its origin gives a row with null kind. The group is one record;
+    a record that isn't segmented is decoded where it is, and copies of it stay copies.
     """
-    piece = F.struct("segment", "block", "total", "kind", "digest", "refers_to")
-    rows = parts.groupBy("origin").agg(F.collect_list(piece).alias("pieces"))
+    piece = F.struct(F.coalesce("segment", F.lit(1)).alias("segment"), "block", "total", "kind", "digest", "refers_to")
+    segments = parts.where("segment is not null").groupBy("origin").agg(F.collect_list(piece).alias("pieces"))
+    alone = parts.where("segment is null").select("origin", F.array(piece).alias("pieces"))
     kinds = [("origin", pa.string()), ("kind", pa.string()), ("digest", pa.string()), ("refers_to", pa.string())]
     kinds += [("payload", pa.binary()), ("whole", pa.bool_())]
 
@@ -206,34 +236,43 @@ def reassemble(parts: DataFrame) -> DataFrame:
                 part = batch.slice(i, 64).to_pylist()
                 yield pa.RecordBatch.from_pylist([one(r["origin"], r["pieces"]) for r in part], pa.schema(kinds))
 
-    return rows.mapInArrow(run, "origin string, kind string, digest string, refers_to string, payload binary, whole boolean")
+    schema = "origin string, kind string, digest string, refers_to string, payload binary, whole boolean"
+    return alone.mapInArrow(run, schema).unionAll(segments.mapInArrow(run, schema))
 
 
 def page_summary(reassembled: DataFrame) -> DataFrame:
     """Per archived page: page_id, payload_bytes, payload_digest, record_type, refers_to, whole.
 
-    A revisit's payload size and digest are those of the response it refers to.
+    A revisit's payload size and digest are those of the response it refers to (its own page_id and digest tell which).
     """
-    page = F.regexp_extract("origin", "^<urn:x-page:(-?[0-9]+)>$", 1)
+    name = "^<urn:x-page:(-?[0-9]+|null):([A-Z2-7]{32})"
+
+    def page(c: str):
+        return F.regexp_extract(c, name, 1).try_cast("long")
+
     rows = reassembled.select(
-        page.cast("long").alias("page_id"),
+        page("origin").alias("page_id"),
         F.col("kind").alias("record_type"),
-        F.regexp_extract("refers_to", "^<urn:x-page:(-?[0-9]+)>$", 1).try_cast("long").alias("refers_to"),
+        page("refers_to").alias("refers_to"),
         F.length("payload").cast("long").alias("own_bytes"),
-        F.col("digest"),
+        "digest",
         "whole",
+        F.regexp_extract("refers_to", name, 2).alias("of_digest"),
     )
     rows = common.materialise(rows)
-    referred = rows.where("record_type = 'response'").select(F.col("page_id").alias("response"), F.col("own_bytes").alias("bytes"), F.col("digest").alias("response_digest"))
-    rows = rows.withColumn("response", F.when(F.col("record_type") == "revisit", F.col("refers_to")).otherwise(F.col("page_id")))
-    return rows.join(referred, "response", "left").select(
+    responses = rows.where("record_type = 'response'").groupBy(F.col("page_id").alias("of_page"), F.col("digest").alias("of_digest")).agg(F.max("own_bytes").alias("of_bytes"))
+    revisits = rows.where("record_type = 'revisit'").join(
+        responses.withColumnRenamed("of_digest", "_digest"), F.col("refers_to").eqNullSafe(F.col("of_page")) & (F.col("of_digest") == F.col("_digest")), "left")
+    done = revisits.select(
         "page_id",
-        F.col("bytes").alias("payload_bytes"),
-        F.col("response_digest").alias("payload_digest"),
+        F.col("of_bytes").alias("payload_bytes"),
+        F.when(F.col("of_bytes").isNotNull(), F.col("of_digest")).alias("payload_digest"),
         "record_type",
         "refers_to",
-        (F.col("whole") & F.col("bytes").isNotNull() & (F.col("digest") == F.col("response_digest"))).alias("whole"),
+        (F.col("whole") & F.col("of_bytes").isNotNull() & (F.col("digest") == F.col("of_digest"))).alias("whole"),
     )
+    others = rows.where("record_type is null or record_type <> 'revisit'")
+    return others.select("page_id", F.col("own_bytes").alias("payload_bytes"), F.col("digest").alias("payload_digest"), "record_type", "refers_to", "whole").unionAll(done)
 
 
 def round_trip(pages: DataFrame, path: str | None = None) -> DataFrame:
