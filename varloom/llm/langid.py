@@ -4,8 +4,8 @@ Learning: byte trigrams of labelled texts are hashed into a fixed number of cell
 map-side sums, which gives each language a smoothed trigram law. Prediction: a word's likelihood under a
 language is the product over its trigrams (blanks at both ends included); expectation-maximisation over the
 words estimates the document's language proportions. The language set is chosen by penalised likelihood:
-languages enter in the order of their proportions, and a set grows only while the gain in log-likelihood
-exceeds the penalty. The model is languages x cells, whatever the corpus size.
+languages enter in the order of their proportions, and a set grows for as long as the gain in log-likelihood
+exceeds the penalty, up to all languages. The model is languages x cells, whatever the corpus size.
 """
 
 from __future__ import annotations
@@ -24,11 +24,10 @@ from varloom.llm import common
 CELLS = 1 << 15
 #: Languages that a model may hold; the model's size, which every task loads, is bounded by it.
 MAX_LANGUAGES = 200
-EM_ROUNDS = 8
+#: A document's rounds end when no proportion moves by more; the bound is reached only where languages can hardly be told apart.
+EM_TOLERANCE, EM_LIMIT = 1e-3, 200
 #: Penalty per further language: this many times half the logarithm of the number of words.
 PENALTY = 3.0
-#: Languages a document's set may have (a model parameter; proportions are spread over these).
-MAX_SET = 3
 UNKNOWN = "und"
 
 
@@ -113,59 +112,77 @@ def _segment_sum(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return out
 
 
-def infer(model: Model, data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Proportions (rows x languages; zeros where no word has a letter) and the size of the chosen set."""
-    return _inferred(model, data, starts)[:2]
+def infer(model: Model, data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Proportions (rows x languages; zeros where no word has a letter), the size of the chosen set and its rounds."""
+    return _inferred(model, data, starts)[:3]
 
 
-def _inferred(model: Model, data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _inferred(model: Model, data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """What infer() gives, and whether the set's likelihood exceeds that of equally frequent trigrams by the penalty."""
     cells, word_starts, per_row = _trigram_cells(data, starts)
     docs, langs = len(per_row), len(model.languages)
     if not len(cells) or not langs:
-        return np.zeros((docs, langs)), np.zeros(docs, np.int64), np.zeros(docs, bool)
+        return np.zeros((docs, langs)), np.zeros(docs, np.int64), np.zeros(docs, np.int64), np.zeros(docs, bool)
     word_log = np.empty((len(word_starts), langs), np.float32)
     for j in range(langs):
         word_log[:, j] = np.add.reduceat(model.log_law[:, j][cells], word_starts)
     row = common.row_of(per_row)
+    first_word = np.cumsum(per_row) - per_row
     shift = word_log.max(axis=1, keepdims=True)
     like = np.exp(np.maximum(word_log - shift, -60.0))
     base = _segment_sum(shift, per_row)[:, 0]
     single = _segment_sum(word_log, per_row)
-    n_words = np.maximum(per_row, 1)[:, None]
 
-    def fit(allowed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def fit(some: np.ndarray, allowed: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Proportions of these documents over their allowed languages, log-likelihoods and rounds; settled documents drop out."""
         share = allowed / np.maximum(allowed.sum(axis=1, keepdims=True), 1)
-        for _ in range(EM_ROUNDS):
-            part = like * share[row].astype(np.float32)
+        rounds = np.zeros(len(some), np.int64)
+        counts = per_row[some]
+        words = like[common.ragged(first_word[some], counts)] if len(some) < docs else like
+        going, held, of, size = np.arange(len(some)), words, common.row_of(counts), counts
+        for _ in range(EM_LIMIT):
+            part = held * share[going].astype(np.float32)[of]
             part /= np.maximum(part.sum(axis=1, keepdims=True), 1e-30)
-            share = _segment_sum(part, per_row) / n_words
-        total = np.log(np.maximum((like * share[row].astype(np.float32)).sum(axis=1, keepdims=True), 1e-30))
-        return share, base + _segment_sum(total, per_row)[:, 0]
-
-    full, _ = fit(np.ones((docs, langs)))
+            new = _segment_sum(part, size) / np.maximum(size, 1)[:, None]
+            still = np.abs(new - share[going]).max(axis=1) > EM_TOLERANCE
+            share[going] = new
+            rounds[going] += 1
+            if not still.any():
+                break
+            held, going, size = held[still[of]], going[still], size[still]
+            of = common.row_of(size)
+        total = np.log(np.maximum((words * share[common.row_of(counts)].astype(np.float32)).sum(axis=1, keepdims=True), 1e-30))
+        return share, base[some] + _segment_sum(total, counts)[:, 0], rounds
+
+    everyone = np.arange(docs)
+    full, most, _ = fit(everyone, np.ones((docs, langs)))
     order = np.argsort(-full, axis=1, kind="stable")
-    best_one = single.argmax(axis=1)
     chosen = np.zeros((docs, langs))
-    chosen[np.arange(docs), best_one] = 1.0
+    chosen[everyone, single.argmax(axis=1)] = 1.0
     gained = single.max(axis=1)
-    size = np.ones(docs, np.int64)
-    penalty = PENALTY * 0.5 * np.log(n_words[:, 0] + 1)
-    for m in range(2, min(MAX_SET, langs) + 1):
-        allowed = np.zeros((docs, langs))
-        np.put_along_axis(allowed, order[:, :m], 1.0, axis=1)
-        share, total = fit(allowed)
-        better = (total - penalty > gained) & (size == m - 1)
-        chosen[better], gained[better], size[better] = share[better], total[better], m
+    size, rounds = np.ones(docs, np.int64), np.zeros(docs, np.int64)
+    penalty = PENALTY * 0.5 * np.log(per_row + 1)
+    # No set beats all languages together, so where even these gain less than the penalty none is tried.
+    open_docs = everyone[(most + 1 - penalty > gained) & (per_row > 0)]
+    for m in range(2, langs + 1):
+        if not len(open_docs):
+            break
+        allowed = np.zeros((len(open_docs), langs))
+        np.put_along_axis(allowed, order[open_docs, :m], 1.0, axis=1)
+        share, total, taken = fit(open_docs, allowed)
+        better = total - penalty[open_docs] > gained[open_docs]
+        open_docs = open_docs[better]
+        chosen[open_docs], gained[open_docs], size[open_docs], rounds[open_docs] = share[better], total[better], m, taken[better]
+        open_docs = open_docs[most[open_docs] + 1 - penalty[open_docs] > gained[open_docs]]
     empty = per_row == 0
     chosen[empty], size[empty] = 0.0, 0
     sizes = np.diff(np.concatenate([word_starts, [len(cells)]]))
     background = -np.log(CELLS) * np.bincount(row, sizes, minlength=docs)
-    return chosen, size, ~empty & (gained - penalty > background)
+    return chosen, size, rounds, ~empty & (gained - penalty > background)
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, lang_pred, score (its proportion), n_languages, proportions of the chosen set.
+    """doc_id, lang_pred, score (its proportion), n_languages, proportions of the chosen set, em_rounds they took.
 
     `und` with score 0 where text is null or has no letter, or nothing was learned. Ties go to the language
     that is first by name. Only the text decides.
@@ -179,7 +196,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
         for chunk in common.text_chunks(batches):
             texts = chunk.column("text")
             data, starts = common.text_bytes(texts)
-            share, size = infer(known, data, starts)
+            share, size, rounds = infer(known, data, starts)
             letters = pc.fill_null(pc.match_substring_regex(texts, r"\p{L}"), False).to_numpy(zero_copy_only=False)
             sure = letters & (size > 0)
             best = share.argmax(axis=1) if share.shape[1] else np.zeros(len(size), np.int64)
@@ -195,11 +212,12 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
                     pa.array(np.clip(score, 0.0, 1.0)),
                     pa.array(np.where(sure, size, 0).astype(np.int32)),
                     pa.array(mixed, pa.map_(pa.string(), pa.float64())),
+                    pa.array(rounds.astype(np.int32)),
                 ],
-                names=["doc_id", "lang_pred", "score", "n_languages", "proportions"],
+                names=["doc_id", "lang_pred", "score", "n_languages", "proportions", "em_rounds"],
             )
 
-    schema = f"doc_id {kind}, lang_pred string, score double, n_languages int, proportions map<string, double>"
+    schema = f"doc_id {kind}, lang_pred string, score double, n_languages int, proportions map<string, double>, em_rounds int"
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
@@ -211,7 +229,7 @@ def held_out(modulus: int, remainder: int) -> Column:
 def predict_split(docs: DataFrame) -> DataFrame:
     """Learn from the documents that aren't held out, predict all: doc_id, held_out, then identify()'s columns."""
     model = learn(docs.where(~held_out(4, 2)))
-    return identify(docs, model).withColumn("held_out", held_out(4, 2)).select("doc_id", "held_out", "lang_pred", "score", "n_languages", "proportions")
+    return identify(docs, model).withColumn("held_out", held_out(4, 2)).select("doc_id", "held_out", "lang_pred", "score", "n_languages", "proportions", "em_rounds")
 
 
 def accepted(docs: DataFrame) -> DataFrame:
@@ -228,7 +246,7 @@ def accepted(docs: DataFrame) -> DataFrame:
         known = Model(*shipped.value)
         for chunk in common.text_chunks(batches):
             texts = chunk.column("text")
-            found = _inferred(known, *common.text_bytes(texts))[2] if known.languages else True
+            found = _inferred(known, *common.text_bytes(texts))[3] if known.languages else True
             letters = pc.fill_null(pc.match_substring_regex(texts, r"\p{L}"), False).to_numpy(zero_copy_only=False)
             yield chunk.filter(pa.array(letters & found))
 
