@@ -110,14 +110,14 @@ def test_each_measure_rejects_rows_that_pass_all_others(docs_of):
     bad = {
         "word_len_pct": "\n".join(sentence(r, long_words, 12) for _ in range(8)),
         "symbol_pmil": "\n".join(lines).replace(" a", " |||a").replace(" b", " ***b").replace(" c", " $$$c").replace(" d", " ###d"),
-        "dup_line_pmil": "\n".join([*lines, *("ab cd" for _ in range(6))]),
+        "dup_line_pmil": "\n".join(x for line in lines for x in (line, "ab")),
         "repeat_pmil": "\n".join([*(sentence(r, words, 16) for _ in range(8)), again, sentence(r, words, 10) + " " + again]),
     }
     rows += [(1000 + i, t, "en", "plain") for i, t in enumerate(bad.values())]
     docs = docs_of(rows)
     got = {x.doc_id: x for x in quality.judge(docs).collect()}
     assert all(got[i].kept for i in range(150))
-    measured = quality.measures(quality.base_columns(docs))
+    measured = common.materialise(quality.measures(quality.base_columns(docs)))
     limits = {(x.lang, x.source): x for x in quality.thresholds(quality.sketches(measured)).collect()}["en", "plain"]
     for i, name in enumerate(bad):
         row = got[1000 + i]
@@ -136,7 +136,7 @@ def test_fences_follow_their_group(docs_of):
     plain, _ = planted("en", "plain", 0, (3, 4, 5, 6), 0, r)
     tables, _ = planted("en", "tables", 500, (3, 4, 5, 6), 60, r)
     long, _ = planted("de", "plain", 1000, (7, 9, 11, 13), 0, r)
-    limits = {(x.lang, x.source): x for x in quality.thresholds(quality.sketches(quality.measures(quality.base_columns(docs_of(plain + tables + long))))).collect()}
+    limits = {(x.lang, x.source): x for x in quality.thresholds(quality.sketches(common.materialise(quality.measures(quality.base_columns(docs_of(plain + tables + long)))))).collect()}
     assert limits["en", "tables"].high_symbol_pmil > 100 > limits["en", "plain"].high_symbol_pmil == 0
     assert limits["de", "plain"].low_word_len_pct > limits["en", "plain"].high_word_len_pct
     kept = {x.doc_id: x.kept for x in quality.judge(docs_of(plain + tables + long + [(2000, tables[0][1], "en", "plain")])).collect()}

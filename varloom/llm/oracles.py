@@ -19,9 +19,8 @@ def _floor_of(v: str) -> str:
 def adaptive_quality() -> str:
     """Base columns, sketches by (lang, source), fences and the joined filter."""
     symbols = "".join("\\" + c for c in quality.SYMBOLS)
-    measures = [m for m, _ in quality.MEASURES]
-    least = " ".join(f"when '{m}' then {x}" for m, x in quality.MEASURES)
-    long = " union all ".join(f"select lang, source, '{m}' as measure, {m} as value from m" for m in measures)
+    measures = [m for m, _, _ in quality.MEASURES]
+    long = " union all ".join(f"select lang, source, '{m}' as measure, {m} as value from m where not base_failed" for m in measures)
     sides = [f"{side}_{m}" for side in ("low", "high") for m in measures]
 
     def fences(name: str, keys: str) -> str:
@@ -31,18 +30,18 @@ def adaptive_quality() -> str:
 {name}_c as (select {lead}measure, bucket, sum(n) as n from sk group by {lead}measure, bucket),
 {name}_u as (select {lead}measure, bucket, sum(n) over (partition by {lead}measure order by bucket) as upto,
   sum(n) over (partition by {lead}measure) as docs from {name}_c),
-{name}_q as (select {lead}measure, min(bucket) filter (4 * upto >= docs) as q1, min(bucket) filter (4 * upto >= 3 * docs) as q3,
-  max(docs) as docs from {name}_u group by {lead}measure),
-{name}_s as (select *, greatest(q3 - q1, case measure {least} end) as spread from {name}_q),
+{name}_q as (select {lead}measure, min(bucket) filter (10 * upto >= docs) as q10, min(bucket) filter (10 * upto >= 5 * docs) as q50,
+  min(bucket) filter (10 * upto >= 9 * docs) as q90, max(docs) as docs from {name}_u group by {lead}measure),
 {name} as (select {lead}max(docs) as docs,
-  {", ".join([f"max(q1 - {quality.FENCE} * spread) filter (measure = '{m}') as low_{m}" for m in measures] + [f"max(q3 + {quality.FENCE} * spread) filter (measure = '{m}') as high_{m}" for m in measures])}
-  from {name}_s {group})"""
+  {", ".join([f"max(q10 - {quality.FENCE} * (q50 - q10)) filter (measure = '{m}') as low_{m}" for m in measures] + [f"max(q90 + {quality.FENCE} * (q90 - q50)) filter (measure = '{m}') as high_{m}" for m in measures])}
+  from {name}_q {group})"""
 
     def pick(c: str) -> str:
         return f"case when o.docs >= {quality.LEAST_DOCS} then o.{c} when l.docs >= {quality.LEAST_DOCS} then l.{c} else a.{c} end as {c}"
 
     def inside(m: str) -> str:
-        noise = f"floor({quality.WORD_LEN_NOISE} / sqrt(greatest(n_words, 1)))" if m == "word_len_pct" else "0"
+        units, chance = next((u, c) for name, u, c in quality.MEASURES if name == m)
+        noise = f"floor({quality.WORD_LEN_NOISE} / sqrt(greatest(n_words, 1)))" if m == "word_len_pct" else f"floor({1000 * chance} / greatest({units}, 1)::double)"
         return f"m.{m} between t.low_{m} - {noise} and t.high_{m} + {noise}"
 
     def per(a: str, b: str, scale: int) -> str:
@@ -71,7 +70,7 @@ t as (select o.lang, o.source, {", ".join(pick(c) for c in sides)}
   from own o join bylang l on o.lang is not distinct from l.lang cross join whole a)
 select m.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
   not base_failed and {" and ".join(inside(m) for m in measures)} as kept, {", ".join(f"m.{m}" for m in measures)}
-from m join t on m.lang is not distinct from t.lang and m.source is not distinct from t.source
+from m left join t on m.lang is not distinct from t.lang and m.source is not distinct from t.source
 """
 
 

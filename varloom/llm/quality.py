@@ -15,10 +15,10 @@ from varloom.llm import common
 
 #: Symbols counted as noise (fixed by the contract).
 SYMBOLS = "#*$%&|<>"
-#: Measures, whole numbers each, with the least spread that a fence assumes: (name, least spread).
-MEASURES = (("word_len_pct", 60), ("symbol_pmil", 15), ("dup_line_pmil", 120), ("repeat_pmil", 60))
-#: A value fails beyond the quartiles by more than so many spreads.
-FENCE = 4
+#: Measures, whole numbers each: (name, units of a document that it counts in, units by which one document may be off by chance).
+MEASURES = (("word_len_pct", "n_words", 0), ("symbol_pmil", "word_chars", 10), ("dup_line_pmil", "n_lines", 2), ("repeat_pmil", "n_words", 10))
+#: A fence stands beyond the outer tenth of a group by so many times that tenth's distance from the median.
+FENCE = 2
 #: The mean word length of a short text is uncertain: its fences widen by this over the root of the number of words.
 WORD_LEN_NOISE = 1500
 #: Documents a group needs for thresholds of its own.
@@ -89,11 +89,15 @@ def bucket_floor(value: Column) -> Column:
 
 
 def sketches(rows: DataFrame) -> DataFrame:
-    """Counts per (lang, source, measure, bucket); adding the counts of equal keys merges two sketch tables."""
-    names = [m for m, _ in MEASURES]
+    """Counts per (lang, source, measure, bucket); adding the counts of equal keys merges two sketch tables.
+
+    Rows that base rules reject don't say what a group looks like and are left out.
+    """
+    names = [m for m, _, _ in MEASURES]
     pairs = F.array(*(F.struct(F.lit(m).alias("measure"), F.col(m).alias("value")) for m in names))
-    long = rows.select("lang", "source", F.explode(pairs).alias("x")).select("lang", "source", "x.measure", "x.value")
-    return long.groupBy("lang", "source", "measure", bucket_floor(F.col("value")).alias("bucket")).agg(F.count("*").alias("n"))
+    long = rows.select("lang", "source", "base_failed", F.explode(pairs).alias("x")).select("lang", "source", "base_failed", "x.measure", "x.value")
+    counts = long.groupBy("lang", "source", "measure", bucket_floor(F.col("value")).alias("bucket")).agg(F.count_if(~F.col("base_failed")).alias("n"))
+    return counts.where("n > 0")
 
 
 def thresholds(sketch: DataFrame) -> DataFrame:
@@ -103,29 +107,25 @@ def thresholds(sketch: DataFrame) -> DataFrame:
     """
     leveled = sketch.groupBy("lang", "source", "measure", "bucket").agg(F.sum("n").alias("n"))
 
-    def quartiles(keys: list[str]) -> DataFrame:
+    def fences(keys: list[str]) -> DataFrame:
         counts = leveled.groupBy(*keys, "measure", "bucket").agg(F.sum("n").alias("n"))
         up = Window.partitionBy(*keys, "measure").orderBy("bucket")
         counts = counts.select(
             *keys, "measure", "bucket", F.sum("n").over(up).alias("upto"), F.sum("n").over(Window.partitionBy(*keys, "measure")).alias("docs")
         )
 
-        def at(quarter: int) -> Column:
-            return F.min(F.when(4 * F.col("upto") >= quarter * F.col("docs"), F.col("bucket")))
+        def at(tenth: int) -> Column:
+            return F.min(F.when(10 * F.col("upto") >= tenth * F.col("docs"), F.col("bucket")))
 
-        stats = counts.groupBy(*keys, "measure").agg(at(1).alias("q1"), at(3).alias("q3"), F.max("docs").alias("docs"))
-        spread = F.lit(None)
-        for m, least in MEASURES:
-            spread = F.when(F.col("measure") == m, F.greatest(F.col("q3") - F.col("q1"), F.lit(least))).otherwise(spread)
-        stats = stats.withColumn("spread", spread)
-        fences = [(F.col("q1") - FENCE * F.col("spread"), "low"), (F.col("q3") + FENCE * F.col("spread"), "high")]
+        stats = counts.groupBy(*keys, "measure").agg(at(1).alias("q10"), at(5).alias("q50"), at(9).alias("q90"), F.max("docs").alias("docs"))
+        low, high = F.col("q10") - FENCE * (F.col("q50") - F.col("q10")), F.col("q90") + FENCE * (F.col("q90") - F.col("q50"))
         return stats.groupBy(*keys).agg(
             F.max("docs").alias("docs"),
-            *(F.max(F.when(F.col("measure") == m, f)).alias(f"{side}_{m}") for f, side in fences for m, _ in MEASURES),
+            *(F.max(F.when(F.col("measure") == m, f)).alias(f"{side}_{m}") for f, side in ((low, "low"), (high, "high")) for m, _, _ in MEASURES),
         )
 
-    sides = [f"{side}_{m}" for side in ("low", "high") for m, _ in MEASURES]
-    own, by_lang, whole = quartiles(["lang", "source"]), quartiles(["lang"]), quartiles([])
+    sides = [f"{side}_{m}" for side in ("low", "high") for m, _, _ in MEASURES]
+    own, by_lang, whole = fences(["lang", "source"]), fences(["lang"]), fences([])
     of_lang = by_lang.select(F.col("lang").alias("_lang"), F.col("docs").alias("_lang_docs"), *(F.col(c).alias(f"_l_{c}") for c in sides))
     of_all = whole.select(*(F.col(c).alias(f"_a_{c}") for c in sides))
     rows = own.join(of_lang, own["lang"].eqNullSafe(of_lang["_lang"])).withColumn("_one", F.lit(1))
@@ -143,15 +143,16 @@ def judge(docs: DataFrame) -> DataFrame:
     Null lang and null source are groups of their own. Repeated rows are judged row by row. The measured rows
     (a few numbers each) are written once, so texts are read once. An empty table gives no rows.
     """
-    measured = measures(base_columns(docs.select("doc_id", "text", "lang", "source"))).drop("text", "n_lines")
+    measured = measures(base_columns(docs.select("doc_id", "text", "lang", "source"))).drop("text")
     measured = common.materialise(measured)
     limits = thresholds(sketches(measured)).withColumnsRenamed({"lang": "_lang", "source": "_source"})
     same = measured["lang"].eqNullSafe(limits["_lang"]) & measured["source"].eqNullSafe(limits["_source"])
     inside = F.lit(True)
-    for m, _ in MEASURES:
-        noise = F.floor(WORD_LEN_NOISE / F.sqrt(F.greatest(F.col("n_words"), F.lit(1)))) if m == "word_len_pct" else F.lit(0)
+    for m, units, chance in MEASURES:
+        per_unit = 1000 * chance / F.greatest(F.col(units), F.lit(1))
+        noise = F.floor(WORD_LEN_NOISE / F.sqrt(F.greatest(F.col("n_words"), F.lit(1))) if m == "word_len_pct" else per_unit)
         inside = inside & F.col(m).between(F.col(f"low_{m}") - noise, F.col(f"high_{m}") + noise)
-    rows = measured.join(limits, same).withColumn("kept", ~F.col("base_failed") & inside)
+    rows = measured.join(limits, same, "left").withColumn("kept", ~F.col("base_failed") & inside)
     return rows.select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", *(m for m, _ in MEASURES)
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", *(m for m, _, _ in MEASURES)
     )
