@@ -29,6 +29,8 @@ EM_TOLERANCE, EM_LIMIT = 1e-3, 200
 #: Penalty per further language: this many times half the logarithm of the number of words.
 PENALTY = 3.0
 UNKNOWN = "und"
+#: Text bytes whose trigrams are held at once.
+HELD_TEXT = 2 << 20
 
 
 def _trigram_cells(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -74,7 +76,7 @@ def learn(labelled: DataFrame) -> Model:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, np.ndarray] = {}
-        for chunk in common.text_chunks(batches):
+        for chunk in common.text_chunks(batches, limit=HELD_TEXT):
             coded = chunk.column("lang").dictionary_encode()
             names, code = coded.dictionary.to_pylist(), coded.indices.to_numpy()
             data, starts = common.text_bytes(chunk.column("text"))
@@ -193,7 +195,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Model(*shipped.value)
-        for chunk in common.text_chunks(batches):
+        for chunk in common.text_chunks(batches, limit=HELD_TEXT):
             texts = chunk.column("text")
             data, starts = common.text_bytes(texts)
             share, size, rounds = infer(known, data, starts)
@@ -244,7 +246,7 @@ def accepted(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Model(*shipped.value)
-        for chunk in common.text_chunks(batches):
+        for chunk in common.text_chunks(batches, limit=HELD_TEXT):
             texts = chunk.column("text")
             found = _inferred(known, *common.text_bytes(texts))[3] if known.languages else True
             letters = pc.fill_null(pc.match_substring_regex(texts, r"\p{L}"), False).to_numpy(zero_copy_only=False)
