@@ -56,8 +56,8 @@ def mix(docs: DataFrame, seed: int = 0, weights: tuple[int, ...] = (5, 2, 1), ma
     own = [c for c in docs.columns if c not in added]
     digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("-"))))
     place = F.conv(F.substring(digest, 1, 12), 16, 10).cast("long")
-    # The rows travel as one column, so no column of theirs meets a helper's name.
-    rows = docs.select(F.struct(*own).alias("row"), F.col("doc_id").alias("id"), F.col("source").alias("of"), n_words().alias("size"), place.alias("place"))
+    # The columns travel under their places, so none meets a helper's name, and those not asked for needn't travel.
+    rows = docs.select(*(docs[c].alias(f"c{i}") for i, c in enumerate(own)), F.col("doc_id").alias("id"), F.col("source").alias("of"), n_words().alias("size"), place.alias("place"))
     rows = rows.withColumn("bucket", (F.col("place") % BUCKETS).cast("int"))
     sums = rows.groupBy(F.col("of").alias("source"), "bucket").agg(F.sum("size").alias("in_bucket"))
     aims = targets(sums.groupBy("source").agg(F.sum("in_bucket").alias("source_size")), weights, max_epochs)
@@ -72,7 +72,7 @@ def mix(docs: DataFrame, seed: int = 0, weights: tuple[int, ...] = (5, 2, 1), ma
     before = F.col("earlier") + F.coalesce(F.sum("size").over(inside), F.lit(0))
     extra = (F.col("rest") > 0) & (2 * before + F.col("size") <= 2 * F.col("rest"))
     rows = rows.withColumn("reps", F.col("whole") + extra.cast("int")).withColumn("taken", F.col("reps") * F.col("size"))
-    return rows.select(*(F.col("row")[c].alias(c) for c in own), *added)
+    return rows.select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(own)), *added)
 
 
 def repeated(mixed: DataFrame, columns: list[str]) -> DataFrame:
