@@ -141,10 +141,88 @@ def test_each_kind_is_found_alone_in_a_text(docs_of):
 
 
 def test_the_hint_passes_every_name():
-    names = [n for known in surrogates.GIVEN.values() for x in known for n in (x, x.upper())] + list(surrogates.TITLES)
+    names = [n for known in surrogates.GIVEN.values() for x in known for n in (x, x.upper())] + [f(t) for t in surrogates.TITLES for f in (str, str.upper, str.capitalize)]
     texts = [f"{before}{n} Öz" for n in names for before in ("", "ж ", "é ")]
     assert all(list(surrogates.mentions(t)) or "Öz" not in t for t in texts)
-    assert all(surrogates._hinted(pa.array(texts)))
+    assert all(names for _, names in surrogates._hinted(pa.array(texts)))
+
+
+def test_one_person_has_one_surrogate_in_all_forms(docs_of):
+    texts = [
+        "Mr John Smith met Mr Smith. Smith left, John's dog stayed; J. Smith and John Q. Smith wrote",
+        "John Q. Smith",
+        "Zelda Fitzroy came, and Ms Fitzroy left",
+        "пришла г-жа Иванова; Анна Иванова",
+        "MR. SMITH saw mrs Smith",
+    ]
+    got = {r.doc_id: r for r in surrogates.replace(docs_of(list(enumerate(texts))), KEY).collect()}
+    first = re.fullmatch(r"Mr (\w+) (\S+) met Mr (\S+)\. (\S+) left, (\w+)'s dog stayed; (\w)\. (\S+) and (\w+) (\w)\. (\S+) wrote", got[0].text).groups()
+    assert first[1] == first[2] == first[3] == first[6] == first[9] and first[0] == first[4] == first[7] and first[5] == first[0][0]
+    assert f"{first[0]} {first[8]}. {first[1]}" == got[1].text, "one entity in both texts"
+    assert got[0].n_entities == 6 and not re.search("John|Smith", got[0].text + got[1].text)
+    zelda = re.fullmatch(r"(\w+) (\S+) came, and Ms (\S+) left", got[2].text).groups()
+    assert zelda[1] == zelda[2] != "Fitzroy" and zelda[0] in surrogates.GIVEN["latin", "f"]
+    assert re.fullmatch(r"пришла г-жа (\S+а); \w+ \1", got[3].text) and "Иванова" not in got[3].text
+    pair = re.fullmatch(r"MR\. ([A-Z-]+) saw mrs ([A-Z][\w-]+)", got[4].text).groups()
+    assert pair[0] != pair[1].upper(), "two persons"
+
+
+def test_names_need_no_list_but_no_ordinary_words(docs_of):
+    texts = ["Xiomara Quint called", "When Xiomara Quint spoke", "Apache License", "under this license", "Orre Orre Orre", "Die Stadt", "on 01-02-2020, 2020-01-02", None, ""]
+    got = {r.doc_id: r for r in surrogates.replace(docs_of(list(enumerate(texts))), KEY).collect()}
+    assert [got[i].n_entities for i in range(len(texts))] == [1, 1, 0, 0, 0, 0, 0, 0, 0]
+    assert got[1].text == "When " + got[0].text.removesuffix(" called") + " spoke"
+    assert [got[i].text for i in range(2, len(texts))] == texts[2:]
+
+
+def test_recall_and_precision_of_mentions():
+    given, family = ["Xiomara", "Zelda", "Anna", "Jean-Luc", "Øyvind", "Тамара", "Иван"], ["Quint", "O'Hara", "Fitzroy", "Müller", "Гончарова"]
+    people = [f"{g} {f}" for g in given for f in family if surrogates._script(g) == surrogates._script(f)]
+    people += [f"{t} {f}" for t in ("Mr", "DR.", "frau", "Г-жа", "господин") for f in family] + [f"{g[0]}. {f}" for g in given[:5] for f in family[:4]]
+    phones = ["+49 30 1234567", "030 1234567", "(030) 1234567", "0171/2345678", "+33 1 23 45 67 89", "01 23 45 67 89", "+1 (415) 555-2671", "415-555-2671", "415.555.2671", "+14155552671", "(415) 555-2671"]
+    secrets = ["password = hunter22x", "API_KEY: a1b2c3d4", 'token="abc123def"', "passwd=********"]
+    for kind, cases in (("person", people), ("phone", phones), ("secret", secrets)):
+        hits = sum([k for _, _, k in surrogates.mentions(f"so wrote {x} today")] == [kind] for x in cases)
+        assert hits >= 0.9 * len(cases), (kind, hits, len(cases))
+        assert all(x[kind == "person"] for x in surrogates._hinted(pa.array([f"so wrote {x} today" for x in cases])))
+    clean = ["the secret: everybody knows", "it was 12 30 45 then", "Sie geht heute nach Hause. Die Katze schläft", "version 1.2.3", "in 2019 2020 2021", "pages 10-20", "The End", "1 000 000"]
+    assert not [x for t in clean for x in surrogates.mentions(t)]
+
+
+def test_surrogates_equal_a_plain_replacement_with_a_collision_search(docs_of):
+    texts = [f"Mr {g} {f} and {g[0]}. {f}, {i % 4}{i % 3}.1.1.{i}" for i, (g, f) in enumerate((g, f) for g in ("Peter", "Paul", "Karl", "Otto") for f in [f"Quint{c}" for c in "abcdefghijklmnopqrst"])]
+    texts += [f"to {chr(97 + i)}@z.com" for i in range(26)]
+    known = {x[3:5] for t in texts for x in surrogates.found(t)}
+    plain = lambda k, e: (k, surrogates._unsexed(k, e))
+    draws = {x: 0 for x in known}
+    while True:
+        held: dict = {}
+        for x, attempt in draws.items():
+            held.setdefault(plain(x[0], surrogates.surrogate(KEY, *x, attempt)), []).append((attempt, x[1], x))
+        taken = {plain(*x) for x in known}
+        again = {x for new, owners in held.items() for rank, (_, _, x) in enumerate(sorted(owners)) if rank or new in taken}
+        if not again:
+            break
+        draws.update({x: draws[x] + 1 for x in again})
+    want = []
+    for t in texts:
+        out, at = "", 0
+        for a, b, form, kind, entity, _ in surrogates.found(t):
+            out, at = out + t[at:a] + surrogates.render(form, t[a:b], surrogates.surrogate(KEY, kind, entity, draws[kind, entity])), b
+        want.append(out + t[at:])
+    got = {r.doc_id: r.text for r in surrogates.replace(docs_of(list(enumerate(texts))), KEY).collect()}
+    assert max(draws.values()) > 0 and [got[i] for i in range(len(texts))] == want
+
+
+def test_surrogates_keep_columns_of_any_name_and_long_texts(spark):
+    long = "word " * 400_000 + "Mr Peter Quint"
+    rows = [(1, long, 5, "a", 7, "x"), (1, long, 5, "a", 7, "x"), (None, None, None, None, None, None), (2, "to a@z.com", 6, "b", 8, "y")]
+    schema = "doc_id long, text string, _odd int, _tie string, odd_xxxxxx long, ENTITY string"
+    got = surrogates.replace(spark.createDataFrame(rows, schema), KEY)
+    assert got.columns == ["doc_id", "text", "_odd", "_tie", "odd_xxxxxx", "ENTITY", "n_entities"]
+    got = sorted(got.collect(), key=lambda r: (r.doc_id is None, r.doc_id))
+    assert [r[2:6] for r in got] == [r[2:] for r in (rows[0], rows[0], rows[3], rows[2])] and [r.n_entities for r in got] == [1, 1, 1, 0]
+    assert got[0].text == got[1].text and got[0].text.startswith("word " * 400_000 + "Mr ") and "Quint" not in got[0].text
 
 
 def test_masked_and_foreign_secrets_end_with_a_free_draw(docs_of):
