@@ -8,7 +8,7 @@ from varloom.catalog.base import query, tidy
 from varloom.catalog.significance import lagged_states
 from varloom.catalog.sql import QLIKE, W, define, num, phi, r, rs, z
 from varloom.functions import laws as fl
-from varloom.operators import calibration as cal, scoring as sc, timing as tm, walkforward as wf
+from varloom.operators import calibration as cal, forecasters as fc, scoring as sc, timing as tm, walkforward as wf
 from varloom.operators.walkforward import BASELINES
 from varloom.plans import study
 
@@ -127,6 +127,7 @@ define("t_scales", f"""
   GROUP BY 1, 2, 3, 4 HAVING count(*) >= 20""")
 define("t_scalebest", """
   SELECT asset, method, scope, max(n) AS n, first(scale ORDER BY crps, scale) AS scale_crps, min(crps) AS crps_best, first(scale ORDER BY abs(picp - 0.9), scale) AS scale_coverage,
+    max(picp) FILTER (scale = 1.0) AS picp_fitted, max(crps) FILTER (scale = 1.0) AS crps_fitted, first(picp ORDER BY abs(picp - 0.9), scale) AS picp_calibrated,
     min(scale) FILTER (crps <= low*1.001) AS plateau_lo, max(scale) FILTER (crps <= low*1.001) AS plateau_hi
   FROM (SELECT *, min(crps) OVER (PARTITION BY asset, method, scope) AS low FROM t_scales) GROUP BY 1, 2, 3""")
 
@@ -135,9 +136,9 @@ def scale_table(spark, sf_dir):
     return cal.sigma_scale_search(cal.with_scopes(study.law(spark, sf_dir), lagged_states(spark, sf_dir)), SCALES)
 
 
-@query("A29_sigma_scale_search", f"SELECT asset, method, scope, n, scale_crps, scale_coverage, plateau_lo, plateau_hi, {rs(crps_best=8)} FROM t_scalebest", branches=True)
+@query("A29_sigma_scale_search", f"SELECT asset, method, scope, n, scale_crps, scale_coverage, plateau_lo, plateau_hi, {rs(crps_best=8, picp_fitted=8, crps_fitted=8, picp_calibrated=8)} FROM t_scalebest", branches=True)
 def sigma_scale_search(spark, sf_dir):
-    return tidy(scale_table(spark, sf_dir), ["asset", "method", "scope", "n", "scale_crps", "scale_coverage", "plateau_lo", "plateau_hi"], crps_best=8)
+    return tidy(scale_table(spark, sf_dir), ["asset", "method", "scope", "n", "scale_crps", "scale_coverage", "plateau_lo", "plateau_hi"], crps_best=8, picp_fitted=8, crps_fitted=8, picp_calibrated=8)
 
 
 # ------------------------------------------------------------------------------------ laws and boards
@@ -224,6 +225,24 @@ def fold_diagnostics(spark, sf_dir):
     return tidy(out, ["asset", "n_folds", "n_floored"], mean_r2=7, mean_const=7, solved_share=8)
 
 
+GARCH_ENDS = {"alpha": (0.02, 0.2), "beta": (0.7, 0.95)}
+EGARCH_ENDS = {"alpha": (0.05, 0.2), "gamma": (-0.1, 0.1), "beta": (0.8, 0.95)}
+
+
+def _fit_rows(model: str, table: str, persistence: str, ends: dict) -> str:
+    inside = " AND ".join(f"{k} > {lo} AND {k} < {hi}" for k, (lo, hi) in ends.items())
+    return f"SELECT asset, '{model}' AS model, count(*) AS n_fits, {r(f'avg({persistence})', 8, 'persistence')}, {r(f'avg(CASE WHEN {inside} THEN 1.0 ELSE 0.0 END)', 8, 'inside_share')} FROM {table} GROUP BY 1"
+
+
+@query("A33_volatility_diagnostics", f"{_fit_rows('GARCH', 't_gb', 'alpha + beta', GARCH_ENDS)} UNION ALL {_fit_rows('EGARCH', 't_egb', 'beta', EGARCH_ENDS)}", branches=True)
+def volatility_diagnostics(spark, sf_dir):
+    """Fits, mean persistence and the share of fits inside their grids, per asset and variance model."""
+    folded = study.folded(spark, sf_dir)
+    garch = fc.grid_fit_summary(fc.garch_forecast(folded), GARCH_ENDS).withColumn("model", F.lit("GARCH"))
+    egarch = fc.grid_fit_summary(fc.egarch_forecast(folded), EGARCH_ENDS).withColumn("model", F.lit("EGARCH"))
+    return tidy(garch.unionByName(egarch), ["asset", "model", "n_fits"], persistence=8, inside_share=8)
+
+
 @query("B5_output_guard", """
   SELECT b.asset, count(*) AS n_forecasts, count(*) FILTER (NOT coalesce(b.date BETWEEN f.predict_start AND f.predict_end AND b.date > f.train_end, false)) AS n_violations
   FROM t_board b JOIN t_folded d USING (asset, date) LEFT JOIN t_folds f ON f.asset = b.asset AND f.fold_idx = d.fold_idx GROUP BY 1""", branches=True)
@@ -359,10 +378,16 @@ def per_regime_qlike(spark, sf_dir):
     return out.select("asset", "state", "n", *[F.round(m, 8).alias(m) for m in BASELINES])
 
 
+WIDTH = f"""count(*) AS n, {r('avg(hi-lo)', 8, 'mpiw')}, {r('avg(ln(hi/lo))', 8, 'mean_log_width')}, {r('avg(sigma)', 8, 'mean_sigma_log')},
+    {r('avg(CASE WHEN y_true < lo THEN 1.0 ELSE 0.0 END)', 8, 'below_rate')}, {r('avg(CASE WHEN y_true > hi THEN 1.0 ELSE 0.0 END)', 8, 'above_rate')}"""
+define("t_width", "SELECT i.*, l.sigma, s.s1 FROM t_iv i JOIN t_law l USING (asset, date, method) LEFT JOIN t_lagged s USING (asset, date)")
+
+
 @query("A30_width_by_regime", f"""
-  SELECT asset, method, level_pct, coalesce(s1, -1) AS state, count(*) AS n, {r('avg(hi-lo)', 8, 'mpiw')}, {r('avg(ln(hi-lo))', 8, 'mean_log_width')},
-    {r('avg(CASE WHEN y_true < lo THEN 1.0 ELSE 0.0 END)', 8, 'below_rate')}, {r('avg(CASE WHEN y_true > hi THEN 1.0 ELSE 0.0 END)', 8, 'above_rate')}
-  FROM t_iv JOIN t_lagged USING (asset, date) WHERE s1 IS NOT NULL GROUP BY GROUPING SETS ((asset, method, level_pct, s1), (asset, method, level_pct))""", branches=True)
+  SELECT asset, method, level_pct, s1 AS state, {WIDTH} FROM t_width WHERE s1 IS NOT NULL GROUP BY 1, 2, 3, 4
+  UNION ALL SELECT asset, method, level_pct, -1, {WIDTH} FROM t_width GROUP BY 1, 2, 3""", branches=True)
 def width_by_regime(spark, sf_dir):
-    out = cal.width_by_regime(study.intervals(spark, sf_dir), lagged_states(spark, sf_dir)).withColumn("state", F.coalesce("state", F.lit(-1)))
-    return tidy(out, [*IKEY, "state", "n"], mpiw=8, mean_log_width=8, below_rate=8, above_rate=8)
+    sigmas = study.law(spark, sf_dir).select("asset", "date", "method", "sigma")
+    rows = study.intervals(spark, sf_dir).join(sigmas, ["asset", "date", "method"])
+    out = cal.width_by_regime(rows, lagged_states(spark, sf_dir), [F.avg("sigma").alias("mean_sigma_log")]).withColumn("state", F.coalesce("state", F.lit(-1)))
+    return tidy(out, [*IKEY, "state", "n"], mpiw=8, mean_log_width=8, mean_sigma_log=8, below_rate=8, above_rate=8)

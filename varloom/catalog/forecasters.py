@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 from varloom.catalog.base import query, tidy
 from varloom.catalog.coverage import quadratic_form
 from varloom.catalog.regimes import filtered
+from varloom.catalog.significance import lagged_states
 from varloom.catalog.sql import QLIKE, W, define, num, r, rs, z
-from varloom.operators import forecasters as fc, regimes as rg, replication as rep
+from varloom.functions.laws import lognormal_interval
+from varloom.operators import calibration as cal, forecasters as fc, regimes as rg, replication as rep
 from varloom.plans import study
 from varloom.session import cut_lineage
 
@@ -150,6 +152,7 @@ define("t_mx", f"""
     SELECT e.*, k AS draw, (('0x' || substr(md5(concat_ws('|', 17, e.asset, e.date, k)), 1, 8))::BIGINT)/4294967296 AS u FROM t_ex e, (SELECT unnest(range({DRAWS})) AS k))""")
 define("t_mxf", weighted(solution("(SELECT * FROM t_mx WHERE pos <= head_end)", NAMES, "y", "asset, expert, draw", RIDGE)))
 define("t_mxs", f"SELECT d.asset, d.expert, d.draw, sum(w*(y - ({LIN}))*(y - ({LIN})))/sum(w) AS s2 FROM t_mx d JOIN t_mxf f USING (asset, expert, draw) WHERE pos > head_end AND pos <= fit_end GROUP BY 1, 2, 3")
+define("t_mxlaw", "SELECT asset, date, avg(ln(yhat)) AS mu, var_pop(ln(yhat)) AS ve, avg(s2) AS va, any_value(h) AS h FROM t_mxd GROUP BY 1, 2")
 define("t_mxd", f"""
   SELECT d.asset, d.date, d.draw, sum(gate*exp({LIN} + s2/2)) AS yhat, sum(gate*s2) AS s2, -sum(gate*ln(greatest(gate,1e-300))) AS h
   FROM t_mx d JOIN t_mxf f USING (asset, expert, draw) JOIN t_mxs USING (asset, expert, draw) WHERE fold_idx IS NOT NULL GROUP BY 1, 2, 3""")
@@ -159,10 +162,35 @@ define("t_mxd", f"""
   SELECT asset, date, {rs(mu=6)}, {r('sqrt(ve+va)', 6, 'sigma')}, {r('sqrt(ve)', 6, 'sd_epistemic')}, {r('sqrt(va)', 6, 'sd_aleatoric')}, {r('exp(mu+(ve+va)/2)', 6, 'yhat')}, {r('h', 6, 'gate_entropy')} FROM (
     SELECT asset, date, avg(ln(yhat)) AS mu, var_pop(ln(yhat)) AS ve, avg(s2) AS va, any_value(h) AS h FROM t_mxd GROUP BY 1, 2)""", branches=True)
 def mixture_draws(spark, sf_dir):
+    return tidy(mixture_law(spark, sf_dir), ["asset", "date"], mu=6, sigma=6, sd_epistemic=6, sd_aleatoric=6, yhat=6, gate_entropy=6)
+
+
+def mixture_law(spark, sf_dir):
+    """Predictive law of the gated experts' draws, with both parts of its spread and the gate's entropy."""
     draws = fc.expert_forecast(study.folded(spark, sf_dir), features(), L, gates(spark, sf_dir), ridge=RIDGE, draws=DRAWS).withColumn("lin", F.ln("yhat"))
     entropy = draws.groupBy("asset", "date").agg(F.first("gate_entropy").alias("gate_entropy"))
-    law = fc.draws_to_law(draws).join(entropy, ["asset", "date"])
-    return tidy(law, ["asset", "date"], mu=6, sigma=6, sd_epistemic=6, sd_aleatoric=6, yhat=6, gate_entropy=6)
+    return fc.draws_to_law(draws).join(entropy, ["asset", "date"])
+
+
+MIX_Z = z(0.95)
+MIX_ROW = f"""count(*) AS n, {r('avg(hi-lo)', 6, 'mpiw')}, {r('avg(ln(hi/lo))', 6, 'mean_log_width')}, {r('avg(sigma)', 6, 'mean_sigma_log')}, {r('avg(ve)/(avg(ve)+avg(va))', 6, 'epistemic_share')},
+    {r('avg(h)', 6, 'mean_gate_entropy')}, {r('avg(CASE WHEN y_true > hi THEN 1.0 ELSE 0.0 END)', 8, 'above_rate')}, {r('avg(CASE WHEN y_true < lo THEN 1.0 ELSE 0.0 END)', 8, 'below_rate')}, 0.05::DOUBLE AS expected_rate"""
+define("t_mxiv", f"""
+  SELECT asset, date, rv AS y_true, exp(mu - {MIX_Z}*sigma) AS lo, exp(mu + {MIX_Z}*sigma) AS hi, sigma, ve, va, h, s1 FROM (SELECT *, sqrt(ve+va) AS sigma FROM t_mxlaw)
+  JOIN (SELECT asset, date, rv FROM t_frame) USING (asset, date) LEFT JOIN (SELECT asset, date, s1 FROM t_lagged) USING (asset, date)""")
+
+
+@query("A30_mixture_width_by_regime", f"""
+  SELECT asset, s1 AS state, {MIX_ROW} FROM t_mxiv WHERE s1 IS NOT NULL GROUP BY 1, 2 UNION ALL SELECT asset, -1, {MIX_ROW} FROM t_mxiv GROUP BY 1""", branches=True)
+def mixture_width_by_regime(spark, sf_dir):
+    """Does the gated mixture's width follow the lagged state, and through which part of its spread?"""
+    laws = mixture_law(spark, sf_dir).withColumn("method", F.lit("mixture"))
+    lo, hi = lognormal_interval(F.col("mu"), F.col("sigma"), 90)
+    rows = laws.select("*", F.lit(90).alias("level_pct"), lo.alias("lo"), hi.alias("hi"))
+    ve, va = F.avg(F.pow("sd_epistemic", F.lit(2.0))), F.avg(F.pow("sd_aleatoric", F.lit(2.0)))
+    extra = [F.avg("sigma").alias("mean_sigma_log"), F.try_divide(ve, ve + va).alias("epistemic_share"), F.avg("gate_entropy").alias("mean_gate_entropy")]
+    out = cal.width_by_regime(rows, lagged_states(spark, sf_dir), extra).withColumns({"state": F.coalesce("state", F.lit(-1)), "expected_rate": F.lit(0.05)})
+    return tidy(out, ["asset", "state", "n"], mpiw=6, mean_log_width=6, mean_sigma_log=6, epistemic_share=6, mean_gate_entropy=6, above_rate=8, below_rate=8, expected_rate=8)
 
 
 # ------------------------------------------------------------------------------- volatility grids
@@ -191,23 +219,21 @@ def garch_grid(spark, sf_dir):
 
 
 EG = [(a, g, b) for a in fc.EGARCH_ALPHAS for g in fc.EGARCH_GAMMAS for b in fc.EGARCH_BETAS]
-define("t_egr", """
-  SELECT asset, pos, te, r - avg(r) FILTER (pos <= te) OVER a AS e, var_pop(r) FILTER (pos <= te) OVER a AS s2 FROM (
-    SELECT asset, pos, r, min(train_end_pos) OVER (PARTITION BY asset) AS te FROM t_gr) WINDOW a AS (PARTITION BY asset)""")
+define("t_egf", "SELECT f.*, p.pe FROM t_gf f JOIN (SELECT asset, fold_idx, max(pos) AS pe FROM t_gr WHERE fold_idx IS NOT NULL GROUP BY 1, 2) p USING (asset, fold_idx)")
 define("t_egg", " UNION ALL ".join(f"SELECT {a}::DOUBLE AS alpha, {g}::DOUBLE AS gamma, {b}::DOUBLE AS beta" for a, g, b in EG))
 define("t_eg", f"""
-  SELECT asset, pos, alpha, gamma, beta, ln(s2) AS lh, e, te FROM t_egr, t_egg WHERE pos = 0
-  UNION ALL SELECT n.asset, n.pos, p.alpha, p.gamma, p.beta, (1-p.beta)*ln(n.s2) + p.alpha*(abs(p.e/exp(p.lh/2)) - {num(sqrt(2 / pi))}) + p.gamma*p.e/exp(p.lh/2) + p.beta*p.lh, n.e, n.te
-  FROM t_eg p JOIN t_egr n ON n.asset = p.asset AND n.pos = p.pos + 1""")
-define("t_egl", "SELECT asset, alpha, gamma, beta, sum(-0.5*(lh + e*e*exp(-lh))) AS ll FROM t_eg WHERE pos <= te GROUP BY 1, 2, 3, 4")
-define("t_egb", "SELECT asset, arg_max(alpha, ll) AS alpha, arg_max(gamma, ll) AS gamma, arg_max(beta, ll) AS beta FROM t_egl GROUP BY 1")
+  SELECT f.asset, f.fold_idx, pos, alpha, gamma, beta, ln(s2) AS lh, r - mu AS e FROM t_egf f JOIN t_gr n ON n.asset = f.asset AND n.pos = 0, t_egg
+  UNION ALL SELECT n.asset, p.fold_idx, n.pos, p.alpha, p.gamma, p.beta, (1-p.beta)*ln(f.s2) + p.alpha*(abs(p.e/exp(p.lh/2)) - {num(sqrt(2 / pi))}) + p.gamma*p.e/exp(p.lh/2) + p.beta*p.lh, n.r - f.mu
+  FROM t_eg p JOIN t_egf f ON f.asset = p.asset AND f.fold_idx = p.fold_idx JOIN t_gr n ON n.asset = p.asset AND n.pos = p.pos + 1 WHERE n.pos <= f.pe""")
+define("t_egl", "SELECT asset, fold_idx, alpha, gamma, beta, sum(-0.5*(lh + e*e*exp(-lh))) AS ll FROM t_eg JOIN (SELECT asset, fold_idx, te FROM t_egf) USING (asset, fold_idx) WHERE pos <= te GROUP BY 1, 2, 3, 4, 5")
+define("t_egb", "SELECT asset, fold_idx, arg_max(alpha, ll) AS alpha, arg_max(gamma, ll) AS gamma, arg_max(beta, ll) AS beta, max(ll) AS ll FROM t_egl GROUP BY 1, 2")
 
 
 @query("F5_egarch_grid", f"""
-  SELECT f.asset, f.date, alpha, gamma, beta, {r('exp(lh)/100', 6, 'yhat')} FROM t_folded f JOIN t_egb b USING (asset) JOIN t_eg g USING (asset, pos, alpha, gamma, beta) WHERE fold_idx IS NOT NULL""", branches=True)
+  SELECT f.asset, f.date, f.fold_idx, alpha, gamma, beta, {r('ll', 4, 'll')}, {r('exp(lh)/100', 6, 'yhat')} FROM t_folded f JOIN t_egb b USING (asset, fold_idx) JOIN t_eg g USING (asset, fold_idx, pos, alpha, gamma, beta)""", branches=True)
 def egarch_grid(spark, sf_dir):
     out = fc.egarch_forecast(study.folded(spark, sf_dir)).withColumn("yhat", F.col("yhat") * 100)
-    return tidy(out, ["asset", "date", "alpha", "gamma", "beta"], yhat=6)
+    return tidy(out, ["asset", "date", "fold_idx", "alpha", "gamma", "beta"], ll=4, yhat=6)
 
 
 # --------------------------------------------------------------------------------- replicated boards

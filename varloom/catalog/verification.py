@@ -103,10 +103,9 @@ def cross_asset_board(spark, sf_dir):
     return tidy(sc.leaderboard(points(spark, sf_dir)), ["asset", "model", "rank", "n"], qlike=8, mse=8, mae=8)
 
 
-@query("U4_models_in_common", "SELECT model FROM t_ranks WHERE asset = 'A' INTERSECT SELECT model FROM t_ranks WHERE asset = 'N'", branches=True)
+@query("U4_models_in_common", "SELECT model, count(DISTINCT asset) AS n_assets FROM t_ranks GROUP BY 1 HAVING count(DISTINCT asset) = (SELECT count(DISTINCT asset) FROM t_ranks)", branches=True)
 def models_in_common(spark, sf_dir):
-    scores = sc.leaderboard(points(spark, sf_dir))
-    return scores.where(F.col("asset") == "A").select("model").intersect(scores.where(F.col("asset") == "N").select("model"))
+    return ca.models_in_common(sc.leaderboard(points(spark, sf_dir)))
 
 
 # ----------------------------------------------------------------------------------------- gates
@@ -205,9 +204,9 @@ def log_agreement(spark, sf_dir):
     return tidy(out, ["asset", "n", "worst_day", "within"], max_dev=7, sd_dev=7)
 
 
-@query("V7_shared_protocol", "SELECT count(*) AS n_runs, count(DISTINCT (a, b, n)) AS n_protocols, count(DISTINCT (a, b, n)) = 1 AS shared FROM (SELECT asset, model, min(date) AS a, max(date) AS b, count(*) AS n FROM t_board WHERE asset = 'A' GROUP BY 1, 2)")
+@query("V7_shared_protocol", "SELECT asset, count(*) AS n_runs, count(DISTINCT (a, b, n)) AS n_protocols, count(DISTINCT (a, b, n)) = 1 AS shared FROM (SELECT asset, model, min(date) AS a, max(date) AS b, count(*) AS n FROM t_board GROUP BY 1, 2) GROUP BY 1")
 def shared_protocol(spark, sf_dir):
-    runs = study.board(spark, sf_dir).where(F.col("asset") == "A").groupBy("asset", "model").agg(F.min("date").alias("a"), F.max("date").alias("b"), F.count("*").alias("n"))
+    runs = study.board(spark, sf_dir).groupBy("asset", "model").agg(F.min("date").alias("a"), F.max("date").alias("b"), F.count("*").alias("n"))
     return rep.shared_protocol(runs, ["a", "b", "n"])
 
 

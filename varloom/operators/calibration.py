@@ -86,37 +86,48 @@ def with_scopes(laws: DataFrame, lagged: DataFrame) -> DataFrame:
 def sigma_scale_search(laws: DataFrame, scales, level_pct: int = 90, by=("asset", "method", "scope"), min_n: int = 20, plateau: float = 1.001) -> DataFrame:
     """Spread multiplier that minimises CRPS, with its plateau, and the one that calibrates coverage.
 
+    Coverage and CRPS at the fitted spread (multiplier 1) and coverage at the calibrating one stand beside them.
+
     The literal grid multiplies rows before a map-side combined average; the search then runs over
     one row per key and scale. Scopes with too few days are left out.
     """
     z = normal_quantile(1 - (100 - level_pct) / 200)
     ok = laws.where(all_finite("y_true", "mu", "sigma") & (F.col("y_true") > 0) & (F.col("sigma") > 0))
-    grid = ok.withColumn("scale", F.explode(F.array(*[F.lit(float(s)) for s in scales])))
+    tried = sorted({*map(float, scales), 1.0})
+    searched = F.col("scale").isin(*map(float, scales))
+    grid = ok.withColumn("scale", F.explode(F.array(*[F.lit(s) for s in tried])))
     s = F.col("sigma") * F.col("scale")
     inside = (F.abs(F.ln("y_true") - F.col("mu")) <= F.lit(z) * s).cast("double")
     table = grid.groupBy(*by, "scale").agg(
         F.count("*").alias("n"), F.avg(lognormal_crps(F.col("y_true"), F.col("mu"), s)).alias("crps"), F.avg(inside).alias("picp")
     ).where(F.col("n") >= min_n)
-    lowest = F.min("crps").over(Window.partitionBy(*by))
-    near = F.col("crps") <= F.col("_low") * F.lit(plateau)
+    lowest = F.min(F.when(searched, F.col("crps"))).over(Window.partitionBy(*by))
+    near = searched & (F.col("crps") <= F.col("_low") * F.lit(plateau))
+    fitted = F.col("scale") == 1.0
     gap = F.abs(F.col("picp") - F.lit(level_pct / 100))
     return table.withColumn("_low", lowest).groupBy(*by).agg(
         F.max("n").alias("n"),
-        F.min_by("scale", F.struct("crps", "scale")).alias("scale_crps"), F.min("crps").alias("crps_best"),
-        F.min_by("scale", F.struct(gap, F.col("scale"))).alias("scale_coverage"),
+        F.max(F.when(fitted, F.col("picp"))).alias("picp_fitted"), F.max(F.when(fitted, F.col("crps"))).alias("crps_fitted"),
+        F.min_by("scale", F.when(searched, F.struct("crps", "scale"))).alias("scale_crps"), F.min("_low").alias("crps_best"),
+        F.min_by("scale", F.when(searched, F.struct(gap, F.col("scale")))).alias("scale_coverage"),
+        F.min_by("picp", F.when(searched, F.struct(gap, F.col("scale")))).alias("picp_calibrated"),
         F.min(F.when(near, F.col("scale"))).alias("plateau_lo"), F.max(F.when(near, F.col("scale"))).alias("plateau_hi"),
     )
 
 
-def width_by_regime(intervals: DataFrame, lagged: DataFrame) -> DataFrame:
-    """Width, log width and one-sided miss rates per lagged state and over all."""
-    rows = aligned(intervals, "y_true", "lo", "hi").join(lagged, ["asset", "date"]).where(F.col("state").isNotNull())
-    width = F.col("hi") - F.col("lo")
+def width_by_regime(intervals: DataFrame, lagged: DataFrame, extra=()) -> DataFrame:
+    """Width, log ratio of the ends and one-sided miss rates per lagged state, and over every day (state null).
+
+    ``extra`` are further aggregates over the columns that the intervals carry.
+    """
+    unlabelled = F.lit(-2)
+    rows = aligned(intervals, "y_true", "lo", "hi").join(lagged, ["asset", "date"], "left").withColumn("state", F.coalesce("state", unlabelled))
+    ratio = F.ln(F.when((F.col("lo") > 0) & (F.col("hi") > 0), F.col("hi") / F.col("lo")))
     return with_all_row(rows, ["asset", "method", "level_pct"], [
-        F.count("*").alias("n"), F.avg(width).alias("mpiw"), F.avg(F.ln(F.when(width > 0, width))).alias("mean_log_width"),
+        F.count("*").alias("n"), F.avg(F.col("hi") - F.col("lo")).alias("mpiw"), F.avg(ratio).alias("mean_log_width"), *extra,
         F.avg((F.col("y_true") < F.col("lo")).cast("double")).alias("below_rate"),
         F.avg((F.col("y_true") > F.col("hi")).cast("double")).alias("above_rate"),
-    ])
+    ]).where(F.col("state").isNull() | (F.col("state") != unlabelled))
 
 
 def pit(laws: DataFrame) -> DataFrame:

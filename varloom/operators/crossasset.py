@@ -30,6 +30,12 @@ def rank_agreement(board_scores: DataFrame, reference: str, min_models: int = 3)
     return out.select("asset", F.lit(reference).alias("reference"), "n_models", F.when(enough, F.col("spearman")).alias("spearman"), F.when(enough, F.col("kendall")).alias("kendall"), "models")
 
 
+def models_in_common(scores: DataFrame) -> DataFrame:
+    """Models that every asset of the table has."""
+    n_assets = scores.select(F.countDistinct("asset")).scalar()
+    return scores.groupBy("model").agg(F.countDistinct("asset").alias("n_assets")).where(F.col("n_assets") == n_assets)
+
+
 def master_table(board: DataFrame, laws: DataFrame, intervals: DataFrame, lagged: DataFrame, level_pct: int = 90, unranked=()) -> DataFrame:
     """Point, transitional-state, interval and distribution scores per model, ranked by QLIKE where eligible.
 

@@ -5,8 +5,11 @@ All are callables over a folded frame (see ``walkforward.assign_folds``) and ret
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from math import exp, pi, sqrt
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -171,77 +174,92 @@ GARCH_ALPHAS = (0.02, 0.05, 0.1, 0.15, 0.2)
 GARCH_BETAS = (0.7, 0.8, 0.85, 0.9, 0.95)
 
 
-def garch_forecast(folded: DataFrame, alphas=GARCH_ALPHAS, betas=GARCH_BETAS) -> DataFrame:
-    """Variance-targeted GARCH(1,1) by quasi-likelihood over a grid, refit at every fold on the fold's own window.
+def fold_series(folded: DataFrame) -> DataFrame:
+    """A row per (asset, fold): returns less their training mean from the first training day to the fold's last day.
 
-    The conditional variance is linear in the decayed sums of returns and squared returns, so one ordered fold
-    per (asset, beta) serves every alpha and every refit: a window that begins later takes the decayed sums at
-    its first row off. Each row meets the folds that train on it by position, so the likelihoods are plain
-    sums keyed by (asset, fold, beta), one aggregate per alpha.
+    ``n`` of them are training days with variance ``s2``. What a row holds is bounded by the calendar; folds are
+    spread over the tasks.
     """
-    from varloom.operators.walkforward import bounded_moments
-
-    scaled = folded.withColumn("r", F.col("log_return") * SCALE).select("asset", "date", "pos", "fold_idx", "train_start_pos", "train_end_pos", "r", "rv")
-    frozen = bounded_moments(scaled, (), ("r",)).withColumnsRenamed({"m_r": "mu", "v_r": "s2"})
-    folds = frozen.groupBy("asset", "fold_idx").agg(
-        F.min("train_start_pos").alias("ts"), F.min("train_end_pos").alias("te"), F.first("mu").alias("mu"), F.first("s2").alias("s2"))
+    scaled = folded.select("asset", "pos", "fold_idx", "train_start_pos", "train_end_pos", (F.col("log_return") * SCALE).alias("r"))
     series = scaled.groupBy("asset").agg(F.array_sort(F.collect_list(F.struct("pos", "r"))).alias("_s")).select("asset", F.col("_s.r").alias("r"))
-    sums = rc.spread(series.withColumn("beta", F.explode(F.array(*[F.lit(b) for b in betas]))), "asset", "beta")
-    sums = sums.withColumns({"b1": rc.exponential_sums(F.col("r"), F.col("beta")), "b2": rc.exponential_sums(F.transform("r", lambda v: v * v), F.col("beta"))})
-    rows = sums.select("asset", "beta", F.posexplode(F.arrays_zip("r", "b1", "b2")).alias("pos", "z")).select("asset", "beta", F.col("pos").cast("long").alias("pos"), "z.*")
-    starts = folds.join(rows.select("asset", "beta", F.col("pos").alias("ts"), F.col("b1").alias("b1_ts"), F.col("b2").alias("b2_ts")), ["asset", "ts"])
-
-    def variance(alpha, beta):
-        decay = F.pow(beta, (F.col("pos") - F.col("ts")).cast("double"))
-        s = (1 - decay) / (1 - beta)
-        b1, b2 = F.col("b1") - decay * F.col("b1_ts"), F.col("b2") - decay * F.col("b2_ts")
-        return F.col("s2") * (1 - alpha - beta) * s + alpha * (b2 - 2 * F.col("mu") * b1 + F.col("mu") * F.col("mu") * s) + decay * F.col("s2")
-
-    trial = rows.join(starts, ["asset", "beta"]).where(F.col("pos").between(F.col("ts"), F.col("te")))
-    e = F.col("r") - F.col("mu")
-
-    def likelihood(alpha: float) -> Column:
-        h = F.greatest(variance(F.lit(alpha), F.col("beta")), F.lit(1e-12))
-        return F.sum(F.when(F.lit(alpha) + F.col("beta") < 1, F.lit(-0.5) * (F.ln(h) + e * e / h)))
-
-    per_beta = trial.groupBy("asset", "fold_idx", "beta").agg(*[likelihood(a).alias(f"_l{i}") for i, a in enumerate(alphas)])
-    ll = per_beta.select("asset", "fold_idx", "beta", F.explode(F.array(*[F.struct(F.lit(a).alias("alpha"), F.col(f"_l{i}").alias("ll")) for i, a in enumerate(alphas)])).alias("x"))
-    ll = ll.select("asset", "fold_idx", "beta", "x.*").where(F.col("ll").isNotNull())
-    best = ll.groupBy("asset", "fold_idx").agg(F.max_by(F.struct("alpha", "beta"), F.struct("ll", "alpha", "beta")).alias("b"), F.max("ll").alias("ll")).select(
-        "asset", "fold_idx", "b.*", "ll")
-    target = frozen.select("asset", "date", "pos", "fold_idx", "rv").join(best, ["asset", "fold_idx"]).join(starts, ["asset", "fold_idx", "beta"]).join(
-        rows.select("asset", "beta", "pos", "b1", "b2"), ["asset", "beta", "pos"])
-    return target.select("asset", "date", "fold_idx", F.col("rv").alias("y_true"), "alpha", "beta", "ll", (F.col("alpha") + F.col("beta")).alias("persistence"),
-                         (F.greatest(variance(F.col("alpha"), F.col("beta")), F.lit(1e-12)) / (SCALE * SCALE)).alias("yhat"))
+    folds = scaled.where(F.col("fold_idx").isNotNull()).groupBy("asset", "fold_idx").agg(
+        F.min("train_start_pos").alias("ts"), F.min("train_end_pos").alias("te"), F.max("pos").alias("pe"))
+    n = (F.col("te") - F.col("ts") + 1).cast("int")
+    window = F.slice("r", (F.col("ts") + 1).cast("int"), (F.col("pe") - F.col("ts") + 1).cast("int"))
+    rows = rc.spread(folds.join(series, "asset").select("asset", "fold_idx", "te", n.alias("n"), window.alias("r")), "asset", "fold_idx")
+
+    def mean(x, of):
+        return F.aggregate(F.slice(x, 1, F.col("n")), F.lit(0.0), lambda acc, v: acc + of(v)) / F.col("n")
+
+    rows = rows.withColumn("e", rc.let(mean("r", lambda v: v), lambda mu: F.transform("r", lambda v: v - mu)))
+    return rows.withColumn("s2", mean("e", lambda v: v * v)).drop("r")
+
+
+def grid_forecast(folded: DataFrame, grid: dict[str, tuple], start, step, log_likelihood, variance) -> DataFrame:
+    """The recursion of every grid point over every fold's own window; the likeliest point forecasts the fold.
+
+    ``start(s2)`` is the first state, ``step(point, s2, h, e)`` the next one, ``log_likelihood(h, e)`` a training
+    day's share and ``variance(h)`` the forecast; all take arrays with a column per point. A task handles a fold at
+    a time and needs memory for days x points. Ties go to the larger parameters.
+    """
+    names = list(grid)
+
+    def fits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        points = {k: np.array(v) for k, v in grid.items()}
+        for batch in batches:
+            for fold in batch.to_pylist():
+                e, n = np.array(fold["e"]), fold["n"]
+                path = np.empty((len(e), len(points[names[0]])))
+                h = np.full(path.shape[1], start(fold["s2"]))
+                for i, x in enumerate(e):
+                    path[i] = h
+                    h = step(points, fold["s2"], h, x)
+                ll = log_likelihood(path[:n], e[:n, None]).sum(axis=0)
+                best = max(range(len(ll)), key=lambda j: (ll[j], *(points[k][j] for k in names)))
+                ahead = variance(path[n:, best]) / (SCALE * SCALE)
+                k = len(ahead)
+                yield pa.RecordBatch.from_pydict(
+                    {"asset": [fold["asset"]] * k, "pos": fold["te"] + 1 + np.arange(k), "ll": np.full(k, ll[best]), **{name: np.full(k, points[name][best]) for name in names}, "yhat": ahead})
+
+    schema = f"asset string, pos long, ll double, {', '.join(f'{k} double' for k in names)}, yhat double"
+    days = fold_series(folded).select("asset", "te", "n", "e", "s2").mapInArrow(fits, schema)
+    return folded.where(F.col("fold_idx").isNotNull()).select("asset", "date", "fold_idx", "pos", F.col("rv").alias("y_true")).join(days, ["asset", "pos"]).drop("pos")
+
+
+def garch_forecast(folded: DataFrame, alphas=GARCH_ALPHAS, betas=GARCH_BETAS) -> DataFrame:
+    """Variance-targeted GARCH(1,1) by quasi-likelihood over a grid, refit at every fold on the fold's own window."""
+    alpha, beta = zip(*[(a, b) for a in alphas for b in betas if a + b < 1], strict=True)
+
+    def log_likelihood(h, e):
+        h = np.maximum(h, 1e-12)
+        return -0.5 * (np.log(h) + e * e / h)
+
+    out = grid_forecast(
+        folded, {"alpha": alpha, "beta": beta}, lambda s2: s2, lambda g, s2, h, e: s2 * (1 - g["alpha"] - g["beta"]) + g["alpha"] * (e * e) + g["beta"] * h,
+        log_likelihood, lambda h: np.maximum(h, 1e-12))
+    return out.withColumn("persistence", F.col("alpha") + F.col("beta"))
 
 
 EGARCH_ALPHAS, EGARCH_GAMMAS, EGARCH_BETAS = (0.05, 0.1, 0.2), (-0.1, 0.0, 0.1), (0.8, 0.9, 0.95)
 
 
 def egarch_forecast(folded: DataFrame, alphas=EGARCH_ALPHAS, gammas=EGARCH_GAMMAS, betas=EGARCH_BETAS) -> DataFrame:
-    """Log-variance recursion with a sign term over a grid, fitted on the first training window."""
-    whole = Window.partitionBy("asset")
-    rows = folded.withColumns({"r": F.col("log_return") * SCALE, "te": F.min("train_end_pos").over(whole)})
-    seen = F.when(F.col("pos") <= F.col("te"), F.col("r"))
-    rows = rows.withColumns({"mu": F.avg(seen).over(whole), "s2": F.var_pop(seen).over(whole)})
-    series = rows.groupBy("asset").agg(
-        F.array_sort(F.collect_list(F.struct("pos", (F.col("r") - F.col("mu")).alias("e")))).alias("_s"), F.first("s2").alias("s2"), F.first("te").alias("te")
-    ).select("asset", "s2", "te", F.col("_s.e").alias("e"))
-    grid = series.withColumn("g", F.explode(F.array(*[
-        F.struct(F.lit(a).alias("alpha"), F.lit(g).alias("gamma"), F.lit(b).alias("beta")) for a in alphas for g in gammas for b in betas])))
-    grid = rc.spread(grid, "asset", "g")
-    base = F.ln("s2")
-    centre = F.lit(sqrt(2 / pi))
-
-    def step(acc, e):
-        return F.array_append(acc, rc.let(F.element_at(acc, -1), lambda h: rc.let(e / F.exp(h / 2), lambda z: (
-            (1 - F.col("g.beta")) * base + F.col("g.alpha") * (F.abs(z) - centre) + F.col("g.gamma") * z + F.col("g.beta") * h))))
-
-    log_h = F.aggregate(F.slice("e", 1, F.size("e") - 1), F.array(base), step)
-    path = grid.withColumn("lh", log_h).select("asset", "te", "g.*", F.posexplode(F.arrays_zip("e", "lh")).alias("pos", "z")).select(
-        "asset", "te", "alpha", "gamma", "beta", F.col("pos").cast("long").alias("pos"), "z.*")
-    key = ["alpha", "gamma", "beta"]
-    ll = path.where(F.col("pos") <= F.col("te")).groupBy("asset", *key).agg(F.sum(F.lit(-0.5) * (F.col("lh") + F.col("e") * F.col("e") * F.exp(-F.col("lh")))).alias("ll"))
-    best = ll.groupBy("asset").agg(F.max_by(F.struct(*key), F.struct("ll", *key)).alias("b")).select("asset", "b.*")
-    chosen = path.join(best, ["asset", *key]).select("asset", *key, "pos", (F.exp("lh") / (SCALE * SCALE)).alias("yhat"))
-    return folded.where(F.col("fold_idx").isNotNull()).select("asset", "date", "pos", F.col("rv").alias("y_true")).join(chosen, ["asset", "pos"]).drop("pos")
+    """Log-variance recursion with a sign term over a grid, refit at every fold on the fold's own window."""
+    alpha, gamma, beta = zip(*[(a, g, b) for a in alphas for g in gammas for b in betas], strict=True)
+    centre = sqrt(2 / pi)
+
+    def step(g, s2, h, e):
+        z = e * np.exp(-0.5 * h)
+        return (1 - g["beta"]) * np.log(s2) + g["alpha"] * (np.abs(z) - centre) + g["gamma"] * z + g["beta"] * h
+
+    out = grid_forecast(folded, {"alpha": alpha, "gamma": gamma, "beta": beta}, np.log, step, lambda h, e: -0.5 * (h + e * e * np.exp(-h)), np.exp)
+    return out.withColumn("persistence", F.col("beta"))
+
+
+def grid_fit_summary(forecasts: DataFrame, ends: dict[str, tuple[float, float]]) -> DataFrame:
+    """Per asset: fits, their mean persistence, and the share whose parameters all lie inside their grids."""
+    inside = F.lit(True)
+    for name, (lo, hi) in ends.items():
+        inside &= (F.col(name) > lo) & (F.col(name) < hi)
+    fits = forecasts.groupBy("asset", "fold_idx").agg(F.first("persistence").alias("p"), F.first(inside.cast("double")).alias("inside"))
+    return fits.groupBy("asset").agg(F.count("*").alias("n_fits"), F.avg("p").alias("persistence"), F.avg("inside").alias("inside_share"))

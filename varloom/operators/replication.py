@@ -36,6 +36,6 @@ def pairwise_wins(scores: DataFrame) -> DataFrame:
     return joined.groupBy("asset", "model_a", "model_b").agg(F.count("*").alias("n"), F.count_if(F.col("_qa") < F.col("_qb")).alias("a_wins"))
 
 
-def shared_protocol(runs: DataFrame, columns) -> DataFrame:
-    """One row: do all runs share the same protocol columns?"""
-    return runs.agg(F.count("*").alias("n_runs"), F.countDistinct(F.struct(*columns)).alias("n_protocols")).withColumn("shared", F.col("n_protocols") == 1)
+def shared_protocol(runs: DataFrame, columns, by=("asset",)) -> DataFrame:
+    """Per asset: do all its runs share the same protocol columns?"""
+    return runs.groupBy(*by).agg(F.count("*").alias("n_runs"), F.countDistinct(F.struct(*columns)).alias("n_protocols")).withColumn("shared", F.col("n_protocols") == 1)
