@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from varloom.catalog.base import query, tidy
 from varloom.catalog.calibration import scale_table
 from varloom.catalog.significance import KEY, KEYS, PAIRS, acov, differences
-from varloom.catalog.forecasters import solution
 from varloom.catalog.sql import QLIKE, TEST_START, TRAIN_END, VAL_END, VAL_START, W, chi2, define, folds_of, num, phi, r, rs, student
 from varloom.functions import math as fm
 from varloom.operators import features as ft, forecasters as fc, realized as rz, scoring as sc, timing as tm, walkforward as wf
@@ -305,32 +304,63 @@ def predictive_board(spark, sf_dir):
 
 define("t_vfolded", folds_of("t_frame", VAL_START, VAL_END))
 define("t_vfe", "SELECT asset, min(train_end_pos) AS fit_end, CAST(floor(min(train_end_pos)*0.85) AS BIGINT) AS head_end FROM t_vfolded GROUP BY asset")
-define("t_vsc", "SELECT asset, avg(ln(rv)) AS m, stddev_pop(ln(rv)) AS s FROM t_vfolded JOIN t_vfe USING (asset) WHERE pos <= fit_end GROUP BY asset")
-SWEEP = [(lookback, ridge) for lookback in (1, 5) for ridge in (0.1, 10.0)]
-for _i, (_n, _ridge) in enumerate(SWEEP):
-    _names = [*[f"x{k}" for k in range(1, _n + 1)], "one"]
-    _lin = "+".join(f"c{i}*d.{n}" for i, n in enumerate(_names))
-    define(f"t_vdes{_i}", f"""
-  SELECT * FROM (SELECT f.asset, f.date, f.pos, f.fold_idx, f.rv, ln(f.rv) AS y, 1.0 AS one, fit_end, head_end,
-    {', '.join(f'(lag(ln(f.rv), {k}) OVER (PARTITION BY f.asset ORDER BY f.date) - m)/s AS x{k}' for k in range(1, _n + 1))}
-  FROM t_vfolded f JOIN t_vfe USING (asset) JOIN t_vsc USING (asset)) WHERE x{_n} IS NOT NULL""")
-    define(f"t_vf{_i}", solution(f"(SELECT * FROM t_vdes{_i} WHERE pos <= head_end)", _names, "y", "asset", _ridge))
-    define(f"t_vs{_i}", f"SELECT d.asset, avg((y - ({_lin}))*(y - ({_lin}))) AS s2 FROM t_vdes{_i} d JOIN t_vf{_i} f USING (asset) WHERE pos > head_end AND pos <= fit_end GROUP BY d.asset")
-    define(f"t_vb{_i}", f"SELECT d.asset, {_n} AS lookback, {num(_ridge)} AS ridge, d.rv AS y_true, exp({_lin} + s2/2) AS yhat FROM t_vdes{_i} d JOIN t_vf{_i} f USING (asset) JOIN t_vs{_i} USING (asset) WHERE fold_idx IS NOT NULL")
-define("t_sweep", " UNION ALL ".join(f"SELECT * FROM t_vb{i}" for i in range(len(SWEEP))))
-
-
-@query("B9_validation_sweep", f"""
-  SELECT asset, lookback, ridge, count(*) AS n, {r('avg((y_true-yhat)*(y_true-yhat))', 7, 'mse')}, {r('avg(abs(y_true-yhat))', 7, 'mae')}, {r(f'avg({QLIKE})', 7, 'qlike')} FROM t_sweep GROUP BY 1, 2, 3""", branches=True)
-def validation_sweep(spark, sf_dir):
-    """Train once, score a small grid on the validation segment."""
+define("t_vsc", "SELECT asset, avg(ln(rv)) AS m, stddev_pop(ln(rv)) AS s, avg(oc_log_return) AS mo, stddev_pop(oc_log_return) AS so FROM t_vfolded JOIN t_vfe USING (asset) WHERE pos <= fit_end GROUP BY asset")
+SWEEP_SETS = {"history": ("log_rv",), "history_and_return": ("log_rv", "oc_log_return")}
+SWEEP_LOOKBACKS, SWEEP_RIDGES = (10, 20, 40), (0.1, 1.0, 10.0)
+_WIDE = max(SWEEP_LOOKBACKS)
+_ONE, _Y = 2 * _WIDE + 1, 2 * _WIDE + 2
+_lags = [f"(lag(ln(f.rv), {k}) OVER (PARTITION BY f.asset ORDER BY f.date) - m)/s" for k in range(1, _WIDE + 1)]
+_lags += [f"(lag(f.oc_log_return, {k}) OVER (PARTITION BY f.asset ORDER BY f.date) - mo)/so" for k in range(1, _WIDE + 1)]
+define("t_vdes", f"""
+  SELECT * FROM (SELECT f.asset, f.date, f.pos, f.fold_idx, f.rv, ln(f.rv) AS y, fit_end, head_end, [{', '.join(_lags)}, 1.0, ln(f.rv)] AS v
+  FROM t_vfolded f JOIN t_vfe USING (asset) JOIN t_vsc USING (asset)) WHERE pos >= {_WIDE}""")
+define("t_vlong", f"SELECT asset, pos, i, v[i] AS x FROM t_vdes, (SELECT unnest(range(1, {_Y + 1})) AS i) WHERE pos <= head_end")
+define("t_vcell", "SELECT a.asset, a.i, b.i AS j, sum(a.x*b.x) AS g FROM t_vlong a JOIN t_vlong b USING (asset, pos) GROUP BY 1, 2, 3")
+define("t_vpoint", " UNION ALL ".join(
+    f"SELECT '{label}' AS inputs, {n} AS lookback, {num(ridge)} AS ridge, {[*range(1, n + 1), *(range(_WIDE + 1, _WIDE + n + 1) if len(chosen) > 1 else ()), _ONE]} AS own"
+    for label, chosen in SWEEP_SETS.items() for n in SWEEP_LOOKBACKS for ridge in SWEEP_RIDGES))
+define("t_vrow", f"""
+  SELECT asset, inputs, lookback, ridge, own, list_position(own, i) AS i, list(g + CASE WHEN i = j AND i <> {_ONE} THEN ridge ELSE 0.0 END ORDER BY j) AS line
+  FROM t_vcell JOIN t_vpoint ON list_contains(own, i) AND (j = {_Y} OR list_contains(own, j)) GROUP BY ALL""".replace("GROUP BY ALL", "GROUP BY asset, inputs, lookback, ridge, own, i"))
+# Elimination without pivoting, a step per row of the recursion: the systems are symmetric and positive definite.
+define("t_vgauss", """
+  SELECT 1 AS k, * FROM t_vrow
+  UNION ALL SELECT k + 1, asset, inputs, lookback, ridge, own, i, CASE WHEN i = k THEN list_transform(line, lambda z: z/f) ELSE list_transform(list_zip(line, top), lambda z: z[1] - f*z[2]) END FROM (
+    SELECT a.*, p.line AS top, CASE WHEN a.i = a.k THEN a.line[a.k] ELSE a.line[a.k]/p.line[a.k] END AS f
+    FROM t_vgauss a JOIN t_vgauss p ON p.i = a.k AND p.k = a.k AND p.asset = a.asset AND p.inputs = a.inputs AND p.lookback = a.lookback AND p.ridge = a.ridge WHERE a.k <= len(a.own))""")
+define("t_vbeta", "SELECT asset, inputs, lookback, ridge, own, list(line[len(own) + 1] ORDER BY i) AS beta FROM t_vgauss WHERE k = len(own) + 1 GROUP BY 1, 2, 3, 4, 5")
+define("t_vlin", "SELECT d.*, inputs, lookback, ridge, list_dot_product(list_transform(own, lambda e: v[e]), beta) AS lin FROM t_vdes d JOIN t_vbeta USING (asset)")
+define("t_vs2", "SELECT asset, inputs, lookback, ridge, avg((y - lin)*(y - lin)) AS s2 FROM t_vlin WHERE pos > head_end AND pos <= fit_end GROUP BY 1, 2, 3, 4")
+define("t_sweep", f"""
+  SELECT asset, inputs, lookback, ridge, count(*) AS n, avg((y_true-yhat)*(y_true-yhat)) AS mse, avg(abs(y_true-yhat)) AS mae, avg({QLIKE}) AS qlike
+  FROM (SELECT *, rv AS y_true, exp(lin + s2/2) AS yhat FROM t_vlin JOIN t_vs2 USING (asset, inputs, lookback, ridge) WHERE fold_idx IS NOT NULL) GROUP BY 1, 2, 3, 4""")
+
+
+def sweep_scores(spark, sf_dir):
+    """Eighteen grid points, trained once before the validation segment and scored on it."""
     folded = wf.assign_folds(study.frame(spark, sf_dir), study.PLAN, "val")
-    out = None
-    for lookback, ridge in SWEEP:
-        part = fc.lookback_forecast(folded, {"log_rv": F.ln("rv")}, lookback, 0, ridge).withColumns({"lookback": F.lit(lookback), "ridge": F.lit(ridge)})
-        out = part if out is None else out.unionByName(part)
-    scored = sc.aligned(out).groupBy("asset", "lookback", "ridge").agg(*sc.point_aggregates())
-    return tidy(scored, ["asset", "lookback", "ridge", "n"], mse=7, mae=7, qlike=7)
+    out = fc.lookback_sweep(folded, {"log_rv": F.ln("rv"), "oc_log_return": F.col("oc_log_return")}, SWEEP_SETS, SWEEP_LOOKBACKS, SWEEP_RIDGES)
+    return sc.aligned(out).groupBy("asset", "inputs", "lookback", "ridge").agg(*sc.point_aggregates())
+
+
+@query("B9_validation_sweep", f"SELECT asset, inputs, lookback, ridge, n, {rs(mse=7, mae=7, qlike=7)} FROM t_sweep")
+def validation_sweep(spark, sf_dir):
+    return tidy(sweep_scores(spark, sf_dir), ["asset", "inputs", "lookback", "ridge", "n"], mse=7, mae=7, qlike=7)
+
+
+@query("K2_best_sweep_point", f"""
+  SELECT asset, inputs, lookback, ridge, {rs(qlike=7)} FROM t_sweep QUALIFY row_number() OVER (PARTITION BY asset ORDER BY qlike, inputs, lookback, ridge) = 1""")
+def best_sweep_point(spark, sf_dir):
+    point = F.struct("inputs", "lookback", "ridge")
+    best = sweep_scores(spark, sf_dir).groupBy("asset").agg(F.min_by(point, F.struct("qlike", point)).alias("b"), F.min("qlike").alias("qlike"))
+    return tidy(best.select("asset", "b.*", "qlike"), ["asset", "inputs", "lookback", "ridge"], qlike=7)
+
+
+@query("A38_sweep_minimum", "SELECT asset, lookback, " + ", ".join(r(f"min(qlike) FILTER (inputs = '{s}')", 7, s) for s in SWEEP_SETS) + " FROM t_sweep GROUP BY 1, 2")
+def sweep_minimum(spark, sf_dir):
+    """Lowest loss over the ridges, lookbacks down and input sets across."""
+    out = sweep_scores(spark, sf_dir).groupBy("asset", "lookback").pivot("inputs", list(SWEEP_SETS)).agg(F.min("qlike"))
+    return tidy(out, ["asset", "lookback"], **dict.fromkeys(SWEEP_SETS, 7))
 
 
 # -------------------------------------------------------------------------------- scalar functions

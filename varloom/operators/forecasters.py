@@ -9,6 +9,7 @@ from collections.abc import Iterator
 from math import exp, pi, sqrt
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -167,6 +168,89 @@ def quantile_forecast(folded: DataFrame, features, lookback: int, taus=(0.05, 0.
     return out.select("asset", "date", "y_true", F.col("r.tau").alias("tau"), F.exp(F.col("lin") + F.col("r.o")).alias("q"))
 
 
+# ---------------------------------------------------------------------------------- lookback sweep
+
+HELD_GRAMS = 256
+
+
+def partial_products(rows: DataFrame, keys: str) -> DataFrame:
+    """Sums of v v' of the array column ``v``, per key and cell of the upper triangle, one partial sum a task.
+
+    ``keys`` is a schema string; every key column stands next to ``v``. A task holds at most HELD_GRAMS matrices.
+    """
+    names = [k.split()[0] for k in keys.split(", ")]
+
+    def rows_of(held) -> Iterator[pa.RecordBatch]:
+        for key, total in held.items():
+            cells = total[np.triu_indices(len(total))]
+            cols = {n: pa.array([k] * len(cells)) for n, k in zip(names, key, strict=True)}
+            yield pa.RecordBatch.from_pydict({**cols, "cell": pa.array(np.arange(len(cells)), pa.int32()), "value": cells})
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = {}
+        for batch in batches:
+            frame = batch.to_pandas()
+            for key, part in frame.groupby(names, sort=False):
+                v = np.vstack(part["v"].to_numpy())
+                held[key] = held[key] + v.T @ v if key in held else v.T @ v
+                if len(held) >= HELD_GRAMS:
+                    yield from rows_of(held)
+                    held = {}
+        yield from rows_of(held)
+
+    return rows.select(*names, "v").mapInArrow(sums, f"{keys}, cell int, value double")
+
+
+def lookback_sweep(folded: DataFrame, inputs: dict[str, Column], input_sets: dict[str, tuple], lookbacks, ridges) -> DataFrame:
+    """Every (input set, lookback, ridge) trained once on the first training window, scored on the fold rows.
+
+    One design with the widest lookback serves all points, so all points train on the same days. Its sums of
+    products are formed once; a point solves the principal sub-matrix of its columns, and its residual variance
+    is a quadratic form of the tail's sums. Nothing is trained or materialised per point. A point without a full
+    rank has no forecast. Returns (asset, date, inputs, lookback, ridge, y_true, lin, s2, yhat).
+    """
+    widest, order = max(lookbacks), list(inputs)
+    unknown = sorted({n for chosen in input_sets.values() for n in chosen} - set(order))
+    if unknown:
+        raise KeyError(f"unknown inputs {unknown}; known: {order}")
+    design, names = lookback_design(folded, inputs, widest)
+    size = len(names) + 1
+    points = []
+    for label, chosen in input_sets.items():
+        for lookback in lookbacks:
+            own = [order.index(n) * widest + k for n in chosen for k in range(lookback)] + [size - 2]
+            points += [(label, lookback, float(ridge), own) for ridge in ridges]
+
+    def solve(key, cells: pd.DataFrame) -> pd.DataFrame:
+        gram = {}
+        for tail, part in cells.groupby("tail"):
+            full = np.zeros((size, size))
+            full[np.triu_indices(size)] = part.sort_values("cell")["value"].to_numpy()
+            gram[bool(tail)] = full + np.triu(full, 1).T
+        out = []
+        for label, lookback, ridge, own in points if False in gram else []:
+            penalty = np.diag([ridge] * (len(own) - 1) + [0.0])
+            left = gram[False][np.ix_(own, own)] + penalty
+            if np.linalg.matrix_rank(left) < len(own):
+                continue
+            beta = np.zeros(size)
+            beta[own] = np.linalg.solve(left, gram[False][own, -1])
+            signed = np.append(-beta[:-1], 1.0)
+            s2 = float(signed @ gram[True] @ signed / gram[True][-2, -2]) if True in gram else 0.0
+            out.append((*key, label, lookback, ridge, beta[:-1].tolist(), s2))
+        return pd.DataFrame(out, columns=["asset", "fit", "inputs", "lookback", "ridge", "beta", "s2"])
+
+    train = design.join(fit_table(design), "asset").where(F.col("pos").between(F.col("fit_start"), F.col("fit_end")))
+    train = train.select("asset", "fit", (F.col("pos") > F.col("head_end")).alias("tail"), F.array(*names, "y").alias("v"))
+    cells = partial_products(train, "asset string, fit long, tail boolean").repartition("asset", "fit")
+    cells = cells.groupBy("asset", "fit", "tail", "cell").agg(F.sum("value").alias("value"))
+    fits = cells.groupBy("asset", "fit").applyInPandas(solve, "asset string, fit long, inputs string, lookback int, ridge double, beta array<double>, s2 double")
+    oos = design.where(F.col("fold_idx").isNotNull()).select("asset", "date", F.col("rv").alias("y_true"), F.array(*names).alias("x"))
+    dot = F.aggregate(F.zip_with("beta", "x", lambda b, v: b * v), F.lit(0.0), lambda a, v: a + v)
+    out = oos.join(fits, "asset").withColumn("lin", dot)
+    return out.select("asset", "date", "inputs", "lookback", "ridge", "y_true", "lin", "s2", lognormal_mean(F.col("lin"), F.sqrt("s2")).alias("yhat"))
+
+
 # --------------------------------------------------------------------------------- volatility grids
 
 SCALE = 100.0
