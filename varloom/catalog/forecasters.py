@@ -16,22 +16,22 @@ from varloom.operators import calibration as cal, forecasters as fc, regimes as
 from varloom.plans import study
 from varloom.session import cut_lineage
 
-L = 5
+L = 10
 RIDGE = 1.0
 
 
 def features():
-    return {"log_rv": F.ln("rv")}
+    return {"log_rv": F.ln("rv"), "oc_log_return": F.col("oc_log_return")}
 
 
-XS = [f"x{k}" for k in range(1, L + 1)]
+XS = [f"x{k}" for k in range(1, 2 * L + 1)]
 define("t_fe", """
   SELECT asset, min(train_end_pos) AS fit_end, CAST(floor(min(train_end_pos)*0.85) AS BIGINT) AS head_end FROM t_folded GROUP BY asset""")
 define("t_sc", """
-  SELECT asset, avg(ln(rv)) AS m, stddev_pop(ln(rv)) AS s FROM t_folded JOIN t_fe USING (asset) WHERE pos <= fit_end GROUP BY asset""")
+  SELECT asset, avg(ln(rv)) AS m, stddev_pop(ln(rv)) AS s, avg(oc_log_return) AS mo, stddev_pop(oc_log_return) AS so FROM t_folded JOIN t_fe USING (asset) WHERE pos <= fit_end GROUP BY asset""")
 define("t_des", f"""
   SELECT * FROM (SELECT f.asset, f.date, f.pos, f.fold_idx, f.rv, ln(f.rv) AS y, 1.0 AS one, fit_end, head_end,
-    {', '.join(f'(lag(ln(f.rv), {k}) OVER (PARTITION BY f.asset ORDER BY f.date) - m)/s AS x{k}' for k in range(1, L + 1))}
+    {', '.join(f'(lag(ln(f.rv), {k}) OVER (PARTITION BY f.asset ORDER BY f.date) - m)/s AS x{k}, (lag(f.oc_log_return, {k}) OVER (PARTITION BY f.asset ORDER BY f.date) - mo)/so AS x{L + k}' for k in range(1, L + 1))}
   FROM t_folded f JOIN t_fe USING (asset) JOIN t_sc USING (asset)) WHERE x{L} IS NOT NULL""")
 
 
@@ -82,6 +82,24 @@ def gates(spark, sf_dir):
 define("t_gate", """
   SELECT e.asset, e.date, """ + ", ".join(f"coalesce(lag(f.p{k}) OVER (PARTITION BY e.asset ORDER BY e.date), {num(1 / 3)}) AS g{k}" for k in range(3)) + """
   FROM t_filt f JOIN t_em e USING (asset, i)""")
+
+@query("F11_state_quantiles", branches=True)
+def state_quantiles(spark, sf_dir):
+    """Held against brute force in the tests; ``F11_quantile_balance`` states in SQL what must hold of the fits."""
+    out = fc.state_quantile_forecast(study.folded(spark, sf_dir), features(), L, gates(spark, sf_dir), ridge=RIDGE)
+    return tidy(out, ["asset", "date", "tau"], q=7)
+
+
+@query("F11_quantile_balance", f"""
+  SELECT asset, k AS state, tau, count(*) AS n, true AS balanced FROM t_des JOIN t_gate USING (asset, date), (SELECT unnest(range(3)) AS k), (SELECT unnest([0.05, 0.5, 0.95])::DOUBLE AS tau) WHERE pos <= fit_end GROUP BY 1, 2, 3""", branches=True)
+def quantile_balance(spark, sf_dir):
+    """At the least loss the constant's slope is 0: below the fit lies the level's share, but for days on the fit itself."""
+    design, names = fc.lookback_design(study.folded(spark, sf_dir), features(), L)
+    fits = fc.state_quantile_fits(design, names, gates(spark, sf_dir), ridge=RIDGE)
+    balanced = F.abs(F.col("below") - F.col("tau")) <= F.col("near") + F.col("largest")
+    return fits.select("asset", F.col("state").cast("long").alias("state"), "tau", "n", balanced.alias("balanced"))
+
+
 define("t_fdes", "SELECT d.*, g.g1 AS e1, g.g2 AS e2 FROM t_des d JOIN t_gate g USING (asset, date) JOIN t_em e USING (asset, date) WHERE e.i > 1")
 FN = [*XS, "e1", "e2", "one"]
 FLIN = "+".join(f"c{i}*d.{n}" for i, n in enumerate(FN))

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from math import exp, pi, sqrt
+from typing import Any
 
 import numpy as np
 import pandas as pd
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 from varloom.functions.laws import lognormal_mean
 from varloom.functions.math import all_finite
 from varloom.operators import recursion as rc
-from varloom.operators.linear import gram, ridge_solution
+from varloom.operators.linear import added, product_sums, ridge_fit
 from varloom.operators.realized import calendar_window
 from varloom.session import cut_lineage
 
@@ -44,6 +45,12 @@ def poisson_weight(u: Column) -> Column:
     return sum(((u >= F.lit(c)).cast("double") for c in poisson_steps()), F.lit(0.0))
 
 
+def draw_weights(draws: int, seed: int) -> Column:
+    """Poisson(1) weights of a row in every bootstrap draw, as an array."""
+    uniform = F.transform(F.sequence(F.lit(0), F.lit(draws - 1)), lambda d: hash_uniform(F.lit(seed), F.col("asset"), F.col("date"), d))
+    return F.transform(uniform, poisson_weight)
+
+
 def lookback_design(folded: DataFrame, features: dict[str, Column], lookback: int, last_only: dict[str, Column] | None = None) -> tuple[DataFrame, list[str]]:
     """Standardised values of rows t-lookback .. t-1 next to the log target; the constant comes last.
 
@@ -84,21 +91,35 @@ def linear(beta: Column, names) -> Column:
     return F.aggregate(F.zip_with(beta, F.array(*names), lambda b, v: b * v), F.lit(0.0), lambda a, v: a + v)
 
 
-def lookback_fits(design: DataFrame, names, refit_folds: int = 0, ridge: float = 1.0, weights: Column | None = None, extra_keys=()) -> DataFrame:
+def training_sums(design: DataFrame, names, refit_folds: int = 0, weights: Column | None = None) -> DataFrame:
+    """Partial sums of products of regressors and target, apart for the head and the tail of every training window."""
+    rows = design.join(fit_table(design, refit_folds), "asset").where(F.col("pos").between(F.col("fit_start"), F.col("fit_end")))
+    weight = [] if weights is None else [weights.alias("w")]
+    rows = rows.select("asset", "fit", (F.col("pos") > F.col("head_end")).alias("tail"), F.array(*names, "y").alias("v"), *weight)
+    return product_sums(rows, "asset string, fit long, tail boolean", weights is not None)
+
+
+def window_sums(cells: pd.DataFrame, size: int) -> tuple[np.ndarray | None, np.ndarray | None]:
+    """Head's and tail's matrices of one fit."""
+    parts = {bool(tail): added(part["cells"], size) for tail, part in cells.groupby("tail")}
+    return parts.get(False), parts.get(True)
+
+
+def lookback_fits(design: DataFrame, names, refit_folds: int = 0, ridge: float = 1.0, weights: Column | None = None) -> DataFrame:
     """Coefficients from the head of each training window and log-residual variance from its tail.
 
-    ``weights`` and ``extra_keys`` (columns already on the design, such as an expert or a draw) turn the same
-    aggregation into weighted fits, many per asset, in one shuffle of pre-aggregated sums.
+    ``weights`` is an array column of the design (such as experts or draws): every place (``slot``) of it is a
+    weighted fit of its own, and all of them come from one pass and one shuffle of pre-aggregated sums.
     """
-    key = ["asset", "fit", *extra_keys]
-    rows = design.join(fit_table(design, refit_folds), "asset").where(F.col("pos").between(F.col("fit_start"), F.col("fit_end")))
-    head = rows.where(F.col("pos") <= F.col("head_end"))
-    solved = gram(head, names, "y", key, weights).withColumn("beta", ridge_solution("xx", "xy", F.lit(ridge))).select(*key, "beta")
-    tail = rows.where(F.col("pos") > F.col("head_end")).select("asset", "fit", *[k for k in extra_keys], *names, "y", *(["_w"] if weights is not None else []))
-    w = F.col("_w") if weights is not None else F.lit(1.0)
-    resid = F.col("y") - linear(F.col("beta"), names)
-    smear = tail.join(solved, key).groupBy(*key).agg(F.try_divide(F.sum(w * resid * resid), F.sum(w)).alias("s2"))
-    return solved.join(smear, key, "left").withColumn("s2", F.coalesce("s2", F.lit(0.0)))
+    size = len(names) + 1
+
+    def solve(key: tuple[Any, ...], cells: pd.DataFrame) -> pd.DataFrame:
+        head, tail = window_sums(cells, size)
+        beta, s2 = (None, 0.0) if head is None else ridge_fit(head, tail, list(range(size - 1)), ridge)
+        return pd.DataFrame([(*key, None if beta is None else beta.tolist(), s2)], columns=["asset", "fit", "slot", "beta", "s2"])
+
+    sums = training_sums(design, names, refit_folds, weights)
+    return sums.groupBy("asset", "fit", "slot").applyInPandas(solve, "asset string, fit long, slot int, beta array<double>, s2 double")
 
 
 def lookback_forecast(folded: DataFrame, features, lookback: int, refit_folds: int = 0, ridge: float = 1.0, last_only=None) -> DataFrame:
@@ -117,15 +138,13 @@ def expert_forecast(folded: DataFrame, features, lookback: int, gates: DataFrame
     """
     design, names = lookback_design(folded, features, lookback)
     rows = design.join(gates.select("asset", "date", "gate"), ["asset", "date"])
-    keyed = rows.select("*", F.posexplode("gate").alias("expert", "_g"))
-    keys = ["expert"]
-    weight = F.col("_g")
+    weights = F.col("gate")
     if draws:
-        keyed = keyed.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
-        weight = weight * poisson_weight(hash_uniform(F.lit(seed), F.col("asset"), F.col("date"), F.col("draw")))
-        keys = ["expert", "draw"]
-    keyed = keyed.withColumn("_w", weight)
-    fits = lookback_fits(keyed, names, 0, ridge, F.col("_w"), keys)
+        drawn = draw_weights(draws, seed)
+        weights = F.flatten(F.transform("gate", lambda g: F.transform(drawn, lambda w: g * w)))
+    fits = lookback_fits(rows, names, 0, ridge, weights)
+    slot = F.col("slot")
+    fits = fits.withColumns({"expert": F.floor(slot / draws), "draw": slot % draws}) if draws else fits.withColumn("expert", slot)
     packed = fits.groupBy("asset", *(["draw"] if draws else [])).agg(F.array_sort(F.collect_list(F.struct("expert", "beta", "s2"))).alias("experts"))
     oos = rows.where(F.col("fold_idx").isNotNull()).join(packed, "asset")
     x = F.array(*names)
@@ -139,9 +158,7 @@ def expert_forecast(folded: DataFrame, features, lookback: int, gates: DataFrame
 def draw_forecast(folded: DataFrame, features, lookback: int, draws: int = 20, ridge: float = 1.0, seed: int = 17) -> DataFrame:
     """Bootstrap replicates of the lookback regression: (asset, date, draw, lin, s2)."""
     design, names = lookback_design(folded, features, lookback)
-    keyed = design.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
-    keyed = keyed.withColumn("_w", poisson_weight(hash_uniform(F.lit(seed), F.col("asset"), F.col("date"), F.col("draw"))))
-    fits = lookback_fits(keyed, names, 0, ridge, F.col("_w"), ["draw"])
+    fits = lookback_fits(design, names, 0, ridge, draw_weights(draws, seed)).withColumnRenamed("slot", "draw")
     oos = design.where(F.col("fold_idx").isNotNull()).join(fits, "asset")
     return oos.select("asset", "date", "draw", F.col("rv").alias("y_true"), linear(F.col("beta"), names).alias("lin"), "s2")
 
@@ -168,38 +185,93 @@ def quantile_forecast(folded: DataFrame, features, lookback: int, taus=(0.05, 0.
     return out.select("asset", "date", "y_true", F.col("r.tau").alias("tau"), F.exp(F.col("lin") + F.col("r.o")).alias("q"))
 
 
-# ---------------------------------------------------------------------------------- lookback sweep
+QUANTILES = (0.05, 0.5, 0.95)
+
+
+def pinball_regression(x: np.ndarray, y: np.ndarray, weight: np.ndarray, tau: float, ridge: float = 1.0, rounds: int = 200) -> np.ndarray:
+    """Coefficients of the least weighted pinball loss plus ridge/4 times the squared slopes; the constant comes last.
+
+    Each round minimises a quadratic that touches the loss at the present residuals and lies above it elsewhere, so
+    the loss never rises. The residuals are smoothed by less and less, in the end by a millionth of their scale.
+    """
+    penalty = np.diag([float(ridge)] * (x.shape[1] - 1) + [0.0])
+    pull = (2 * tau - 1) * (weight @ x)
 
-HELD_GRAMS = 256
+    def refit(w: np.ndarray, right: np.ndarray | float) -> np.ndarray:
+        scaled = x * (weight * w)[:, None]
+        return np.linalg.lstsq(scaled.T @ x + penalty, scaled.T @ y + right, rcond=None)[0]
 
+    beta = refit(np.ones(len(y)), 0.0)
+    scale = max(float(np.sqrt(np.average((y - x @ beta) ** 2, weights=weight))), 1e-12)
 
-def partial_products(rows: DataFrame, keys: str) -> DataFrame:
-    """Sums of v v' of the array column ``v``, per key and cell of the upper triangle, one partial sum a task.
+    def loss(b: np.ndarray) -> float:
+        r = y - x @ b
+        return float(weight @ np.maximum(tau * r, (tau - 1) * r)) + float(ridge) / 4 * float(b[:-1] @ b[:-1])
 
-    ``keys`` is a schema string; every key column stands next to ``v``. A task holds at most HELD_GRAMS matrices.
+    for smooth in (1e-1, 1e-2, 1e-3, 1e-4, 1e-5, 1e-6):
+        last = loss(beta)
+        for _ in range(rounds):
+            beta = refit(1.0 / (smooth * scale + np.abs(y - x @ beta)), pull)
+            now = loss(beta)
+            if abs(last - now) <= 1e-9 * max(abs(last), 1e-300):
+                break
+            last = now
+    return beta
+
+
+def state_quantile_fits(design: DataFrame, names, gates: DataFrame, taus=QUANTILES, ridge: float = 1.0) -> DataFrame:
+    """Pinball fits per (asset, fit, state, level), every training day weighted by the posterior of the state.
+
+    ``below`` and ``near`` are the weighted shares of training days under the fitted quantile and within a
+    thousandth of the residual scale of it. A group is the training days of an asset in one state, so it is
+    bounded by the calendar. States without any weight have no fit.
     """
-    names = [k.split()[0] for k in keys.split(", ")]
+    rows = design.join(gates.select("asset", "date", "gate"), ["asset", "date"]).join(fit_table(design), "asset")
+    rows = rows.where(F.col("pos").between(F.col("fit_start"), F.col("fit_end"))).select("asset", "fit", F.array(*names, "y").alias("v"), F.posexplode("gate").alias("state", "w"))
+
+    def solve(key: tuple[Any, ...], days: pd.DataFrame) -> pd.DataFrame:
+        v, w = np.vstack(days["v"].to_numpy()), days["w"].to_numpy()
+        order = np.lexsort(v.T)
+        v, w = v[order], w[order]
+        out = []
+        for tau in taus if w.sum() > 0 else ():
+            beta = pinball_regression(v[:, :-1], v[:, -1], w, tau, ridge)
+            r = v[:, -1] - v[:, :-1] @ beta
+            near = 1e-3 * np.sqrt(np.average(r * r, weights=w))
+            out.append((*key, tau, beta.tolist(), len(v), float(w @ (r < 0) / w.sum()), float(w @ (np.abs(r) <= near) / w.sum()), float(w.max() / w.sum())))
+        return pd.DataFrame(out, columns=["asset", "fit", "state", "tau", "beta", "n", "below", "near", "largest"])
 
-    def rows_of(held) -> Iterator[pa.RecordBatch]:
-        for key, total in held.items():
-            cells = total[np.triu_indices(len(total))]
-            cols = {n: pa.array([k] * len(cells)) for n, k in zip(names, key, strict=True)}
-            yield pa.RecordBatch.from_pydict({**cols, "cell": pa.array(np.arange(len(cells)), pa.int32()), "value": cells})
+    return rows.groupBy("asset", "fit", "state").applyInPandas(solve, "asset string, fit long, state int, tau double, beta array<double>, n long, below double, near double, largest double")
 
-    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = {}
-        for batch in batches:
-            frame = batch.to_pandas()
-            for key, part in frame.groupby(names, sort=False):
-                v = np.vstack(part["v"].to_numpy())
-                held[key] = held[key] + v.T @ v if key in held else v.T @ v
-                if len(held) >= HELD_GRAMS:
-                    yield from rows_of(held)
-                    held = {}
-        yield from rows_of(held)
 
-    return rows.select(*names, "v").mapInArrow(sums, f"{keys}, cell int, value double")
+def state_quantile_forecast(folded: DataFrame, features, lookback: int, gates: DataFrame, taus=QUANTILES, ridge: float = 1.0) -> DataFrame:
+    """Quantiles that depend on inputs and state: (asset, date, y_true, tau, q).
+
+    A state's fitted quantiles are put in order at every day, which never raises their pinball loss; the gate
+    then averages level by level, which keeps the order. So quantiles can't cross.
+    """
+    design, names = lookback_design(folded, features, lookback)
+    fits = state_quantile_fits(design, names, gates, taus, ridge)
+    packed = fits.groupBy("asset", "state").agg(F.array_sort(F.collect_list(F.struct("tau", "beta"))).alias("levels"))
+    packed = packed.groupBy("asset").agg(F.array_sort(F.collect_list(F.struct("state", "levels"))).alias("states"))
+    rows = design.where(F.col("fold_idx").isNotNull()).join(gates.select("asset", "date", "gate"), ["asset", "date"]).join(packed, "asset")
+    x = F.array(*names)
+
+    def ordered(state: Column) -> Column:
+        return F.array_sort(F.transform(state["levels"], lambda e: F.aggregate(F.zip_with(e["beta"], x, lambda b, v: b * v), F.lit(0.0), lambda a, v: a + v)))
+
+    placed = F.transform("states", lambda s: F.struct(F.element_at("gate", s["state"] + 1).alias("g"), ordered(s).alias("q")))
+    rows = rows.select("asset", "date", F.col("rv").alias("y_true"), placed.alias("p"))
+    total = F.aggregate("p", F.lit(0.0), lambda a, s: a + s["g"])
 
+    def mixed(place: int) -> Column:
+        return F.exp(F.aggregate("p", F.lit(0.0), lambda a, s: a + s["g"] * F.element_at(s["q"], place)) / total)
+
+    levels = [F.struct(F.lit(t).alias("tau"), mixed(k).alias("q")) for k, t in enumerate(sorted(taus), 1)]
+    return rows.select("asset", "date", "y_true", F.explode(F.array(*levels)).alias("r")).select("asset", "date", "y_true", "r.tau", "r.q")
+
+
+# ---------------------------------------------------------------------------------- lookback sweep
 
 def lookback_sweep(folded: DataFrame, inputs: dict[str, Column], input_sets: dict[str, tuple], lookbacks, ridges) -> DataFrame:
     """Every (input set, lookback, ridge) trained once on the first training window, scored on the fold rows.
@@ -221,30 +293,18 @@ def lookback_sweep(folded: DataFrame, inputs: dict[str, Column], input_sets: dic
             own = [order.index(n) * widest + k for n in chosen for k in range(lookback)] + [size - 2]
             points += [(label, lookback, float(ridge), own) for ridge in ridges]
 
-    def solve(key, cells: pd.DataFrame) -> pd.DataFrame:
-        gram = {}
-        for tail, part in cells.groupby("tail"):
-            full = np.zeros((size, size))
-            full[np.triu_indices(size)] = part.sort_values("cell")["value"].to_numpy()
-            gram[bool(tail)] = full + np.triu(full, 1).T
+    def solve(key: tuple[Any, ...], cells: pd.DataFrame) -> pd.DataFrame:
+        head, tail = window_sums(cells, size)
         out = []
-        for label, lookback, ridge, own in points if False in gram else []:
-            penalty = np.diag([ridge] * (len(own) - 1) + [0.0])
-            left = gram[False][np.ix_(own, own)] + penalty
-            if np.linalg.matrix_rank(left) < len(own):
-                continue
-            beta = np.zeros(size)
-            beta[own] = np.linalg.solve(left, gram[False][own, -1])
-            signed = np.append(-beta[:-1], 1.0)
-            s2 = float(signed @ gram[True] @ signed / gram[True][-2, -2]) if True in gram else 0.0
-            out.append((*key, label, lookback, ridge, beta[:-1].tolist(), s2))
+        for label, lookback, ridge, own in points if head is not None else []:
+            found, s2 = ridge_fit(head, tail, own, ridge)
+            if found is not None:
+                beta = np.zeros(size - 1)
+                beta[own] = found
+                out.append((*key, label, lookback, ridge, beta.tolist(), s2))
         return pd.DataFrame(out, columns=["asset", "fit", "inputs", "lookback", "ridge", "beta", "s2"])
 
-    train = design.join(fit_table(design), "asset").where(F.col("pos").between(F.col("fit_start"), F.col("fit_end")))
-    train = train.select("asset", "fit", (F.col("pos") > F.col("head_end")).alias("tail"), F.array(*names, "y").alias("v"))
-    cells = partial_products(train, "asset string, fit long, tail boolean").repartition("asset", "fit")
-    cells = cells.groupBy("asset", "fit", "tail", "cell").agg(F.sum("value").alias("value"))
-    fits = cells.groupBy("asset", "fit").applyInPandas(solve, "asset string, fit long, inputs string, lookback int, ridge double, beta array<double>, s2 double")
+    fits = training_sums(design, names).groupBy("asset", "fit").applyInPandas(solve, "asset string, fit long, inputs string, lookback int, ridge double, beta array<double>, s2 double")
     oos = design.where(F.col("fold_idx").isNotNull()).select("asset", "date", F.col("rv").alias("y_true"), F.array(*names).alias("x"))
     dot = F.aggregate(F.zip_with("beta", "x", lambda b, v: b * v), F.lit(0.0), lambda a, v: a + v)
     out = oos.join(fits, "asset").withColumn("lin", dot)
