@@ -29,12 +29,17 @@ def intraday_bars(spark, sf_dir):
 
 @query("S5_target_selector", f"""
   SELECT asset, date, 'yang_zhang' AS target, {rs(rv=9)} FROM t_yz
-  UNION ALL SELECT asset, date, 'intraday', {r('rv', 9)} FROM t_rv""")
+  UNION ALL SELECT asset, date, 'intraday', {r('rv', 9)} FROM t_rv
+  UNION ALL SELECT asset, date, 'spliced', {r('rv', 9)} FROM t_splice WHERE rv > 0""")
 def target_selector(spark, sf_dir):
-    ticks = tb.trades(spark, sf_dir)
-    daily = ft.select_target("yang_zhang", ohlc=tb.daily_ohlc(ticks)).withColumn("target", F.lit("yang_zhang"))
-    intraday = ft.select_target("intraday", intraday=rz.trade_variance(ticks, tb.TRADE_ORDER)).withColumn("target", F.lit("intraday"))
-    return tidy(daily.unionByName(intraday), ["asset", "date", "target"], rv=9)
+    days = study.days(spark, sf_dir)
+    intraday, ranged = _sources(days)
+    spliced = sp.splice(ranged, intraday, TRAIN_END, sp.overlap(intraday, ranged), force=True)
+    out = None
+    for which in ft.TARGETS:
+        part = ft.select_target(which, days, intraday, spliced).withColumn("target", F.lit(which))
+        out = part if out is None else out.unionByName(part)
+    return tidy(out, ["asset", "date", "target"], rv=9)
 
 
 @query("S13_registry_lookup", """
@@ -115,14 +120,13 @@ def range_estimators(spark, sf_dir):
          {r('stddev_samp(v)', 8, 'std')}, {r('quantile_cont(v, 0.99)', 8, 'p99')}
   FROM t_measures WHERE v IS NOT NULL GROUP BY asset, estimator""")
 def variance_summary(spark, sf_dir):
-    ticks = tb.trades(spark, sf_dir)
-    daily = rz.yang_zhang(tb.daily_ohlc(ticks), name="yang_zhang").select(
+    names = ["yang_zhang", "parkinson", "squared_return", "rogers_satchell", "intraday"]
+    days = rz.day_summary(tb.trades(spark, sf_dir), tb.TRADE_ORDER).withColumn("intraday", F.when(rz.has_variance(), F.col("rv")))
+    daily = rz.yang_zhang(days, name="yang_zhang").select(
         "asset", "date", "yang_zhang", rz.parkinson_variance().alias("parkinson"),
-        rz.squared_return_variance().alias("squared_return"), rz.rogers_satchell().alias("rogers_satchell"),
+        rz.squared_return_variance().alias("squared_return"), rz.rogers_satchell().alias("rogers_satchell"), "intraday",
     )
-    long = daily.unpivot(["asset", "date"], ["yang_zhang", "parkinson", "squared_return", "rogers_satchell"], "estimator", "v")
-    intraday = rz.trade_variance(ticks, tb.TRADE_ORDER).select("asset", "date", F.lit("intraday").alias("estimator"), F.col("rv").alias("v"))
-    out = long.unionByName(intraday).where("v is not null").groupBy("asset", "estimator").agg(
+    out = daily.unpivot(["asset", "date"], names, "estimator", "v").where("v is not null").groupBy("asset", "estimator").agg(
         F.count("v").alias("n"), F.avg("v").alias("mean"), F.percentile("v", 0.5).alias("median"),
         F.stddev_samp("v").alias("std"), F.percentile("v", 0.99).alias("p99"),
     )
@@ -139,17 +143,27 @@ define("t_overlap", """
   GROUP BY asset""")
 
 
-def _sources(spark, sf_dir):
-    ticks = tb.trades(spark, sf_dir)
-    intraday = rz.trade_variance(ticks, tb.TRADE_ORDER)
-    ranged = tb.daily_ohlc(ticks).select("asset", "date", rz.parkinson_variance().alias("rv"))
-    return intraday, ranged
+def splice_sql(gate: str = "") -> str:
+    return f"""
+  SELECT p.asset, p.date, 'head' AS part, p.rv FROM t_park p JOIN t_overlap o USING (asset) WHERE p.date <= DATE '{TRAIN_END}' {gate}
+  UNION ALL SELECT x.asset, x.date, 'tail', x.rv / o.median_ratio FROM t_rv x JOIN t_overlap o USING (asset) WHERE x.date > DATE '{TRAIN_END}' {gate}"""
+
+
+LOOSE = (60, 0.5, 3.0)
+define("t_splice", splice_sql())
+define("t_splicegated", splice_sql("AND o.n >= 60 AND o.pearson >= 0.9 AND abs(o.median_ratio - 1) <= 0.15"))
+define("t_spliceloose", splice_sql("AND o.n >= 60 AND o.pearson >= 0.5 AND abs(o.median_ratio - 1) <= 3.0"))
+
+
+def _sources(days):
+    """Realised variance of all trades, and the range estimate, of the same days."""
+    return days.where(rz.has_variance()).select("asset", "date", "rv"), days.select("asset", "date", rz.parkinson_variance().alias("rv"))
 
 
 @query("A19_overlap_statistics", f"""
   SELECT asset, n, first_date, last_date, {rs(pearson=8, spearman=8, median_ratio=8, mean_abs_log_ratio=8)} FROM t_overlap""")
 def overlap_statistics(spark, sf_dir):
-    out = sp.overlap(*_sources(spark, sf_dir))
+    out = sp.overlap(*_sources(study.days(spark, sf_dir)))
     return tidy(out, ["asset", "n", "first_date", "last_date"], pearson=8, spearman=8, median_ratio=8, mean_abs_log_ratio=8)
 
 
@@ -157,19 +171,30 @@ def overlap_statistics(spark, sf_dir):
   SELECT asset, n, n >= 60 AND pearson >= 0.9 AND abs(median_ratio - 1) <= 0.15 AS passes,
          n >= 60 AND pearson >= 0.5 AND abs(median_ratio - 1) <= 3.0 AS passes_loose FROM t_overlap""")
 def splice_gate(spark, sf_dir):
-    report = sp.overlap(*_sources(spark, sf_dir))
-    loose = sp.gate(report, 60, 0.5, 3.0).select("asset", F.col("passes").alias("passes_loose"))
-    return sp.gate(report).join(loose, "asset").select("asset", "n", "passes", "passes_loose")
+    report = sp.overlap(*_sources(study.days(spark, sf_dir)))
+    loose = sp.gate(report, *LOOSE).withColumnRenamed("passes", "passes_loose")
+    return sp.gate(loose).select("asset", "n", "passes", "passes_loose")
+
 
+def spliced(spark, sf_dir, **how):
+    intraday, ranged = _sources(study.days(spark, sf_dir))
+    return tidy(sp.splice(ranged, intraday, TRAIN_END, sp.overlap(intraday, ranged), **how), ["asset", "date", "part"], rv=9)
 
-@query("U1_gated_splice", f"""
-  SELECT asset, date, part, {rs(rv=9)} FROM (
-    SELECT p.asset, p.date, 'head' AS part, p.rv FROM t_park p JOIN t_overlap o USING (asset) WHERE p.date <= DATE '{TRAIN_END}'
-    UNION ALL SELECT x.asset, x.date, 'tail', x.rv / o.median_ratio FROM t_rv x JOIN t_overlap o USING (asset) WHERE x.date > DATE '{TRAIN_END}')""")
+
+@query("U1_gated_splice", f"SELECT asset, date, part, {rs(rv=9)} FROM t_splicegated")
 def gated_splice(spark, sf_dir):
-    intraday, ranged = _sources(spark, sf_dir)
-    out = sp.splice(ranged, intraday, TRAIN_END, sp.overlap(intraday, ranged), force=True)
-    return tidy(out, ["asset", "date", "part"], rv=9)
+    """Only assets whose sources agree closely enough; others have no spliced series."""
+    return spliced(spark, sf_dir)
+
+
+@query("U1_loose_splice", f"SELECT asset, date, part, {rs(rv=9)} FROM t_spliceloose")
+def loose_splice(spark, sf_dir):
+    return spliced(spark, sf_dir, thresholds=LOOSE)
+
+
+@query("U1_forced_splice", f"SELECT asset, date, part, {rs(rv=9)} FROM t_splice")
+def forced_splice(spark, sf_dir):
+    return spliced(spark, sf_dir, force=True)
 
 
 # ------------------------------------------------------------------------------------ window functions
@@ -273,9 +298,9 @@ define("t_jframe", f"""
   SELECT asset, date, {rs(log_return=9, oc_log_return=9, rv=9, rv_d=9, rv_w=9, rv_m=9, vix_close=6)} FROM t_jframe
   WHERE {finite('log_return', 'oc_log_return', 'rv', 'rv_d', 'rv_w', 'rv_m', 'vix_close')}""")
 def calendar_join(spark, sf_dir):
-    ticks = tb.trades(spark, sf_dir)
-    target = ft.select_target("intraday", intraday=rz.trade_variance(ticks, tb.TRADE_ORDER))
-    out = ft.modelling_frame(tb.daily_ohlc(ticks), target, tb.second_calendar(spark, sf_dir))
+    days = study.days(spark, sf_dir)
+    target = ft.select_target("intraday", intraday=_sources(days)[0])
+    out = ft.modelling_frame(days, target, tb.second_calendar(spark, sf_dir))
     return tidy(out, ["asset", "date"], log_return=9, oc_log_return=9, rv=9, rv_d=9, rv_w=9, rv_m=9, vix_close=6)
 
 
@@ -286,9 +311,9 @@ def calendar_join(spark, sf_dir):
            count(*) FILTER (d.log_return IS NOT NULL AND s.date IS NOT NULL AND l.rv_d IS NOT NULL AND l.rv_w IS NOT NULL AND l.rv_m IS NOT NULL) AS n_final
     FROM t_rvlags l LEFT JOIN t_daily d USING (asset, date) LEFT JOIN t_second s ON s.date = l.date GROUP BY l.asset)""")
 def join_attrition(spark, sf_dir):
-    ticks = tb.trades(spark, sf_dir)
-    target = ft.select_target("intraday", intraday=rz.trade_variance(ticks, tb.TRADE_ORDER))
-    return ft.attrition(tb.daily_ohlc(ticks), target, tb.second_calendar(spark, sf_dir))
+    days = study.days(spark, sf_dir)
+    target = ft.select_target("intraday", intraday=_sources(days)[0])
+    return ft.attrition(days, target, tb.second_calendar(spark, sf_dir))
 
 
 @query("J3_minimal_feature_join", f"""

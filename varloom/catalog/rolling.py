@@ -31,7 +31,7 @@ define("t_rollc", CTES["t_coefs"].replace("t_moments", "t_rollm"))
 @query("W21_rolling_forecasts", f"""
   SELECT f.asset, f.date, f.fold_idx, f.train_len AS n_train, {r('c.lev_const + c.lev_rv_d*f.rv_d + c.lev_rv_w*f.rv_w + c.lev_rv_m*f.rv_m', 6, 'lev_lin')},
     {r('c.log_const + c.log_rv_d*f.rv_d + c.log_rv_w*f.rv_w + c.log_rv_m*f.rv_m', 6, 'log_lin')}, {r('c.log_s2', 6, 'log_s2')}, {r('c.sd_step', 6, 'sd_step')}
-  FROM t_rollf f JOIN t_rollc c USING (asset, fold_idx)""")
+  FROM t_rollf f JOIN t_rollc c USING (asset, fold_idx)""", branches=True)
 def rolling_forecasts(spark, sf_dir):
     out = wf.har_fits(rolled(spark, sf_dir), "rolling")
     return tidy(out, ["asset", "date", "fold_idx", F.col("train_len").alias("n_train")], lev_lin=6, log_lin=6, log_s2=6, sd_step=6)

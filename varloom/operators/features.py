@@ -93,7 +93,7 @@ def _registries() -> None:
     c = F.col
     FORECAST_FEATURES.update(
         log_rv=F.ln(c("rv")), rv=c("rv"), log_return=c("log_return"), oc_log_return=c("oc_log_return"),
-        abs_log_return=F.abs(c("log_return")), abs_oc_log_return=F.abs(c("oc_log_return")),
+        abs_log_return=F.abs(c("log_return")), abs_oc_return=F.abs(c("oc_log_return")),
         log_rv_d=F.ln(c("rv_d")), log_rv_w=F.ln(c("rv_w")), log_rv_m=F.ln(c("rv_m")),
         vix_close=c("vix_close"), log_vix=F.ln(c("vix_close")),
         reg_p0=c("reg_p0"), reg_p1=c("reg_p1"), reg_p2=c("reg_p2"),

@@ -82,19 +82,24 @@ def realized_variance(
 ) -> DataFrame:
     """Daily sum of squared intraday log returns, averaged over shifted sampling grids.
 
-    Each bar is replicated once per grid and reduced at once to the last price of its bin. Bins per day are
-    bounded by the clock, so the lag below never sees more than a day of bins however many rows arrive.
+    Grids are shifted by whole minutes, so raw bars are reduced once, to the last price of every minute, and only
+    these are replicated per grid. Bins per day are bounded by the clock, so the lag below never sees more than a
+    day of bins however many rows arrive.
     """
     if grids < 1:
         raise ValueError("grids must be at least 1")
     if minutes is None:
         raise ValueError("a sampling frequency is required; use trade_variance for unsampled rows")
     offsets = [int(round(k * minutes / grids)) for k in range(grids)]
-    shifted = bars.withColumn("grid", F.explode(F.array(*[F.lit(o) for o in offsets]))).withColumn(
+    valid = bars.where(F.col("price").isNotNull() & ~F.isnan("price"))
+    if grids > 1:
+        minute = valid.groupBy("asset", F.window("ts", "1 minute").alias("m")).agg(F.max_by("price", F.struct("ts", "seq")).alias("price"))
+        valid = minute.select("asset", F.col("m.start").alias("ts"), F.lit(0).alias("seq"), "price")
+    shifted = valid.withColumn("grid", F.explode(F.array(*[F.lit(o) for o in offsets]))).withColumn(
         "ts", F.col("ts") + F.make_dt_interval(mins=F.col("grid"))
     )
     binned = (
-        shifted.where(F.col("price").isNotNull() & ~F.isnan("price"))
+        shifted
         .groupBy("asset", "grid", F.window("ts", f"{minutes} minutes").alias("bin"))
         .agg(F.max_by("price", F.struct("ts", "seq")).alias("price"))
         .select("asset", "grid", F.col("bin.start").alias("bin"), F.to_date("bin.start").alias("date"), "price")
@@ -112,31 +117,48 @@ def realized_variance(
     )
 
 
-def trade_variance(ticks: DataFrame, order_by, min_returns: int = 2, partitions: int | None = None) -> DataFrame:
-    """Daily sum of squared log returns over every trade of the day, in trade order.
+SLICE_WIDTH = 1 << 22
 
-    One asset and day may hold a large share of all rows, so a day is never one task. Rows are range
-    partitioned on (asset, date, trade order); each slice of a day yields its own sum plus its first and
-    last price, and only these per-slice summaries are stitched together.
+
+def day_summary(ticks: DataFrame, order_by, width: int = SLICE_WIDTH) -> DataFrame:
+    """Open, high, low, close, trades, returns and squared log returns per asset and day, in trade order.
+
+    One scan and one shuffle of the raw rows serve all of it. One asset and day may hold a large share of all rows,
+    so a day is never one task: the first column of the trade order (a whole number) is cut into slices of ``width``,
+    which keep its order. Each slice yields its own sums and its first and last price, and only these summaries
+    are stitched together.
     """
-    keys = ["asset", "date", *order_by]
-    ranged = ticks.repartitionByRange(partitions, *keys) if partitions else ticks.repartitionByRange(*keys)
-    sliced = ranged.withColumn("_slice", F.spark_partition_id()).withColumn("_lp", F.ln("px"))
+    slice_of = F.coalesce(F.floor(F.col(order_by[0]) / width), F.lit(-(2**62))).cast("long")
+    sliced = ticks.withColumn("_slice", slice_of).withColumn("_lp", F.ln("px"))
     inside = Window.partitionBy("asset", "date", "_slice").orderBy(*order_by)
     steps = sliced.withColumn("_r", F.col("_lp") - F.lag("_lp").over(inside)).withColumn("_i", F.row_number().over(inside))
     slices = steps.groupBy("asset", "date", "_slice").agg(
+        F.count("*").alias("_rows"),
         F.count("_lp").alias("_n"),
         F.coalesce(F.sum(F.col("_r") * F.col("_r")), F.lit(0.0)).alias("_ss"),
-        F.min_by("_lp", "_i").alias("_first"),
-        F.max_by("_lp", "_i").alias("_last"),
+        F.min_by("px", "_i").alias("_open"),
+        F.max_by("px", "_i").alias("_close"),
+        F.max("px").alias("_high"),
+        F.min("px").alias("_low"),
     )
     across = Window.partitionBy("asset", "date").orderBy("_slice")
-    bridged = slices.withColumn("_gap", F.col("_first") - F.lag("_last").over(across))
-    return (
-        bridged.groupBy("asset", "date")
-        .agg(
-            (F.sum("_n") - 1).alias("n_returns"),
-            (F.sum("_ss") + F.coalesce(F.sum(F.col("_gap") * F.col("_gap")), F.lit(0.0))).alias("rv"),
-        )
-        .where((F.col("n_returns") >= min_returns) & (F.col("rv") > 0))
+    bridged = slices.withColumn("_gap", F.ln("_open") - F.ln(F.lag("_close").over(across)))
+    return bridged.groupBy("asset", "date").agg(
+        F.min_by("_open", "_slice").alias("open"),
+        F.max("_high").alias("high"),
+        F.min("_low").alias("low"),
+        F.max_by("_close", "_slice").alias("close"),
+        F.sum("_rows").alias("n_trades"),
+        (F.sum("_n") - 1).alias("n_returns"),
+        (F.sum("_ss") + F.coalesce(F.sum(F.col("_gap") * F.col("_gap")), F.lit(0.0))).alias("rv"),
     )
+
+
+def has_variance(min_returns: int = 2) -> Column:
+    """Days of a summary whose realised variance counts."""
+    return (F.col("n_returns") >= min_returns) & (F.col("rv") > 0)
+
+
+def trade_variance(ticks: DataFrame, order_by, min_returns: int = 2, width: int = SLICE_WIDTH) -> DataFrame:
+    """Daily sum of squared log returns over every trade of the day, in trade order."""
+    return day_summary(ticks, order_by, width).where(has_variance(min_returns)).select("asset", "date", "n_returns", "rv")

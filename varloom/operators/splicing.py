@@ -43,13 +43,15 @@ def gate(report: DataFrame, min_n: int = MIN_OVERLAP, min_pearson: float = MIN_P
     return report.withColumn("passes", F.coalesce(ok, F.lit(False)))
 
 
-def splice(head: DataFrame, tail: DataFrame, cutoff: str, report: DataFrame, level_adjust: bool = True, force: bool = False) -> DataFrame:
+def splice(head: DataFrame, tail: DataFrame, cutoff: str, report: DataFrame, level_adjust: bool = True, force: bool = False,
+           thresholds: tuple[int, float, float] = (MIN_OVERLAP, MIN_PEARSON, RATIO_TOLERANCE)) -> DataFrame:
     """Head up to the cutoff, then the tail brought to the head's level; only assets that pass the gate.
 
+    ``force`` splices every asset of the report, whatever the gate of ``thresholds`` says.
     The two date ranges are disjoint and each source has one row per day, so no duplicate can arise.
     """
     day = F.lit(cutoff).cast("date")
-    gated = report if force else gate(report).where("passes")
+    gated = report if force else gate(report, *thresholds).where("passes")
     level = gated.select("asset", F.col("median_ratio").alias("_level"))
     first = head.where(F.col("date") <= day).join(level, "asset").select("asset", "date", "rv", F.lit("head").alias("part"))
     scale = F.when(F.lit(level_adjust) & F.col("_level").isNotNull(), F.col("_level")).otherwise(F.lit(1.0))

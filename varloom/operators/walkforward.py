@@ -121,25 +121,38 @@ def ols_moments(x, y: str, frame_window=None) -> dict[str, Column]:
 
 
 def bounded_moments(folded: DataFrame, x, ys, steps=()) -> DataFrame:
-    """Moments over each fold's own window, on the fold's rows: differences of running sums at its two bounds.
+    """Moments over each fold's own window, on the fold's rows, merged from summaries of pieces.
 
-    Two lookups by position serve every fold, so a rolling window costs what an anchored one does. ``steps``
-    are columns whose standard deviation is wanted.
+    The bounds of all windows cut the calendar into pieces, each summed up once by count, means and centred second
+    moments. A window is a run of whole pieces, met by an equality of piece numbers. Pieces are merged about the
+    first one's means, so no digits are lost where the level is large against the spread. ``steps`` are columns
+    whose standard deviation is wanted.
     """
-    run = _running()
     names = [*x, *ys, *steps]
     products = [(a, b) for i, a in enumerate(x) for b in (*x[i:], *ys)] + [(v, v) for v in (*ys, *steps)]
-    sums = {"n": F.count(ys[0]).over(run)}
-    sums |= {f"s_{a}": F.sum(a).over(run) for a in names}
-    sums |= {f"p_{a}_{b}": F.sum(F.col(a) * F.col(b)).over(run) for a, b in products}
-    ends = at_train_end(sums, folded)
-    starts = folded.select("asset", (F.col("pos") + 1).alias("train_start_pos"), F.struct(*[v.alias(k) for k, v in sums.items()]).alias("_s"))
-    both = ends.join(starts, ["asset", "train_start_pos"], "left")
-    both = both.withColumns({k: F.col(k) - F.coalesce(F.col(f"_s.{k}"), F.lit(0)) for k in sums}).drop("_s")
-    both = both.withColumns({f"m_{a}": F.col(f"s_{a}") / F.col("n") for a in names})
-    centred = {(a, b): F.col(f"p_{a}_{b}") / F.col("n") - F.col(f"m_{a}") * F.col(f"m_{b}") for a, b in products}
+    key = ["asset", "fold_idx"]
+    folds = folded.where(F.col("fold_idx").isNotNull()).groupBy(*key).agg(F.min("train_start_pos").alias("_ts"), F.min("train_end_pos").alias("_te"))
+    cuts = folds.select("asset", F.explode(F.array("_ts", F.col("_te") + 1)).alias("pos")).distinct().withColumn("_cut", F.lit(1))
+    cut = F.coalesce("_cut", F.lit(0))
+    numbered = folded.select("asset", "date", "pos", *names).join(cuts, ["asset", "pos"], "left").withColumn("_piece", F.sum(cut).over(_running()))
+    pieces = numbered.groupBy("asset", "_piece").agg(
+        F.min("pos").alias("_ts"), F.max("pos").alias("_te"), F.count(ys[0]).alias("_n"), F.struct(*[F.avg(a).alias(a) for a in names]).alias("_m"),
+        F.struct(*[(F.var_pop(a) if a == b else F.covar_pop(a, b)).alias(f"{a}_{b}") for a, b in products]).alias("_c"))
+    firsts = pieces.select("asset", "_ts", F.col("_piece").alias("_first"))
+    lasts = pieces.select("asset", "_te", F.col("_piece").alias("_last"))
+    spans = folds.join(firsts, ["asset", "_ts"]).join(lasts, ["asset", "_te"]).select(*key, F.explode(F.sequence("_first", "_last")).alias("_piece"))
+    runs = spans.join(pieces.drop("_ts", "_te"), ["asset", "_piece"]).withColumn("_r", F.first("_m").over(Window.partitionBy(*key).orderBy("_piece")))
+    off = {a: F.col(f"_m.{a}") - F.col(f"_r.{a}") for a in names}
+    n = F.col("_n")
+    sums = runs.groupBy(*key).agg(
+        F.sum(n).alias("n"), F.first("_r").alias("_r"),
+        *[F.sum(n * off[a]).alias(f"_o_{a}") for a in names],
+        *[F.sum(n * (F.col(f"_c.{a}_{b}") + off[a] * off[b])).alias(f"_p_{a}_{b}") for a, b in products])
+    mean_off = {a: F.col(f"_o_{a}") / F.col("n") for a in names}
+    centred = {(a, b): F.col(f"_p_{a}_{b}") / F.col("n") - mean_off[a] * mean_off[b] for a, b in products}
     named = {(f"v_{a}" if a in ys else f"sd_{a}" if a in steps else f"c_{a}_{b}"): (F.sqrt(F.greatest(v, F.lit(0.0))) if a in steps else v) for (a, b), v in centred.items()}
-    return both.withColumns(named).drop(*[c for c in sums if c != "n"])
+    moments = sums.select(*key, "n", *[(F.col(f"_r.{a}") + mean_off[a]).alias(f"m_{a}") for a in names], *[v.alias(k) for k, v in named.items()])
+    return folded.where(F.col("fold_idx").isNotNull()).join(moments, key)
 
 
 def solve3(x, y: str) -> dict[str, Column]:

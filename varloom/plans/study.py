@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 from varloom.functions.laws import lognormal_interval
 from varloom.operators.features import ohlc_frame
+from varloom.operators.realized import day_summary
 from varloom.operators.walkforward import BASELINES, SplitPlan, assign_folds, har_fits, to_board
 from varloom.session import cut_lineage
-from varloom.sources.tables import daily_ohlc, trades
+from varloom.sources.tables import TRADE_ORDER, daily_ohlc, trades
 
 PLAN = SplitPlan()
 LEVELS = (50, 80, 90, 95)
@@ -44,6 +45,11 @@ def ohlc(spark: SparkSession, sf_dir) -> DataFrame:
     return daily_ohlc(trades(spark, sf_dir))
 
 
+def days(spark: SparkSession, sf_dir) -> DataFrame:
+    """Prices and realised variance of every day from one scan, written once for the branches that read it."""
+    return cut_lineage(day_summary(trades(spark, sf_dir), TRADE_ORDER))
+
+
 def frame(spark: SparkSession, sf_dir) -> DataFrame:
     return sf_dir.frame if isinstance(sf_dir, Study) else ohlc_frame(ohlc(spark, sf_dir))
 
