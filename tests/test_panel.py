@@ -37,13 +37,38 @@ def test_trade_variance_does_not_depend_on_slicing(spark):
     want = {}
     for d, g in pdf.groupby("date"):
         want[d] = (np.diff(np.log(g.sort_values("k").px)) ** 2).sum()
-    for parts in (1, 7, 16):
-        got = rz.trade_variance(df, ["k"], partitions=parts).toPandas()
+    for width in (1, 7, 640, 1 << 22):
+        got = rz.trade_variance(df, ["k"], width=width).toPandas()
         assert dict(zip(got.date, got.n_returns)) == {days(2)[0]: n - 6, days(2)[1]: 4}
         for d, v in zip(got.date, got.rv):
             assert v == pytest.approx(want[d], rel=1e-10)
 
 
+def test_day_summary_keeps_trade_order_across_slices(spark):
+    rng = np.random.default_rng(12)
+    pdf = pd.DataFrame({"asset": "X", "date": days(1)[0], "k": rng.permutation(400) - 200, "px": np.exp(rng.normal(0, 0.01, 400))})
+    inorder = pdf.sort_values("k").px
+    for width in (1, 37, 1 << 22):
+        got = rz.day_summary(spark.createDataFrame(pdf), ["k"], width).first()
+        assert (got.open, got.close, got.high, got.low, got.n_trades) == (inorder.iloc[0], inorder.iloc[-1], inorder.max(), inorder.min(), 400)
+
+
+def test_grids_from_minutes_equal_grids_from_bars(spark):
+    from datetime import datetime, timedelta
+
+    rng = np.random.default_rng(13)
+    start = datetime(2000, 1, 3, 9, 30)
+    bars = [("X", start + timedelta(seconds=int(s)), float(p), i) for i, (s, p) in enumerate(zip(rng.integers(0, 4 * 3600, 900), np.exp(rng.normal(0, 0.01, 900))))]
+    got = rz.realized_variance(spark.createDataFrame(bars, "asset string, ts timestamp, price double, seq long"), grids=5).first()
+    per_grid = []
+    for off in range(5):
+        last = {}
+        for _, ts, price, seq in sorted(bars, key=lambda b: (b[1], b[3])):
+            last[(ts + timedelta(minutes=off) - datetime(2000, 1, 3)) // timedelta(minutes=5)] = price
+        per_grid.append((np.diff(np.log([last[k] for k in sorted(last)])) ** 2).sum())
+    assert got.rv == pytest.approx(np.mean(per_grid), rel=1e-10)
+
+
 def test_realized_variance_recovers_integrated_variance(spark):
     rng = np.random.default_rng(3)
     rows = []

@@ -149,10 +149,10 @@ def splice_sql(gate: str = "") -> str:
   UNION ALL SELECT x.asset, x.date, 'tail', x.rv / o.median_ratio FROM t_rv x JOIN t_overlap o USING (asset) WHERE x.date > DATE '{TRAIN_END}' {gate}"""
 
 
-LOOSE = (60, 0.5, 3.0)
+LOOSE, WIDE = (60, 0.5, 3.0), (60, 0.8, 4.0)
 define("t_splice", splice_sql())
 define("t_splicegated", splice_sql("AND o.n >= 60 AND o.pearson >= 0.9 AND abs(o.median_ratio - 1) <= 0.15"))
-define("t_spliceloose", splice_sql("AND o.n >= 60 AND o.pearson >= 0.5 AND abs(o.median_ratio - 1) <= 3.0"))
+define("t_splicewide", splice_sql("AND o.n >= 60 AND o.pearson >= 0.8 AND abs(o.median_ratio - 1) <= 4.0"))
 
 
 def _sources(days):
@@ -187,9 +187,10 @@ def gated_splice(spark, sf_dir):
     return spliced(spark, sf_dir)
 
 
-@query("U1_loose_splice", f"SELECT asset, date, part, {rs(rv=9)} FROM t_spliceloose")
-def loose_splice(spark, sf_dir):
-    return spliced(spark, sf_dir, thresholds=LOOSE)
+@query("U1_wide_gate_splice", f"SELECT asset, date, part, {rs(rv=9)} FROM t_splicewide")
+def wide_gate_splice(spark, sf_dir):
+    """A gate for sources of different levels, which the splice then brings to one level."""
+    return spliced(spark, sf_dir, thresholds=WIDE)
 
 
 @query("U1_forced_splice", f"SELECT asset, date, part, {rs(rv=9)} FROM t_splice")

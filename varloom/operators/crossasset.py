@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from varloom.functions.losses import qlike_loss
@@ -30,6 +32,38 @@ def rank_agreement(board_scores: DataFrame, reference: str, min_models: int = 3)
     return out.select("asset", F.lit(reference).alias("reference"), "n_models", F.when(enough, F.col("spearman")).alias("spearman"), F.when(enough, F.col("kendall")).alias("kendall"), "models")
 
 
+def facts(rows: DataFrame, table: str, quantities, model: Column | None = None, state: Column | None = None) -> DataFrame:
+    """A wide table of any study as (asset, table, model, state, quantity, value).
+
+    The model is empty and the state -1 where the table has none.
+    """
+    keys = {"table": F.lit(table), "model": F.lit("") if model is None else model, "state": (F.lit(-1) if state is None else state).cast("int")}
+    wide = rows.select("asset", *[c.alias(k) for k, c in keys.items()], *[F.col(q).cast("double").alias(q) for q in quantities])
+    return wide.unpivot(["asset", *keys], list(quantities), "quantity", "value")
+
+
+def collect_facts(board: DataFrame, scores: DataFrame, tests: dict[str, DataFrame], states: DataFrame, lagged: DataFrame) -> DataFrame:
+    """Everything that is compared across assets in one long table; assets, models and states come from the data.
+
+    Tables: metrics, ranks, tests (``tests``: quantity to a table with model_a, model_b and p_value), per_regime
+    (by yesterday's state), regimes (days, mean variance and spread of returns by state) and sample.
+    """
+    pair = F.concat("model_a", F.lit(" - "), F.col("model_b"))
+    scored = aligned(board).join(lagged.where(F.col("state").isNotNull()), ["asset", "date"]).groupBy("asset", "model", "state")
+    per_regime = scored.agg(F.count("*").alias("n"), F.avg(qlike_loss(F.col("y_true"), F.col("yhat"))).alias("qlike"))
+    regimes = states.groupBy("asset", "state").agg(F.count("*").alias("n"), F.avg("rv").alias("mean_rv"), F.stddev_pop("log_return").alias("sd_return"))
+    sample = board.groupBy("asset").agg(F.countDistinct("date").alias("n_days"), F.unix_date(F.min("date")).alias("first_day"), F.unix_date(F.max("date")).alias("last_day"))
+    parts = [
+        facts(scores, "metrics", ("n", "mse", "mae", "qlike"), F.col("model")),
+        facts(scores, "ranks", ("rank",), F.col("model")),
+        *[facts(t.withColumnRenamed("p_value", q), "tests", (q,), pair) for q, t in tests.items()],
+        facts(per_regime, "per_regime", ("n", "qlike"), F.col("model"), F.col("state")),
+        facts(regimes, "regimes", ("n", "mean_rv", "sd_return"), state=F.col("state")),
+        facts(sample, "sample", ("n_days", "first_day", "last_day")),
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
 def models_in_common(scores: DataFrame) -> DataFrame:
     """Models that every asset of the table has."""
     n_assets = scores.select(F.countDistinct("asset")).scalar()

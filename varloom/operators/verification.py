@@ -70,6 +70,40 @@ def rederive_per_regime(board: DataFrame, states: DataFrame) -> DataFrame:
         """, board=board, states=states)
 
 
+SHIFTED = """numbered AS (SELECT asset, date, state, row_number() OVER (PARTITION BY asset ORDER BY date) AS i FROM {states}),
+        shifted AS (SELECT n.asset, n.date, p.state FROM numbered n JOIN numbered p ON p.asset = n.asset AND p.i = n.i - 1)"""
+
+
+def rederive_per_regime_intervals(intervals: DataFrame, states: DataFrame) -> DataFrame:
+    return intervals.sparkSession.sql(
+        f"""
+        WITH {SHIFTED}
+        SELECT r.asset, 'per_regime_intervals' AS `table`, concat(r.method, '@', r.level_pct, '/', s.state) AS item, stack(4,
+            'n', CAST(count(1) AS DOUBLE),
+            'picp', CAST(count_if(y_true >= lo AND y_true <= hi) AS DOUBLE) / count(1),
+            'mpiw', avg(hi) - avg(lo),
+            'winkler', avg(hi) - avg(lo) + sum(greatest(lo - y_true, 0D) + greatest(y_true - hi, 0D)) * 2 / (1 - r.level_pct / 100) / count(1)) AS (quantity, value)
+        FROM {{rows}} r JOIN shifted s ON s.asset = r.asset AND s.date = r.date WHERE y_true IS NOT NULL GROUP BY r.asset, r.method, r.level_pct, s.state
+        """, rows=intervals, states=states)
+
+
+def rederive_master(points: DataFrame, intervals: DataFrame, states: DataFrame, level_pct: int = 90) -> DataFrame:
+    """The master table's point, transitional-state and interval scores; a model without intervals has none."""
+    return points.sparkSession.sql(
+        f"""
+        WITH {SHIFTED},
+        p AS (SELECT asset, model, avg(power(yhat - y_true, 2)) AS mse, avg(greatest(yhat - y_true, y_true - yhat)) AS mae,
+            avg(y_true / yhat + ln(yhat) - ln(y_true) - 1) AS qlike FROM {{points}} GROUP BY asset, model),
+        t AS (SELECT b.asset, b.model, CAST(count(1) AS DOUBLE) AS n_transitional, avg(y_true / yhat + ln(yhat) - ln(y_true) - 1) AS qlike_transitional
+            FROM {{points}} b JOIN shifted s ON s.asset = b.asset AND s.date = b.date WHERE s.state = 1 GROUP BY b.asset, b.model),
+        i AS (SELECT asset, method AS model, CAST(count_if(y_true >= lo AND y_true <= hi) AS DOUBLE) / count(1) AS picp, avg(hi) - avg(lo) AS mpiw
+            FROM {{rows}} WHERE level_pct = {int(level_pct)} AND y_true IS NOT NULL GROUP BY asset, method)
+        SELECT p.asset, 'master' AS `table`, p.model AS item, stack(7, 'mse', mse, 'mae', mae, 'qlike', qlike, 'n_transitional', n_transitional,
+            'qlike_transitional', qlike_transitional, 'picp', picp, 'mpiw', mpiw) AS (quantity, value)
+        FROM p LEFT JOIN t ON t.asset = p.asset AND t.model = p.model LEFT JOIN i ON i.asset = p.asset AND i.model = p.model
+        """, points=points, rows=intervals, states=states)
+
+
 def cross_table(published: DataFrame) -> DataFrame:
     """The same quantity of the same item printed in two tables must agree."""
     a = published.select("asset", "item", "quantity", F.col("table").alias("table_a"), F.col("value").alias("value_a"))
