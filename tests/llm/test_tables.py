@@ -8,6 +8,7 @@ import random
 import re
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import pyarrow.parquet as pq
@@ -194,6 +195,91 @@ def test_pieces_equal_whole_texts():
         assert ids[a:b].tolist() == whole(t)
 
 
+def mixed_texts(seed, n):
+    r = random.Random(seed)
+    parts = ["a", "é", "1", " ", " ", " ", "\n", "'", "s", "'ve", "don't", ",", ".", "…", "!!", "\t", "漢", "🙂", "\xa0", "\u2028", "\x1c", " b", " ç\n", "<|endoftext|>"]
+    return [None, "", "\n", " "] + ["".join(r.choice(parts) for _ in range(r.randrange(20))) for _ in range(n)]
+
+
+class Counted:
+    """A tokenizer that counts the texts it gets."""
+
+    def __init__(self, tokenizer):
+        self.tokenizer, self.texts = tokenizer, 0
+
+    def encode_batch_fast(self, texts, add_special_tokens):
+        self.texts += len(texts)
+        return self.tokenizer.encode_batch_fast(texts, add_special_tokens=add_special_tokens)
+
+
+def test_distinct_pieces_share_texts_and_are_kept():
+    import pyarrow as pa
+
+    coder = tokens.PieceEncoder(BPE)
+    coder.tokenizer = counted = Counted(coder.tokenizer)
+    words = [f"w{i}x{i * i}" for i in range(4000)]
+    texts = pa.array([" ".join(words[i : i + 40]) + ", " + "\n".join(words[i : i + 3]) for i in range(0, 4000, 40)])
+    ids, sizes = coder.encode(texts)
+    assert ids.tolist() == [x for t in texts.to_pylist() for x in whole(t)]
+    assert sizes.tolist() == [len(whole(t)) for t in texts.to_pylist()]
+    assert 0 < counted.texts < 50
+    counted.texts = 0
+    again, _ = coder.encode(texts.take(pa.array(list(range(99, -1, -1)))))
+    assert counted.texts == 0 and sorted(again.tolist()) == sorted(ids.tolist())
+
+
+@pytest.mark.parametrize("kept", [0, 2_000, 1 << 24])
+@pytest.mark.parametrize("joined", [1, 3, 256])
+def test_joined_and_kept_pieces_equal_whole_texts(monkeypatch, kept, joined):
+    import pyarrow as pa
+
+    monkeypatch.setattr(tokens, "KEPT_BYTES", kept)
+    monkeypatch.setattr(tokens, "JOINED", joined)
+    monkeypatch.setattr(tokens, "SLICE", 50)
+    coder = tokens.PieceEncoder(BPE)
+    assert coder.joins
+    for seed in range(4):
+        texts = mixed_texts(seed, 300)
+        ids, sizes = coder.encode(pa.array(texts))
+        ends = np.cumsum(sizes)
+        for t, a, b in zip(texts, ends - sizes, ends, strict=True):
+            assert ids[a:b].tolist() == whole(t)
+        assert coder.known.nbytes + coder.known_ids.nbytes + coder.known_sizes.nbytes <= max(kept, 100)
+
+
+@pytest.mark.parametrize("odd", ["missing byte", "missing line feed", "added with blank", "truncated", "prefix"])
+def test_other_tokenizers_as_before(tmp_path, odd):
+    import json
+
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    made = json.loads(Path(BPE).read_text())
+    if odd.startswith("missing"):
+        gone = {"missing byte": "a", "missing line feed": "\u010a"}[odd]
+        made["model"]["vocab"] = {t: i for t, i in made["model"]["vocab"].items() if gone not in t}
+        made["model"]["merges"] = [m for m in made["model"]["merges"] if gone not in "".join(m)]
+    elif odd == "added with blank":
+        made["added_tokens"].append({**made["added_tokens"][0], "content": "b a", "id": 60000})
+    elif odd == "truncated":
+        made["truncation"] = {"direction": "Right", "max_length": 3, "strategy": "LongestFirst", "stride": 0}
+    else:
+        made["pre_tokenizer"]["add_prefix_space"] = True
+    path = str(tmp_path / "odd.json")
+    Path(path).write_text(json.dumps(made))
+    coder, plain = tokens.PieceEncoder(path), Tokenizer.from_file(path)
+    assert coder.joins == (odd in ("missing byte", "missing line feed", "truncated"))
+    if odd == "truncated":
+        pieces = pa.array([f" w{i}x{i}" for i in range(50)])
+        assert coder._distinct(pieces)[0].tolist() == [x for p in pieces.to_pylist() for x in plain.encode(p, add_special_tokens=False).ids]
+        return
+    texts = [(t or "").replace("c", "") for t in mixed_texts(5, 300)] + ["x b a, y\nz", "banana b a\nband"]
+    ids, sizes = coder.encode(pa.array(texts))
+    ends = np.cumsum(sizes)
+    for t, a, b in zip(texts, ends - sizes, ends, strict=True):
+        assert ids[a:b].tolist() == plain.encode(t, add_special_tokens=False).ids
+
+
 @pytest.mark.parametrize("encoding", ["delta", "dictionary"])
 def test_token_files(spark, docs_of, tmp_path, encoding):
     rows = [(i * 3 - 50, prose(i % 40, i)) for i in range(300)] + [(5000, None), (None, "null id"), (7, "twin"), (7, "twin"), (5001, prose(6000, 1))]

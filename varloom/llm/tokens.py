@@ -25,10 +25,14 @@ from varloom.llm import common
 
 #: White space next to other white space, or at an end: there a text can't be cut into independent pieces.
 UNSAFE = r"[\s\p{Z}\x0b\x1c-\x1f\x{85}]{2}|^[\s\p{Z}\x0b\x1c-\x1f\x{85}]|[\s\p{Z}\x0b\x1c-\x1f\x{85}]$"
-#: Text bytes whose distinct pieces are encoded once.
-CHUNK_BYTES = 12 << 20
-#: Texts that the tokenizer gets at once; its results are objects, so they are turned into arrays in between.
-SLICE = 8192
+#: Text bytes that are cut into pieces at once; index arrays take some 15 times as much.
+CHUNK_BYTES = 4 << 20
+#: Characters that the tokenizer gets at once (one text at least); its results are objects, so they are turned into arrays in between.
+SLICE = 1 << 18
+#: Distinct pieces that the tokenizer gets as one text.
+JOINED = 256
+#: Bytes of pieces and their ids that a worker keeps from chunk to chunk.
+KEPT_BYTES = 16 << 20
 _ALNUM = np.zeros(256, bool)
 _ALNUM[[*range(48, 58), *range(65, 91), *range(97, 123)]] = True
 #: Printable ASCII that is neither a letter, a digit, a blank nor the apostrophe, which may begin a contraction.
@@ -47,11 +51,16 @@ def encoder(path: str) -> PieceEncoder:
 
 
 class PieceEncoder:
-    """Encodes each distinct piece of a chunk once.
+    """Encodes each distinct piece once while it is kept.
 
     A byte-level tokenizer without normaliser never lets a token reach over a single blank or line feed between
     two other characters, nor from an ASCII letter or digit to a mark, so texts are cut there. Every other
     text, tokenizer or added token goes through the tokenizer whole.
+
+    For the same reason distinct pieces can be put into one text again, in any order: those that begin with a
+    blank follow each other, others get a line feed in between. A byte-level BPE token has as many characters
+    as it has bytes, so the ids of such a text are dealt back by counting bytes; where a piece doesn't end at a
+    token's end, its pieces are encoded one by one.
     """
 
     def __init__(self, path: str):
@@ -59,26 +68,92 @@ class PieceEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        made = json.loads(self.tokenizer.to_str())
-        before = made.get("pre_tokenizer") or {}
+        model, before = self.tokenizer.model, self.tokenizer.pre_tokenizer
+        before = json.loads(before.__getstate__()) if before is not None else {}
         self.cuts = (
-            made.get("normalizer") is None
+            self.tokenizer.normalizer is None
             and before.get("type") == "ByteLevel"
             and before.get("use_regex", True)
             and not before.get("add_prefix_space", True)
-            and (made.get("model") or {}).get("dropout") is None
+            and getattr(model, "dropout", None) is None
         )
-        self.added = [t["content"] for t in made.get("added_tokens", [])]
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        plain = type(model).__name__ == "BPE" and not any((model.unk_token, model.continuing_subword_prefix, model.end_of_word_suffix))
+        self.joins = self.cuts and plain and not any(c.isspace() for t in self.added for c in t)
+        if self.joins:
+            vocabulary = self.tokenizer.get_vocab()
+            self.token_bytes = np.zeros(max(vocabulary.values()) + 1, np.int32)
+            self.token_bytes[np.fromiter(vocabulary.values(), np.int64)] = np.fromiter(map(len, vocabulary), np.int32)
+        self._keep(pa.array([], pa.string()), np.zeros(0, np.int32), np.zeros(0, np.int64))
+
+    def _keep(self, pieces: pa.Array, ids: np.ndarray, sizes: np.ndarray) -> None:
+        self.known, self.known_ids, self.known_sizes = pieces, ids, sizes
 
     def _ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts end to end, and how many each has."""
         ids, sizes = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
-        for i in range(0, len(texts), SLICE):
-            lists = [e.ids for e in self.tokenizer.encode_batch_fast(texts[i : i + SLICE], add_special_tokens=False)]
+        ends, start = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts))), 0
+        while start < len(texts):
+            stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + SLICE, side="right")))
+            lists = [e.ids for e in self.tokenizer.encode_batch_fast(texts[start:stop], add_special_tokens=False)]
             sizes.append(np.fromiter(map(len, lists), np.int64, len(lists)))
             ids.append(np.fromiter(chain.from_iterable(lists), np.int32, int(sizes[-1].sum())))
+            start = stop
         return np.concatenate(ids), np.concatenate(sizes)
 
+    def _joined(self, data: np.ndarray, edges: np.ndarray, per_piece: int) -> tuple[np.ndarray, np.ndarray] | None:
+        """Ids of the stretches of data between the edges, encoded many at once; nothing if a token reaches over an edge."""
+        heads = np.append(edges[:-1][:: JOINED * per_piece], edges[-1])
+        texts = pa.Array.from_buffers(pa.large_string(), len(heads) - 1, [None, pa.py_buffer(heads), pa.py_buffer(data)])
+        ids, _ = self._ids(texts.to_pylist())
+        ends = np.cumsum(self.token_bytes[ids], dtype=np.int64)
+        if not len(ends) or ends[-1] != edges[-1]:
+            return None
+        last = np.searchsorted(ends, edges[1:])
+        return (ids, np.diff(last, prepend=-1)) if (ends[last] == edges[1:]).all() else None
+
+    def _distinct(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of distinct pieces end to end, and how many each has."""
+        if not self.joins or not len(pieces):
+            return self._ids(pieces.to_pylist())
+        data, starts = common.text_bytes(pieces)
+        first = data[starts[:-1]]
+        # A line feed is a piece of its own: next to another one it isn't single.
+        kinds = [np.flatnonzero(first == 32), np.flatnonzero((first != 32) & (first != 10)), np.flatnonzero(first == 10)]
+        parts = []
+        for rows, end in zip(kinds, ("", "\n", None), strict=True):
+            some, got = pieces.take(pa.array(rows)), None
+            if len(rows) and end is not None:
+                text, edges = common.text_bytes(pc.binary_join_element_wise(some, "", end))
+                if end:
+                    edges = np.sort(np.concatenate([edges, edges[1:] - len(end)]))
+                got = self._joined(text, edges, 2 if end else 1)
+            if got and end:
+                ids, sizes = got
+                got = ids[common.ragged((np.cumsum(sizes) - sizes)[::2], sizes[::2])], sizes[::2]
+            parts.append(got or self._ids(some.to_pylist()))
+        sizes = np.concatenate([p[1] for p in parts])
+        order = np.argsort(np.concatenate(kinds), kind="stable")
+        return np.concatenate([p[0] for p in parts])[common.ragged((np.cumsum(sizes) - sizes)[order], sizes[order])], sizes[order]
+
+    def _coded(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of distinct pieces: an array that holds their ids, where each piece's begin in it, and how many each has."""
+        at = pc.fill_null(pc.index_in(pieces, value_set=self.known), -1).to_numpy().copy()
+        new = np.flatnonzero(at < 0)
+        if len(new):
+            fresh = pieces.take(pa.array(new))
+            ids, sizes = self._distinct(fresh)
+            at[new] = len(self.known) + np.arange(len(new))
+            self._keep(pa.concat_arrays([self.known, fresh]), np.concatenate([self.known_ids, ids]), np.concatenate([self.known_sizes, sizes]))
+        ids, sizes = self.known_ids, self.known_sizes
+        starts = (np.cumsum(sizes) - sizes)[at]
+        sizes = sizes[at]
+        if self.known.nbytes + ids.nbytes + self.known_sizes.nbytes > KEPT_BYTES:
+            kept = pieces if pieces.nbytes + 4 * sizes.sum() + sizes.nbytes <= KEPT_BYTES // 2 else pieces[:0]
+            n = len(kept)
+            self._keep(pa.concat_arrays([kept]), ids[common.ragged(starts[:n], sizes[:n])], sizes[:n])
+        return ids, starts, sizes
+
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts end to end, and how many each has; null counts as empty."""
         texts = pc.fill_null(texts, "")
@@ -108,11 +183,11 @@ class PieceEncoder:
         edges = np.flatnonzero(cut)
         offsets = pa.py_buffer(np.concatenate([edges, [len(data)]]).astype(np.int32))
         pieces = pa.Array.from_buffers(pa.string(), len(edges), [None, offsets, pa.py_buffer(data)]).dictionary_encode()
-        ids, sizes = self._ids(pieces.dictionary.to_pylist())
+        ids, begin, sizes = self._coded(pieces.dictionary)
         code = pieces.indices.to_numpy()
         each = sizes[code]
         total = np.concatenate([[0], np.cumsum(each)])[np.searchsorted(edges, starts)]
-        return ids[common.ragged((np.cumsum(sizes) - sizes)[code], each)], np.diff(total)
+        return ids[common.ragged(begin[code], each)], np.diff(total)
 
 
 def encode(docs: DataFrame, tokenizer: str, end_id: int | None = None, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
