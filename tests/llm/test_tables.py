@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
 import math
 import random
@@ -195,6 +196,26 @@ def test_pieces_equal_whole_texts():
         assert ids[a:b].tolist() == whole(t)
 
 
+@pytest.mark.skipif(not hasattr(ctypes.CDLL(None), "malloc_trim"), reason="the C library can't trim")
+@pytest.mark.parametrize("read", ["text_chunks", "buckets"])
+def test_a_task_gives_its_free_memory_back(read):
+    import pyarrow as pa
+
+    def held():
+        return sum(int(x.split()[1]) for x in Path("/proc/self/smaps_rollup").read_text().splitlines() if x.startswith("Private_Dirty")) / 1024
+
+    texts = pa.RecordBatch.from_arrays([pa.array(["a", "b"])], names=["text"])
+    blobs = pa.RecordBatch.from_arrays([pa.array([1], pa.int32()), pa.array([b"12345678"], pa.binary())], names=["bucket", "x"])
+    rows = common.text_chunks([texts]) if read == "text_chunks" else common.buckets([blobs], {"x": np.int64})
+    assert len([next(rows)]) == 1
+    arrays = [np.ones(60_000, np.uint8) for _ in range(3000)]
+    pinned = arrays[::50]
+    before = held()
+    del arrays
+    list(rows)
+    assert held() < before - 120 and len(pinned) == 60
+
+
 def mixed_texts(seed, n):
     r = random.Random(seed)
     parts = ["a", "é", "1", " ", " ", " ", "\n", "'", "s", "'ve", "don't", ",", ".", "…", "!!", "\t", "漢", "🙂", "\xa0", "\u2028", "\x1c", " b", " ç\n", "<|endoftext|>"]

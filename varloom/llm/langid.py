@@ -30,7 +30,7 @@ EM_TOLERANCE, EM_LIMIT = 1e-3, 200
 PENALTY = 3.0
 UNKNOWN = "und"
 #: Text bytes whose trigrams are held at once.
-HELD_TEXT = 2 << 20
+HELD_TEXT = 1 << 20
 
 
 def _trigram_cells(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -26,7 +26,7 @@ from varloom.llm import common
 #: White space next to other white space, or at an end: there a text can't be cut into independent pieces.
 UNSAFE = r"[\s\p{Z}\x0b\x1c-\x1f\x{85}]{2}|^[\s\p{Z}\x0b\x1c-\x1f\x{85}]|[\s\p{Z}\x0b\x1c-\x1f\x{85}]$"
 #: Text bytes that are cut into pieces at once; index arrays take some 15 times as much.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 2 << 20
 #: Characters that the tokenizer gets at once (one text at least); its results are objects, so they are turned into arrays in between.
 SLICE = 1 << 18
 #: Distinct pieces that the tokenizer gets as one text.
@@ -47,6 +47,7 @@ def encoder(path: str) -> PieceEncoder:
     """The worker's encoder of a tokenizer file, kept from task to task."""
     if path not in _ENCODERS:
         _ENCODERS[path] = PieceEncoder(path)
+        common.release()
     return _ENCODERS[path]
 
 
@@ -264,6 +265,7 @@ def read_digests(spark: SparkSession, path: str) -> DataFrame:
             crc = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(edges[:-1], edges[1:], strict=True)]
             arrays = [batch.column("doc_id"), batch.column("part"), batch.column("before"), pa.array(np.diff(edges)), pa.array(crc, pa.int64())]
             yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "part", "before", "n_tokens", "ids_crc32"])
+        common.release()
 
     rows = spark.read.parquet(path)
     kind = rows.schema["doc_id"].dataType.simpleString()
