@@ -470,6 +470,91 @@ def test_interval_expansion_finds_all_groups():
                     at += 1
 
 
+def least_by_brute_force(segments, docs, least):
+    first = {}
+    for s, d in zip(segments, docs, strict=True):
+        for k in range(len(s) - least + 1):
+            first[s[k : k + least]] = min(first.get(s[k : k + least], d), d)
+    return [first[s[k : k + least]] if k + least <= len(s) else None for s in segments for k in range(len(s))]
+
+
+def test_transform_of_long_repeats_in_pieces_and_sieved(monkeypatch):
+    r = random.Random(3)
+    for turn in range(300):
+        least = r.choice([1, 2, 9, 20, 50])
+        parts = [bytes(r.randrange(256 if turn % 2 else 3) for _ in range(r.choice([1, 3, 20, 40, 60]))) for _ in range(5)]
+        segments = [b"".join(r.choice(parts) for _ in range(r.randrange(1, 7))) for _ in range(r.randrange(1, 12))]
+        segments = [s for s in segments if len(s) >= least] + ([bytes(range(256))] if turn % 3 else [b"z" * 60])
+        docs = np.array([r.randrange(5) for _ in segments])
+        data, sizes = np.frombuffer(b"".join(segments), np.uint8), np.array([len(s) for s in segments])
+        want = least_by_brute_force(segments, docs, least)
+        monkeypatch.setattr(suffix, "PIECE_BYTES", r.choice([1, 200, 1 << 20]))
+        monkeypatch.setattr(suffix, "SIEVE_BYTES", r.choice([1, 200, 1 << 20]))
+        for got in (
+            suffix.least_documents(data, sizes, docs, least),
+            suffix.sieved_documents(data, sizes, docs, least),
+            suffix.least_by_key(data, sizes, docs, np.zeros(len(sizes), np.uint64), least),
+        ):
+            assert [int(g) for g, w in zip(got, want, strict=True) if w is not None] == [w for w in want if w is not None]
+
+
+def test_transforms_hold_few_keys_and_no_windows_that_occur_once(monkeypatch):
+    sizes_seen, solve = [], suffix.repeat_groups
+
+    def seen(symbols, *rest):
+        sizes_seen.append(len(symbols))
+        return solve(symbols, *rest)
+
+    monkeypatch.setattr(suffix, "repeat_groups", seen)
+    monkeypatch.setattr(suffix, "PIECE_BYTES", 1000)
+    monkeypatch.setattr(suffix, "SIEVE_BYTES", 4000)
+    line, noise = prose(12, 1).encode()[:60], np.random.default_rng(2).integers(0, 256, (400, 30), np.uint8)
+    many = [noise[2 * k].tobytes() + line + noise[2 * k + 1].tobytes() for k in range(200)]
+    few = [prose(20, 5000 + k).encode()[:90] for k in range(100)]
+    segments, key = many + few, np.array([1] * 200 + [2 + k // 4 for k in range(100)], np.uint64)
+    docs = np.arange(len(segments))[::-1].copy()
+    got = suffix.least_by_key(np.frombuffer(b"".join(segments), np.uint8), np.array([len(s) for s in segments]), docs, key, 50)
+    want = least_by_brute_force(segments, docs, 50)
+    assert [int(g) for g, w in zip(got, want, strict=True) if w is not None] == [w for w in want if w is not None]
+    # Of 120 bytes around the common line about 60 are in windows that occur twice; the other keys stand apart.
+    assert max(sizes_seen) < 200 * 70 and sum(n < 1100 for n in sizes_seen) > 5
+
+
+def test_segments_are_sent_once_per_task_and_bucket(spark, docs_of):
+    rows = [(i, prose(30, i) + prose(40, 7) + "\n" + prose(5, i)) for i in range(120)]
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
+    try:
+        texts = docs_of(rows).select("doc_id", "text").coalesce(2)
+        shared = suffix._shared(suffix._keys(texts, 8, 50, 20), 8, suffix.HOT_DOCS)
+        listed = suffix._per_document(shared).toPandas().set_index("doc")
+        given = spark.createDataFrame(
+            [(i, i, t, bytes(listed["keys"][i]), b"") for i, t in rows], "doc_id bigint, tie bigint, text string, keys binary, hot binary"
+        ).coalesce(2)
+        blobs = suffix._segments(given, 8, 50, 20).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert 1 < len(blobs) <= 2 * 8
+    texts, found = dict(rows), set()
+    for b in blobs:
+        size, at = np.frombuffer(b.size, np.int32), 0
+        for doc, start, n in zip(np.frombuffer(b.doc, np.int64), np.frombuffer(b.start, np.int64), size, strict=True):
+            assert bytes(b.bytes[at : at + n]) == texts[doc].encode()[start : start + n]
+            found.add(int(doc))
+            at += n
+        assert at == len(b.bytes)
+    assert found == set(texts)
+
+
+def test_hot_keys_read_no_other_texts(spark, docs_of):
+    rows = [(i, prose(20, i) + (prose(30, 7) if i < 6 else "") + (prose(30, 8) if i in (7, 8) else "")) for i in range(30)]
+    shared = suffix._shared(suffix._keys(docs_of(rows), 8, 50, 20), 8, 5)
+    pairs = lambda t: {(d, k) for b in t.collect() for d, k, h in zip(np.frombuffer(b.doc, np.int64), np.frombuffer(b.key, np.uint64), np.frombuffer(b.hot, bool), strict=True) if h}
+    assert pairs(suffix._hot_pairs(shared)) == pairs(shared)
+    found = {r.doc for r in suffix._per_document(suffix._hot_pairs(shared)).collect()}
+    assert found == {d for d, _ in pairs(shared)} and set(range(6)) <= found and len(found) < len(rows)
+
+
 # --- language model ----------------------------------------------------------------------------------------
 
 

@@ -5,11 +5,14 @@
    windows with one key. A first exchange of (key, document) finds the keys that two documents have; only
    their runs go on, as segments (the run's bytes), to the bucket of their key. All occurrences of a window
    are then in one bucket, whatever documents they come from.
-2. In a bucket, distinct segments are concatenated and the transform is built. Beginning with the empty
-   string, intervals of the suffix order are extended backwards breadth-first; an interval of length l + 1
-   whose right border has no common-prefix value yet sets it to l and is extended further. Values so appear
-   in increasing order, and the expansion stops at the minimum length: borders without a value then lie
-   inside groups of suffixes that share at least that many bytes. The least document of each group decides.
+2. In a bucket, distinct segments are put in order of their keys; some keys at a time (a key never apart) they are
+   concatenated and the transform is built. The first symbols of each suffix, packed in one number, tell all
+   shorter common prefixes. From the intervals of that length on, intervals of the suffix order are extended
+   backwards breadth-first; an interval of length l + 1 whose right border has no common-prefix value yet sets
+   it to l and is extended further. Values so appear in increasing order, and the expansion stops at the
+   minimum length: borders without a value then lie inside groups of suffixes that share at least that many
+   bytes. The least document of each group decides. Where one key has very many bytes, windows whose hash no
+   other window has are left out before the transform, and what is left goes in once for each content.
 3. Runs of removed windows return to their documents, are merged and cut out.
 
 Keys that very many documents have (a licence line) are spread: their windows are aggregated by content
@@ -36,15 +39,30 @@ HOT_DOCS = 200_000
 #: Windows of one segment at most; longer runs (repetitive text) are cut.
 SEGMENT_WINDOWS = 64
 FLUSH_BYTES = 32 << 20
+#: Bytes of segments that a map task holds before it sends them on.
+SENT_BYTES = 16 << 20
+#: Bytes hashed at once: the arrays stay in the processor's cache.
+BLOCK_BYTES = 32 << 10
+#: Bytes of segments in one transform, whole keys each (one key at least).
+PIECE_BYTES = 256 << 10
+#: Bytes of one key's segments from which on windows without an equal are sieved out before its transform.
+SIEVE_BYTES = 1 << 20
 #: Rows without id count as later than all others.
 LAST = np.iinfo(np.int64).max
 
 
 def window_keys(data: np.ndarray, length: int, gram: int) -> np.ndarray:
     """Least hash of the grams of each window of `length` bytes (windows over the end of a row included)."""
+    windows = max(len(data) - length + 1, 0)
+    keys = np.empty(windows, np.uint64)
+    for at in range(0, windows, BLOCK_BYTES):
+        part = data[at : min(at + BLOCK_BYTES, windows) + length - 1]
+        keys[at : at + BLOCK_BYTES] = _block_keys(part, length, gram)
+    return keys
+
+
+def _block_keys(data: np.ndarray, length: int, gram: int) -> np.ndarray:
     n, base = len(data), np.uint64(0x9E3779B97F4A7C15)
-    if n < length:
-        return np.zeros(0, np.uint64)
     powers, hashes, size = {1: base}, {1: common.BYTE_VALUES[data]}, 1
     with np.errstate(over="ignore"):
         while 2 * size <= gram:
@@ -87,65 +105,93 @@ def window_runs(data: np.ndarray, starts: np.ndarray, length: int, gram: int) ->
 # --- the transform -----------------------------------------------------------------------------------------
 
 
-def suffix_order(symbols: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Order of all suffixes of segments that each end in symbol 0; end: where each position's segment ends.
+def packed(symbols: np.ndarray, bits: int, width: int) -> np.ndarray:
+    """The first `width` symbols of each suffix in one number; nothing but 0 from the end of its segment on."""
+    key, size = symbols, 1
+    while size < width:
+        step = min(size, width - size)
+        later = np.zeros_like(key)
+        later[:-size] = key[size:] >> (bits * (size - step))
+        later[(key & ((1 << bits) - 1)) == 0] = 0
+        key = (key << (bits * step)) | later
+        size += step
+    return key
+
 
-    Prefix doubling from seven packed symbols; equal suffixes of different segments keep their position's order.
+def suffix_order(symbols: np.ndarray, end: np.ndarray, least: int, bits: int, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Order by `least` symbols of all suffixes of segments that each end in symbol 0, and their packed first ones.
+
+    end: where each position's segment ends. Prefix doubling from `width` packed symbols; suffixes that are still
+    equal then, or end before, keep their position's order, so one more symbol in front keeps it too.
     """
     n = len(symbols)
-    at = np.arange(n)
-    padded = np.concatenate([symbols.astype(np.int64), np.zeros(8, np.int64)])
-    key = np.zeros(n, np.int64)
-    for k in range(7):
-        key = (key << 9) | np.where(at + k <= end, padded[k : k + n], 0)
-    depth = 7
-    order = np.argsort(key, kind="stable")
-    longest = int((end - at).max()) + 1
-    while True:
-        sorted_key = key[order]
-        new = np.concatenate([[True], sorted_key[1:] != sorted_key[:-1]])
-        rank = np.empty(n, np.int64)
-        rank[order] = np.cumsum(new)
-        if depth >= longest or new.all():
-            return order
-        later = np.where(at + depth <= end, rank[np.minimum(at + depth, n - 1)], 0)
-        key = rank * (n + 1) + later
-        # Only suffixes that still tie need sorting: their places stay inside their group.
-        tied = ~new
-        tied[:-1] |= ~new[1:]
-        places = np.flatnonzero(tied)
+    key = packed(symbols.astype(np.int64), bits, width)
+    order = np.argsort(key)
+    key = key[order]
+    new = np.ones(n, bool)
+    new[1:] = key[1:] != key[:-1]
+    rank = np.empty(n, np.int64)  # first place of the suffix's group
+    rank[order] = np.maximum.accumulate(np.where(new, np.arange(n), 0))
+
+    def tied() -> np.ndarray:
+        tie = ~new
+        tie[:-1] |= tie[1:]
+        return np.flatnonzero(tie)
+
+    depth = width
+    while depth < least:
+        # Only suffixes that still tie and go on need sorting: their places stay inside their group.
+        places = tied()
         mine = order[places]
-        order[places] = mine[np.argsort(key[mine], kind="stable")]
+        on = mine + depth <= end[mine]
+        places, mine = places[on], mine[on]
+        if not len(places):
+            break
+        pair = (rank[mine] << 32) | rank[mine + depth]
+        turn = np.argsort(pair)
+        mine, pair = mine[turn], pair[turn]
+        order[places] = mine
+        fresh = np.ones(len(places), bool)
+        fresh[1:] = pair[1:] != pair[:-1]
+        new[places] |= fresh
+        rank[mine] = np.maximum.accumulate(np.where(fresh, places, 0))
         depth *= 2
+    places = tied()
+    mine = order[places]
+    order[places] = np.sort((rank[mine] << 32) | mine) & 0xFFFFFFFF
+    return order, key
 
 
-def repeat_groups(symbols: np.ndarray, end: np.ndarray, n_segments: int, least: int) -> tuple[np.ndarray, np.ndarray]:
+def repeat_groups(symbols: np.ndarray, end: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
     """Suffix order, and for each place whether a group of suffixes with `least` common symbols begins there."""
     n = len(symbols)
-    order = suffix_order(symbols, end)
+    bits = max(int(symbols.max()).bit_length(), 1)
+    width = min(63 // bits, least)
+    order, key = suffix_order(symbols, end, least, bits, width)
     last = np.where(order > 0, symbols[order - 1], 0)  # the transform; symbol 0 where a segment begins
-    by_symbol = np.argsort(last, kind="stable")
     back = np.empty(n, np.int64)  # place of the suffix that is one symbol longer
-    back[by_symbol] = np.arange(n)
-    known = np.zeros(n + 1, bool)
-    known[0] = known[n] = True
-    known[: n_segments + 1] = True  # ends of segments share nothing with each other
-    heads = np.flatnonzero(np.diff(symbols[order][n_segments:])) + 1 + n_segments if n > n_segments else np.zeros(0, np.int64)
-    known[heads] = True
-    low = np.concatenate([np.arange(n_segments), [n_segments] if n > n_segments else [], heads]).astype(np.int64)
-    high = np.concatenate([np.arange(n_segments), heads - 1, [n - 1] if n > n_segments else []]).astype(np.int64)
-    for _ in range(1, least):
+    back[np.argsort(last, kind="stable")] = np.arange(n)
+    begins = symbols[order]
+    # Borders with fewer than `width` common symbols are told by the packed ones; ends of segments share nothing.
+    mask = (1 << bits) - 1
+    known = np.ones(n + 1, bool)
+    known[1:n] = (key[1:] != key[:-1]) | ((key[1:] & mask) == 0)
+    # The first intervals: strings of `width` symbols (the last may be an end) whose right border has width - 1 in common.
+    whole = ((key >> bits) & mask) > 0 if width > 1 else np.ones(n, bool)
+    low, high = np.flatnonzero(known[:n] & whole), np.flatnonzero(known[1:] & whole)
+    fresh = (high + 1 < n) & (key[high] >> bits == key[np.minimum(high + 1, n - 1)] >> bits)
+    low, high = low[fresh], high[fresh]
+    for _ in range(width, least):
         if not len(low):
             break
         size = high - low + 1
         place = common.ragged(low, size)
-        owner = np.repeat(np.arange(len(low)), size)
-        symbol = last[place]
-        inner = symbol > 0
+        owner = common.row_of(size)
+        inner = last[place] > 0
         place, owner = back[place[inner]], owner[inner]
-        turn = np.argsort(place, kind="stable")
+        turn = np.argsort(place)
         place, owner = place[turn], owner[turn]
-        symbol = symbols[order[place]]
+        symbol = begins[place]
         new = np.ones(len(place), bool)
         new[1:] = (owner[1:] != owner[:-1]) | (symbol[1:] != symbol[:-1])
         head = np.flatnonzero(new)
@@ -160,14 +206,17 @@ def repeat_groups(symbols: np.ndarray, end: np.ndarray, n_segments: int, least:
 def least_documents(data: np.ndarray, sizes: np.ndarray, least_doc: np.ndarray, least: int) -> np.ndarray:
     """Segments end to end with the least document of each: for each byte that begins a window, the least document with that window."""
     segments = len(sizes)
-    starts = np.cumsum(sizes) - sizes
+    codes = np.zeros(256, np.int16)  # the bytes that occur, numbered from 1: fewer bits for each
+    used = np.flatnonzero(np.bincount(data, minlength=256))
+    codes[used] = np.arange(1, len(used) + 1)
+    close = np.cumsum(sizes + 1) - 1
+    inside = np.ones(len(data) + segments, bool)
+    inside[close] = False
     symbols = np.zeros(len(data) + segments, np.int16)
-    shift = np.arange(segments)
-    inside = common.ragged(starts + shift, sizes)
-    symbols[inside] = data.astype(np.int16) + 1
-    end = np.repeat(starts + shift + sizes, sizes + 1)
-    order, head = repeat_groups(symbols, end, segments, least)
-    owner = np.repeat(np.arange(segments), sizes + 1)
+    symbols[inside] = codes[data]
+    end = np.repeat(close, sizes + 1)
+    order, head = repeat_groups(symbols, end, least)
+    owner = common.row_of(sizes + 1)
     docs = np.where(order + least <= end[order], least_doc[owner[order]], LAST)
     first = np.flatnonzero(head)
     lowest = np.minimum.reduceat(docs, first)
@@ -176,6 +225,65 @@ def least_documents(data: np.ndarray, sizes: np.ndarray, least_doc: np.ndarray,
     return result[inside]
 
 
+def distinct_segments(raw: np.ndarray, begin: np.ndarray, size: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Segments of distinct content: one of each, which of them every segment is, and the least document of each."""
+    content = np.array([hash(raw[b : b + s].tobytes()) for b, s in zip(begin, size, strict=True)], np.int64)
+    order = np.lexsort((doc, size, content))
+    c, s = content[order], size[order]
+    new = np.ones(len(order), bool)
+    new[1:] = (c[1:] != c[:-1]) | (s[1:] != s[:-1])
+    # Equal hashes are compared byte by byte; a difference begins another segment.
+    same = np.flatnonzero(~new)
+    if len(same):
+        here, there = common.ragged(begin[order[same]], s[same]), common.ragged(begin[order[same - 1]], s[same])
+        differs = np.add.reduceat(raw[here] != raw[there], np.cumsum(s[same]) - s[same]) > 0
+        new[same[differs]] = True
+    segment = np.empty(len(order), np.int64)
+    segment[order] = np.cumsum(new) - 1
+    return order[new], segment, np.minimum.reduceat(doc[order], np.flatnonzero(new))
+
+
+def sieved_documents(data: np.ndarray, sizes: np.ndarray, least_doc: np.ndarray, least: int) -> np.ndarray:
+    """As least_documents, where many segments share a key: only windows whose hash occurs twice go to the transform, equal runs of them once."""
+    starts = np.cumsum(sizes) - sizes
+    result = np.repeat(least_doc, sizes)
+    windows = sizes - least + 1
+    at = common.ragged(starts, windows)
+    value = window_keys(data, least, least)[at]
+    order = np.argsort(value)
+    value = value[order]
+    equal = np.concatenate([[False], value[1:] == value[:-1], [False]])
+    twice = np.empty(len(at), bool)
+    twice[order] = equal[1:] | equal[:-1]
+    owner = common.row_of(windows)
+    apart = owner[1:] != owner[:-1]
+    head = np.flatnonzero(twice & np.concatenate([[True], ~twice[:-1] | apart]))
+    if not len(head):
+        return result
+    tail = np.flatnonzero(twice & np.concatenate([~twice[1:] | apart, [True]]))
+    count = tail - head + 1
+    begin, size = at[head], count + least - 1
+    one, segment, lowest = distinct_segments(data, begin, size, least_doc[owner[head]])
+    found = least_documents(data[common.ragged(begin[one], size[one])], size[one], lowest, least)
+    base = np.cumsum(size[one]) - size[one]
+    result[common.ragged(begin, count)] = found[common.ragged(base[segment], count)]
+    return result
+
+
+def least_by_key(data: np.ndarray, sizes: np.ndarray, least_doc: np.ndarray, key: np.ndarray, least: int) -> np.ndarray:
+    """least_documents of segments in order of their keys, some keys at a time: equal windows have equal keys."""
+    edges = np.concatenate([[0], np.cumsum(sizes)])
+    stops = np.concatenate([np.flatnonzero(key[1:] != key[:-1]) + 1, [len(key)]])
+    found, at = [], 0
+    while at < len(key):
+        fits = np.searchsorted(edges[stops], edges[at] + PIECE_BYTES, side="right") - 1
+        stop = int(stops[max(fits, np.searchsorted(stops, at, side="right"))])
+        solve = sieved_documents if edges[stop] - edges[at] >= SIEVE_BYTES else least_documents
+        found.append(solve(data[edges[at] : edges[stop]], sizes[at:stop], least_doc[at:stop], least))
+        at = stop
+    return np.concatenate(found)
+
+
 # --- stages ------------------------------------------------------------------------------------------------
 
 
@@ -263,6 +371,21 @@ def _per_document(shared: DataFrame) -> DataFrame:
     return common.by_bucket(shared).mapInArrow(run, "doc bigint, keys binary, hot binary")
 
 
+def _hot_pairs(shared: DataFrame) -> DataFrame:
+    """The blobs of _shared with nothing but hot keys."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        dealer = common.Dealer()
+        for batch in batches:
+            for bucket, doc, key, hot in zip(*(batch.column(c).to_pylist() for c in ("bucket", "doc", "key", "hot")), strict=True):
+                hot = np.frombuffer(hot, bool)
+                doc, key = np.frombuffer(doc, np.int64)[hot], np.frombuffer(key, np.uint64)[hot]
+                yield from dealer.add(np.full(len(doc), bucket, np.int32), {"doc": doc, "key": key, "hot": np.ones(len(doc), bool)})
+        yield from dealer.rest()
+
+    return shared.where(F.locate("\x01", F.col("hot").cast("string")) > 0).mapInArrow(run, common.blob_schema("doc", "key", "hot"))
+
+
 def _listed(column: pa.Array, rows: np.ndarray, key: np.ndarray) -> np.ndarray:
     """Whether each (row, key) is in the row's list of keys."""
     lists = [np.frombuffer(x.as_buffer(), np.uint64) for x in column]
@@ -277,6 +400,7 @@ def _segments(texts: DataFrame, n_buckets: int, length: int, gram: int) -> DataF
     names = ["key", "doc", "tie", "start", "size", "bytes"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
         for chunk in common.text_chunks(batches):
             data, starts = common.text_bytes(chunk.column("text"))
             key, row, head, count = window_runs(data, starts, length, gram)
@@ -304,7 +428,12 @@ def _segments(texts: DataFrame, n_buckets: int, length: int, gram: int) -> DataF
             raw = pa.py_buffer(data[common.ragged(begin, size)].tobytes())
             offsets = pa.py_buffer(edges[cut].astype(np.int32))
             blob = pa.Array.from_buffers(pa.binary(), len(cut) - 1, [None, offsets, raw])
-            yield pa.RecordBatch.from_arrays([*batch.columns, blob], names=["bucket", *names])
+            held.append(pa.RecordBatch.from_arrays([*batch.columns, blob], names=["bucket", *names]))
+            if sum(x.nbytes for x in held) >= SENT_BYTES:
+                yield common.together(held)
+                held = []
+        if held:
+            yield common.together(held)
 
     return texts.select("doc_id", "tie", "text", "keys", "hot").mapInArrow(run, common.blob_schema(*names))
 
@@ -318,23 +447,13 @@ def _removed_runs(segments: DataFrame, n_buckets: int, length: int) -> DataFrame
         for _, got in common.buckets(batches, dtypes):
             size, raw = got["size"].astype(np.int64), got["bytes"]
             begin = np.cumsum(size) - size
-            content = np.array([hash(raw[b : b + s].tobytes()) for b, s in zip(begin, size, strict=True)], np.int64)
-            order = np.lexsort((got["doc"], size, content))
-            c, s = content[order], size[order]
-            new = np.ones(len(order), bool)
-            new[1:] = (c[1:] != c[:-1]) | (s[1:] != s[:-1])
-            # Equal hashes are compared byte by byte; a difference begins another segment.
-            same = np.flatnonzero(~new)
-            if len(same):
-                here, there = common.ragged(begin[order[same]], s[same]), common.ragged(begin[order[same - 1]], s[same])
-                differs = np.add.reduceat(raw[here] != raw[there], np.cumsum(s[same]) - s[same]) > 0
-                new[same[differs]] = True
-            one = order[new]
-            segment = np.empty(len(order), np.int64)
-            segment[order] = np.cumsum(new) - 1
-            lowest = np.minimum.reduceat(got["doc"][order], np.flatnonzero(new))
+            one, segment, lowest = distinct_segments(raw, begin, size, got["doc"])
+            turn = np.argsort(got["key"][one], kind="stable")
+            back = np.empty(len(turn), np.int64)
+            back[turn] = np.arange(len(turn))
+            one, segment, lowest = one[turn], back[segment], lowest[turn]
             text = raw[common.ragged(begin[one], size[one])]
-            least_doc = least_documents(text, size[one], lowest, length)
+            least_doc = least_by_key(text, size[one], lowest, got["key"][one], length)
             # Back to all occurrences: windows whose least document is earlier.
             windows = size - length + 1
             base = np.cumsum(size[one]) - size[one]
@@ -372,7 +491,7 @@ def _hot_runs(texts: DataFrame, n_buckets: int, length: int, gram: int) -> DataF
             yield pa.RecordBatch.from_arrays(arrays, names=["window", "doc", "tie", "low"])
 
     schema = "window binary, doc bigint, tie bigint, low bigint"
-    rows = texts.where(F.length("hot") > 0).select("doc_id", "tie", "text", "hot").mapInArrow(explode, schema)
+    rows = texts.select("doc_id", "tie", "text", "hot").mapInArrow(explode, schema)
     least = rows.groupBy("window").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).where("least < most").select("window", "least")
     found = rows.join(least, "window").where("least < doc").select("doc", "tie", "low", (F.col("low") + length).alias("high"))
 
@@ -459,12 +578,18 @@ def remove_repeats(docs: DataFrame, min_length: int = MIN_LENGTH, gram: int = GR
     copies = common.materialise(info.where("copy").select("doc_id", "tie").distinct())
     rows = common.keep_ids(rows, copies, "doc_id", "tie", how="left_anti")
     shared = common.materialise(_shared(_keys(rows, n_buckets, min_length, gram), n_buckets, hot_docs))
-    texts = rows.withColumn("doc", order_id).join(_per_document(shared), "doc")
+    rows = rows.withColumn("doc", order_id)
+    texts = rows.join(_per_document(shared), "doc")
     runs = common.materialise(_removed_runs(_segments(texts, n_buckets, min_length, gram), n_buckets, min_length))
-    if not common.materialise(shared.where(F.locate("\x01", F.col("hot").cast("string")) > 0).select("bucket")).isEmpty():
+    hot = common.materialise(_hot_pairs(shared))
+    if not hot.isEmpty():
+        hot = common.materialise(_per_document(hot))
+        texts = common.keep_ids(rows, hot.select("doc"), "doc").join(hot, "doc")
         runs = runs.union(common.materialise(_hot_runs(texts, n_buckets, min_length, gram)))
     merged = common.materialise(_merged(runs))
-    touched = common.keep_ids(rows.withColumn("doc", order_id), common.materialise(merged.select("doc").distinct()), "doc")
+    touched, ids = rows, common.materialise(merged.select("doc").distinct())
+    if ids.count() <= common.BROADCAST_IDS:  # else the join below would shuffle the same texts again
+        touched = common.keep_ids(rows, ids, "doc")
     cut = _cut(touched.join(merged, ["doc", "tie"]).select("doc", "tie", "text", "lows", "highs").dropDuplicates(["doc", "tie"]))
 
     partly = info.join(cut, ["doc", "tie"], "left")
